@@ -159,6 +159,11 @@ SELECT event_id AS solicitud_id, CAST(1000000 + user_id * 3 AS STRING) AS doc,
        CASE WHEN event_id % 9 = 0 THEN '' ELSE 'Editado' END AS nombre,
        concat('Apellido', CAST(event_id AS STRING)) AS apellido, '+58 4140000000' AS telefono, ts AS en
 FROM {events} WHERE event_type = 'purchase'""",
+    # Quick enrolments of people who already have an account (document + offer only).
+    "solicitud_rapida": """
+SELECT event_id AS solicitud_id, CAST(1000000 + user_id * 7 AS STRING) AS cedula,
+       CASE WHEN event_id % 37 = 0 THEN NULL ELSE (event_id % 40) * 8 END AS capacitacion, ts AS en
+FROM {events} WHERE event_type = 'view'""",
     # New company contacts; documents and e-mails collide with existing contacts and each other.
     "contacto_alta": """
 SELECT event_id AS solicitud_id, concat('Empresa ', CAST(user_id AS STRING)) AS empresa_nombre, 'Rif' AS emp_tipodoc,
