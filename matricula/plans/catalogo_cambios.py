@@ -147,3 +147,63 @@ WHERE {_vacio('cedula')} OR {_vacio('capacitacion')}""")
 def _admision_rapida(spark, sf):
     t = tablas(spark, sf)
     return A.admision_rapida(t, t["solicitud_rapida"])
+
+
+# ---------------------------------------------------------------- company lots
+
+from ..operators import lotes as L  # noqa: E402
+from ..sources import lectores as S  # noqa: E402
+
+# Batch time stamped on rows the database would date with its clock (fixed for reproducibility).
+HORA_LOTE = "2024-02-01 00:00:00"
+
+
+@consulta("lote_explode", W("lote_fila") + """
+SELECT lote_id, empresa_id, oferta, row_number() OVER (PARTITION BY lote_id ORDER BY fila) - 1 AS posicion,
+       fila, tipodoc, doc, nombre, apellido, telefono, email, fechanac, pais, ciudad
+FROM lote_fila""")
+def _lote_explode(spark, sf):
+    return S.lote_explode(S.anidar_lotes(tablas(spark, sf)["lote_fila"]))
+
+
+@consulta("lotes_completos", W("lote_fila") + """
+SELECT lote_id, COUNT(*) AS filas,
+       bool_and(coalesce(trim(doc) <> '', false) AND coalesce(trim(nombre) <> '', false) AND coalesce(trim(email) <> '', false)
+                AND coalesce(trim(fechanac) <> '', false) AND coalesce(trim(telefono) <> '', false)) AS completo,
+       sum(CASE WHEN coalesce(trim(doc) <> '', false) AND coalesce(trim(nombre) <> '', false)
+                 AND coalesce(trim(email) <> '', false) AND coalesce(trim(fechanac) <> '', false)
+                 AND coalesce(trim(telefono) <> '', false) THEN 0 ELSE 1 END) AS filas_incompletas
+FROM lote_fila GROUP BY lote_id""")
+def _lotes_completos(spark, sf):
+    return V.lotes_completos(tablas(spark, sf)["lote_fila"])
+
+
+def _lotes(spark, sf):
+    t = tablas(spark, sf)
+    filas = S.lote_explode(S.anidar_lotes(t["lote_fila"]))
+    return t, filas, L.admision_lotes(t, filas)
+
+
+@consulta("admision_lotes")
+def _admision_lotes(spark, sf):
+    """W5 greedy per-offer scan: not expressible as one SQL query (checked against a
+    sequential model in tests)."""
+    return _lotes(spark, sf)[2]
+
+
+@consulta("inscripcion_tras_lotes")
+def _inscripcion_tras_lotes(spark, sf):
+    t, filas, dec = _lotes(spark, sf)
+    return como_texto(L.inscripcion_tras_lotes(t, filas, dec, HORA_LOTE))
+
+
+@consulta("academico_tras_lotes")
+def _academico_tras_lotes(spark, sf):
+    t, filas, dec = _lotes(spark, sf)
+    return L.academico_tras_lotes(t, filas, dec)
+
+
+@consulta("persona_tras_lotes")
+def _persona_tras_lotes(spark, sf):
+    t, filas, dec = _lotes(spark, sf)
+    return como_texto(L.persona_tras_lotes(t, filas, dec))
