@@ -154,8 +154,8 @@ def _admision_rapida(spark, sf):
 from ..operators import lotes as L  # noqa: E402
 from ..sources import lectores as S  # noqa: E402
 
-# Batch time stamped on rows the database would date with its clock (fixed for reproducibility).
-HORA_LOTE = "2024-02-01 00:00:00"
+# Batch time stamped on rows the database dates with its own clock (fixed for reproducibility).
+HORA_CAMBIOS = "2024-02-01 00:00:00"
 
 
 @consulta("lote_explode", W("lote_fila") + """
@@ -194,7 +194,7 @@ def _admision_lotes(spark, sf):
 @consulta("inscripcion_tras_lotes")
 def _inscripcion_tras_lotes(spark, sf):
     t, filas, dec = _lotes(spark, sf)
-    return como_texto(L.inscripcion_tras_lotes(t, filas, dec, HORA_LOTE))
+    return como_texto(L.inscripcion_tras_lotes(t, filas, dec, HORA_CAMBIOS))
 
 
 @consulta("academico_tras_lotes")
@@ -207,3 +207,295 @@ def _academico_tras_lotes(spark, sf):
 def _persona_tras_lotes(spark, sf):
     t, filas, dec = _lotes(spark, sf)
     return como_texto(L.persona_tras_lotes(t, filas, dec))
+
+
+# ---------------------------------------------------------------- payments and decisions
+
+from ..operators import cambios as K  # noqa: E402
+
+_HORA_SQL = f"TIMESTAMP '{HORA_CAMBIOS}'"
+_PAGO_COLS = "pago_inscodigo, pago_empresa_id, titular_nombre, titular_apellido, titular_telefono, banco_origen, referencia"
+_INS_COLS = "inscodigo, ins_perdoc, ins_oferta, ins_empresa_id, ins_estado"
+_PAGO_SEL = f"SELECT {_PAGO_COLS}, {ts('fecha_reporte')} FROM"
+_INS_SEL = f"SELECT {_INS_COLS}, {ts('ins_fecha')} FROM"
+_MOTIVO_PAGO = (
+    f"CASE WHEN {_vacio('inscodigo')} OR {_vacio('titular_nombre')} OR {_vacio('referencia')} "
+    "OR coalesce(tiene_comprobante <> 1, true) THEN 'faltan_datos' END"
+)
+_PAGO_CTES = W("pago_solicitud", "pago_reportado", extra=f"pv AS (SELECT s.*, {_MOTIVO_PAGO} AS motivo FROM pago_solicitud s)")
+
+
+def _pagos(spark, sf):
+    t = tablas(spark, sf)
+    return K.reportar_pagos(t, t["pago_solicitud"], HORA_CAMBIOS)
+
+
+@consulta("pagos_validos", _PAGO_CTES + "SELECT solicitud_id, inscodigo, coalesce(motivo, 'ok') AS motivo FROM pv")
+def _pagos_validos(spark, sf):
+    return _pagos(spark, sf)["resultado"]
+
+
+@consulta("pagos_tras_reporte", _PAGO_CTES + f"""{_PAGO_SEL} (
+  SELECT * FROM pago_reportado
+  UNION ALL
+  SELECT inscodigo, NULL, titular_nombre, titular_apellido, titular_telefono, banco_origen, referencia, {_HORA_SQL}
+  FROM pv WHERE motivo IS NULL) u""")
+def _pagos_tras_reporte(spark, sf):
+    return como_texto(_pagos(spark, sf)["pago_reportado"])
+
+
+@consulta("inscripcion_tras_pago", _PAGO_CTES + f"""{_INS_SEL} (
+  SELECT inscodigo, ins_perdoc, ins_oferta, ins_empresa_id,
+         CASE WHEN inscodigo IN (SELECT inscodigo FROM pv WHERE motivo IS NULL) THEN 'en_revision' ELSE ins_estado END AS ins_estado,
+         ins_fecha FROM inscripcion) u""")
+def _inscripcion_tras_pago(spark, sf):
+    return como_texto(_pagos(spark, sf)["inscripcion"])
+
+
+_MOTIVO_PAGO_LOTE = (
+    f"CASE WHEN {_vacio('oferta')} OR {_vacio('titular_nombre')} OR {_vacio('titular_apellido')} OR {_vacio('referencia')} "
+    "OR coalesce(tiene_comprobante <> 1, true) THEN 'faltan_datos' END"
+)
+_PAGO_LOTE_CTES = W("pago_lote_solicitud", "pago_reportado", extra=f"""
+lv AS (SELECT s.*, {_MOTIVO_PAGO_LOTE} AS motivo FROM pago_lote_solicitud s),
+pend AS (SELECT ins_empresa_id AS empresa_id, ins_oferta AS oferta, inscodigo FROM inscripcion
+         WHERE ins_empresa_id IS NOT NULL AND ins_estado IN ('pendiente', 'rechazado')),
+npend AS (SELECT empresa_id, oferta, COUNT(*) AS empleados FROM pend GROUP BY empresa_id, oferta),
+ldec AS (SELECT v.*, n.empleados AS n_pend,
+                CASE WHEN v.solicitud_id = min(v.solicitud_id) OVER (PARTITION BY v.empresa_id, v.oferta)
+                      AND coalesce(n.empleados, 0) > 0 THEN 'ok' ELSE 'sin_pendientes' END AS decision
+         FROM lv v LEFT JOIN npend n ON n.empresa_id = v.empresa_id AND n.oferta = v.oferta WHERE v.motivo IS NULL),
+lcod AS (SELECT d.*, p.inscodigo FROM ldec d JOIN pend p ON p.empresa_id = d.empresa_id AND p.oferta = d.oferta
+         WHERE d.decision = 'ok')""")
+
+
+def _pagos_lote(spark, sf):
+    t = tablas(spark, sf)
+    return K.reportar_pagos_lote(t, t["pago_lote_solicitud"], HORA_CAMBIOS)
+
+
+@consulta("pago_lote_resultado", _PAGO_LOTE_CTES + """
+SELECT solicitud_id, empresa_id, oferta, decision AS motivo, CASE WHEN decision = 'ok' THEN n_pend ELSE 0 END AS empleados FROM ldec
+UNION ALL SELECT solicitud_id, empresa_id, oferta, motivo, 0 FROM lv WHERE motivo IS NOT NULL""")
+def _pago_lote_resultado(spark, sf):
+    return _pagos_lote(spark, sf)["resultado"]
+
+
+@consulta("pagos_tras_lote", _PAGO_LOTE_CTES + f"""{_PAGO_SEL} (
+  SELECT * FROM pago_reportado
+  UNION ALL
+  SELECT inscodigo, empresa_id, titular_nombre, titular_apellido, titular_telefono, banco_origen, referencia, {_HORA_SQL}
+  FROM lcod) u""")
+def _pagos_tras_lote(spark, sf):
+    return como_texto(_pagos_lote(spark, sf)["pago_reportado"])
+
+
+@consulta("inscripcion_tras_pago_lote", _PAGO_LOTE_CTES + f"""{_INS_SEL} (
+  SELECT inscodigo, ins_perdoc, ins_oferta, ins_empresa_id,
+         CASE WHEN inscodigo IN (SELECT inscodigo FROM lcod) THEN 'en_revision' ELSE ins_estado END AS ins_estado,
+         ins_fecha FROM inscripcion) u""")
+def _inscripcion_tras_pago_lote(spark, sf):
+    return como_texto(_pagos_lote(spark, sf)["inscripcion"])
+
+
+def _decision(t, d: str):
+    return t["decision_pago"].where(f"decision = '{d}'")
+
+
+def _estado_sql(cond: str, estado: str) -> str:
+    return f"""{_INS_SEL} (
+  SELECT inscodigo, ins_perdoc, ins_oferta, ins_empresa_id,
+         CASE WHEN {cond} THEN '{estado}' ELSE ins_estado END AS ins_estado, ins_fecha FROM inscripcion) u"""
+
+
+@consulta("inscripcion_tras_aprobar", W("inscripcion", "decision_pago")
+          + _estado_sql("inscodigo IN (SELECT inscodigo FROM decision_pago WHERE decision = 'aprobar')", "conciliado"))
+def _inscripcion_tras_aprobar(spark, sf):
+    t = tablas(spark, sf)
+    return como_texto(K.aprobar_pagos(t, _decision(t, "aprobar")))
+
+
+@consulta("inscripcion_tras_rechazo", W("inscripcion", "decision_pago")
+          + _estado_sql("inscodigo IN (SELECT inscodigo FROM decision_pago WHERE decision = 'rechazar')", "pendiente"))
+def _inscripcion_tras_rechazo(spark, sf):
+    t = tablas(spark, sf)
+    return como_texto(K.rechazar_pagos(t, _decision(t, "rechazar"))["inscripcion"])
+
+
+@consulta("pagos_tras_rechazo", W("pago_reportado", "decision_pago") + f"""{_PAGO_SEL} pago_reportado
+WHERE pago_inscodigo NOT IN (SELECT inscodigo FROM decision_pago WHERE decision = 'rechazar')""")
+def _pagos_tras_rechazo(spark, sf):
+    t = tablas(spark, sf)
+    return como_texto(K.rechazar_pagos(t, _decision(t, "rechazar"))["pago_reportado"])
+
+
+def _lote_decision(t, d: str):
+    return t["decision_lote"].where(f"decision = '{d}'")
+
+
+@consulta("lote_tras_aprobar", W("inscripcion", "decision_lote") + _estado_sql(
+    "EXISTS (SELECT 1 FROM decision_lote d WHERE d.decision = 'aprobar' AND d.empresa_id = inscripcion.ins_empresa_id "
+    "AND d.oferta = inscripcion.ins_oferta)", "conciliado"))
+def _lote_tras_aprobar(spark, sf):
+    t = tablas(spark, sf)
+    return como_texto(K.aprobar_lotes(t, _lote_decision(t, "aprobar")))
+
+
+_RECHAZO_LOTE_CTES = W("inscripcion", "decision_lote", "pago_reportado", extra="""
+rl AS (SELECT DISTINCT empresa_id, oferta FROM decision_lote WHERE decision = 'rechazar'),
+rev AS (SELECT i.inscodigo, i.ins_empresa_id, i.ins_oferta FROM inscripcion i JOIN rl
+          ON rl.empresa_id = i.ins_empresa_id AND rl.oferta = i.ins_oferta WHERE i.ins_estado = 'en_revision')""")
+
+
+@consulta("lote_tras_rechazo", _RECHAZO_LOTE_CTES + _estado_sql("inscodigo IN (SELECT inscodigo FROM rev)", "rechazado"))
+def _lote_tras_rechazo(spark, sf):
+    t = tablas(spark, sf)
+    return como_texto(K.rechazar_lotes(t, _lote_decision(t, "rechazar"))["inscripcion"])
+
+
+@consulta("pagos_tras_rechazo_lote", _RECHAZO_LOTE_CTES + f"""{_PAGO_SEL} pago_reportado
+WHERE pago_inscodigo NOT IN (SELECT inscodigo FROM rev)""")
+def _pagos_tras_rechazo_lote(spark, sf):
+    t = tablas(spark, sf)
+    return como_texto(K.rechazar_lotes(t, _lote_decision(t, "rechazar"))["pago_reportado"])
+
+
+@consulta("lote_rechazo_resultado", _RECHAZO_LOTE_CTES + """
+SELECT rl.empresa_id, rl.oferta, CASE WHEN n.n IS NULL THEN 'sin_en_revision' ELSE 'ok' END AS motivo, coalesce(n.n, 0) AS empleados
+FROM rl LEFT JOIN (SELECT ins_empresa_id, ins_oferta, COUNT(*) AS n FROM rev GROUP BY 1, 2) n
+  ON n.ins_empresa_id = rl.empresa_id AND n.ins_oferta = rl.oferta""")
+def _lote_rechazo_resultado(spark, sf):
+    t = tablas(spark, sf)
+    return K.rechazar_lotes(t, _lote_decision(t, "rechazar"))["resultado"]
+
+
+_ELIM_CTES = W("inscripcion", "eliminacion", "pago_reportado", "persona_capacitacion", extra="""
+hall AS (SELECT inscodigo, ins_perdoc, ins_oferta FROM inscripcion WHERE inscodigo IN (SELECT inscodigo FROM eliminacion))""")
+
+
+def _elim(spark, sf):
+    t = tablas(spark, sf)
+    return K.eliminar_inscripciones(t, t["eliminacion"])
+
+
+@consulta("eliminacion_resultado", _ELIM_CTES + """
+SELECT DISTINCT e.inscodigo, CASE WHEN h.inscodigo IS NULL THEN 'no_encontrada' ELSE 'ok' END AS motivo
+FROM eliminacion e LEFT JOIN hall h ON h.inscodigo = e.inscodigo""")
+def _eliminacion_resultado(spark, sf):
+    return _elim(spark, sf)["resultado"]
+
+
+@consulta("inscripcion_tras_eliminar", _ELIM_CTES + f"{_INS_SEL} inscripcion WHERE inscodigo NOT IN (SELECT inscodigo FROM hall)")
+def _inscripcion_tras_eliminar(spark, sf):
+    return como_texto(_elim(spark, sf)["inscripcion"])
+
+
+@consulta("pagos_tras_eliminar", _ELIM_CTES + f"{_PAGO_SEL} pago_reportado WHERE pago_inscodigo NOT IN (SELECT inscodigo FROM hall)")
+def _pagos_tras_eliminar(spark, sf):
+    return como_texto(_elim(spark, sf)["pago_reportado"])
+
+
+@consulta("academico_tras_eliminar", _ELIM_CTES + """
+SELECT pcap_perdoc, pcap_oferta FROM persona_capacitacion pc
+WHERE NOT EXISTS (SELECT 1 FROM hall h WHERE h.ins_perdoc = pc.pcap_perdoc AND h.ins_oferta = pc.pcap_oferta)""")
+def _academico_tras_eliminar(spark, sf):
+    return _elim(spark, sf)["persona_capacitacion"]
+
+
+# ---------------------------------------------------------------- offers
+
+_OF_SEL = (f"SELECT capofcodigo, capofcapcodigo, {d('capoffecha_inicio')}, {d('capoffecha_fin')}, capofcupos, "
+           "capofestatus, cupos_bloqueados FROM")
+_MOTIVO_OFERTA = (
+    f"CASE WHEN {_vacio('capofcapcodigo')} OR {_vacio('fecha_inicio')} OR {_vacio('fecha_fin')} OR {_vacio('cupos')} "
+    "THEN 'faltan_datos' WHEN coalesce(TRY_CAST(CAST(fecha_inicio AS VARCHAR) AS DATE) > "
+    "TRY_CAST(CAST(fecha_fin AS VARCHAR) AS DATE), false) THEN 'fechas_invertidas' END"
+)
+_ILEGIBLE = ("(TRY_CAST(CAST(fecha_inicio AS VARCHAR) AS DATE) IS NULL OR "
+             "TRY_CAST(CAST(fecha_fin AS VARCHAR) AS DATE) IS NULL)")
+_CREAR_CTES = W("oferta_borrador", "capacitacion_oferta",
+                extra=f"ov AS (SELECT b.*, {_MOTIVO_OFERTA} AS motivo, {_ILEGIBLE} AS fecha_ilegible FROM oferta_borrador b)")
+
+
+def _crear(spark, sf):
+    t = tablas(spark, sf)
+    return K.crear_ofertas(t, t["oferta_borrador"])
+
+
+@consulta("ofertas_validas", _CREAR_CTES + f"""
+SELECT capofcapcodigo, {d('fecha_inicio')}, {d('fecha_fin')}, cupos, coalesce(motivo, 'ok') AS motivo, fecha_ilegible FROM ov""")
+def _ofertas_validas(spark, sf):
+    return como_texto(_crear(spark, sf)["resultado"])
+
+
+@consulta("ofertas_tras_crear", _CREAR_CTES + f"""{_OF_SEL} (
+  SELECT * FROM capacitacion_oferta
+  UNION ALL
+  SELECT (SELECT coalesce(max(capofcodigo), 0) FROM capacitacion_oferta)
+           + row_number() OVER (ORDER BY capofcapcodigo, fecha_inicio, fecha_fin, cupos),
+         capofcapcodigo, fecha_inicio, fecha_fin, cupos, 1, 0
+  FROM ov WHERE motivo IS NULL) u""")
+def _ofertas_tras_crear(spark, sf):
+    return como_texto(_crear(spark, sf)["capacitacion_oferta"])
+
+
+@consulta("ofertas_tras_editar", W("oferta_edicion", "capacitacion_oferta", extra=f"""
+u AS (SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY capofcodigo ORDER BY en DESC, solicitud_id DESC) AS k
+                     FROM oferta_edicion e WHERE ({_MOTIVO_OFERTA}) IS NULL) z WHERE k = 1)""") + f"""{_OF_SEL} (
+  SELECT co.capofcodigo,
+         CASE WHEN u.capofcodigo IS NULL THEN co.capofcapcodigo ELSE u.capofcapcodigo END AS capofcapcodigo,
+         CASE WHEN u.capofcodigo IS NULL THEN co.capoffecha_inicio ELSE u.fecha_inicio END AS capoffecha_inicio,
+         CASE WHEN u.capofcodigo IS NULL THEN co.capoffecha_fin ELSE u.fecha_fin END AS capoffecha_fin,
+         CASE WHEN u.capofcodigo IS NULL THEN co.capofcupos ELSE u.cupos END AS capofcupos,
+         co.capofestatus, co.cupos_bloqueados
+  FROM capacitacion_oferta co LEFT JOIN u ON u.capofcodigo = co.capofcodigo) x""")
+def _ofertas_tras_editar(spark, sf):
+    t = tablas(spark, sf)
+    return como_texto(K.editar_ofertas(t, t["oferta_edicion"]))
+
+
+def _toggle_sql(campo: str, col: str) -> str:
+    uno = f"(CASE WHEN coalesce(co.{col} = 1, false) THEN 0 ELSE 1 END)"
+    nuevo = f"CASE WHEN n.n IS NULL THEN co.{col} WHEN n.n % 2 = 1 THEN {uno} ELSE 1 - {uno} END AS {col}"
+    cols = ["co.capofcodigo", "co.capofcapcodigo", "co.capoffecha_inicio", "co.capoffecha_fin", "co.capofcupos",
+            "co.capofestatus", "co.cupos_bloqueados"]
+    cols = [nuevo if c == f"co.{col}" else c for c in cols]
+    return W("toggle_oferta", "capacitacion_oferta") + f"""{_OF_SEL} (
+  SELECT {', '.join(cols)} FROM capacitacion_oferta co
+  LEFT JOIN (SELECT capofcodigo, COUNT(*) AS n FROM toggle_oferta WHERE campo = '{campo}' GROUP BY capofcodigo) n
+    ON n.capofcodigo = co.capofcodigo) x"""
+
+
+@consulta("ofertas_toggle_estatus", _toggle_sql("estatus", "capofestatus"))
+def _ofertas_toggle_estatus(spark, sf):
+    t = tablas(spark, sf)
+    return como_texto(K.alternar_ofertas(t, t["toggle_oferta"], "estatus"))
+
+
+@consulta("ofertas_toggle_bloqueo", _toggle_sql("bloqueo", "cupos_bloqueados"))
+def _ofertas_toggle_bloqueo(spark, sf):
+    t = tablas(spark, sf)
+    return como_texto(K.alternar_ofertas(t, t["toggle_oferta"], "bloqueo"))
+
+
+# ---------------------------------------------------------------- people and contacts
+
+@consulta("persona_tras_editar", W("persona_edicion", "persona", extra=f"""
+u AS (SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY doc ORDER BY en DESC, solicitud_id DESC) AS k
+                     FROM persona_edicion e
+                     WHERE NOT ({_vacio('doc')} OR {_vacio('nombre')} OR {_vacio('apellido')})) z WHERE k = 1)""") + f"""
+SELECT p.pertipodoc, p.perdoc, CASE WHEN u.doc IS NULL THEN p.pernombre ELSE u.nombre END AS pernombre,
+       CASE WHEN u.doc IS NULL THEN p.perapellido ELSE u.apellido END AS perapellido, {d('p.perfechanac')},
+       CASE WHEN u.doc IS NULL THEN p.pertelefono ELSE u.telefono END AS pertelefono, p.peremail, p.perpais, p.perciudad
+FROM persona p LEFT JOIN u ON u.doc = p.perdoc""")
+def _persona_tras_editar(spark, sf):
+    t = tablas(spark, sf)
+    return como_texto(K.editar_personas(t, t["persona_edicion"])["persona"])
+
+
+@consulta("contactos_tras_alta")
+def _contactos_tras_alta(spark, sf):
+    """W21 first-wins uniqueness on two keys: exact rounds, not one SQL query (tested against a
+    sequential model)."""
+    t = tablas(spark, sf)
+    return como_texto(K.alta_contactos(t, t["contacto_alta"])["contacto_empresa"])

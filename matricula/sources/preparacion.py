@@ -116,6 +116,11 @@ SELECT event_id AS solicitud_id, CAST(900000 + user_id AS STRING) AS cedula,
        concat('e', CAST(CASE WHEN event_id % 4 = 0 THEN user_id + 1 ELSE user_id END AS STRING), '@example.org') AS email,
        CAST(200000 + (event_id * 31) % 700000 AS STRING) AS codigo, ts AS en
 FROM {events} WHERE event_type = 'error'""",
+    # Codes typed on the company portal one minute after asking (every fifth one mistyped).
+    "intento_otp_empresa": """
+SELECT solicitud_id AS intento_id, email, CASE WHEN solicitud_id % 5 = 0 THEN '000000' ELSE codigo END AS codigo,
+       en + INTERVAL 1 MINUTES AS en
+FROM {solicitud_otp_empresa}""",
     # Lot payment reports: one per (company, offer) seen in enrolments, a second one for some lots.
     "pago_lote_solicitud": """
 SELECT ins_empresa_id * 100000000 + ins_oferta AS solicitud_id, ins_empresa_id AS empresa_id, ins_oferta AS oferta,
