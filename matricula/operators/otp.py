@@ -78,10 +78,14 @@ def emitir_tokens(t, solicitudes: DataFrame, minutos: int = E.MINUTOS_OTP) -> Da
 
 def solicitudes_emitidas(t, personas: DataFrame, empresas: DataFrame) -> DataFrame:
     """Requests that get a code: people's requests with both fields, and company-portal
-    requests whose (document, e-mail) is a registered contact (P3)."""
-    p = personas.where(~(E.vacio("cedula") | E.vacio("email"))).select("solicitud_id", "email", "codigo", "en")
+    requests whose (document, e-mail) is a registered contact (P3); ``de_empresa`` tells them apart."""
+    p = personas.where(~(E.vacio("cedula") | E.vacio("email"))).select(
+        "solicitud_id", "email", "codigo", "en", F.lit(False).alias("de_empresa")
+    )
     autorizadas = C.contactos_autorizados(t, empresas.where(~(E.vacio("cedula") | E.vacio("email")))).select("solicitud_id")
-    e = empresas.join(autorizadas, "solicitud_id", "left_semi").select("solicitud_id", "email", "codigo", "en")
+    e = empresas.join(autorizadas, "solicitud_id", "left_semi").select(
+        "solicitud_id", "email", "codigo", "en", F.lit(True).alias("de_empresa")
+    )
     return p.unionByName(e)
 
 

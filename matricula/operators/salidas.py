@@ -37,17 +37,12 @@ def _fila(plantilla: str, destinatario, entidad_id=None, nombre=None, curso=None
     ]
 
 
-def outbox_otp(emitidas: DataFrame, empresas: DataFrame | None = None) -> DataFrame:
-    """Code mails: one per request that got a code (``solicitud_id, email, codigo``); requests of
-    the company portal (their ids in ``empresas``) use the company template."""
-    if empresas is not None:
-        e = empresas.select("solicitud_id").distinct().withColumn("__e", F.lit(True))
-        emitidas = emitidas.join(e, "solicitud_id", "left")
-    else:
-        emitidas = emitidas.withColumn("__e", F.lit(None).cast("boolean"))
-    plantilla = F.when(F.coalesce(F.col("__e"), F.lit(False)), F.lit("otp_empresa")).otherwise(F.lit("otp"))
+def outbox_otp(emitidas: DataFrame) -> DataFrame:
+    """Code mails: one per request that got a code (``solicitud_id, email, codigo, de_empresa``);
+    company-portal requests use the company template."""
     filas = _fila("otp", "email", entidad_id="solicitud_id", referencia="codigo")
-    filas[0] = plantilla.alias("plantilla")
+    filas[0] = F.when(F.coalesce(F.col("de_empresa"), F.lit(False)), F.lit("otp_empresa")).otherwise(F.lit("otp")) \
+        .alias("plantilla")
     return emitidas.select(*filas)
 
 

@@ -26,14 +26,25 @@ def leer_tabla(spark: SparkSession, ruta: str, nombre: str, formato: str = "parq
     return conformar(df, TABLAS[nombre])
 
 
+# ISO-8601 with microseconds; a time without an offset is read in the session time zone (UTC).
+FORMATO_TS_JSON = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"
+
+
 def leer_solicitudes(spark: SparkSession, ruta: str) -> DataFrame:
     """Registration requests as JSON lines with the explicit request schema."""
-    return spark.read.schema(CAMBIOS["solicitud_registro"]).option("mode", "PERMISSIVE").json(ruta)
+    return spark.read.schema(CAMBIOS["solicitud_registro"]).option("mode", "PERMISSIVE") \
+        .option("timestampFormat", FORMATO_TS_JSON).json(ruta)
+
+
+def escribir_json(df: DataFrame, ruta: str) -> None:
+    """JSON lines sink for change sets, keeping microseconds (the default keeps milliseconds)."""
+    df.write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") \
+        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(ruta)
 
 
 def leer_lotes(spark: SparkSession, ruta: str) -> DataFrame:
     """S3: nested lot records (one JSON object per lot with an ``empleados`` array)."""
-    return spark.read.schema(CAMBIOS["lote"]).json(ruta)
+    return spark.read.schema(CAMBIOS["lote"]).option("timestampFormat", FORMATO_TS_JSON).json(ruta)
 
 
 def lote_explode(lotes: DataFrame) -> DataFrame:
