@@ -66,9 +66,13 @@ def materializar(tablas: dict[str, DataFrame], nombres: list[str], destino: str)
 
 
 def abrir(spark: SparkSession, destino: str, nombres: list[str] | None = None) -> Tablas:
-    """Typed scans (``leer_tabla``) of tables written by ``materializar``."""
-    nombres = nombres or [n for n in TABLAS if n in _listar(spark, destino)]
-    return desde_dataframes(spark, {n: lectores.leer_tabla(spark, f"{destino}/{n}", n) for n in nombres})
+    """Scans of tables written by ``materializar``: typed (``leer_tabla``) for domain tables,
+    the file schema for change sets."""
+    nombres = nombres or [n for n in _listar(spark, destino) if not n.startswith(("_", "."))]
+    return desde_dataframes(spark, {
+        n: lectores.leer_tabla(spark, f"{destino}/{n}", n) if n in TABLAS else spark.read.parquet(f"{destino}/{n}")
+        for n in nombres
+    })
 
 
 def version_actual(spark: SparkSession, raiz: str) -> int:
@@ -89,9 +93,18 @@ def abrir_instantanea(spark: SparkSession, raiz: str, version: int | None = None
     return desde_dataframes(spark, {n: lectores.leer_tabla(spark, r, n) for n, r in rutas.items()})
 
 
-def confirmar(spark: SparkSession, raiz: str, cambios: dict[str, DataFrame]) -> int:
+def etiqueta_actual(spark: SparkSession, raiz: str) -> int | None:
+    """The ``etiqueta`` (e.g. stream epoch) recorded by the newest commit, if any."""
+    v = version_actual(spark, raiz)
+    if v == 0:
+        return None
+    return json.loads(_leer_texto(spark, f"{raiz}/_manifiestos/{v:08d}.json")).get("etiqueta")
+
+
+def confirmar(spark: SparkSession, raiz: str, cambios: dict[str, DataFrame], etiqueta: int | None = None) -> int:
     """Write the changed tables of one batch and publish them together. Tables not in
-    ``cambios`` keep their previous version. Returns the new version number."""
+    ``cambios`` keep their previous version. ``etiqueta`` is stored in the manifest (a stream
+    uses its epoch to skip a batch that was already committed). Returns the new version."""
     previa = version_actual(spark, raiz)
     rutas = dict(leer_manifiesto(spark, raiz, previa)) if previa else {}
     nueva = previa + 1
@@ -99,6 +112,6 @@ def confirmar(spark: SparkSession, raiz: str, cambios: dict[str, DataFrame]) ->
         ruta = f"{raiz}/v{nueva:08d}/{n}"
         lectores.conformar(df, TABLAS[n]).write.mode("overwrite").parquet(ruta)
         rutas[n] = ruta
-    if not _escribir_texto(spark, f"{raiz}/_manifiestos/{nueva:08d}.json", json.dumps({"version": nueva, "tablas": rutas})):
+    if not _escribir_texto(spark, f"{raiz}/_manifiestos/{nueva:08d}.json", json.dumps({"version": nueva, "etiqueta": etiqueta, "tablas": rutas})):
         raise RuntimeError(f"version {nueva} was committed by another writer; re-run the batch on it")
     return nueva
