@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import consultas as C
 from . import validacion as V
-from .secuencia import numerar, suma_acumulada
+from .secuencia import mayor_valor, numerar, suma_acumulada
 
 ORDEN = ["en", "solicitud_id"]
 
@@ -79,11 +79,8 @@ def admitir(t, pedidos: DataFrame) -> DataFrame:
 def con_codigos(t, admitidos: DataFrame) -> DataFrame:
     """New ``inscodigo`` for rows with motivo ok: max existing code + arrival rank."""
     ok = numerar(admitidos.where(F.col("motivo") == "ok"), ORDEN, "rn")
-    spark = admitidos.sparkSession
-    return spark.sql(
-        "SELECT a.solicitud_id, a.rn + (SELECT coalesce(max(inscodigo), 0) FROM {ins}) AS inscodigo FROM {a} a",
-        ins=t["inscripcion"], a=ok,
-    )
+    base = mayor_valor(t["inscripcion"], "inscodigo")
+    return ok.select("solicitud_id", (F.col("rn") + F.lit(base)).alias("inscodigo"))
 
 
 def admision_registro(t, solicitudes: DataFrame) -> DataFrame:

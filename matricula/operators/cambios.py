@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import escalares as E
 from . import validacion as V
 from .consultas import ESTADOS_LOTE_PAGABLE
-from .secuencia import numerar
+from .secuencia import mayor_valor, numerar
 
 
 def _marcar(df: DataFrame, claves: DataFrame, cols: list[str], bandera: str) -> DataFrame:
@@ -183,13 +183,11 @@ def crear_ofertas(t, borradores: DataFrame) -> dict[str, DataFrame]:
     orden = ["capofcapcodigo", "fecha_inicio", "fecha_fin", "cupos"]
     num = numerar(ok, orden, "rn")
     of = t["capacitacion_oferta"]
-    spark = borradores.sparkSession
-    nuevas = spark.sql(
-        "SELECT n.rn + (SELECT coalesce(max(capofcodigo), 0) FROM {of}) AS capofcodigo, "
-        "CAST(n.capofcapcodigo AS INT) AS capofcapcodigo, CAST(n.fecha_inicio AS DATE) AS capoffecha_inicio, "
-        "CAST(n.fecha_fin AS DATE) AS capoffecha_fin, CAST(n.cupos AS INT) AS capofcupos, 1 AS capofestatus, "
-        "0 AS cupos_bloqueados FROM {n} n",
-        of=of, n=num,
+    base = mayor_valor(of, "capofcodigo")
+    nuevas = num.select(
+        (F.col("rn") + F.lit(base)).alias("capofcodigo"), F.col("capofcapcodigo").cast("int").alias("capofcapcodigo"),
+        F.col("fecha_inicio").cast("date").alias("capoffecha_inicio"), F.col("fecha_fin").cast("date").alias("capoffecha_fin"),
+        F.col("cupos").cast("int").alias("capofcupos"), F.lit(1).alias("capofestatus"), F.lit(0).alias("cupos_bloqueados"),
     )
     return {
         "resultado": val.select(*borradores.columns, F.coalesce("motivo", F.lit("ok")).alias("motivo"), "fecha_ilegible"),
@@ -289,11 +287,9 @@ def alta_contactos(t, altas: DataFrame, max_rondas: int | None = None) -> dict[s
     if aceptados is None:
         aceptados = buenos.limit(0)
     num = numerar(aceptados, ["en", "solicitud_id"], "rn")
-    spark = altas.sparkSession
-    nuevos = spark.sql(
-        "SELECT n.rn + (SELECT coalesce(max(id_contacto), 0) FROM {ce}) AS id_contacto, n.solicitud_id, "
-        + ", ".join(f"n.{c}" for c in CAMPOS_CONTACTO) + ", n.en AS creado_en FROM {n} n",
-        ce=ce, n=num,
+    base = mayor_valor(ce, "id_contacto")
+    nuevos = num.select(
+        (F.col("rn") + F.lit(base)).alias("id_contacto"), "solicitud_id", *CAMPOS_CONTACTO, F.col("en").alias("creado_en")
     )
     resultado = val.join(nuevos.select("solicitud_id", "id_contacto"), "solicitud_id", "left").select(
         "solicitud_id",

@@ -277,13 +277,19 @@ def lotes_empresa_pendientes(t, empresas: DataFrame | None = None) -> DataFrame:
 
 def estadisticas(t) -> DataFrame:
     """A5: dashboard totals in one row (active offers, pending and reconciled enrolments)."""
-    spark = t["capacitacion_oferta"].sparkSession
-    return spark.sql(
-        "SELECT (SELECT COUNT(*) FROM {of} WHERE capofestatus = 1) AS totalOfertas, "
-        "(SELECT COUNT(*) FROM {ins} WHERE ins_estado = 'pendiente') AS totalPendientes, "
-        "(SELECT COUNT(*) FROM {ins} WHERE ins_estado = 'conciliado') AS totalConciliados",
-        of=t["capacitacion_oferta"],
-        ins=t["inscripcion"],
+    # One aggregate over the union of two narrow projections: no join of one-row results.
+    def flag(c):
+        return F.coalesce(c, F.lit(False)).cast("long")
+
+    cero = F.lit(0).cast("long")
+    of = t["capacitacion_oferta"].select(flag(F.col("capofestatus") == 1).alias("o"), cero.alias("p"), cero.alias("c"))
+    ins = t["inscripcion"].select(
+        cero.alias("o"), flag(F.col("ins_estado") == "pendiente").alias("p"), flag(F.col("ins_estado") == "conciliado").alias("c")
+    )
+    return of.unionByName(ins).agg(
+        F.coalesce(F.sum("o"), cero).alias("totalOfertas"),
+        F.coalesce(F.sum("p"), cero).alias("totalPendientes"),
+        F.coalesce(F.sum("c"), cero).alias("totalConciliados"),
     )
 
 

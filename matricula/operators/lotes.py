@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .admision import estado_ofertas
-from .secuencia import numerar
+from .secuencia import mayor_valor, numerar
 
 TAM_TRAMO = 50_000
 
@@ -145,11 +145,10 @@ def nuevas_inscripciones(t, filas: DataFrame, decision: DataFrame) -> DataFrame:
         F.col("p.empresa_id").alias("empresa_id"),
     )
     num = numerar(primero, ["lote_id", "fila"], "rn")
-    spark = filas.sparkSession
-    return spark.sql(
-        "SELECT n.rn + (SELECT coalesce(max(inscodigo), 0) FROM {ins}) AS inscodigo, n.doc AS ins_perdoc, "
-        "n.oferta AS ins_oferta, n.empresa_id AS ins_empresa_id, 'pendiente' AS ins_estado, n.lote_id, n.fila FROM {n} n",
-        ins=t["inscripcion"], n=num,
+    base = mayor_valor(t["inscripcion"], "inscodigo")
+    return num.select(
+        (F.col("rn") + F.lit(base)).alias("inscodigo"), F.col("doc").alias("ins_perdoc"), F.col("oferta").alias("ins_oferta"),
+        F.col("empresa_id").alias("ins_empresa_id"), F.lit("pendiente").alias("ins_estado"), "lote_id", "fila",
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import escalares as E
 from . import consultas as C
-from .secuencia import numerar
+from .secuencia import mayor_valor, numerar
 
 
 def token_vigente(tokens: DataFrame) -> DataFrame:
@@ -65,13 +65,12 @@ def emitir_tokens(t, solicitudes: DataFrame, minutos: int = E.MINUTOS_OTP) -> Da
     tk = t["token_otp"]
     num = numerar(solicitudes.select("solicitud_id", "email", "codigo", "en"), ["en", "solicitud_id"], "rn")
     ultima = num.groupBy("email").agg(F.max(F.struct("en", "solicitud_id", "rn", "codigo")).alias("ult"))
-    spark = solicitudes.sparkSession
     tipo_exp = tk.schema["expira_en"].dataType
-    nuevos = spark.sql(
-        "SELECT u.ult.rn + (SELECT coalesce(max(id_otp), 0) FROM {tk}) AS id_otp, u.email, u.ult.codigo AS codigo, "
-        f"u.ult.en + INTERVAL {int(minutos)} MINUTES AS expira_en, 0 AS usado FROM {{u}} u",
-        tk=tk, u=ultima,
-    ).withColumn("expira_en", F.col("expira_en").cast(tipo_exp))
+    base = mayor_valor(tk, "id_otp")
+    nuevos = ultima.select(
+        (F.col("ult.rn") + F.lit(base)).alias("id_otp"), "email", F.col("ult.codigo").alias("codigo"),
+        E.expira(F.col("ult.en"), minutos).cast(tipo_exp).alias("expira_en"), F.lit(0).alias("usado"),
+    )
     quedan = tk.join(solicitudes.select("email").distinct(), "email", "left_anti")
     return quedan.unionByName(nuevos)
 

@@ -49,6 +49,13 @@ def suma_acumulada(
     return unido.withColumn(salida, F.col(_OFF) + F.sum(valor).over(dentro)).drop(_BLQ, _OFF)
 
 
+def mayor_valor(df: DataFrame, col: str) -> int:
+    """Largest value of an id column (0 when empty): one aggregate, read as a scalar so new ids
+    can continue after it. Works in any session (also inside ``foreachBatch``)."""
+    v = df.agg(F.max(col)).first()[0]
+    return int(v) if v is not None else 0
+
+
 def numerar(df: DataFrame, orden: list[str], salida: str, particion: list[str] | None = None, bloques: int | None = None) -> DataFrame:
     """Adds ``salida`` = 1, 2, 3... in ``orden`` (per ``particion`` if given), without a
     single-partition window."""
