@@ -69,6 +69,18 @@ def resumen_lotes(t, filas: DataFrame) -> DataFrame:
     )
 
 
+def lote_ya_inscritos(t, filas: DataFrame) -> DataFrame:
+    """Per lot, how many of its distinct documents are already enrolled on its offer (the
+    application's ``COUNT(*) ... ins_perdoc IN (...)``), against the tables before the batch."""
+    ya = t["inscripcion"].select(F.col("ins_perdoc").alias("doc"), F.col("ins_oferta").alias("oferta")).distinct()
+    docs = filas.select("lote_id", "oferta", "doc").distinct()
+    n = docs.join(ya, ["doc", "oferta"], "left_semi").groupBy("lote_id").agg(F.count(F.lit(1)).alias("ya_inscritos"))
+    tam = filas.groupBy("lote_id", "oferta").agg(F.count(F.lit(1)).alias("filas"))
+    return tam.join(n, "lote_id", "left").select(
+        "lote_id", "oferta", "filas", F.coalesce(F.col("ya_inscritos"), F.lit(0)).alias("ya_inscritos")
+    )
+
+
 def _escanear(pdf: pd.DataFrame) -> pd.DataFrame:
     """Greedy all-or-nothing scan of one offer's chunk of lots, in lot order."""
     pdf = pdf.sort_values("lote_id")

@@ -178,6 +178,16 @@ def _lotes_completos(spark, sf):
     return V.lotes_completos(tablas(spark, sf)["lote_fila"])
 
 
+@consulta("lote_ya_inscritos", W("lote_fila", "inscripcion") + """
+SELECT l.lote_id, l.oferta, l.filas, coalesce(n.ya, 0) AS ya_inscritos
+FROM (SELECT lote_id, oferta, COUNT(*) AS filas FROM lote_fila GROUP BY lote_id, oferta) l
+LEFT JOIN (SELECT d.lote_id, COUNT(*) AS ya FROM (SELECT DISTINCT lote_id, oferta, doc FROM lote_fila) d
+           WHERE EXISTS (SELECT 1 FROM inscripcion i WHERE i.ins_perdoc = d.doc AND i.ins_oferta = d.oferta)
+           GROUP BY d.lote_id) n ON n.lote_id = l.lote_id""")
+def _lote_ya_inscritos(spark, sf):
+    return L.lote_ya_inscritos(tablas(spark, sf), tablas(spark, sf)["lote_fila"])
+
+
 def _lotes(spark, sf):
     t = tablas(spark, sf)
     filas = S.lote_explode(S.anidar_lotes(t["lote_fila"]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from ..sources import almacen, lectores
 from ..sources import preparacion as P
 from ..sources.esquemas import TABLAS
 from .catalogo_cambios import HORA_CAMBIOS, _vacio
-from .registro import W, consulta, tablas
+from .registro import ORACULO, W, consulta, tablas
 from .texto import como_texto, ts
 
 # ---------------------------------------------------------------- one-time codes
@@ -256,3 +257,24 @@ def _scan_solicitudes(spark, sf):
     destino = f"{_carpeta(spark, sf)}/solicitudes_json"
     lectores.escribir_json(tablas(spark, sf)["solicitud_registro"], destino)
     return como_texto(lectores.leer_solicitudes(spark, destino))
+
+
+# ---------------------------------------------------------------- streaming (W1 through foreachBatch)
+
+@consulta("registro_continuo", ORACULO["admision_registro"])
+def _registro_continuo(spark, sf):
+    """W1 as a stream: the registration requests arrive as JSON files (one per day), each
+    micro-batch is admitted against the newest snapshot and committed; returns the per-request
+    results of all epochs. All files present at start form one ``availableNow`` batch, so the
+    result equals the one-batch ``admision_registro`` (same oracle)."""
+    from ..streaming import registro_continuo as R
+
+    t = tablas(spark, sf)
+    raiz = f"{_carpeta(spark, sf)}/flujo-{uuid.uuid4().hex[:8]}"
+    almacen.confirmar(spark, raiz, {n: t[n] for n in TABLAS})
+    sol = t["solicitud_registro"].withColumn("__dia", F.to_date("recibido_en"))
+    lectores.escribir_json(sol.repartition("__dia").sortWithinPartitions("recibido_en", "solicitud_id"),
+                           f"{raiz}/entrada")
+    q = R.iniciar(spark, f"{raiz}/entrada", raiz, f"{raiz}/resultados", f"{raiz}/_ckpt")
+    q.awaitTermination()
+    return spark.read.parquet(f"{raiz}/resultados").select("solicitud_id", "doc", "oferta", "motivo", "inscodigo")
