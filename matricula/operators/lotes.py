@@ -117,21 +117,30 @@ def _escanear(pdf: pd.DataFrame) -> pd.DataFrame:
 def decidir_lotes(t, filas: DataFrame, tam_tramo: int = TAM_TRAMO) -> DataFrame:
     """W5 decisions: one row per lot with ``necesarios`` (seats needed when it was examined),
     ``motivo`` (ok / no_existe / pausada / sin_cupos) and ``nuevos`` (enrolments it created)."""
-    res = numerar(resumen_lotes(t, filas), ["lote_id"], "k", particion=["oferta"])
-    res = res.withColumn("tramo", F.floor((F.col("k") - 1) / F.lit(tam_tramo)).cast("long")).checkpoint(eager=True)
-    rondas = res.agg(F.max("tramo")).first()[0]
+    res = resumen_lotes(t, filas).checkpoint(eager=True)
+    mayor = res.groupBy("oferta").count().agg(F.max("count")).first()[0] or 0
+    if mayor > tam_tramo:
+        # Some offer has more lots than one chunk: number its lots in order (range blocks, no
+        # single-task window) and cut them into chunks scanned in successive rounds.
+        res = numerar(res, ["lote_id"], "k", particion=["oferta"])
+        res = res.withColumn("tramo", F.floor((F.col("k") - 1) / F.lit(tam_tramo)).cast("long")).checkpoint(eager=True)
+        rondas = (mayor - 1) // tam_tramo + 1
+    else:
+        res = res.withColumn("tramo", F.lit(0).cast("long"))
+        rondas = 1
     estado = res.groupBy("oferta").agg(F.first("rest0").alias("rest_actual")).withColumn(
         "admitidos", F.lit(None).cast(T.ArrayType(T.StringType()))
     )
     decisiones = []
-    for r in range(0 if rondas is None else int(rondas) + 1):
+    for r in range(rondas):
         tramo = res.where(F.col("tramo") == r).join(estado, "oferta", "inner")
         salida = tramo.groupBy("oferta").applyInPandas(_escanear, _ESQUEMA_SALIDA).checkpoint(eager=True)
         decisiones.append(salida.where(F.col("lote_id").isNotNull()).select("lote_id", "necesarios", "motivo", "nuevos"))
-        nuevo = salida.where(F.col("lote_id").isNull()).select(
-            "oferta", F.col("rest_fin").alias("rest_actual"), F.col("admitidos_fin").alias("admitidos")
-        )
-        estado = estado.join(nuevo, "oferta", "left_anti").unionByName(nuevo).checkpoint(eager=True)
+        if r + 1 < rondas:
+            nuevo = salida.where(F.col("lote_id").isNull()).select(
+                "oferta", F.col("rest_fin").alias("rest_actual"), F.col("admitidos_fin").alias("admitidos")
+            )
+            estado = estado.join(nuevo, "oferta", "left_anti").unionByName(nuevo).checkpoint(eager=True)
     todas = decisiones[0]
     for dcs in decisiones[1:]:
         todas = todas.unionByName(dcs)
