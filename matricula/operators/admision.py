@@ -41,8 +41,7 @@ def admitir(t, pedidos: DataFrame) -> DataFrame:
     ``motivo`` in (no_existe, pausada, sin_cupos, duplicado, ok)."""
     p = pedidos.select("solicitud_id", "doc", "oferta", "en")
     est = estado_ofertas(t)
-    ya = t["inscripcion"].select(F.col("ins_perdoc").alias("doc"), F.col("ins_oferta").alias("oferta")).distinct() \
-        .withColumn("ya", F.lit(True))
+    ya = C.pares_inscritos(t, p).withColumn("ya", F.lit(True))
     # First request of each (document, offer) pair: an aggregate (map-side partial), not a window.
     primero = p.groupBy("doc", "oferta").agg(F.min(F.struct("en", "solicitud_id")).alias("pri"))
     x = (
@@ -121,7 +120,10 @@ def persona_tras_registro(t, resultado: DataFrame, solicitudes: DataFrame) -> Da
         (F.col("pri.recibido_en") == F.col("recibido_en")) & (F.col("pri.solicitud_id") == F.col("solicitud_id"))
     )
     per = t["persona"]
-    nuevas = elegidas.join(per, elegidas["doc"] == per["perdoc"], "left_anti").select(
+    # Documents of the batch that already exist, found by filtering the person table against the
+    # batch (not by an anti join that would shuffle the whole table).
+    existen = per.select(F.col("perdoc").alias("doc")).join(elegidas.select("doc"), "doc", "left_semi")
+    nuevas = elegidas.join(existen, "doc", "left_anti").select(
         F.col("tipodoc").alias("pertipodoc"), F.col("doc").alias("perdoc"), F.col("nombre").alias("pernombre"),
         F.col("apellido").alias("perapellido"), F.col("fechanac").try_cast("date").alias("perfechanac"),
         F.col("telefono").alias("pertelefono"), F.col("email").alias("peremail"), F.col("pais").alias("perpais"),

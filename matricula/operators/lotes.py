@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .admision import estado_ofertas
+from .consultas import pares_inscritos
 from .secuencia import mayor_valor, numerar
 
 TAM_TRAMO = 50_000
@@ -44,8 +45,7 @@ _ESQUEMA_SALIDA = T.StructType([
 def resumen_lotes(t, filas: DataFrame) -> DataFrame:
     """A6 + A9 per lot: size, distinct documents already enrolled on the offer, new documents
     only this lot brings, new documents shared with other lots of the offer, offer state."""
-    ya = t["inscripcion"].select(F.col("ins_perdoc").alias("doc"), F.col("ins_oferta").alias("oferta")).distinct() \
-        .withColumn("en_e0", F.lit(True))
+    ya = pares_inscritos(t, filas).withColumn("en_e0", F.lit(True))
     docs = filas.select("lote_id", "oferta", "doc").distinct().join(ya, ["doc", "oferta"], "left") \
         .withColumn("en_e0", F.coalesce(F.col("en_e0"), F.lit(False)))
     lotes_por_doc = docs.where(~F.col("en_e0")).groupBy("oferta", "doc").agg(F.count(F.lit(1)).alias("nl"))
@@ -72,7 +72,7 @@ def resumen_lotes(t, filas: DataFrame) -> DataFrame:
 def lote_ya_inscritos(t, filas: DataFrame) -> DataFrame:
     """Per lot, how many of its distinct documents are already enrolled on its offer (the
     application's ``COUNT(*) ... ins_perdoc IN (...)``), against the tables before the batch."""
-    ya = t["inscripcion"].select(F.col("ins_perdoc").alias("doc"), F.col("ins_oferta").alias("oferta")).distinct()
+    ya = pares_inscritos(t, filas)
     docs = filas.select("lote_id", "oferta", "doc").distinct()
     n = docs.join(ya, ["doc", "oferta"], "left_semi").groupBy("lote_id").agg(F.count(F.lit(1)).alias("ya_inscritos"))
     tam = filas.groupBy("lote_id", "oferta").agg(F.count(F.lit(1)).alias("filas"))
@@ -159,8 +159,8 @@ def _filas_aceptadas(filas: DataFrame, decision: DataFrame) -> DataFrame:
 def nuevas_inscripciones(t, filas: DataFrame, decision: DataFrame) -> DataFrame:
     """Enrolments created by accepted lots: per (document, offer) not enrolled before, the first
     accepted lot that lists it; codes continue after the largest existing one in (lot, row) order."""
-    ya = t["inscripcion"].select(F.col("ins_perdoc").alias("doc"), F.col("ins_oferta").alias("oferta")).distinct()
-    acept = _filas_aceptadas(filas, decision).join(ya, ["doc", "oferta"], "left_anti")
+    acept = _filas_aceptadas(filas, decision)
+    acept = acept.join(pares_inscritos(t, acept), ["doc", "oferta"], "left_anti")
     primero = acept.groupBy("doc", "oferta").agg(F.min(F.struct("lote_id", "fila", "empresa_id")).alias("p")).select(
         "doc", "oferta", F.col("p.lote_id").alias("lote_id"), F.col("p.fila").alias("fila"),
         F.col("p.empresa_id").alias("empresa_id"),
@@ -206,15 +206,17 @@ def persona_tras_lotes(t, filas: DataFrame, decision: DataFrame) -> DataFrame:
         *[F.col(f"ult.{c}").alias(c) for c in _CAMPOS],
     )
     per = t["persona"]
-    j = per.join(ultimo, per["perdoc"] == ultimo["doc"], "full_outer")
+    # Update in place with a left join whose small side is the batch, then append the documents
+    # that did not exist (found by filtering the person table against the batch): no full outer
+    # join, so the person table is not shuffled when the batch is small.
+    j = per.join(ultimo, per["perdoc"] == ultimo["doc"], "left")
     hay = F.col("doc").isNotNull()
 
     def campo(nuevo, viejo):
         return F.when(hay, nuevo).otherwise(F.col(viejo))
 
-    return j.select(
-        F.when(F.col("perdoc").isNotNull(), F.col("pertipodoc")).otherwise(F.col("tipodoc")).alias("pertipodoc"),
-        F.coalesce(F.col("perdoc"), F.col("doc")).alias("perdoc"),
+    actualizadas = j.select(
+        "pertipodoc", "perdoc",
         campo(F.col("nombre"), "pernombre").alias("pernombre"),
         campo(F.col("apellido"), "perapellido").alias("perapellido"),
         campo(F.col("fechanac").try_cast("date"), "perfechanac").alias("perfechanac"),
@@ -223,3 +225,11 @@ def persona_tras_lotes(t, filas: DataFrame, decision: DataFrame) -> DataFrame:
         campo(F.col("pais"), "perpais").alias("perpais"),
         campo(F.col("ciudad"), "perciudad").alias("perciudad"),
     )
+    existen = per.select(F.col("perdoc").alias("doc")).join(ultimo.select("doc"), "doc", "left_semi")
+    nuevas = ultimo.join(existen, "doc", "left_anti").select(
+        F.col("tipodoc").alias("pertipodoc"), F.col("doc").alias("perdoc"), F.col("nombre").alias("pernombre"),
+        F.col("apellido").alias("perapellido"), F.col("fechanac").try_cast("date").alias("perfechanac"),
+        F.col("telefono").alias("pertelefono"), F.col("email").alias("peremail"), F.col("pais").alias("perpais"),
+        F.col("ciudad").alias("perciudad"),
+    )
+    return actualizadas.unionByName(nuevas)

@@ -29,7 +29,8 @@ def token_vigente(tokens: DataFrame) -> DataFrame:
 
 def otp_intentos(t, intentos: DataFrame) -> DataFrame:
     """Verdict of each attempt (``intento_id, email, codigo, en``)."""
-    tk = token_vigente(t["token_otp"])
+    claves = intentos.select("email", "codigo").distinct()
+    tk = token_vigente(t["token_otp"].join(claves, ["email", "codigo"], "left_semi"))
     a = intentos.select("intento_id", "email", "codigo", "en").join(tk, ["email", "codigo"], "left")
     # First attempt on each token (aggregate, not a window); later attempts see the token used
     # if that first attempt was in time.
