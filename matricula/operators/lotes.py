@@ -20,7 +20,10 @@ puts more than one chunk in one pandas group.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,10 @@ from .secuencia import mayor_valor, numerar
 
 TAM_TRAMO = 50_000
 
+# The per-offer scan runs in Python workers; ship this module's functions by value so workers
+# need no copy of the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _ESQUEMA_SALIDA = T.StructType([
     T.StructField("oferta", T.LongType()),
     T.StructField("lote_id", T.LongType()),
