@@ -29,7 +29,7 @@ def pares_inscritos(t, pedidos: DataFrame) -> DataFrame:
     """Distinct (doc, oferta) pairs of ``pedidos`` that are already enrolled. The enrolment table
     is semi-joined against the (small) requested pairs first, so it is filtered where it is
     scanned (hash join built on the request side) instead of being deduplicated whole."""
-    claves = pedidos.select("doc", "oferta").distinct()
+    claves = pedidos.select("doc", "oferta")  # a semi join needs no distinct on its right side
     ins = t["inscripcion"].select(F.col("ins_perdoc").alias("doc"), F.col("ins_oferta").alias("oferta"))
     return ins.join(claves, ["doc", "oferta"], "left_semi").distinct()
 
