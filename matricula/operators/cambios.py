@@ -177,7 +177,8 @@ def eliminar_inscripciones(t, codigos: DataFrame) -> dict[str, DataFrame]:
 # ------------------------------------------------------------------ W16-W19 offers
 
 def crear_ofertas(t, borradores: DataFrame) -> dict[str, DataFrame]:
-    """Valid drafts (P15) become active offers; codes continue after the largest one."""
+    """Valid drafts (P15) become active offers; codes continue after the largest one. The
+    application leaves ``cupos_bloqueados`` to the column default, taken as 0 (not blocked)."""
     val = V.ofertas_validas(borradores)
     ok = val.where(F.col("motivo").isNull())
     orden = ["capofcapcodigo", "fecha_inicio", "fecha_fin", "cupos"]

@@ -170,9 +170,9 @@ def _lote_explode(spark, sf):
 SELECT lote_id, COUNT(*) AS filas,
        bool_and(coalesce(trim(doc) <> '', false) AND coalesce(trim(nombre) <> '', false) AND coalesce(trim(email) <> '', false)
                 AND coalesce(trim(fechanac) <> '', false) AND coalesce(trim(telefono) <> '', false)) AS completo,
-       sum(CASE WHEN coalesce(trim(doc) <> '', false) AND coalesce(trim(nombre) <> '', false)
+       CAST(sum(CASE WHEN coalesce(trim(doc) <> '', false) AND coalesce(trim(nombre) <> '', false)
                  AND coalesce(trim(email) <> '', false) AND coalesce(trim(fechanac) <> '', false)
-                 AND coalesce(trim(telefono) <> '', false) THEN 0 ELSE 1 END) AS filas_incompletas
+                 AND coalesce(trim(telefono) <> '', false) THEN 0 ELSE 1 END) AS BIGINT) AS filas_incompletas
 FROM lote_fila GROUP BY lote_id""")
 def _lotes_completos(spark, sf):
     return V.lotes_completos(tablas(spark, sf)["lote_fila"])

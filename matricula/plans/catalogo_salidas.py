@@ -103,8 +103,8 @@ def _lotes_autorizados(spark, sf):
 
 @consulta("outbox_otp", W(*_EMITIDAS_VISTAS, extra=_EMITIDAS) + """
 SELECT CASE WHEN de_empresa THEN 'otp_empresa' ELSE 'otp' END AS plantilla, email AS destinatario,
-       CAST(solicitud_id AS VARCHAR) AS entidad_id, NULL AS nombre, NULL AS curso, codigo AS referencia,
-       NULL AS cantidad, NULL AS empresa
+       CAST(solicitud_id AS VARCHAR) AS entidad_id, CAST(NULL AS VARCHAR) AS nombre, CAST(NULL AS VARCHAR) AS curso,
+       codigo AS referencia, CAST(NULL AS BIGINT) AS cantidad, CAST(NULL AS VARCHAR) AS empresa
 FROM em""")
 def _outbox_otp(spark, sf):
     t = tablas(spark, sf)
@@ -117,8 +117,8 @@ JOIN capacitacion_oferta co ON i.ins_oferta = co.capofcodigo JOIN capacitacion c
 
 @consulta("outbox_pagos", W("pago_solicitud", "decision_pago", "persona", "capacitacion_oferta", "capacitacion") + f"""
 SELECT 'pago_reportado' AS plantilla, 'ADMIN_EMAIL' AS destinatario, CAST(inscodigo AS VARCHAR) AS entidad_id,
-       concat_ws(' ', titular_nombre, titular_apellido) AS nombre, NULL AS curso, referencia, NULL AS cantidad,
-       NULL AS empresa
+       concat_ws(' ', titular_nombre, titular_apellido) AS nombre, CAST(NULL AS VARCHAR) AS curso, referencia,
+       CAST(NULL AS BIGINT) AS cantidad, CAST(NULL AS VARCHAR) AS empresa
 FROM pago_solicitud
 WHERE NOT ({_vacio('inscodigo')} OR {_vacio('titular_nombre')} OR {_vacio('referencia')} OR coalesce(tiene_comprobante <> 1, true))
 UNION ALL
