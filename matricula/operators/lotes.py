@@ -9,13 +9,22 @@ is accepted without any check. An accepted lot enrols each of its documents not
 academic rows.
 
 A refused lot may be followed by a smaller one that fits, so no window formula exists; the
-scan is a greedy pass per offer. Everything that does not depend on earlier lots is computed
-set-based first, so the per-offer scan only sees one compact row per lot: size, documents
-already enrolled, documents only this lot brings, and the (usually empty) list of new documents
-it shares with other lots of the offer. The scan state per offer is the seats left and the
-shared documents admitted so far (bounded by the seats). Lots of one offer are cut into chunks
-of ``tam_tramo`` lots, and chunks are scanned in rounds carrying that state, so a hot offer never
-puts more than one chunk in one pandas group.
+scan is a greedy pass per offer. What does not depend on earlier lots is decided set-based:
+
+* with ``d = size - already enrolled before the batch`` and ``rest0`` the seats left before the
+  batch, at most ``max(rest0, 0)`` documents can be admitted on the offer in the whole batch
+  (each takes a seat), so a lot's need lies in ``[d - max(rest0, 0), d]``;
+* ``d <= 0``: accepted, enrols nobody; missing offer: ``no_existe``; blocked offer: ``pausada``
+  (nothing is admitted there, so its need is ``d``); ``d > 2 * max(rest0, 0)``: ``sin_cupos``
+  (its need exceeds every seat count the offer can still have).
+
+Only the remaining candidates (``0 < d <= 2 * rest0``) reach the per-offer scan, as one compact
+row each: size, documents already enrolled, new documents only this lot brings among the
+candidates, and the list of new documents it shares with other candidates of the offer, which
+is bounded by ``d`` and so by twice the offer's seats even for a giant lot. The scan state per
+offer is the seats left and the shared documents admitted (bounded by the seats). Candidates of
+one offer are cut into chunks of ``tam_tramo`` lots scanned in rounds that carry that state, so
+a hot offer never puts more than one chunk in one pandas group.
 """
 
 from __future__ import annotations
@@ -41,7 +50,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _ESQUEMA_SALIDA = T.StructType([
     T.StructField("oferta", T.LongType()),
     T.StructField("lote_id", T.LongType()),
-    T.StructField("necesarios", T.LongType()),
     T.StructField("motivo", T.StringType()),
     T.StructField("nuevos", T.LongType()),
     T.StructField("rest_fin", T.LongType()),
@@ -49,30 +57,49 @@ _ESQUEMA_SALIDA = T.StructType([
 ])
 
 
-def resumen_lotes(t, filas: DataFrame) -> DataFrame:
-    """A6 + A9 per lot: size, distinct documents already enrolled on the offer, new documents
-    only this lot brings, new documents shared with other lots of the offer, offer state."""
+def _docs_con_e0(t, filas: DataFrame) -> DataFrame:
+    """Distinct (lot, offer, document) rows flagged ``en_e0`` when enrolled before the batch."""
     ya = pares_inscritos(t, filas).withColumn("en_e0", F.lit(True))
-    docs = filas.select("lote_id", "oferta", "doc").distinct().join(ya, ["doc", "oferta"], "left") \
+    return filas.select("lote_id", "oferta", "doc").distinct().join(ya, ["doc", "oferta"], "left") \
         .withColumn("en_e0", F.coalesce(F.col("en_e0"), F.lit(False)))
-    lotes_por_doc = docs.where(~F.col("en_e0")).groupBy("oferta", "doc").agg(F.count(F.lit(1)).alias("nl"))
-    docs = docs.join(lotes_por_doc, ["oferta", "doc"], "left")
-    por_lote = docs.groupBy("lote_id").agg(
-        F.sum(F.col("en_e0").cast("long")).alias("ya0"),
-        F.sum((~F.col("en_e0") & (F.col("nl") == 1)).cast("long")).alias("n_excl"),
-        F.collect_list(F.when(~F.col("en_e0") & (F.col("nl") > 1), F.col("doc"))).alias("compartidos"),
-    )
+
+
+def clasificar_lotes(t, filas: DataFrame) -> DataFrame:
+    """Per lot: size, documents already enrolled (A6), offer state, and the decision when it does
+    not depend on earlier lots of the batch (``motivo`` null: the lot needs the scan)."""
+    docs = _docs_con_e0(t, filas)
+    ya0 = docs.groupBy("lote_id").agg(F.sum(F.col("en_e0").cast("long")).alias("ya0"))
     tam = filas.groupBy("lote_id", "oferta", "empresa_id").agg(F.count(F.lit(1)).alias("filas"))
     est = estado_ofertas(t)
-    return (
-        tam.join(por_lote, "lote_id", "inner")
-        .join(est, "oferta", "left")
-        .select(
-            "lote_id", "oferta", "empresa_id", "filas", "ya0", "n_excl", "compartidos",
-            F.col("rest").isNotNull().alias("existe"),
-            F.coalesce(F.col("bloqueada"), F.lit(False)).alias("bloqueada"),
-            F.coalesce(F.col("rest"), F.lit(0)).cast("long").alias("rest0"),
-        )
+    x = tam.join(ya0, "lote_id", "inner").join(est, "oferta", "left").select(
+        "lote_id", "oferta", "empresa_id", "filas", "ya0",
+        F.col("rest").isNotNull().alias("existe"),
+        F.coalesce(F.col("bloqueada"), F.lit(False)).alias("bloqueada"),
+        F.coalesce(F.col("rest"), F.lit(0)).cast("long").alias("rest0"),
+    )
+    d = F.col("filas") - F.col("ya0")
+    motivo = (
+        F.when(d <= 0, F.lit("ok"))
+        .when(~F.col("existe"), F.lit("no_existe"))
+        .when(F.col("bloqueada"), F.lit("pausada"))
+        .when(d > 2 * F.greatest(F.col("rest0"), F.lit(0)), F.lit("sin_cupos"))
+    )
+    return x.withColumn("motivo", motivo)
+
+
+def resumen_candidatos(t, filas: DataFrame, clases: DataFrame) -> DataFrame:
+    """Compact scan rows of the candidate lots: ``n_excl`` new documents no other candidate of the
+    offer lists, ``compartidos`` the new documents shared with other candidates (at most ``d``)."""
+    cand = clases.where(F.col("motivo").isNull()).select("lote_id", "oferta", "filas", "ya0", "rest0")
+    nuevos = _docs_con_e0(t, filas.join(cand.select("lote_id"), "lote_id", "left_semi")).where(~F.col("en_e0"))
+    lotes_por_doc = nuevos.groupBy("oferta", "doc").agg(F.count(F.lit(1)).alias("nl"))
+    por_lote = nuevos.join(lotes_por_doc, ["oferta", "doc"], "inner").groupBy("lote_id").agg(
+        F.sum((F.col("nl") == 1).cast("long")).alias("n_excl"),
+        F.collect_list(F.when(F.col("nl") > 1, F.col("doc"))).alias("compartidos"),
+    )
+    return cand.join(por_lote, "lote_id", "left").select(
+        "lote_id", "oferta", "filas", "ya0", "rest0",
+        F.coalesce(F.col("n_excl"), F.lit(0)).alias("n_excl"), "compartidos",
     )
 
 
@@ -89,69 +116,66 @@ def lote_ya_inscritos(t, filas: DataFrame) -> DataFrame:
 
 
 def _escanear(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy all-or-nothing scan of one offer's chunk of lots, in lot order."""
+    """Greedy all-or-nothing scan of one offer's chunk of candidate lots, in lot order (the
+    offer exists and is not blocked: other lots were decided before)."""
     pdf = pdf.sort_values("lote_id")
     rest = int(pdf["rest_actual"].iloc[0])
     previos = pdf["admitidos"].iloc[0]
     admitidos = set(previos if previos is not None else [])
-    existe = bool(pdf["existe"].iloc[0])
-    bloqueada = bool(pdf["bloqueada"].iloc[0])
     oferta = int(pdf["oferta"].iloc[0])
     filas = []
     for lote_id, n, ya0, n_excl, comp in zip(pdf["lote_id"], pdf["filas"], pdf["ya0"], pdf["n_excl"], pdf["compartidos"]):
         comp = list(comp) if comp is not None else []
-        ya_comp = sum(1 for d in comp if d in admitidos)
-        necesarios = int(n) - int(ya0) - ya_comp
-        if necesarios > 0 and not existe:
-            motivo = "no_existe"
-        elif necesarios > 0 and bloqueada:
-            motivo = "pausada"
-        elif necesarios > 0 and rest < necesarios:
+        necesarios = int(n) - int(ya0) - sum(1 for doc in comp if doc in admitidos)
+        nuevos = 0
+        if necesarios > 0 and rest < necesarios:
             motivo = "sin_cupos"
         else:
             motivo = "ok"
-        nuevos = 0
-        if motivo == "ok":
-            frescos = [d for d in comp if d not in admitidos]
+            frescos = [doc for doc in comp if doc not in admitidos]
             nuevos = int(n_excl) + len(frescos)
             admitidos.update(frescos)
             rest -= nuevos
-        filas.append((oferta, int(lote_id), necesarios, motivo, nuevos, None, None))
-    filas.append((oferta, None, None, None, None, rest, sorted(admitidos)))
+        filas.append((oferta, int(lote_id), motivo, nuevos, None, None))
+    filas.append((oferta, None, None, None, rest, sorted(admitidos)))
     return pd.DataFrame(filas, columns=[f.name for f in _ESQUEMA_SALIDA.fields])
 
 
 def decidir_lotes(t, filas: DataFrame, tam_tramo: int = TAM_TRAMO) -> DataFrame:
-    """W5 decisions: one row per lot with ``necesarios`` (seats needed when it was examined),
-    ``motivo`` (ok / no_existe / pausada / sin_cupos) and ``nuevos`` (enrolments it created)."""
-    res = resumen_lotes(t, filas).checkpoint(eager=True)
+    """W5 decisions: one row per lot with ``motivo`` (ok / no_existe / pausada / sin_cupos) and
+    ``nuevos`` (enrolments it created)."""
+    clases = clasificar_lotes(t, filas).checkpoint(eager=True)
+    directos = clases.where(F.col("motivo").isNotNull()).select(
+        "lote_id", "oferta", "empresa_id", "filas", "motivo", F.lit(0).cast("long").alias("nuevos")
+    )
+    res = resumen_candidatos(t, filas, clases).checkpoint(eager=True)
     mayor = res.groupBy("oferta").count().agg(F.max("count")).first()[0] or 0
     if mayor > tam_tramo:
-        # Some offer has more lots than one chunk: number its lots in order (range blocks, no
+        # Some offer has more candidates than one chunk: number them in order (range blocks, no
         # single-task window) and cut them into chunks scanned in successive rounds.
         res = numerar(res, ["lote_id"], "k", particion=["oferta"])
         res = res.withColumn("tramo", F.floor((F.col("k") - 1) / F.lit(tam_tramo)).cast("long")).checkpoint(eager=True)
         rondas = (mayor - 1) // tam_tramo + 1
     else:
         res = res.withColumn("tramo", F.lit(0).cast("long"))
-        rondas = 1
+        rondas = 1 if mayor > 0 else 0
     estado = res.groupBy("oferta").agg(F.first("rest0").alias("rest_actual")).withColumn(
         "admitidos", F.lit(None).cast(T.ArrayType(T.StringType()))
     )
-    decisiones = []
+    decididos = directos
     for r in range(rondas):
         tramo = res.where(F.col("tramo") == r).join(estado, "oferta", "inner")
         salida = tramo.groupBy("oferta").applyInPandas(_escanear, _ESQUEMA_SALIDA).checkpoint(eager=True)
-        decisiones.append(salida.where(F.col("lote_id").isNotNull()).select("lote_id", "necesarios", "motivo", "nuevos"))
+        decididos = decididos.unionByName(
+            salida.where(F.col("lote_id").isNotNull()).select("lote_id", "motivo", "nuevos")
+            .join(clases.select("lote_id", "oferta", "empresa_id", "filas"), "lote_id", "inner")
+        )
         if r + 1 < rondas:
             nuevo = salida.where(F.col("lote_id").isNull()).select(
                 "oferta", F.col("rest_fin").alias("rest_actual"), F.col("admitidos_fin").alias("admitidos")
             )
             estado = estado.join(nuevo, "oferta", "left_anti").unionByName(nuevo).checkpoint(eager=True)
-    todas = decisiones[0]
-    for dcs in decisiones[1:]:
-        todas = todas.unionByName(dcs)
-    return res.select("lote_id", "oferta", "empresa_id", "filas").join(todas, "lote_id", "inner")
+    return decididos.select("lote_id", "oferta", "empresa_id", "filas", "motivo", "nuevos")
 
 
 def admision_lotes(t, filas: DataFrame, tam_tramo: int = TAM_TRAMO) -> DataFrame:

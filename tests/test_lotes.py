@@ -97,3 +97,31 @@ def test_nested_roundtrip(spark):
     filas = [fila(1, 5, 1, "A"), fila(1, 2, 1, "B"), fila(2, 9, 1, "C")]
     plano = lectores.lote_explode(lectores.anidar_lotes(spark.createDataFrame(filas, ESQ)))
     assert sorted((r.lote_id, r.posicion, r.doc) for r in plano.collect()) == [(1, 0, "B"), (1, 1, "A"), (2, 0, "C")]
+
+
+def test_lotes_decididos_sin_escaneo(spark):
+    """Lots decided set-based (need <= 0, far above twice the seats, full or missing offers)
+    still agree with the sequential model, and so do the enrolments they create."""
+    for semilla, tramo in [(10, 50_000), (11, 2)]:
+        rnd = random.Random(semilla)
+        ofertas = {o: (rnd.choice([0, 1, 2, 4, 9]), rnd.choice([0, 0, 1])) for o in range(1, 6)}
+        inscritos = sorted({(f"D{rnd.randint(0, 12)}", rnd.randint(1, 5)) for _ in range(25)})
+        lotes, filas = [], []
+        for lote_id in range(60):
+            of = rnd.choice([1, 1, 2, 3, 4, 5, 8])
+            docs = [f"D{rnd.randint(0, 14)}" for _ in range(rnd.choice([1, 1, 2, 3, 12]))]
+            lotes.append((lote_id, of, docs))
+            filas += [fila(lote_id, k, of, d) for k, d in enumerate(docs)]
+        t = tablas(
+            spark,
+            capacitacion_oferta=[oferta(o, c, bloq=b) for o, (c, b) in ofertas.items()],
+            inscripcion=[inscripcion(100 + k, d, o) for k, (d, o) in enumerate(inscritos)],
+        )
+        fdf = spark.createDataFrame(filas, ESQ)
+        dec = L.admision_lotes(t, fdf, tam_tramo=tramo)
+        esperado, nuevos = modelo(ofertas, inscritos, lotes)
+        assert {r.lote_id: r.motivo for r in dec.collect()} == esperado, semilla
+        cuenta = {}
+        for _, _, lote_id in nuevos:
+            cuenta[lote_id] = cuenta.get(lote_id, 0) + 1
+        assert {r.lote_id: r.nuevos for r in dec.collect() if r.nuevos} == cuenta
