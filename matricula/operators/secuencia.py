@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +34,15 @@ def suma_acumulada(
     """Adds ``salida`` = sum of ``valor`` over rows of the same ``particion`` up to and including
     this row in ``orden`` (which must be a total order, e.g. end with a unique id)."""
     n = _bloques(df, bloques)
-    con_bloque = df.repartitionByRange(n, *[F.col(c) for c in particion + orden]).withColumn(
-        _BLQ, F.spark_partition_id()
-    )
-    con_bloque = con_bloque.checkpoint(eager=True)
+    # The range shuffle samples its input before the checkpoint job reads it: keep the input
+    # cached just for these two passes so upstream joins run once.
+    entrada = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        con_bloque = entrada.repartitionByRange(n, *[F.col(c) for c in particion + orden]).withColumn(
+            _BLQ, F.spark_partition_id()
+        ).checkpoint(eager=True)
+    finally:
+        entrada.unpersist()
     totales = con_bloque.groupBy(*particion, _BLQ).agg(F.sum(valor).alias(_TOT))
     previos = Window.partitionBy(*particion).orderBy(_BLQ).rowsBetween(Window.unboundedPreceding, -1)
     desplaz = totales.select(*particion, _BLQ, F.coalesce(F.sum(_TOT).over(previos), F.lit(0)).alias(_OFF))
