@@ -19,6 +19,27 @@ AJUSTES_BASE = {
 }
 
 
+# Sizing for a large cluster (hundreds of executors, tables in the tens of TB): many initial
+# shuffle partitions that AQE coalesces to ~256 MB each, skewed partitions split once they are
+# 5x the median and over 512 MB, and 256 MB scan splits. Applied by ``ajustes_cluster`` only
+# where the session does not set them already.
+AJUSTES_CLUSTER = {
+    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+}
+
+
+def ajustes_cluster(spark: SparkSession) -> None:
+    """Apply ``AJUSTES_CLUSTER`` where the session has no explicit value of its own."""
+    for k, v in AJUSTES_CLUSTER.items():
+        if spark.conf.get(k, None) in (None, ""):
+            spark.conf.set(k, v)
+    aplicar_ajustes(spark)
+
+
 def crear_sesion(master: str = "local[8]", particiones: int = 8, memoria: str = "8g") -> SparkSession:
     """Local session for tests and the bench; on a cluster, use the cluster's session."""
     b = SparkSession.builder.master(master).appName("matricula")
