@@ -34,8 +34,9 @@ AJUSTES_CLUSTER = {
 
 def ajustes_cluster(spark: SparkSession) -> None:
     """Apply ``AJUSTES_CLUSTER`` where the session has no explicit value of its own."""
+    conf = spark._jsparkSession.sessionState().conf()
     for k, v in AJUSTES_CLUSTER.items():
-        if spark.conf.get(k, None) in (None, ""):
+        if not conf.contains(k):  # explicitly set by the session or the cluster: keep it
             spark.conf.set(k, v)
     aplicar_ajustes(spark)
 
