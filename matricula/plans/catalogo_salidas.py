@@ -263,7 +263,7 @@ def _scan_solicitudes(spark, sf):
 
 @consulta("registro_continuo", ORACULO["admision_registro"])
 def _registro_continuo(spark, sf):
-    """W1 as a stream: the registration requests arrive as JSON files (one per day), each
+    """W1 as a stream: the registration requests arrive as JSON files (grouped by day), each
     micro-batch is admitted against the newest snapshot and committed; returns the per-request
     results of all epochs. All files present at start form one ``availableNow`` batch, so the
     result equals the one-batch ``admision_registro`` (same oracle)."""

@@ -3,8 +3,9 @@
 Requests arrive as JSON files in a folder. Each micro-batch is admitted against the newest
 committed snapshot of the tables (``almacen.abrir_instantanea``), and the new enrolment,
 person and academic tables are committed together as the next version, tagged with the
-epoch. A replayed epoch (after a driver or executor failure) finds its tag already committed
-and only rewrites its own result folder, so the tables change exactly once per epoch. Seats
+epoch. An epoch replayed after a failure is skipped when its tag is already committed, and
+re-run in full (its result folder overwritten, its version written again) when it is not, so
+the tables change exactly once per epoch. Seats
 are the snapshot's state, so no streaming state store is needed.
 """
 

@@ -57,3 +57,16 @@ def test_flujo_igual_al_lote(spark):
     assert almacen.version_actual(spark, raiz) == 4
     fin = almacen.abrir_instantanea(spark, raiz)["inscripcion"]
     assert fin.count() == t["inscripcion"].count() + sum(1 for m, _ in lote.values() if m == "ok")
+
+
+def test_epoca_repetida_no_cambia_nada(spark):
+    """A micro-batch replayed after a failure (same epoch) leaves the committed tables as they are."""
+    raiz = tempfile.mkdtemp(prefix="replay-", dir=os.environ.get("TMPDIR", "/tmp"))
+    t = preparacion.cargar(spark, SF)
+    almacen.confirmar(spark, raiz, {n: t[n] for n in TABLAS})
+    lote = t["solicitud_registro"]
+    R.procesar_lote(spark, raiz, f"{raiz}/resultados", lote, 0)
+    antes = almacen.abrir_instantanea(spark, raiz)["inscripcion"].count()
+    R.procesar_lote(spark, raiz, f"{raiz}/resultados", lote, 0)
+    assert almacen.version_actual(spark, raiz) == 2
+    assert almacen.abrir_instantanea(spark, raiz)["inscripcion"].count() == antes
