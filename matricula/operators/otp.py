@@ -1,7 +1,7 @@
 """One-time access codes, re-aimed as batch jobs over requests
 and attempts.
 
-Validation of an attempt (email, code, time): the newest token (highest id) with that e-mail
+Validation of an attempt (email, code, time): both fields are required (``faltan_datos``); the newest token (highest id) with that e-mail
 and code is the one checked; no token -> ``incorrecto``; token already used -> ``usado``;
 attempt time after expiry -> ``expirado`` (at expiry is still valid); else ``ok`` and the token
 becomes used. Attempts are taken in time order, so after the first ``ok`` on a token every later
@@ -29,6 +29,11 @@ def token_vigente(tokens: DataFrame) -> DataFrame:
 
 def otp_intentos(t, intentos: DataFrame) -> DataFrame:
     """Verdict of each attempt (``intento_id, email, codigo, en``)."""
+    faltan = E.vacio("email") | E.vacio("codigo")
+    incompletos = intentos.where(faltan).select(
+        "intento_id", "email", "codigo", F.lit(None).cast("long").alias("id_otp"), F.lit("faltan_datos").alias("veredicto")
+    )
+    intentos = intentos.where(~faltan)
     claves = intentos.select("email", "codigo").distinct()
     tk = token_vigente(t["token_otp"].join(claves, ["email", "codigo"], "left_semi"))
     a = intentos.select("intento_id", "email", "codigo", "en").join(tk, ["email", "codigo"], "left")
@@ -47,7 +52,7 @@ def otp_intentos(t, intentos: DataFrame) -> DataFrame:
         .when(~F.coalesce(a_tiempo(F.col("en")), F.lit(False)), F.lit("expirado"))
         .otherwise(F.lit("ok"))
     )
-    return a.select("intento_id", "email", "codigo", "id_otp", veredicto.alias("veredicto"))
+    return a.select("intento_id", "email", "codigo", "id_otp", veredicto.alias("veredicto")).unionByName(incompletos)
 
 
 def tokens_tras_intentos(t, veredictos: DataFrame) -> DataFrame:

@@ -31,12 +31,16 @@ tk{s} AS (SELECT email, codigo, id_otp, expira_en, usado FROM (
 ia{s} AS (SELECT i.intento_id, i.email, i.codigo, i.en, t.id_otp, t.expira_en, t.usado,
                  first_value(i.en) OVER (PARTITION BY t.id_otp ORDER BY i.en, i.intento_id) AS pri_en,
                  row_number() OVER (PARTITION BY t.id_otp ORDER BY i.en, i.intento_id) AS r
-          FROM {intentos} i LEFT JOIN tk{s} t ON t.email = i.email AND t.codigo = i.codigo),
+          FROM {intentos} i LEFT JOIN tk{s} t ON t.email = i.email AND t.codigo = i.codigo
+          WHERE NOT (i.email IS NULL OR i.email = '' OR i.codigo IS NULL OR i.codigo = '')),
 ver{s} AS (SELECT intento_id, email, codigo, id_otp,
                   CASE WHEN id_otp IS NULL THEN 'incorrecto' WHEN coalesce(usado = 1, false) THEN 'usado'
                        WHEN r > 1 AND coalesce(pri_en <= expira_en, false) THEN 'usado'
                        WHEN NOT coalesce(en <= expira_en, false) THEN 'expirado' ELSE 'ok' END AS veredicto
-           FROM ia{s})"""
+           FROM ia{s}
+           UNION ALL
+           SELECT intento_id, email, codigo, CAST(NULL AS BIGINT), 'faltan_datos' FROM {intentos}
+           WHERE email IS NULL OR email = '' OR codigo IS NULL OR codigo = '')"""
 
 
 _EMITIDAS = f"""

@@ -156,3 +156,12 @@ def test_otp_d19(spark):
     assert nuevos == {(3, "b@x", "222", "2024-01-01 00:15:00"), (4, "c@x", "333", "2024-01-01 00:15:00"),
                       (5, "d@x", "444", "2024-01-01 00:15:00"), (7, "a@x", "888", "2024-01-02 00:16:00"),
                       (8, "z@x", "999", "2024-01-02 00:17:00")}
+
+
+def test_otp_campos_obligatorios(spark):
+    t = tablas(spark, token_otp=[(1, "a@x", "", ts("2024-01-01 00:15:00"), 0), (2, "a@x", "111", ts("2024-01-01 00:15:00"), 0)])
+    intentos = spark.createDataFrame([
+        (1, "a@x", "", ts("2024-01-01 00:01:00")),      # empty code: refused before any lookup
+        (2, "a@x", "111", ts("2024-01-01 00:02:00")),   # first real attempt on token 2: ok
+    ], "intento_id long, email string, codigo string, en timestamp")
+    assert {r.intento_id: r.veredicto for r in O.otp_intentos(t, intentos).collect()} == {1: "faltan_datos", 2: "ok"}
