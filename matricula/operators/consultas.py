@@ -307,6 +307,19 @@ def contactos_empresa(t) -> DataFrame:
     return t["contacto_empresa"].orderBy(F.col("creado_en").desc(), F.col("id_contacto").desc())
 
 
+def contactos_etiquetas(t) -> DataFrame:
+    """F14 + F15: the contact list as the companies page prints it (``tipodoc-doc``, full name of
+    the representative, registration date in local format), newest first."""
+    return contactos_empresa(t).select(
+        "id_contacto",
+        E.codigo_documento("emp_tipodoc", "emp_doc").alias("documento"),
+        "empresa_nombre",
+        E.nombre_completo("emp_nombre", "emp_apellido").alias("representante"),
+        "emp_email",
+        E.fecha_local("creado_en").alias("fecha_registro"),
+    )
+
+
 def capacitaciones_base(t) -> DataFrame:
     """Course catalogue by name."""
     return t["capacitacion"].select("capcodigo", "capnombre").orderBy("capnombre", "capcodigo")

@@ -201,6 +201,14 @@ def _contactos_empresa(spark, sf):
     return como_texto(C.contactos_empresa(tablas(spark, sf)))
 
 
+@consulta("contactos_etiquetas", W("contacto_empresa") + """
+SELECT id_contacto, emp_tipodoc || '-' || emp_doc AS documento, empresa_nombre,
+       emp_nombre || ' ' || emp_apellido AS representante, emp_email, strftime(creado_en, '%-d/%-m/%Y') AS fecha_registro
+FROM contacto_empresa ORDER BY creado_en DESC, id_contacto DESC""")
+def _contactos_etiquetas(spark, sf):
+    return C.contactos_etiquetas(tablas(spark, sf))
+
+
 @consulta("capacitaciones_base", W("capacitacion") + "SELECT capcodigo, capnombre FROM capacitacion ORDER BY capnombre")
 def _capacitaciones_base(spark, sf):
     return C.capacitaciones_base(tablas(spark, sf))
