@@ -253,16 +253,21 @@ def correos_lote(t, lotes: DataFrame | None = None) -> DataFrame:
 
 
 def lotes_pendientes(t) -> DataFrame:
-    """J10 + A3: company lots awaiting review with employee count."""
-    ins = t["inscripcion"].where(F.col("ins_estado") == "en_revision").select("inscodigo", "ins_empresa_id", "ins_oferta")
+    """J10 + A3: company lots awaiting review with employee count.
+
+    Contact, offer and course ids are primary keys, so counting per (company, offer) before the
+    joins gives the same groups; the joins then see one row per lot instead of one per enrolment."""
+    n = (
+        t["inscripcion"].where(F.col("ins_estado") == "en_revision")
+        .groupBy("ins_empresa_id", "ins_oferta").agg(F.count("inscodigo").alias("total_empleados"))
+    )
     ce = t["contacto_empresa"].select("id_contacto", "empresa_nombre", "emp_email")
     of = t["capacitacion_oferta"].select("capofcodigo", "capofcapcodigo")
     return (
-        ins.join(ce, ins["ins_empresa_id"] == ce["id_contacto"], "inner")
-        .join(of, ins["ins_oferta"] == of["capofcodigo"], "inner")
+        n.join(ce, n["ins_empresa_id"] == ce["id_contacto"], "inner")
+        .join(of, n["ins_oferta"] == of["capofcodigo"], "inner")
         .join(t["capacitacion"], F.col("capofcapcodigo") == F.col("capcodigo"), "inner")
-        .groupBy("id_contacto", "capofcodigo", "empresa_nombre", "emp_email", "capnombre")
-        .agg(F.count("inscodigo").alias("total_empleados"))
+        .select("id_contacto", "empresa_nombre", "emp_email", "capofcodigo", "capnombre", "total_empleados")
     )
 
 
