@@ -67,6 +67,8 @@ def reportar_pagos_lote(t, solicitudes: DataFrame, ahora) -> dict[str, DataFrame
     pend = t["inscripcion"].where(
         F.col("ins_empresa_id").isNotNull() & F.col("ins_estado").isin(*ESTADOS_LOTE_PAGABLE)
     ).select(F.col("ins_empresa_id").alias("empresa_id"), F.col("ins_oferta").alias("oferta"), "inscodigo")
+    # Only lots with a report in the batch matter: filter enrolments against them before counting.
+    pend = pend.join(validas.select("empresa_id", "oferta"), ["empresa_id", "oferta"], "left_semi")
     n_pend = pend.groupBy("empresa_id", "oferta").agg(F.count(F.lit(1)).alias("empleados"))
     dec = (
         validas.join(primera, ["empresa_id", "oferta"], "left")
