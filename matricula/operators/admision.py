@@ -25,10 +25,17 @@ from .secuencia import mayor_valor, numerar, suma_acumulada
 ORDEN = ["en", "solicitud_id"]
 
 
-def estado_ofertas(t) -> DataFrame:
-    """Per offer: seats left before the batch and the block flag (one row per offer)."""
+def estado_ofertas(t, pedidas: DataFrame | None = None) -> DataFrame:
+    """Per offer: seats left before the batch and the block flag (one row per offer). With
+    ``pedidas(oferta)`` only those offers are counted: offers and enrolments are filtered against
+    the batch's offers before the count."""
     of = t["capacitacion_oferta"].select("capofcodigo", "capofcupos", "cupos_bloqueados")
-    n = C.inscritos_por_oferta(t)
+    ins = t["inscripcion"]
+    if pedidas is not None:
+        claves = pedidas.select(F.col("oferta").alias("capofcodigo"))
+        of = of.join(claves, "capofcodigo", "left_semi")
+        ins = ins.join(claves.withColumnRenamed("capofcodigo", "ins_oferta"), "ins_oferta", "left_semi")
+    n = C.inscritos_por_oferta({"inscripcion": ins})
     return of.join(n, "capofcodigo", "left").select(
         F.col("capofcodigo").alias("oferta"),
         (F.coalesce(F.col("capofcupos"), F.lit(0)) - F.coalesce(F.col("inscritos"), F.lit(0))).alias("rest"),
@@ -40,7 +47,7 @@ def admitir(t, pedidos: DataFrame) -> DataFrame:
     """Admission of ``pedidos(solicitud_id, doc, oferta, en)``; returns one row per request with
     ``motivo`` in (no_existe, pausada, sin_cupos, duplicado, ok)."""
     p = pedidos.select("solicitud_id", "doc", "oferta", "en")
-    est = estado_ofertas(t)
+    est = estado_ofertas(t, p)
     ya = C.pares_inscritos(t, p).withColumn("ya", F.lit(True))
     # First request of each (document, offer) pair: an aggregate (map-side partial), not a window.
     primero = p.groupBy("doc", "oferta").agg(F.min(F.struct("en", "solicitud_id")).alias("pri"))

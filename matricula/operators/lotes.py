@@ -70,7 +70,7 @@ def clasificar_lotes(t, filas: DataFrame) -> DataFrame:
     docs = _docs_con_e0(t, filas)
     ya0 = docs.groupBy("lote_id").agg(F.sum(F.col("en_e0").cast("long")).alias("ya0"))
     tam = filas.groupBy("lote_id", "oferta", "empresa_id").agg(F.count(F.lit(1)).alias("filas"))
-    est = estado_ofertas(t)
+    est = estado_ofertas(t, filas)
     x = tam.join(ya0, "lote_id", "inner").join(est, "oferta", "left").select(
         "lote_id", "oferta", "empresa_id", "filas", "ya0",
         F.col("rest").isNotNull().alias("existe"),
