@@ -46,16 +46,24 @@ def outbox_otp(emitidas: DataFrame) -> DataFrame:
     return emitidas.select(*filas)
 
 
-def outbox_pagos(t, reportes: DataFrame, aprobados: DataFrame, rechazados: DataFrame) -> DataFrame:
+def outbox_pagos(t, reportes: DataFrame | None, aprobados: DataFrame | None, rechazados: DataFrame | None) -> DataFrame:
     """Payment mails: a report notifies the administrator; an approval or rejection notifies
-    the person (when the enrolment's person, offer and course exist, J8)."""
-    rep = reportes.select(*_fila(
-        "pago_reportado", ADMIN, entidad_id="inscodigo",
-        nombre=F.concat_ws(" ", F.col("titular_nombre"), F.col("titular_apellido")), referencia="referencia",
-    ))
-    ap = C.datos_correo(t, aprobados).select(*_fila("pago_aprobado", "peremail", "inscodigo", "pernombre", "capnombre"))
-    re = C.datos_correo(t, rechazados).select(*_fila("pago_rechazado", "peremail", "inscodigo", "pernombre", "capnombre"))
-    return rep.unionByName(ap).unionByName(re)
+    the person (when the enrolment's person, offer and course exist, J8). Any input may be None."""
+    partes = []
+    if reportes is not None:
+        partes.append(reportes.select(*_fila(
+            "pago_reportado", ADMIN, entidad_id="inscodigo",
+            nombre=F.concat_ws(" ", F.col("titular_nombre"), F.col("titular_apellido")), referencia="referencia",
+        )))
+    for plantilla, codigos in (("pago_aprobado", aprobados), ("pago_rechazado", rechazados)):
+        if codigos is not None:
+            partes.append(C.datos_correo(t, codigos).select(
+                *_fila(plantilla, "peremail", "inscodigo", "pernombre", "capnombre")
+            ))
+    out = partes[0]
+    for p in partes[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def outbox_lotes(t, pagos_lote: DataFrame, aprobados: DataFrame, rechazados: DataFrame) -> DataFrame:

@@ -101,10 +101,13 @@ def etiqueta_actual(spark: SparkSession, raiz: str) -> int | None:
     return json.loads(_leer_texto(spark, f"{raiz}/_manifiestos/{v:08d}.json")).get("etiqueta")
 
 
-def confirmar(spark: SparkSession, raiz: str, cambios: dict[str, DataFrame], etiqueta: int | None = None) -> int:
+def confirmar(spark: SparkSession, raiz: str, cambios: dict[str, DataFrame], etiqueta: int | None = None,
+              anexos: dict[str, DataFrame] | None = None) -> int:
     """Write the changed tables of one batch and publish them together. Tables not in
-    ``cambios`` keep their previous version. ``etiqueta`` is stored in the manifest (a stream
-    uses its epoch to skip a batch that was already committed). Returns the new version."""
+    ``cambios`` keep their previous version. ``anexos`` are append-only logs of the batch (outbox,
+    audit rows, per-request results) written inside the version folder, so they become visible
+    with the tables or not at all. ``etiqueta`` is stored in the manifest (a stream uses its epoch
+    to skip a batch that was already committed). Returns the new version."""
     previa = version_actual(spark, raiz)
     rutas = dict(leer_manifiesto(spark, raiz, previa)) if previa else {}
     nueva = previa + 1
@@ -112,6 +115,22 @@ def confirmar(spark: SparkSession, raiz: str, cambios: dict[str, DataFrame], eti
         ruta = f"{raiz}/v{nueva:08d}/{n}"
         lectores.conformar(df, TABLAS[n]).write.mode("overwrite").parquet(ruta)
         rutas[n] = ruta
-    if not _escribir_texto(spark, f"{raiz}/_manifiestos/{nueva:08d}.json", json.dumps({"version": nueva, "etiqueta": etiqueta, "tablas": rutas})):
+    extra = {}
+    for n, df in (anexos or {}).items():
+        ruta = f"{raiz}/v{nueva:08d}/_anexos/{n}"
+        df.write.mode("overwrite").parquet(ruta)
+        extra[n] = ruta
+    manifiesto = {"version": nueva, "etiqueta": etiqueta, "tablas": rutas, "anexos": extra}
+    if not _escribir_texto(spark, f"{raiz}/_manifiestos/{nueva:08d}.json", json.dumps(manifiesto)):
         raise RuntimeError(f"version {nueva} was committed by another writer; re-run the batch on it")
     return nueva
+
+
+def leer_anexo(spark: SparkSession, raiz: str, nombre: str) -> DataFrame | None:
+    """All committed rows of one append-only log (e.g. ``outbox``) across versions."""
+    rutas = []
+    for v in range(1, version_actual(spark, raiz) + 1):
+        m = json.loads(_leer_texto(spark, f"{raiz}/_manifiestos/{v:08d}.json"))
+        if nombre in m.get("anexos", {}):
+            rutas.append(m["anexos"][nombre])
+    return spark.read.parquet(*rutas) if rutas else None

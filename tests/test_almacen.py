@@ -70,3 +70,38 @@ def test_epoca_repetida_no_cambia_nada(spark):
     R.procesar_lote(spark, raiz, f"{raiz}/resultados", lote, 0)
     assert almacen.version_actual(spark, raiz) == 2
     assert almacen.abrir_instantanea(spark, raiz)["inscripcion"].count() == antes
+
+
+def test_trabajos_encadenados(spark):
+    """Registration, payments, decisions and deletions applied as committed batches."""
+    from matricula.plans import trabajos as J
+
+    raiz = tempfile.mkdtemp(prefix="trabajos-", dir=os.environ.get("TMPDIR", "/tmp"))
+    t = preparacion.cargar(spark, SF)
+    almacen.confirmar(spark, raiz, {n: t[n] for n in TABLAS})
+    n0 = t["inscripcion"].count()
+    assert J.registro(spark, raiz, t["solicitud_registro"]) == 2
+    ok = almacen.leer_anexo(spark, raiz, "resultados").where("motivo = 'ok'").count()
+    assert almacen.abrir_instantanea(spark, raiz)["inscripcion"].count() == n0 + ok
+    assert almacen.leer_anexo(spark, raiz, "auditoria").count() == ok
+    assert J.pagos(spark, raiz, t["pago_solicitud"], "2024-02-01 00:00:00") == 3
+    t3 = almacen.abrir_instantanea(spark, raiz)
+    revision = t3["inscripcion"].where("ins_estado = 'en_revision'").select("inscodigo")
+    decision = revision.withColumn("decision", F.when(F.col("inscodigo") % 2 == 1, "aprobar").otherwise("rechazar"))
+    assert J.decisiones(spark, raiz, decision) == 4
+    t4 = almacen.abrir_instantanea(spark, raiz)
+    assert t4["inscripcion"].where("ins_estado = 'en_revision'").count() == 0
+    huerfanos = t4["pago_reportado"].join(
+        decision.where("decision = 'rechazar'").withColumnRenamed("inscodigo", "pago_inscodigo"), "pago_inscodigo", "left_semi")
+    assert huerfanos.count() == 0
+    outbox = almacen.leer_anexo(spark, raiz, "outbox")
+    plantillas = {r.plantilla for r in outbox.select("plantilla").distinct().collect()}
+    assert plantillas == {"pago_reportado", "pago_aprobado", "pago_rechazado"}
+    assert J.eliminaciones(spark, raiz, t4["inscripcion"].where("inscodigo % 20 = 0").select("inscodigo"),
+                           "2024-02-02 00:00:00") == 5
+    t5 = almacen.abrir_instantanea(spark, raiz)
+    assert t5["inscripcion"].where("inscodigo % 20 = 0").count() == 0
+    # Invariants: every payment's enrolment exists; (doc, offer) stays unique.
+    assert t5["pago_reportado"].join(t5["inscripcion"].withColumnRenamed("inscodigo", "pago_inscodigo"),
+                                     "pago_inscodigo", "left_anti").count() == 0
+    assert t5["inscripcion"].groupBy("ins_perdoc", "ins_oferta").count().where("count > 1").count() == 0
