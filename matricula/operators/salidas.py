@@ -66,26 +66,33 @@ def outbox_pagos(t, reportes: DataFrame | None, aprobados: DataFrame | None, rec
     return out
 
 
-def outbox_lotes(t, pagos_lote: DataFrame, aprobados: DataFrame, rechazados: DataFrame) -> DataFrame:
+def outbox_lotes(t, pagos_lote: DataFrame | None, aprobados: DataFrame | None, rechazados: DataFrame | None) -> DataFrame:
     """Lot mails: an accepted lot payment notifies the administrator with the employee count;
     an approved lot notifies every employee of the lot (all states, D3) and the company; a
-    rejected lot (one that had enrolments in review) notifies the company."""
+    rejected lot (one that had enrolments in review) notifies the company. Any input may be None."""
     ce = t["contacto_empresa"].select(F.col("id_contacto").alias("empresa_id"), "emp_email", "empresa_nombre")
-    rep = pagos_lote.join(ce, "empresa_id", "left").select(*_fila(
-        "pago_lote_reportado", ADMIN, entidad_id="oferta",
-        nombre=F.concat_ws(" ", F.col("titular_nombre"), F.col("titular_apellido")),
-        referencia="referencia", cantidad="empleados", empresa="emp_email",
-    ))
-    emp = C.correos_lote(t, aprobados).select(*_fila(
-        "lote_empleado_aprobado", "peremail", "ins_oferta", "pernombre", "capnombre", empresa="ins_empresa_id"
-    ))
-    apr = aprobados.select("empresa_id", "oferta").distinct().join(ce, "empresa_id", "inner") \
-        .where(F.col("emp_email").isNotNull() & (F.col("emp_email") != "")) \
-        .select(*_fila("lote_empresa_aprobado", "emp_email", "oferta", empresa="empresa_nombre"))
-    rec = rechazados.select("empresa_id", "oferta").distinct().join(ce, "empresa_id", "inner") \
-        .where(F.col("emp_email").isNotNull() & (F.col("emp_email") != "")) \
-        .select(*_fila("lote_empresa_rechazado", "emp_email", "oferta", empresa="empresa_nombre"))
-    return rep.unionByName(emp).unionByName(apr).unionByName(rec)
+    partes = []
+    if pagos_lote is not None:
+        partes.append(pagos_lote.join(ce, "empresa_id", "left").select(*_fila(
+            "pago_lote_reportado", ADMIN, entidad_id="oferta",
+            nombre=F.concat_ws(" ", F.col("titular_nombre"), F.col("titular_apellido")),
+            referencia="referencia", cantidad="empleados", empresa="emp_email",
+        )))
+    if aprobados is not None:
+        partes.append(C.correos_lote(t, aprobados).select(*_fila(
+            "lote_empleado_aprobado", "peremail", "ins_oferta", "pernombre", "capnombre", empresa="ins_empresa_id"
+        )))
+    for plantilla, lotes in (("lote_empresa_aprobado", aprobados), ("lote_empresa_rechazado", rechazados)):
+        if lotes is not None:
+            partes.append(
+                lotes.select("empresa_id", "oferta").distinct().join(ce, "empresa_id", "inner")
+                .where(F.col("emp_email").isNotNull() & (F.col("emp_email") != ""))
+                .select(*_fila(plantilla, "emp_email", "oferta", empresa="empresa_nombre"))
+            )
+    out = partes[0]
+    for p in partes[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def auditoria(ts, accion: str, actor, entidad: str, entidad_id, detalle=None) -> list[Column]:

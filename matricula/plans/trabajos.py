@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import admision as A
 from ..operators import cambios as K
 from ..operators import lotes as L
+from ..operators import otp as O
 from ..operators import salidas as X
 from ..sources import almacen
 
@@ -79,3 +80,90 @@ def eliminaciones(spark: SparkSession, raiz: str, codigos: DataFrame, ahora=None
     )
     return almacen.confirmar(spark, raiz, {k: v for k, v in r.items() if k != "resultado"},
                              anexos={"resultados": res, "auditoria": audit})
+
+
+def pagos_lote(spark: SparkSession, raiz: str, solicitudes: DataFrame, ahora=None) -> int:
+    """Company lot payment reports; the administrator is notified of each accepted one."""
+    t = almacen.abrir_instantanea(spark, raiz)
+    r = K.reportar_pagos_lote(t, solicitudes, _ahora(ahora))
+    res = r["resultado"].checkpoint(eager=True)
+    aceptadas = res.where(F.col("motivo") == "ok").select("solicitud_id", "empleados").join(solicitudes, "solicitud_id")
+    return almacen.confirmar(spark, raiz, {"pago_reportado": r["pago_reportado"], "inscripcion": r["inscripcion"]},
+                             anexos={"resultados": res, "outbox": X.outbox_lotes(t, aceptadas, None, None)})
+
+
+def decisiones_lote(spark: SparkSession, raiz: str, decision: DataFrame, ahora=None) -> int:
+    """``decision(empresa_id, oferta, decision in ('aprobar', 'rechazar'))``. Approval
+    reconciles every enrolment of the lot (employees and company are notified); rejection sends
+    the lot's enrolments in review back to rechazado (the company is notified)."""
+    t = almacen.abrir_instantanea(spark, raiz)
+    ap = decision.where(F.col("decision") == "aprobar")
+    r = K.rechazar_lotes(t, decision.where(F.col("decision") == "rechazar"))
+    res = r["resultado"].checkpoint(eager=True)
+    rechazados = res.where(F.col("motivo") == "ok")
+    ins = K.aprobar_lotes({"inscripcion": r["inscripcion"]}, ap)
+    hora = F.lit(_ahora(ahora))
+    audit = ap.select("empresa_id", "oferta").distinct().select(
+        *X.auditoria(hora, "LOTE_APROBADO", "admin", "contacto_empresa", "empresa_id", F.col("oferta"))
+    ).unionByName(rechazados.select(
+        *X.auditoria(hora, "PAGO_B2B_RECHAZADO", "admin", "contacto_empresa", "empresa_id", F.col("oferta"))
+    ))
+    return almacen.confirmar(spark, raiz, {"pago_reportado": r["pago_reportado"], "inscripcion": ins}, anexos={
+        "resultados": res, "outbox": X.outbox_lotes(t, None, ap, rechazados), "auditoria": audit,
+    })
+
+
+def ofertas(spark: SparkSession, raiz: str, borradores: DataFrame | None = None, ediciones: DataFrame | None = None,
+            toggles: DataFrame | None = None, ahora=None) -> int:
+    """Create offers from drafts, apply edits, then toggles (``campo`` 'estatus' or
+    'bloqueo'), all in one commit of ``capacitacion_oferta``."""
+    t = almacen.abrir_instantanea(spark, raiz)
+    of = t["capacitacion_oferta"]
+    hora = F.lit(_ahora(ahora))
+    anexos = {}
+    if borradores is not None:
+        r = K.crear_ofertas(t, borradores)
+        res = r["resultado"].checkpoint(eager=True)
+        of = r["capacitacion_oferta"]
+        anexos["resultados"] = res
+        anexos["auditoria"] = res.where(F.col("motivo") == "ok").select(
+            *X.auditoria(hora, "CREACION_OFERTA", "admin", "capacitacion", "capofcapcodigo"))
+    if ediciones is not None:
+        of = K.editar_ofertas({"capacitacion_oferta": of}, ediciones)
+    if toggles is not None:
+        for campo in ("estatus", "bloqueo"):
+            of = K.alternar_ofertas({"capacitacion_oferta": of}, toggles, campo)
+    return almacen.confirmar(spark, raiz, {"capacitacion_oferta": of}, anexos=anexos)
+
+
+def perfiles(spark: SparkSession, raiz: str, ediciones: DataFrame) -> int:
+    """Administrator edits of name, surname and phone."""
+    t = almacen.abrir_instantanea(spark, raiz)
+    r = K.editar_personas(t, ediciones)
+    return almacen.confirmar(spark, raiz, {"persona": r["persona"]}, anexos={"resultados": r["resultado"]})
+
+
+def contactos(spark: SparkSession, raiz: str, altas: DataFrame) -> int:
+    """New company contacts (document and e-mail unique, first wins)."""
+    t = almacen.abrir_instantanea(spark, raiz)
+    r = K.alta_contactos(t, altas)
+    res = r["resultado"].checkpoint(eager=True)
+    audit = res.where(F.col("motivo") == "ok").join(altas, "solicitud_id").select(
+        *X.auditoria("en", "NUEVA_EMPRESA", "admin", "contacto_empresa", "empresa_nombre"))
+    return almacen.confirmar(spark, raiz, {"contacto_empresa": r["contacto_empresa"]},
+                             anexos={"resultados": res, "auditoria": audit})
+
+
+def codigos(spark: SparkSession, raiz: str, personas: DataFrame, empresas: DataFrame) -> int:
+    """Issue one-time codes (people, and company contacts whose document and e-mail match)."""
+    t = almacen.abrir_instantanea(spark, raiz)
+    emitidas = O.solicitudes_emitidas(t, personas, empresas).checkpoint(eager=True)
+    return almacen.confirmar(spark, raiz, {"token_otp": O.emitir_tokens(t, emitidas)},
+                             anexos={"outbox": X.outbox_otp(emitidas)})
+
+
+def intentos(spark: SparkSession, raiz: str, intentos_: DataFrame) -> int:
+    """Check code attempts and mark the accepted tokens used."""
+    t = almacen.abrir_instantanea(spark, raiz)
+    ver = O.otp_intentos(t, intentos_).checkpoint(eager=True)
+    return almacen.confirmar(spark, raiz, {"token_otp": O.tokens_tras_intentos(t, ver)}, anexos={"resultados": ver})

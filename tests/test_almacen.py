@@ -105,3 +105,29 @@ def test_trabajos_encadenados(spark):
     assert t5["pago_reportado"].join(t5["inscripcion"].withColumnRenamed("inscodigo", "pago_inscodigo"),
                                      "pago_inscodigo", "left_anti").count() == 0
     assert t5["inscripcion"].groupBy("ins_perdoc", "ins_oferta").count().where("count > 1").count() == 0
+
+
+def test_trabajos_lotes_ofertas_codigos(spark):
+    from matricula.plans import trabajos as J
+
+    raiz = tempfile.mkdtemp(prefix="trabajos2-", dir=os.environ.get("TMPDIR", "/tmp"))
+    t = preparacion.cargar(spark, SF)
+    almacen.confirmar(spark, raiz, {n: t[n] for n in TABLAS})
+    v = J.lotes(spark, raiz, lectores.lote_explode(lectores.anidar_lotes(t["lote_fila"])), "2024-02-01 00:00:00")
+    v = J.pagos_lote(spark, raiz, t["pago_lote_solicitud"], "2024-02-01 00:00:00")
+    v = J.decisiones_lote(spark, raiz, t["decision_lote"], "2024-02-02 00:00:00")
+    v = J.ofertas(spark, raiz, t["oferta_borrador"], t["oferta_edicion"], t["toggle_oferta"], "2024-02-02 00:00:00")
+    v = J.perfiles(spark, raiz, t["persona_edicion"])
+    v = J.contactos(spark, raiz, t["contacto_alta"])
+    v = J.codigos(spark, raiz, t["solicitud_otp"], t["solicitud_otp_empresa"])
+    v = J.intentos(spark, raiz, t["intento_otp_empresa"])
+    assert v == 9
+    fin = almacen.abrir_instantanea(spark, raiz)
+    assert fin["capacitacion_oferta"].count() > t["capacitacion_oferta"].count()
+    assert fin["contacto_empresa"].count() >= t["contacto_empresa"].count()
+    # One token per e-mail that asked for a code; accepted attempts marked used.
+    tk = fin["token_otp"]
+    assert tk.groupBy("email").count().where("count > 1").join(
+        t["solicitud_otp"].select("email").distinct(), "email", "left_semi").count() == 0
+    plantillas = {r.plantilla for r in almacen.leer_anexo(spark, raiz, "outbox").select("plantilla").distinct().collect()}
+    assert {"otp", "pago_lote_reportado", "lote_empleado_aprobado"} <= plantillas
