@@ -47,6 +47,8 @@ def crear_sesion(master: str = "local[8]", particiones: int = 8, memoria: str =
     for k, v in AJUSTES_BASE.items():
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", str(particiones)).config("spark.driver.memory", memoria)
+    # Checkpoint files of DataFrames that are no longer referenced are removed by the cleaner.
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     asegurar_checkpoint(spark)
