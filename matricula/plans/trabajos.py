@@ -37,15 +37,26 @@ def registro(spark: SparkSession, raiz: str, solicitudes: DataFrame) -> int:
     }, anexos={"resultados": res, "auditoria": audit})
 
 
-def lotes(spark: SparkSession, raiz: str, filas: DataFrame, ahora=None) -> int:
-    """Admit company lots (flat rows, see ``lectores.lote_explode``)."""
+def lotes(spark: SparkSession, raiz: str, filas: DataFrame, ahora=None, veredictos: DataFrame | None = None) -> int:
+    """Admit company lots (flat rows, see ``lectores.lote_explode``). With ``veredictos``
+    (code checks, A7) only lots whose company e-mail holds an accepted code are admitted (P19);
+    the others are reported ``no_autorizado`` and change nothing."""
     t = almacen.abrir_instantanea(spark, raiz)
+    rechazados = None
+    if veredictos is not None:
+        ids = filas.select("lote_id", "empresa_id").distinct()
+        ok = O.lotes_autorizados(t, ids, veredictos).select("lote_id")
+        rechazados = filas.join(ok, "lote_id", "left_anti").groupBy("lote_id", "oferta", "empresa_id").agg(
+            F.count(F.lit(1)).alias("filas")
+        ).select("lote_id", "oferta", "empresa_id", "filas", F.lit("no_autorizado").alias("motivo"),
+                 F.lit(0).cast("long").alias("nuevos"))
+        filas = filas.join(ok, "lote_id", "left_semi")
     dec = L.admision_lotes(t, filas).checkpoint(eager=True)
     return almacen.confirmar(spark, raiz, {
         "inscripcion": L.inscripcion_tras_lotes(t, filas, dec, _ahora(ahora)),
         "persona": L.persona_tras_lotes(t, filas, dec),
         "persona_capacitacion": L.academico_tras_lotes(t, filas, dec),
-    }, anexos={"resultados": dec})
+    }, anexos={"resultados": dec if rechazados is None else dec.unionByName(rechazados)})
 
 
 def pagos(spark: SparkSession, raiz: str, solicitudes: DataFrame, ahora=None) -> int:

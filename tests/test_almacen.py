@@ -113,7 +113,16 @@ def test_trabajos_lotes_ofertas_codigos(spark):
     raiz = tempfile.mkdtemp(prefix="trabajos2-", dir=os.environ.get("TMPDIR", "/tmp"))
     t = preparacion.cargar(spark, SF)
     almacen.confirmar(spark, raiz, {n: t[n] for n in TABLAS})
-    v = J.lotes(spark, raiz, lectores.lote_explode(lectores.anidar_lotes(t["lote_fila"])), "2024-02-01 00:00:00")
+    from matricula.operators import otp as O
+
+    # Only company 0 has an accepted code: the other companies' lots are refused before admission.
+    ver = spark.createDataFrame([(1, "e0@example.org", "1", None, "ok")],
+                                "intento_id long, email string, codigo string, id_otp long, veredicto string")
+    v = J.lotes(spark, raiz, lectores.lote_explode(lectores.anidar_lotes(t["lote_fila"])), "2024-02-01 00:00:00", ver)
+    res = almacen.leer_anexo(spark, raiz, "resultados")
+    assert {r.empresa_id for r in res.where("motivo = 'no_autorizado'").collect()} <= {1, 2}
+    assert res.where("motivo = 'no_autorizado' AND empresa_id = 0").count() == 0
+    assert res.count() == t["lote_fila"].select("lote_id").distinct().count()
     v = J.pagos_lote(spark, raiz, t["pago_lote_solicitud"], "2024-02-01 00:00:00")
     v = J.decisiones_lote(spark, raiz, t["decision_lote"], "2024-02-02 00:00:00")
     v = J.ofertas(spark, raiz, t["oferta_borrador"], t["oferta_edicion"], t["toggle_oferta"], "2024-02-02 00:00:00")
