@@ -66,32 +66,27 @@ def ofertas_panel(t) -> DataFrame:
     return _ofertas_con_curso(t, True).select("capofcodigo", "capnombre", "capofcupos")
 
 
-def ofertas_todas(t) -> DataFrame:
-    """J4 + A2 + O1: every offer with course, dates, flags and enrolled count, newest id first."""
+def _ofertas_todas_base(t) -> DataFrame:
     base = _ofertas_con_curso(t, False)
     n = inscritos_por_oferta(t)
-    return (
-        base.join(n, "capofcodigo", "left")
-        .select(
-            "capofcodigo",
-            "capnombre",
-            "capoffecha_inicio",
-            "capoffecha_fin",
-            "capofcupos",
-            "capofestatus",
-            "cupos_bloqueados",
-            F.coalesce(F.col("inscritos"), F.lit(0)).alias("inscritos"),
-        )
-        .orderBy(F.col("capofcodigo").desc())
+    return base.join(n, "capofcodigo", "left").select(
+        "capofcodigo", "capnombre", "capoffecha_inicio", "capoffecha_fin", "capofcupos", "capofestatus",
+        "cupos_bloqueados", F.coalesce(F.col("inscritos"), F.lit(0)).alias("inscritos"),
     )
 
 
+def ofertas_todas(t) -> DataFrame:
+    """J4 + A2 + O1: every offer with course, dates, flags and enrolled count, newest id first."""
+    return _ofertas_todas_base(t).orderBy(F.col("capofcodigo").desc())
+
+
 def ofertas_etiquetas(t) -> DataFrame:
-    """The labels the offer pages print next to each offer."""
-    activas = ofertas_activas(t).select("capofcodigo", "cupos_restantes")
+    """The labels the offer pages print next to each offer. Seats left
+    (the public pages' figure) exist for active offers only; one enrolment count serves both."""
+    restantes = F.when(F.col("capofestatus") == 1, F.col("capofcupos") - F.col("inscritos"))
     return (
-        ofertas_todas(t)
-        .join(activas, "capofcodigo", "left")
+        _ofertas_todas_base(t)
+        .withColumn("cupos_restantes", restantes)
         .select(
             "capofcodigo",
             E.fecha_local("capoffecha_inicio").alias("inicio_texto"),

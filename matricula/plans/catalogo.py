@@ -141,13 +141,13 @@ def _participantes_etiquetas(spark, sf):
 @consulta("cursos_unicos", W(*_GRID_VISTAS) + "SELECT DISTINCT c.capnombre" + _GRID_FROM
           + "\nWHERE c.capnombre IS NOT NULL AND c.capnombre <> ''")
 def _cursos_unicos(spark, sf):
-    return C.cursos_unicos(C.participantes(tablas(spark, sf)))
+    return C.cursos_unicos(C.participantes_base(tablas(spark, sf)))
 
 
 @consulta("empresas_unicas", W(*_GRID_VISTAS) + "SELECT DISTINCT ce.empresa_nombre" + _GRID_FROM
           + "\nWHERE ce.empresa_nombre IS NOT NULL AND ce.empresa_nombre <> ''")
 def _empresas_unicas(spark, sf):
-    return C.empresas_unicas(C.participantes(tablas(spark, sf)))
+    return C.empresas_unicas(C.participantes_base(tablas(spark, sf)))
 
 
 @consulta("datos_correo", W("inscripcion", "persona", "capacitacion_oferta", "capacitacion") + """
