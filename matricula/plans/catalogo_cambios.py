@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from ..operators import admision as A
+from ..operators import cambios as K
+from ..operators import lotes as L
 from ..operators import validacion as V
+from ..sources import lectores as S
 from .registro import W, consulta, tablas
 from .texto import como_texto, d, ts
 
+# Batch time stamped on rows the database dates with its own clock (fixed for reproducibility).
+HORA_CAMBIOS = "2024-02-01 00:00:00"
+
 
 def _vacio(c: str) -> str:
     return f"({c} IS NULL OR CAST({c} AS VARCHAR) = '')"
@@ -50,11 +56,12 @@ cod AS (SELECT solicitud_id,
 
 
 def _registro_ctes(*mas: str) -> str:
+    """Validation + admission CTEs of the registration batch (``val``, ..., ``res``)."""
     return W(
-    "solicitud_registro", "capacitacion_oferta", "inscripcion", *mas,
-    extra=f"val AS (SELECT s.*, {_MOTIVO_REGISTRO} AS motivo FROM solicitud_registro s),"
-    + _admision_ctes("SELECT solicitud_id, doc, capacitacion AS oferta, recibido_en AS en FROM val WHERE motivo IS NULL")
-    + """,
+        "solicitud_registro", "capacitacion_oferta", "inscripcion", *mas,
+        extra=f"val AS (SELECT s.*, {_MOTIVO_REGISTRO} AS motivo FROM solicitud_registro s),"
+        + _admision_ctes("SELECT solicitud_id, doc, capacitacion AS oferta, recibido_en AS en FROM val WHERE motivo IS NULL")
+        + """,
 res AS (SELECT a.solicitud_id, a.doc, a.oferta, a.motivo, c.inscodigo FROM adm a LEFT JOIN cod c USING (solicitud_id)
         UNION ALL
         SELECT solicitud_id, doc, capacitacion, motivo, NULL FROM val WHERE motivo IS NOT NULL)""",
@@ -151,11 +158,7 @@ def _admision_rapida(spark, sf):
 
 # ---------------------------------------------------------------- company lots
 
-from ..operators import lotes as L  # noqa: E402
-from ..sources import lectores as S  # noqa: E402
 
-# Batch time stamped on rows the database dates with its own clock (fixed for reproducibility).
-HORA_CAMBIOS = "2024-02-01 00:00:00"
 
 
 @consulta("lote_explode", W("lote_fila") + """
@@ -221,7 +224,6 @@ def _persona_tras_lotes(spark, sf):
 
 # ---------------------------------------------------------------- payments and decisions
 
-from ..operators import cambios as K  # noqa: E402
 
 _HORA_SQL = f"TIMESTAMP '{HORA_CAMBIOS}'"
 _PAGO_COLS = "pago_inscodigo, pago_empresa_id, titular_nombre, titular_apellido, titular_telefono, banco_origen, referencia"
