@@ -7,6 +7,7 @@ from ..operators import cambios as K
 from ..operators import lotes as L
 from ..operators import validacion as V
 from ..sources import lectores as S
+from ..sources import preparacion as P
 from .registro import W, consulta, tablas
 from .texto import como_texto, d, ts
 
@@ -191,32 +192,99 @@ def _lote_ya_inscritos(spark, sf):
     return L.lote_ya_inscritos(tablas(spark, sf), tablas(spark, sf)["lote_fila"])
 
 
+# The sequential lot semantics written directly as a recursive query (an oracle independent of
+# the set-based shortcuts of ``lotes.decidir_lotes``): per offer, lots in order; state = seats
+# left and the documents admitted so far in the batch.
+_LOTES_CTES = W("lote_fila", "inscripcion", "capacitacion_oferta", extra=f"""
+e0 AS (SELECT DISTINCT ins_perdoc AS doc, ins_oferta AS oferta FROM inscripcion),
+ldocs AS (SELECT DISTINCT d.lote_id, d.oferta, d.doc, e.doc IS NOT NULL AS en_e0
+          FROM lote_fila d LEFT JOIN e0 e ON e.doc = d.doc AND e.oferta = d.oferta),
+lot AS (SELECT l.lote_id, l.oferta, l.empresa_id, l.filas, coalesce(y.ya0, 0) AS ya0,
+               coalesce(y.nuevos_docs, CAST([] AS VARCHAR[])) AS nuevos_docs,
+               row_number() OVER (PARTITION BY l.oferta ORDER BY l.lote_id) AS k
+        FROM (SELECT lote_id, oferta, empresa_id, COUNT(*) AS filas FROM lote_fila GROUP BY lote_id, oferta, empresa_id) l
+        LEFT JOIN (SELECT lote_id, count(*) FILTER (WHERE en_e0) AS ya0, list(doc) FILTER (WHERE NOT en_e0) AS nuevos_docs
+                   FROM ldocs GROUP BY lote_id) y ON y.lote_id = l.lote_id),
+estl AS (SELECT co.capofcodigo AS oferta, coalesce(co.capofcupos, 0) - coalesce(n.n, 0) AS rest,
+                coalesce(co.cupos_bloqueados = 1, false) AS bloqueada
+         FROM capacitacion_oferta co
+         LEFT JOIN (SELECT ins_oferta, COUNT(*) AS n FROM inscripcion GROUP BY ins_oferta) n ON n.ins_oferta = co.capofcodigo),
+scan(oferta, k, rest, existe, bloqueada, admitidos, lote_id, motivo, nuevos) AS (
+  SELECT o.oferta, CAST(0 AS BIGINT), CAST(coalesce(e.rest, 0) AS BIGINT), e.oferta IS NOT NULL,
+         coalesce(e.bloqueada, false), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT)
+  FROM (SELECT DISTINCT oferta FROM lot) o LEFT JOIN estl e ON e.oferta = o.oferta
+  UNION ALL
+  SELECT z.oferta, z.k, z.rest - CASE WHEN z.motivo = 'ok' THEN len(z.frescos) ELSE 0 END, z.existe, z.bloqueada,
+         CASE WHEN z.motivo = 'ok' THEN list_concat(z.admitidos, z.frescos) ELSE z.admitidos END,
+         z.lote_id, z.motivo, CASE WHEN z.motivo = 'ok' THEN len(z.frescos) ELSE 0 END
+  FROM (SELECT w.*, CASE WHEN w.need <= 0 THEN 'ok' WHEN NOT w.existe THEN 'no_existe' WHEN w.bloqueada THEN 'pausada'
+                         WHEN w.rest < w.need THEN 'sin_cupos' ELSE 'ok' END AS motivo
+        FROM (SELECT s.oferta, l.k, s.rest, s.existe, s.bloqueada, s.admitidos, l.lote_id,
+                     l.filas - l.ya0 - len(list_filter(l.nuevos_docs, lambda x: list_contains(s.admitidos, x))) AS need,
+                     list_filter(l.nuevos_docs, lambda x: NOT list_contains(s.admitidos, x)) AS frescos
+              FROM scan s JOIN lot l ON l.oferta = s.oferta AND l.k = s.k + 1) w) z),
+dec AS (SELECT l.lote_id, l.oferta, l.empresa_id, l.filas, s.motivo, s.nuevos FROM scan s JOIN lot l ON l.lote_id = s.lote_id),
+acc AS (SELECT lote_id FROM dec WHERE motivo = 'ok'),
+filas_ok AS (SELECT f.* FROM lote_fila f JOIN acc a ON a.lote_id = f.lote_id),
+primeras AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY f.doc, f.oferta ORDER BY f.lote_id, f.fila) AS r
+                            FROM filas_ok f
+                            WHERE NOT EXISTS (SELECT 1 FROM e0 WHERE e0.doc = f.doc AND e0.oferta = f.oferta)) z
+             WHERE r = 1)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _lotes(spark, sf):
     t = tablas(spark, sf)
     filas = S.lote_explode(S.anidar_lotes(t["lote_fila"]))
     return t, filas, L.admision_lotes(t, filas)
 
 
-@consulta("admision_lotes")
+@consulta("admision_lotes", _LOTES_CTES + "SELECT lote_id, oferta, empresa_id, filas, motivo, nuevos FROM dec")
 def _admision_lotes(spark, sf):
-    """W5 greedy per-offer scan: not expressible as one SQL query (checked against a
-    sequential model in tests)."""
+    """Set-based pre-decisions plus the greedy per-offer scan (the oracle is the sequential
+    semantics as a recursive query)."""
     return _lotes(spark, sf)[2]
 
 
-@consulta("inscripcion_tras_lotes")
+@consulta("inscripcion_tras_lotes", _LOTES_CTES + f"""
+SELECT inscodigo, ins_perdoc, ins_oferta, ins_empresa_id, ins_estado, {ts('ins_fecha')} FROM (
+  SELECT * FROM inscripcion
+  UNION ALL
+  SELECT (SELECT coalesce(max(inscodigo), 0) FROM inscripcion) + row_number() OVER (ORDER BY lote_id, fila),
+         doc, oferta, empresa_id, 'pendiente', TIMESTAMP '{HORA_CAMBIOS}'
+  FROM primeras) u""")
 def _inscripcion_tras_lotes(spark, sf):
     t, filas, dec = _lotes(spark, sf)
     return como_texto(L.inscripcion_tras_lotes(t, filas, dec, HORA_CAMBIOS))
 
 
-@consulta("academico_tras_lotes")
+@consulta("academico_tras_lotes", _LOTES_CTES + """,
+persona_capacitacion AS (SELECT ins_perdoc AS pcap_perdoc, ins_oferta AS pcap_oferta FROM inscripcion)
+SELECT pcap_perdoc, pcap_oferta FROM persona_capacitacion UNION ALL SELECT doc, oferta FROM primeras""")
 def _academico_tras_lotes(spark, sf):
     t, filas, dec = _lotes(spark, sf)
     return L.academico_tras_lotes(t, filas, dec)
 
 
-@consulta("persona_tras_lotes")
+@consulta("persona_tras_lotes", _LOTES_CTES.replace("WITH RECURSIVE ", "WITH RECURSIVE persona AS ("
+                                                    + P.sql_duckdb("persona") + "),\n", 1) + f""",
+ult AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY doc ORDER BY lote_id DESC, fila DESC) AS r
+                       FROM filas_ok f) z WHERE r = 1),
+pri AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY doc ORDER BY lote_id, fila) AS r
+                       FROM filas_ok f) z WHERE r = 1)
+SELECT pertipodoc, perdoc, pernombre, perapellido, {d('perfechanac')}, pertelefono, peremail, perpais, perciudad FROM (
+  SELECT p.pertipodoc, p.perdoc,
+         CASE WHEN u.doc IS NULL THEN p.pernombre ELSE u.nombre END AS pernombre,
+         CASE WHEN u.doc IS NULL THEN p.perapellido ELSE u.apellido END AS perapellido,
+         CASE WHEN u.doc IS NULL THEN p.perfechanac ELSE TRY_CAST(u.fechanac AS DATE) END AS perfechanac,
+         CASE WHEN u.doc IS NULL THEN p.pertelefono ELSE u.telefono END AS pertelefono,
+         CASE WHEN u.doc IS NULL THEN p.peremail ELSE u.email END AS peremail,
+         CASE WHEN u.doc IS NULL THEN p.perpais ELSE u.pais END AS perpais,
+         CASE WHEN u.doc IS NULL THEN p.perciudad ELSE u.ciudad END AS perciudad
+  FROM persona p LEFT JOIN ult u ON u.doc = p.perdoc
+  UNION ALL
+  SELECT pr.tipodoc, u.doc, u.nombre, u.apellido, TRY_CAST(u.fechanac AS DATE), u.telefono, u.email, u.pais, u.ciudad
+  FROM ult u JOIN pri pr ON pr.doc = u.doc
+  WHERE NOT EXISTS (SELECT 1 FROM persona p WHERE p.perdoc = u.doc)) x""")
 def _persona_tras_lotes(spark, sf):
     t, filas, dec = _lotes(spark, sf)
     return como_texto(L.persona_tras_lotes(t, filas, dec))
