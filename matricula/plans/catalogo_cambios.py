@@ -56,17 +56,19 @@ cod AS (SELECT solicitud_id,
         FROM adm WHERE motivo = 'ok')"""
 
 
-def _registro_ctes(*mas: str) -> str:
-    """Validation + admission CTEs of the registration batch (``val``, ..., ``res``)."""
-    return W(
-        "solicitud_registro", "capacitacion_oferta", "inscripcion", *mas,
-        extra=f"val AS (SELECT s.*, {_MOTIVO_REGISTRO} AS motivo FROM solicitud_registro s),"
-        + _admision_ctes("SELECT solicitud_id, doc, capacitacion AS oferta, recibido_en AS en FROM val WHERE motivo IS NULL")
-        + """,
+# Validation + admission CTEs of the registration batch (``val``, ..., ``res``).
+_REGISTRO_EXTRA = (
+    f"val AS (SELECT s.*, {_MOTIVO_REGISTRO} AS motivo FROM solicitud_registro s),"
+    + _admision_ctes("SELECT solicitud_id, doc, capacitacion AS oferta, recibido_en AS en FROM val WHERE motivo IS NULL")
+    + """,
 res AS (SELECT a.solicitud_id, a.doc, a.oferta, a.motivo, c.inscodigo FROM adm a LEFT JOIN cod c USING (solicitud_id)
         UNION ALL
-        SELECT solicitud_id, doc, capacitacion, motivo, NULL FROM val WHERE motivo IS NOT NULL)""",
-    )
+        SELECT solicitud_id, doc, capacitacion, motivo, NULL FROM val WHERE motivo IS NOT NULL)"""
+)
+
+
+def _registro_ctes(*mas: str) -> str:
+    return W("solicitud_registro", "capacitacion_oferta", "inscripcion", *mas, extra=_REGISTRO_EXTRA)
 
 
 _REGISTRO_CTES = _registro_ctes()
@@ -421,10 +423,11 @@ def _lote_tras_aprobar(spark, sf):
     return como_texto(K.aprobar_lotes(t, _lote_decision(t, "aprobar")))
 
 
-_RECHAZO_LOTE_CTES = W("inscripcion", "decision_lote", "pago_reportado", extra="""
+_RECHAZO_LOTE_EXTRA = """
 rl AS (SELECT DISTINCT empresa_id, oferta FROM decision_lote WHERE decision = 'rechazar'),
 rev AS (SELECT i.inscodigo, i.ins_empresa_id, i.ins_oferta FROM inscripcion i JOIN rl
-          ON rl.empresa_id = i.ins_empresa_id AND rl.oferta = i.ins_oferta WHERE i.ins_estado = 'en_revision')""")
+          ON rl.empresa_id = i.ins_empresa_id AND rl.oferta = i.ins_oferta WHERE i.ins_estado = 'en_revision')"""
+_RECHAZO_LOTE_CTES = W("inscripcion", "decision_lote", "pago_reportado", extra=_RECHAZO_LOTE_EXTRA)
 
 
 @consulta("lote_tras_rechazo", _RECHAZO_LOTE_CTES + _estado_sql("inscodigo IN (SELECT inscodigo FROM rev)", "rechazado"))
@@ -449,8 +452,9 @@ def _lote_rechazo_resultado(spark, sf):
     return K.rechazar_lotes(t, _lote_decision(t, "rechazar"))["resultado"]
 
 
-_ELIM_CTES = W("inscripcion", "eliminacion", "pago_reportado", "persona_capacitacion", extra="""
-hall AS (SELECT inscodigo, ins_perdoc, ins_oferta FROM inscripcion WHERE inscodigo IN (SELECT inscodigo FROM eliminacion))""")
+_ELIM_EXTRA = """
+hall AS (SELECT inscodigo, ins_perdoc, ins_oferta FROM inscripcion WHERE inscodigo IN (SELECT inscodigo FROM eliminacion))"""
+_ELIM_CTES = W("inscripcion", "eliminacion", "pago_reportado", "persona_capacitacion", extra=_ELIM_EXTRA)
 
 
 def _elim(spark, sf):
@@ -493,8 +497,8 @@ _MOTIVO_OFERTA = (
 )
 _ILEGIBLE = ("(TRY_CAST(CAST(fecha_inicio AS VARCHAR) AS DATE) IS NULL OR "
              "TRY_CAST(CAST(fecha_fin AS VARCHAR) AS DATE) IS NULL)")
-_CREAR_CTES = W("oferta_borrador", "capacitacion_oferta",
-                extra=f"ov AS (SELECT b.*, {_MOTIVO_OFERTA} AS motivo, {_ILEGIBLE} AS fecha_ilegible FROM oferta_borrador b)")
+_CREAR_EXTRA = f"ov AS (SELECT b.*, {_MOTIVO_OFERTA} AS motivo, {_ILEGIBLE} AS fecha_ilegible FROM oferta_borrador b)"
+_CREAR_CTES = W("oferta_borrador", "capacitacion_oferta", extra=_CREAR_EXTRA)
 
 
 def _crear(spark, sf):
@@ -575,7 +579,7 @@ def _persona_tras_editar(spark, sf):
 
 # The sequential first-wins rule as a recursive query over the requests in arrival order
 # (state: documents and e-mails taken so far), independent of the rounds of ``alta_contactos``.
-_CONTACTOS_CTES = W("contacto_alta", "contacto_empresa", extra=f"""
+_CONTACTOS_EXTRA = f"""
 va AS (SELECT a.*, row_number() OVER (ORDER BY en, solicitud_id) AS k FROM contacto_alta a
        WHERE NOT ({_vacio('empresa_nombre')} OR {_vacio('emp_tipodoc')} OR {_vacio('emp_doc')} OR {_vacio('emp_nombre')} OR {_vacio('emp_apellido')} OR {_vacio('emp_email')} OR {_vacio('emp_telefono')})),
 seq(k, docs, mails, solicitud_id, ok) AS (
@@ -589,7 +593,8 @@ seq(k, docs, mails, solicitud_id, ok) AS (
         FROM seq s JOIN va v ON v.k = s.k + 1) z),
 nuevos AS (SELECT (SELECT coalesce(max(id_contacto), 0) FROM contacto_empresa)
                   + row_number() OVER (ORDER BY v.en, v.solicitud_id) AS id_contacto, v.*
-           FROM va v JOIN seq s ON s.solicitud_id = v.solicitud_id WHERE s.ok)""").replace("WITH ", "WITH RECURSIVE ", 1)
+           FROM va v JOIN seq s ON s.solicitud_id = v.solicitud_id WHERE s.ok)"""
+_CONTACTOS_CTES = W("contacto_alta", "contacto_empresa", extra=_CONTACTOS_EXTRA).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @consulta("contactos_tras_alta", _CONTACTOS_CTES + f"""

@@ -16,7 +16,9 @@ from ..sesion import asegurar_checkpoint
 from ..sources import almacen, lectores
 from ..sources import preparacion as P
 from ..sources.esquemas import TABLAS
-from .catalogo_cambios import HORA_CAMBIOS, _vacio
+from .catalogo_cambios import (
+    _CONTACTOS_EXTRA, _CREAR_EXTRA, _ELIM_EXTRA, _MOTIVO_OFERTA, _RECHAZO_LOTE_EXTRA, _REGISTRO_EXTRA, HORA_CAMBIOS, _vacio,
+)
 from .registro import ORACULO, W, consulta, tablas
 from .texto import como_texto, ts
 
@@ -178,11 +180,46 @@ def _outbox_lotes(spark, sf):
 
 # ---------------------------------------------------------------- audit
 
-@consulta("auditoria")
+_AUDIT_SQL = W(
+    "solicitud_registro", "capacitacion_oferta", "inscripcion", "oferta_borrador", "toggle_oferta", "oferta_edicion",
+    "eliminacion", "decision_lote", "persona", "capacitacion", "contacto_alta", "contacto_empresa",
+    extra=",\n".join(x.strip() for x in [_REGISTRO_EXTRA, _CREAR_EXTRA, _RECHAZO_LOTE_EXTRA, _ELIM_EXTRA, _CONTACTOS_EXTRA]),
+).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT {ts('ts')}, accion, actor, entidad, entidad_id, detalle FROM (
+  SELECT CAST(s.recibido_en AS TIMESTAMP) AS ts, 'NUEVO_REGISTRO' AS accion, 'publico' AS actor, 'inscripcion' AS entidad,
+         r.doc AS entidad_id, CAST(r.oferta AS VARCHAR) AS detalle
+  FROM res r JOIN solicitud_registro s USING (solicitud_id) WHERE r.motivo = 'ok'
+  UNION ALL
+  SELECT TIMESTAMP '{HORA_CAMBIOS}', 'CREACION_OFERTA', 'admin', 'capacitacion', CAST(capofcapcodigo AS VARCHAR), NULL
+  FROM ov WHERE motivo IS NULL
+  UNION ALL
+  SELECT CAST(g.en AS TIMESTAMP), 'ESTATUS_MODIFICADO', 'admin', 'capacitacion_oferta', CAST(g.capofcodigo AS VARCHAR), NULL
+  FROM toggle_oferta g WHERE g.campo = 'estatus' AND g.capofcodigo IN (SELECT capofcodigo FROM capacitacion_oferta)
+  UNION ALL
+  SELECT CAST(en AS TIMESTAMP), 'OFERTA_EDITADA', 'admin', 'capacitacion_oferta', CAST(capofcodigo AS VARCHAR), NULL
+  FROM oferta_edicion WHERE ({_MOTIVO_OFERTA}) IS NULL
+  UNION ALL
+  SELECT TIMESTAMP '{HORA_CAMBIOS}', 'PARTICIPANTE_ELIMINADO', 'admin', 'inscripcion', CAST(inscodigo AS VARCHAR), NULL
+  FROM hall
+  UNION ALL
+  SELECT TIMESTAMP '{HORA_CAMBIOS}', 'LOTE_APROBADO', 'admin', 'contacto_empresa', CAST(a.empresa_id AS VARCHAR),
+         CAST(coalesce(n.n, 0) AS VARCHAR)
+  FROM (SELECT DISTINCT empresa_id, oferta FROM decision_lote WHERE decision = 'aprobar') a
+  LEFT JOIN (SELECT i.ins_empresa_id, i.ins_oferta, COUNT(*) AS n
+             FROM inscripcion i JOIN persona p ON i.ins_perdoc = p.perdoc
+             JOIN capacitacion_oferta co ON i.ins_oferta = co.capofcodigo JOIN capacitacion c ON co.capofcapcodigo = c.capcodigo
+             GROUP BY 1, 2) n ON n.ins_empresa_id = a.empresa_id AND n.ins_oferta = a.oferta
+  UNION ALL
+  SELECT TIMESTAMP '{HORA_CAMBIOS}', 'PAGO_B2B_RECHAZADO', 'admin', 'contacto_empresa', CAST(ins_empresa_id AS VARCHAR),
+         NULL FROM (SELECT DISTINCT ins_empresa_id, ins_oferta FROM rev) r
+  UNION ALL
+  SELECT CAST(en AS TIMESTAMP), 'NUEVA_EMPRESA', 'admin', 'contacto_empresa', empresa_nombre, NULL FROM nuevos) u"""
+
+
+@consulta("auditoria", _AUDIT_SQL)
 def _auditoria(spark, sf):
     """One row per business action of the batches (registrations, offer creation, edits and
-    toggles, deletions, lot approvals and rejections, new company contacts). Includes W21, so
-    rows-only."""
+    toggles, deletions, lot approvals and rejections, new company contacts)."""
     from ..operators import admision as A
 
     t = tablas(spark, sf)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import admision as A
 from ..operators import cambios as K
+from ..operators import consultas as C
 from ..operators import lotes as L
 from ..operators import otp as O
 from ..operators import salidas as X
@@ -114,10 +115,13 @@ def decisiones_lote(spark: SparkSession, raiz: str, decision: DataFrame, ahora=N
     rechazados = res.where(F.col("motivo") == "ok")
     ins = K.aprobar_lotes({"inscripcion": r["inscripcion"]}, ap)
     hora = F.lit(_ahora(ahora))
-    audit = ap.select("empresa_id", "oferta").distinct().select(
-        *X.auditoria(hora, "LOTE_APROBADO", "admin", "contacto_empresa", "empresa_id", F.col("oferta"))
+    # Approval rows carry the number of employees notified, as the application logs it.
+    n = C.correos_lote(t, ap).groupBy(F.col("ins_empresa_id").alias("empresa_id"), F.col("ins_oferta").alias("oferta")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    audit = ap.select("empresa_id", "oferta").distinct().join(n, ["empresa_id", "oferta"], "left").select(
+        *X.auditoria(hora, "LOTE_APROBADO", "admin", "contacto_empresa", "empresa_id", F.coalesce(F.col("n"), F.lit(0)))
     ).unionByName(rechazados.select(
-        *X.auditoria(hora, "PAGO_B2B_RECHAZADO", "admin", "contacto_empresa", "empresa_id", F.col("oferta"))
+        *X.auditoria(hora, "PAGO_B2B_RECHAZADO", "admin", "contacto_empresa", "empresa_id")
     ))
     return almacen.confirmar(spark, raiz, {"pago_reportado": r["pago_reportado"], "inscripcion": ins}, anexos={
         "resultados": res, "outbox": X.outbox_lotes(t, None, ap, rechazados), "auditoria": audit,
