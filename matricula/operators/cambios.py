@@ -288,7 +288,7 @@ def alta_contactos(t, altas: DataFrame, max_rondas: int | None = None) -> dict[s
         pend = pend.join(ganan.select("emp_doc").distinct(), "emp_doc", "left_anti") \
             .join(ganan.select("emp_email").distinct(), "emp_email", "left_anti").checkpoint(eager=True)
     if aceptados is None:
-        aceptados = buenos.limit(0)
+        aceptados = buenos.where(F.lit(False))
     num = numerar(aceptados, ["en", "solicitud_id"], "rn")
     base = mayor_valor(ce, "id_contacto")
     nuevos = num.select(

@@ -236,7 +236,7 @@ primeras AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY f.doc, f
 
 def _lotes(spark, sf):
     t = tablas(spark, sf)
-    filas = S.lote_explode(S.anidar_lotes(t["lote_fila"]))
+    filas = t["lote_fila"]
     return t, filas, L.admision_lotes(t, filas)
 
 

@@ -56,7 +56,8 @@ def lote_explode(lotes: DataFrame) -> DataFrame:
 
 def anidar_lotes(filas: DataFrame) -> DataFrame:
     """Inverse of ``lote_explode`` for flat lot rows (``lote_fila``): one record per lot, the
-    employee array in row order. A lot is one request body, so its array is bounded by it."""
+    employee array in row order. A lot is one request body, which the application's JSON body
+    parser caps (100 KB by default), so each array is bounded by that request size."""
     emp = F.struct(*[F.col(c) for c in ["fila", "tipodoc", "doc", "nombre", "apellido", "telefono", "email",
                                           "fechanac", "pais", "ciudad"]])
     return filas.groupBy("lote_id", "empresa_id", "oferta").agg(
