@@ -32,3 +32,28 @@ def test_admision_sin_ventana_por_oferta(spark):
     for linea in plan.splitlines():
         if "windowspecdefinition(" in linea and "oferta" in linea:
             assert "__blq" in linea, linea
+
+
+def test_grilla_a_escala_emulada(spark):
+    """With the broadcast threshold below the big tables' size, people and payments are joined by
+    sort-merge; small dimensions stay broadcast; the ordering is one range-partitioned sort."""
+    dest = tempfile.mkdtemp(prefix="planes2-", dir=os.environ.get("TMPDIR", "/tmp"))
+    almacen.materializar(preparacion.cargar(spark, SF), list(TABLAS), dest)
+    t = almacen.abrir(spark, dest)
+    claves = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    antes = {k: spark.conf.get(k, None) for k in claves}
+    try:
+        for k in claves:
+            spark.conf.set(k, str(8 * 1024))
+        df = C.participantes(t)
+        df.write.format("noop").mode("overwrite").save()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in antes.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert "SortMergeJoin [inscodigo" in plan or "SortMergeJoin [ins_perdoc" in plan
+    assert "BroadcastHashJoin" in plan  # the course catalogue is tiny
+    assert plan.count("rangepartitioning(") == 1
