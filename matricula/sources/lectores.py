@@ -48,7 +48,8 @@ def leer_lotes(spark: SparkSession, ruta: str) -> DataFrame:
 
 
 def lote_explode(lotes: DataFrame) -> DataFrame:
-    """S3: flatten nested lots to one row per employee with its position in the list."""
+    """S3: flatten nested lots to one row per employee with its position in the list. A lot
+    with an empty list yields no rows: the application refuses it and changes nothing."""
     return lotes.select(
         "lote_id", "empresa_id", "oferta", F.posexplode("empleados").alias("posicion", "e")
     ).select("lote_id", "empresa_id", "oferta", "posicion", "e.*")
