@@ -116,11 +116,17 @@ def near_duplicates(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     Rows with a null id get the component of their fingerprint (null if it has no other id)."""
     fps = cut(fps.select("doc_id", "fp"))
     own = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    cells = _cells(own.select("fp"), max_bits)
-    shared = cells.groupBy("cell").agg(F.min("fp").alias("pivot"), F.max("fp").alias("top")).where("pivot != top")
-    members = cut(cells.join(shared.select("cell", "pivot"), "cell"))
+    wide = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small table that the cells make large
+    cells = _cells(own.select("fp").repartition(wide, "fp"), max_bits)
+    # A fingerprint is in a cell once, so a cell of two is settled by its two ends; larger ones get their members.
+    shared = cut(
+        cells.groupBy("cell").agg(F.min("fp").alias("pivot"), F.max("fp").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    )
+    near_ends = bits_apart(F.col("pivot"), F.col("top")) <= max_bits
+    pairs = shared.where((F.col("n") == 2) & near_ends).select(F.col("pivot").alias("a"), F.col("top").alias("b"))
+    members = cut(cells.join(shared.where("n > 2").select("cell", "pivot"), "cell"))
     star = members.where((F.col("fp") != F.col("pivot")) & (bits_apart(F.col("fp"), F.col("pivot")) <= max_bits))
-    by_star = cut(components(star.select(F.col("pivot").alias("a"), F.col("fp").alias("b"))))
+    by_star = cut(components(pairs.unionByName(star.select(F.col("pivot").alias("a"), F.col("fp").alias("b")))))
 
     placed = members.join(by_star, members.fp == by_star.node, "left").select(
         "cell", "fp", F.coalesce("label", "fp").alias("label")
