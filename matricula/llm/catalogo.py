@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matricula.llm import bpe, simhash
+from matricula.llm import bpe, licences, quality, simhash, warc
 from matricula.sesion import aplicar_ajustes
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -18,6 +18,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document, by a decision list learned from all rows of ``labels``."""
+    return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit record of an archive made from ``pages``, resolved, with its headers as sorted lines."""
+    records = warc.records_of_pages(_table(spark, sf_dir, "pages"))
+    return warc.resolved_text(warc.resolve_revisits(records))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph of ``documents`` that reads as a licence notice, with its family."""
+    return licences.licence_notices(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 4-word shingles, links at 4 or fewer bits."""
     return simhash.simhash_near_dedup(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
@@ -29,6 +45,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRO: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_simhash_near_dedup, op10_byte_bpe)
+    f.__name__: f for f in (op3_quality_rules, op7_warc_revisits, op8_licences, op9_simhash_near_dedup, op10_byte_bpe)
 }
-ORACULO: dict[str, str] = {}
+ORACULO: dict[str, str] = {"op7_warc_revisits": warc.ORACLE_SQL}
