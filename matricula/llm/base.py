@@ -54,14 +54,27 @@ def string_offsets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _byte_set(values) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(values)] = True
+    return table
+
+
+BLANK = _byte_set(SPACES)
+#: Everything in ASCII but letters and digits; bytes of other characters count as letters.
+NO_LETTER = _byte_set(b for b in range(128) if not chr(b).isalnum())
+
+
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    return data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
+
+
+def word_bounds(data: np.ndarray, off: np.ndarray, apart: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and for each row the number of words before it (n + 1 entries).
-    A word never crosses a row."""
+    ``apart``: the bytes that separate words. A word never crosses a row."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    blank = np.zeros(256, bool)
-    blank[list(SPACES)] = True
-    word = ~blank[data]
+    word = ~apart[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     last = word.copy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matricula.llm import bpe, licences, quality, simhash, warc
+from matricula.llm import bpe, decontam, html, langid, licences, quality, simhash, warc
 from matricula.sesion import aplicar_ajustes
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -18,11 +18,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document, by a decision list learned from all rows of ``labels``."""
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a whole or edited copy of a benchmark item, with the item and the place."""
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from the rows that are not held out."""
+    return langid.predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every revisit record of an archive made from ``pages``, resolved, with its headers as sorted lines."""
     records = warc.records_of_pages(_table(spark, sf_dir, "pages"))
@@ -45,6 +60,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRO: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op7_warc_revisits, op8_licences, op9_simhash_near_dedup, op10_byte_bpe)
+    f.__name__: f
+    for f in (
+        op1_html_main_text, op3_quality_rules, op5_benchmark_decontamination, op6_language_id, op7_warc_revisits,
+        op8_licences, op9_simhash_near_dedup, op10_byte_bpe,
+    )
 }
 ORACULO: dict[str, str] = {"op7_warc_revisits": warc.ORACLE_SQL}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matricula.llm.base import bits_apart, components, cut, pieces, string_offsets, word_bounds
+from matricula.llm.base import bits_apart, components, cut, lower_ascii, pieces, string_offsets, word_bounds
 
 SEED = 42
 GROUPS, SEGMENT = 8, 2
@@ -32,8 +32,7 @@ GROUPS, SEGMENT = 8, 2
 
 def text_fingerprints(data: np.ndarray, off: np.ndarray, shingle: int) -> np.ndarray:
     """SimHash of each text (rows of a byte array): unsigned 64-bit, zero for a text without words."""
-    upper = (data >= 65) & (data <= 90)
-    data = data + (upper.astype(np.uint8) << 5)
+    data = lower_ascii(data)
     start, end, before = word_bounds(data, off)
     out = np.zeros(len(off) - 1, np.uint64)
     if not len(start):
