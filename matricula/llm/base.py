@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,6 +146,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage like ``cut``, as a compressed table in the same shared folder: for larger intermediates.
+    The table stays until the folder is cleaned up."""
+    path = f"{asegurar_checkpoint(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of a link table (``a``, ``b``): one row (``node``, ``label``) per node
     that has a link, ``label`` the smallest node reachable.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matricula.llm import bpe, decontam, html, langid, licences, quality, simhash, warc
+from matricula.llm import bpe, decontam, html, langid, licences, quality, simhash, suffix, warc
 from matricula.sesion import aplicar_ajustes
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -28,6 +28,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of every repeated 400-byte string from every document: sizes, runs and a digest of the rest."""
+    return suffix.digests(_table(spark, sf_dir, "documents"), length=400)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a whole or edited copy of a benchmark item, with the item and the place."""
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -62,7 +67,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRO: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_html_main_text, op3_quality_rules, op5_benchmark_decontamination, op6_language_id, op7_warc_revisits,
+        op1_html_main_text, op3_quality_rules, op4_suffix_dedup, op5_benchmark_decontamination, op6_language_id, op7_warc_revisits,
         op8_licences, op9_simhash_near_dedup, op10_byte_bpe,
     )
 }
