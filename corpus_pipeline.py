@@ -12,12 +12,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matricula.llm import bpe, simhash
+from matricula.llm import bpe, decontam, quality, simhash, substring
 from matricula.sesion import aplicar_ajustes, asegurar_checkpoint
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
+def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the rules learned from ``labels`` reject go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays, the one with the smallest id. Rows that repeat an id
     count once; rows without an id stay."""
@@ -27,12 +32,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that are similar to an earlier one are cut out of their texts."""
+    return substring.remove_passages(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item go. Rows without an id stay."""
+    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and the decoded bytes of each document."""
     return bpe.digests(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("byte_bpe", encode)]
+STAGES = [
+    ("quality_rules", good_text),
+    ("simhash_near_dedup", near_dedup),
+    ("substring_dedup", passage_dedup),
+    ("benchmark_decontamination", without_benchmark),
+    ("byte_bpe", encode),
+]
 
 #: The learned rules and the text operators have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None

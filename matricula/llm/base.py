@@ -108,7 +108,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any byte ranges of one array, by prefix sums of a polynomial modulo 2^64.
+    """Hashes of any ranges of one array (bytes or 64-bit hashes), by prefix sums of a polynomial modulo 2^64.
 
     Bytes go through a table of random 64-bit values first. ``seed`` gives independent hashes.
     """
@@ -117,7 +117,8 @@ class Rolling:
         table = np.random.default_rng(0xC0FFEE + seed).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         base = (BASE ^ (seed * 0x632BE59BD9B4E018)) | 1
         self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(table[data] * powers(base, len(data))[:-1], out=self.prefix[1:])
+        values = table[data] if data.dtype == np.uint8 else data
+        np.cumsum(values * powers(base, len(data))[:-1], out=self.prefix[1:])
         self.shift = powers(pow(base, -1, 1 << 64), len(data))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -154,6 +155,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids of rows that a semi join hands to every task at most (8 bytes each); more are shuffled instead.
+SMALL_IDS = 1_000_000
+
+
+def only(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids``; the keys are sent to every task only if they are counted to be few."""
+    few = ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS
+    return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of a link table (``a``, ``b``): one row (``node``, ``label``) per node
     that has a link, ``label`` the smallest node reachable.

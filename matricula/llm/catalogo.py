@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matricula.llm import bpe, decontam, html, langid, licences, quality, simhash, suffix, warc
+from matricula.llm import bpe, decontam, html, langid, licences, quality, simhash, substring, suffix, warc
 from matricula.sesion import aplicar_ajustes
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -23,6 +23,11 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of every document that is similar to an earlier one, with the documents that hold those."""
+    return substring.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document, by a decision list learned from all rows of ``labels``."""
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -67,7 +72,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRO: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_html_main_text, op3_quality_rules, op4_suffix_dedup, op5_benchmark_decontamination, op6_language_id, op7_warc_revisits,
+        op1_html_main_text, op2_substring_dedup, op3_quality_rules, op4_suffix_dedup, op5_benchmark_decontamination, op6_language_id, op7_warc_revisits,
         op8_licences, op9_simhash_near_dedup, op10_byte_bpe,
     )
 }
