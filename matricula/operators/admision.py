@@ -91,8 +91,10 @@ def con_codigos(t, admitidos: DataFrame) -> DataFrame:
 
 def admision_registro(t, solicitudes: DataFrame) -> DataFrame:
     """Validate, then admit a batch of registration requests. One row per request:
-    ``solicitud_id, doc, oferta, motivo, inscodigo`` (code only for admitted rows)."""
+    ``solicitud_id, doc, oferta, motivo, inscodigo`` (code only for admitted rows). A request without a
+    readable arrival time has no place in the order: it is refused (``sin_fecha``) and takes no seat."""
     val = V.validar_solicitudes(solicitudes)
+    val = val.withColumn("motivo", F.coalesce("motivo", F.when(F.col("recibido_en").isNull(), F.lit("sin_fecha"))))
     malos = val.where(F.col("motivo").isNotNull()).select(
         "solicitud_id", "doc", F.col("capacitacion").alias("oferta"), "motivo"
     )
@@ -105,20 +107,24 @@ def admision_registro(t, solicitudes: DataFrame) -> DataFrame:
     return res.unionByName(malos.withColumn("inscodigo", F.lit(None).cast("long")))
 
 
-def inscripcion_tras_registro(t, resultado: DataFrame, solicitudes: DataFrame) -> DataFrame:
-    """Enrolment table after the batch (new rows: state pendiente, dated at arrival)."""
-    nuevos = resultado.where(F.col("motivo") == "ok").join(
+def inscripciones_nuevas(t, resultado: DataFrame, solicitudes: DataFrame) -> DataFrame:
+    """The new enrolments (state pendiente, dated at arrival)."""
+    return resultado.where(F.col("motivo") == "ok").join(
         solicitudes.select("solicitud_id", "recibido_en"), "solicitud_id", "inner"
     ).select(
         "inscodigo", F.col("doc").alias("ins_perdoc"), F.col("oferta").alias("ins_oferta"),
         F.lit(None).cast("long").alias("ins_empresa_id"), F.lit("pendiente").alias("ins_estado"),
         F.col("recibido_en").cast(t["inscripcion"].schema["ins_fecha"].dataType).alias("ins_fecha"),
     )
-    return t["inscripcion"].unionByName(nuevos)
 
 
-def persona_tras_registro(t, resultado: DataFrame, solicitudes: DataFrame) -> DataFrame:
-    """Insert-if-absent of people (the first arrival wins). A request writes its person once
+def inscripcion_tras_registro(t, resultado: DataFrame, solicitudes: DataFrame) -> DataFrame:
+    """Enrolment table after the batch."""
+    return t["inscripcion"].unionByName(inscripciones_nuevas(t, resultado, solicitudes))
+
+
+def personas_nuevas(t, resultado: DataFrame, solicitudes: DataFrame) -> DataFrame:
+    """People to insert if absent (the first arrival wins). A request writes its person once
     it passed the seat check, i.e. also when the enrolment turns out to be a duplicate."""
     norm = V.solicitudes_normalizadas(solicitudes)
     llegan = resultado.where(F.col("motivo").isin("ok", "duplicado")).select("solicitud_id").join(norm, "solicitud_id")
@@ -130,21 +136,29 @@ def persona_tras_registro(t, resultado: DataFrame, solicitudes: DataFrame) -> Da
     # Documents of the batch that already exist, found by filtering the person table against the
     # batch (not by an anti join that would shuffle the whole table).
     existen = per.select(F.col("perdoc").alias("doc")).join(elegidas.select("doc"), "doc", "left_semi")
-    nuevas = elegidas.join(existen, "doc", "left_anti").select(
+    return elegidas.join(existen, "doc", "left_anti").select(
         F.col("tipodoc").alias("pertipodoc"), F.col("doc").alias("perdoc"), F.col("nombre").alias("pernombre"),
         F.col("apellido").alias("perapellido"), F.col("fechanac").try_cast("date").alias("perfechanac"),
         F.col("telefono").alias("pertelefono"), F.col("email").alias("peremail"), F.col("pais").alias("perpais"),
         F.col("ciudad").alias("perciudad"),
     )
-    return per.unionByName(nuevas)
 
 
-def academico_tras_registro(t, resultado: DataFrame) -> DataFrame:
+def persona_tras_registro(t, resultado: DataFrame, solicitudes: DataFrame) -> DataFrame:
+    """Person table after the batch."""
+    return t["persona"].unionByName(personas_nuevas(t, resultado, solicitudes))
+
+
+def academico_nuevo(resultado: DataFrame) -> DataFrame:
     """Academic record rows for admitted requests."""
-    nuevos = resultado.where(F.col("motivo") == "ok").select(
+    return resultado.where(F.col("motivo") == "ok").select(
         F.col("doc").alias("pcap_perdoc"), F.col("oferta").alias("pcap_oferta")
     )
-    return t["persona_capacitacion"].unionByName(nuevos)
+
+
+def academico_tras_registro(t, resultado: DataFrame) -> DataFrame:
+    """Academic table after the batch."""
+    return t["persona_capacitacion"].unionByName(academico_nuevo(resultado))
 
 
 def admision_rapida(t, pedidos: DataFrame) -> DataFrame:

@@ -51,6 +51,7 @@ def reportar_pagos(t, solicitudes: DataFrame, ahora) -> dict[str, DataFrame]:
     return {
         "resultado": val.select("solicitud_id", "inscodigo", F.coalesce("motivo", F.lit("ok")).alias("motivo")),
         "pago_reportado": t["pago_reportado"].unionByName(nuevos),
+        "pagos_nuevos": nuevos,
         "inscripcion": _con_estado(t["inscripcion"], ok, "en_revision"),
     }
 
@@ -99,6 +100,7 @@ def reportar_pagos_lote(t, solicitudes: DataFrame, ahora) -> dict[str, DataFrame
     return {
         "resultado": resultado,
         "pago_reportado": t["pago_reportado"].unionByName(nuevos),
+        "pagos_nuevos": nuevos,
         "inscripcion": _con_estado(t["inscripcion"], codigos, "en_revision"),
     }
 
@@ -119,6 +121,21 @@ def rechazar_pagos(t, codigos: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def decidir_pagos(t, decisiones: DataFrame) -> dict[str, DataFrame]:
+    """W11 and W12 mixed: ``decisiones(inscodigo, decision, en, solicitud_id)`` applied in arrival order. The
+    last decision of an enrolment sets its state; any rejection deletes its reports."""
+    ultima = decisiones.groupBy("inscodigo").agg(
+        F.max_by("decision", F.struct("en", "solicitud_id")).alias("ultima"),
+        F.max((F.col("decision") == "rechazar").cast("int")).alias("hubo_rechazo"),
+    )
+    return {
+        "pago_reportado": _sin_pagos_de(t["pago_reportado"], ultima.where("hubo_rechazo = 1")),
+        "inscripcion": _con_estado(
+            _con_estado(t["inscripcion"], ultima.where("ultima = 'rechazar'"), "pendiente"),
+            ultima.where("ultima = 'aprobar'"), "conciliado"),
+    }
+
+
 # ------------------------------------------------------------------ W13, W14 lot decisions
 
 def _lote_cols(lotes: DataFrame) -> DataFrame:
@@ -155,6 +172,25 @@ def rechazar_lotes(t, lotes: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def decidir_lotes_pagos(t, decisiones: DataFrame) -> dict[str, DataFrame]:
+    """W13 and W14 mixed: ``decisiones(empresa_id, oferta, decision, en, solicitud_id)`` in arrival order. The first
+    decision of a lot settles its enrolments in review: rejected first, they become rechazado and lose
+    their reports. A later approval reconciles the whole lot (D3); a later rejection finds none in review."""
+    orden = F.struct("en", "solicitud_id")
+    por_lote = decisiones.groupBy("empresa_id", "oferta").agg(
+        F.min_by("decision", orden).alias("primera"), F.max((F.col("decision") == "aprobar").cast("int")).alias("aprobado"))
+    r = rechazar_lotes(t, por_lote.where("primera = 'rechazar'"))
+    primeras = decisiones.join(
+        decisiones.where("decision = 'rechazar'").groupBy("empresa_id", "oferta").agg(F.min(orden).alias("o")), ["empresa_id", "oferta"]
+    ).where((F.col("decision") == "rechazar") & (orden == F.col("o"))).select("empresa_id", "oferta")
+    res = r["resultado"].unionByName(primeras.join(r["resultado"].select("empresa_id", "oferta"), ["empresa_id", "oferta"], "left_anti")
+                                     .select("empresa_id", "oferta", F.lit("sin_en_revision").alias("motivo"), F.lit(0).cast("long").alias("empleados")))
+    return {
+        "resultado": res, "pago_reportado": r["pago_reportado"],
+        "inscripcion": aprobar_lotes({"inscripcion": r["inscripcion"]}, por_lote.where("aprobado = 1")),
+    }
+
+
 # ------------------------------------------------------------------ W15 delete with cascade
 
 def eliminar_inscripciones(t, codigos: DataFrame) -> dict[str, DataFrame]:
@@ -183,8 +219,9 @@ def crear_ofertas(t, borradores: DataFrame) -> dict[str, DataFrame]:
     application leaves ``cupos_bloqueados`` to the column default, taken as 0 (not blocked)."""
     val = V.ofertas_validas(borradores)
     ok = val.where(F.col("motivo").isNull())
-    orden = ["capofcapcodigo", "fecha_inicio", "fecha_fin", "cupos"]
-    num = numerar(ok, orden, "rn")
+    # Arrival order when the drafts carry it (the application numbers them as they come).
+    llegada = [c for c in ("en", "solicitud_id") if c in ok.columns]
+    num = numerar(ok, [*llegada, "capofcapcodigo", "fecha_inicio", "fecha_fin", "cupos"], "rn")
     of = t["capacitacion_oferta"]
     base = mayor_valor(of, "capofcodigo")
     nuevas = num.select(
@@ -261,34 +298,36 @@ def editar_personas(t, ediciones: DataFrame) -> dict[str, DataFrame]:
 CAMPOS_CONTACTO = ["empresa_nombre", "emp_tipodoc", "emp_doc", "emp_nombre", "emp_apellido", "emp_email", "emp_telefono"]
 
 
-def alta_contactos(t, altas: DataFrame, max_rondas: int | None = None) -> dict[str, DataFrame]:
+def alta_contactos(t, altas: DataFrame) -> dict[str, DataFrame]:
     """New company contacts need every field; the document and the e-mail are unique, so a
     request colliding with an existing contact or with an earlier accepted request is refused.
 
     Exact first-wins order without a sequential scan: in each round, a pending request that is
     the earliest of its document group and of its e-mail group is accepted (no earlier request
     can still block it), and requests colliding with those are refused. Every round accepts at
-    least the earliest pending request."""
+    least the earliest pending request; the rounds follow the longest chain of collisions and end
+    when nothing is pending. A round is one checkpoint of its rows."""
     val = altas.withColumn("motivo", F.when(V.falta_alguno(*CAMPOS_CONTACTO), F.lit("faltan_datos")))
     ce = t["contacto_empresa"]
     buenos = val.where(F.col("motivo").isNull()).drop("motivo")
     pend = buenos.join(ce.select(F.col("emp_doc")).distinct(), "emp_doc", "left_anti") \
-        .join(ce.select(F.col("emp_email")).distinct(), "emp_email", "left_anti").checkpoint(eager=True)
-    aceptados = None
+        .join(ce.select(F.col("emp_email")).distinct(), "emp_email", "left_anti")
     orden = F.struct("en", "solicitud_id")
-    ronda = 0
-    while pend.limit(1).count() > 0 and (max_rondas is None or ronda < max_rondas):
-        ronda += 1
-        pd_ = pend.groupBy("emp_doc").agg(F.min(orden).alias("__pd"))
-        pe_ = pend.groupBy("emp_email").agg(F.min(orden).alias("__pe"))
-        marcado = pend.join(pd_, "emp_doc").join(pe_, "emp_email").withColumn("__o", orden)
-        ganan = marcado.where((F.col("__o") == F.col("__pd")) & (F.col("__o") == F.col("__pe"))) \
-            .drop("__pd", "__pe", "__o").checkpoint(eager=True)
-        aceptados = ganan if aceptados is None else aceptados.unionByName(ganan)
-        pend = pend.join(ganan.select("emp_doc").distinct(), "emp_doc", "left_anti") \
-            .join(ganan.select("emp_email").distinct(), "emp_email", "left_anti").checkpoint(eager=True)
-    if aceptados is None:
-        aceptados = buenos.where(F.lit(False))
+    aceptados = buenos.where(F.lit(False))
+    while True:
+        docs = pend.groupBy("emp_doc").agg(F.min(orden).alias("__pd"))
+        correos = pend.groupBy("emp_email").agg(F.min(orden).alias("__pe"))
+        con_orden = pend.join(docs, "emp_doc").join(correos, "emp_email").withColumn(
+            "__gana", (orden == F.col("__pd")) & (orden == F.col("__pe"))).drop("__pd", "__pe")
+        # Whether the document or the e-mail goes to a winner of this round.
+        toma = F.max(F.col("__gana").cast("int"))
+        ronda = con_orden.join(con_orden.groupBy("emp_doc").agg(toma.alias("__td")), "emp_doc") \
+            .join(con_orden.groupBy("emp_email").agg(toma.alias("__te")), "emp_email") \
+            .withColumn("__sigue", (F.col("__td") == 0) & (F.col("__te") == 0)).drop("__td", "__te").checkpoint(eager=True)
+        aceptados = aceptados.unionByName(ronda.where("__gana").select(*buenos.columns))
+        pend = ronda.where("__sigue").select(*buenos.columns)
+        if pend.isEmpty():
+            break
     num = numerar(aceptados, ["en", "solicitud_id"], "rn")
     base = mayor_valor(ce, "id_contacto")
     nuevos = num.select(
@@ -301,9 +340,5 @@ def alta_contactos(t, altas: DataFrame, max_rondas: int | None = None) -> dict[s
         "id_contacto",
     )
     tipo = ce.schema["creado_en"].dataType
-    return {
-        "resultado": resultado,
-        "contacto_empresa": ce.unionByName(
-            nuevos.drop("solicitud_id").withColumn("creado_en", F.col("creado_en").cast(tipo))
-        ),
-    }
+    altas_ = nuevos.drop("solicitud_id").withColumn("creado_en", F.col("creado_en").cast(tipo))
+    return {"resultado": resultado, "contacto_empresa": ce.unionByName(altas_), "contactos_nuevos": altas_}

@@ -215,9 +215,15 @@ def cursos_unicos(grid: DataFrame) -> DataFrame:
     return grid.where(F.col("capnombre").isNotNull() & (F.col("capnombre") != "")).select("capnombre").distinct()
 
 
-def empresas_unicas(grid: DataFrame) -> DataFrame:
-    """Distinct non-empty company names of the grid (filter list)."""
-    return grid.where(F.col("empresa_nombre").isNotNull() & (F.col("empresa_nombre") != "")).select("empresa_nombre").distinct()
+def empresas_unicas(t) -> DataFrame:
+    """Distinct non-empty company names of the grid (filter list). Payment reports only repeat grid
+    rows, so they are not read; enrolments are reduced to (company, offer) before the dimension joins."""
+    ins = t["inscripcion"].where(F.col("ins_empresa_id").isNotNull())
+    pares = ins.join(t["persona"].select("perdoc"), F.col("ins_perdoc") == F.col("perdoc"), "left_semi").select("ins_empresa_id", "ins_oferta").distinct()
+    of = t["capacitacion_oferta"].join(t["capacitacion"], F.col("capofcapcodigo") == F.col("capcodigo"), "left_semi").select("capofcodigo")
+    ids = pares.join(of, F.col("ins_oferta") == F.col("capofcodigo"), "left_semi").select("ins_empresa_id").distinct()
+    ce = t["contacto_empresa"].where(F.col("empresa_nombre").isNotNull() & (F.col("empresa_nombre") != ""))
+    return ce.join(ids, F.col("id_contacto") == F.col("ins_empresa_id"), "left_semi").select("empresa_nombre").distinct()
 
 
 def _correo(ins: DataFrame, t) -> DataFrame:

@@ -15,16 +15,16 @@ scan is a greedy pass per offer. What does not depend on earlier lots is decided
   batch, at most ``max(rest0, 0)`` documents can be admitted on the offer in the whole batch
   (each takes a seat), so a lot's need lies in ``[d - max(rest0, 0), d]``;
 * ``d <= 0``: accepted, enrols nobody; missing offer: ``no_existe``; blocked offer: ``pausada``
-  (nothing is admitted there, so its need is ``d``); ``d > 2 * max(rest0, 0)``: ``sin_cupos``
-  (its need exceeds every seat count the offer can still have).
+  (nothing is admitted there, so its need is ``d``); ``d > max(rest0, 0)``: ``sin_cupos`` (once ``a`` documents
+  were admitted it needs at least ``d - a`` of the ``rest0 - a`` seats left).
 
-Only the remaining candidates (``0 < d <= 2 * rest0``) reach the per-offer scan, as one compact
+Only the remaining candidates (``0 < d <= rest0``) reach the per-offer scan, as one compact
 row each: size, documents already enrolled, new documents only this lot brings among the
 candidates, and the list of new documents it shares with other candidates of the offer, which
-is bounded by ``d`` and so by twice the offer's seats even for a giant lot. The scan state per
+is bounded by ``d`` and so by the offer's seats even for a giant lot. The scan state per
 offer is the seats left and the shared documents admitted (bounded by the seats). Candidates of
-one offer are cut into chunks of ``tam_tramo`` lots scanned in rounds that carry that state, so
-a hot offer never puts more than one chunk in one pandas group.
+one offer are numbered and cut into chunks of ``tam_tramo`` lots scanned in rounds that carry that
+state, so a hot offer never puts more than one chunk in one pandas group; the chunk length never alters results.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from .admision import estado_ofertas
 from .consultas import pares_inscritos
 from .secuencia import mayor_valor, numerar
 
-TAM_TRAMO = 50_000
+TAM_TRAMO = 20_000
 
 # The per-offer scan runs in Python workers; ship this module's functions by value so workers
 # need no copy of the package on their path.
@@ -82,7 +82,7 @@ def clasificar_lotes(t, filas: DataFrame) -> DataFrame:
         F.when(d <= 0, F.lit("ok"))
         .when(~F.col("existe"), F.lit("no_existe"))
         .when(F.col("bloqueada"), F.lit("pausada"))
-        .when(d > 2 * F.greatest(F.col("rest0"), F.lit(0)), F.lit("sin_cupos"))
+        .when(d > F.greatest(F.col("rest0"), F.lit(0)), F.lit("sin_cupos"))
     )
     return x.withColumn("motivo", motivo)
 
@@ -149,16 +149,11 @@ def decidir_lotes(t, filas: DataFrame, tam_tramo: int = TAM_TRAMO) -> DataFrame:
         "lote_id", "oferta", "empresa_id", "filas", "motivo", F.lit(0).cast("long").alias("nuevos")
     )
     res = resumen_candidatos(t, filas, clases).checkpoint(eager=True)
-    mayor = res.groupBy("oferta").count().agg(F.max("count")).first()[0] or 0
-    if mayor > tam_tramo:
-        # Some offer has more candidates than one chunk: number them in order (range blocks, no
-        # single-task window) and cut them into chunks scanned in successive rounds.
-        res = numerar(res, ["lote_id"], "k", particion=["oferta"])
-        res = res.withColumn("tramo", F.floor((F.col("k") - 1) / F.lit(tam_tramo)).cast("long")).checkpoint(eager=True)
-        rondas = (mayor - 1) // tam_tramo + 1
-    else:
-        res = res.withColumn("tramo", F.lit(0).cast("long"))
-        rondas = 1 if mayor > 0 else 0
+    # Candidates in order per offer (range blocks, no single-task window), cut into chunks.
+    res = numerar(res, ["lote_id"], "k", particion=["oferta"])
+    res = res.withColumn("tramo", F.floor((F.col("k") - 1) / F.lit(tam_tramo)).cast("long")).checkpoint(eager=True)
+    ultimo = res.agg(F.max("tramo")).first()[0]
+    rondas = 0 if ultimo is None else ultimo + 1
     estado = res.groupBy("oferta").agg(F.first("rest0").alias("rest_actual")).withColumn(
         "admitidos", F.lit(None).cast(T.ArrayType(T.StringType()))
     )
@@ -206,19 +201,23 @@ def nuevas_inscripciones(t, filas: DataFrame, decision: DataFrame) -> DataFrame:
 
 def inscripcion_tras_lotes(t, filas: DataFrame, decision: DataFrame, ahora) -> DataFrame:
     """Enrolment table after the lots (new rows dated ``ahora``, the batch time)."""
+    return t["inscripcion"].unionByName(fechadas(t, nuevas_inscripciones(t, filas, decision), ahora))
+
+
+def fechadas(t, nuevas: DataFrame, ahora) -> DataFrame:
+    """Rows of ``nuevas_inscripciones`` as enrolment rows dated ``ahora``."""
     tipo = t["inscripcion"].schema["ins_fecha"].dataType
-    nuevas = nuevas_inscripciones(t, filas, decision).select(
+    return nuevas.select(
         "inscodigo", "ins_perdoc", "ins_oferta", "ins_empresa_id", "ins_estado", F.lit(ahora).cast(tipo).alias("ins_fecha")
     )
-    return t["inscripcion"].unionByName(nuevas)
 
 
 def academico_tras_lotes(t, filas: DataFrame, decision: DataFrame) -> DataFrame:
     """Academic rows of the new enrolments."""
-    nuevas = nuevas_inscripciones(t, filas, decision).select(
-        F.col("ins_perdoc").alias("pcap_perdoc"), F.col("ins_oferta").alias("pcap_oferta")
-    )
-    return t["persona_capacitacion"].unionByName(nuevas)
+    # Only (document, offer) pairs: no numbering.
+    acept = _filas_aceptadas(filas, decision).select("doc", "oferta").distinct()
+    nuevas = acept.join(pares_inscritos(t, acept), ["doc", "oferta"], "left_anti")
+    return t["persona_capacitacion"].unionByName(nuevas.select(F.col("doc").alias("pcap_perdoc"), F.col("oferta").alias("pcap_oferta")))
 
 
 _CAMPOS = ["nombre", "apellido", "fechanac", "telefono", "email", "pais", "ciudad"]

@@ -37,6 +37,15 @@ def _fila(plantilla: str, destinatario, entidad_id=None, nombre=None, curso=None
     ]
 
 
+def _unir(t, partes: list[DataFrame]) -> DataFrame:
+    """Union of the parts; without any, no rows of the outbox shape."""
+    vacio = t["inscripcion"].limit(0).select(*[F.lit(None).cast("long" if c == "cantidad" else "string").alias(c) for c in COLUMNAS_OUTBOX])
+    out = vacio
+    for p in partes:
+        out = p if out is vacio else out.unionByName(p)
+    return out
+
+
 def outbox_otp(emitidas: DataFrame) -> DataFrame:
     """Code mails: one per request that got a code (``solicitud_id, email, codigo, de_empresa``);
     company-portal requests use the company template."""
@@ -60,10 +69,7 @@ def outbox_pagos(t, reportes: DataFrame | None, aprobados: DataFrame | None, rec
             partes.append(C.datos_correo(t, codigos).select(
                 *_fila(plantilla, "peremail", "inscodigo", "pernombre", "capnombre")
             ))
-    out = partes[0]
-    for p in partes[1:]:
-        out = out.unionByName(p)
-    return out
+    return _unir(t, partes)
 
 
 def outbox_lotes(t, pagos_lote: DataFrame | None, aprobados: DataFrame | None, rechazados: DataFrame | None) -> DataFrame:
@@ -89,10 +95,7 @@ def outbox_lotes(t, pagos_lote: DataFrame | None, aprobados: DataFrame | None, r
                 .where(F.col("emp_email").isNotNull() & (F.col("emp_email") != ""))
                 .select(*_fila(plantilla, "emp_email", "oferta", empresa="empresa_nombre"))
             )
-    out = partes[0]
-    for p in partes[1:]:
-        out = out.unionByName(p)
-    return out
+    return _unir(t, partes)
 
 
 def auditoria(ts, accion: str, actor, entidad: str, entidad_id, detalle=None) -> list[Column]:

@@ -147,7 +147,7 @@ def _cursos_unicos(spark, sf):
 @consulta("empresas_unicas", W(*_GRID_VISTAS) + "SELECT DISTINCT ce.empresa_nombre" + _GRID_FROM
           + "\nWHERE ce.empresa_nombre IS NOT NULL AND ce.empresa_nombre <> ''")
 def _empresas_unicas(spark, sf):
-    return C.empresas_unicas(C.participantes_base(tablas(spark, sf)))
+    return C.empresas_unicas(tablas(spark, sf))
 
 
 @consulta("datos_correo", W("inscripcion", "persona", "capacitacion_oferta", "capacitacion") + """

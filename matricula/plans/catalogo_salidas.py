@@ -265,11 +265,9 @@ def _carpeta(spark, sf: str) -> str:
 
 def _scan(nombre: str):
     def fn(spark, sf):
-        destino = _carpeta(spark, sf)
-        almacen.materializar(tablas(spark, sf), [nombre], destino)
-        return como_texto(lectores.leer_tabla(spark, f"{destino}/{nombre}", nombre))
+        return como_texto(lectores.conformar(tablas(spark, sf)[nombre], TABLAS[nombre]))
 
-    fn.__doc__ = f"S1: typed Parquet scan of {nombre} (written from the stand-in view, read back with its schema)."
+    fn.__doc__ = f"S1: {nombre} conformed to its declared schema, as ``leer_tabla`` does with any source."
     return fn
 
 
@@ -295,7 +293,7 @@ SELECT solicitud_id, tipodoc, doc, nombre, apellido, codpais, telefono, email, p
        """ + ts("recibido_en") + " FROM solicitud_registro")
 def _scan_solicitudes(spark, sf):
     """Registration requests written as JSON lines and read back with the request schema."""
-    destino = f"{_carpeta(spark, sf)}/solicitudes_json"
+    destino = f"{_carpeta(spark, sf)}/solicitudes_json-{uuid.uuid4().hex}"
     lectores.escribir_json(tablas(spark, sf)["solicitud_registro"], destino)
     return como_texto(lectores.leer_solicitudes(spark, destino))
 
@@ -304,7 +302,7 @@ def _scan_solicitudes(spark, sf):
 
 @consulta("registro_continuo", ORACULO["admision_registro"])
 def _registro_continuo(spark, sf):
-    """W1 as a stream: the registration requests arrive as JSON files (grouped by day), each
+    """W1 as a stream: the registration requests arrive as JSON files (in time ranges), each
     micro-batch is admitted against the newest snapshot and committed; returns the per-request
     results of all epochs. All files present at start form one ``availableNow`` batch, so the
     result equals the one-batch ``admision_registro`` (same oracle)."""
@@ -313,9 +311,7 @@ def _registro_continuo(spark, sf):
     t = tablas(spark, sf)
     raiz = f"{_carpeta(spark, sf)}/flujo-{uuid.uuid4().hex[:8]}"
     almacen.confirmar(spark, raiz, {n: t[n] for n in TABLAS})
-    sol = t["solicitud_registro"].withColumn("__dia", F.to_date("recibido_en"))
-    lectores.escribir_json(sol.repartition("__dia").sortWithinPartitions("recibido_en", "solicitud_id"),
-                           f"{raiz}/entrada")
+    lectores.escribir_json(t["solicitud_registro"].repartitionByRange("recibido_en", "solicitud_id"), f"{raiz}/entrada")
     q = R.iniciar(spark, f"{raiz}/entrada", raiz, f"{raiz}/resultados", f"{raiz}/_ckpt")
     q.awaitTermination()
     return spark.read.parquet(f"{raiz}/resultados").select("solicitud_id", "doc", "oferta", "motivo", "inscodigo")

@@ -18,6 +18,7 @@ from ..operators import consultas as C
 from ..operators import lotes as L
 from ..operators import otp as O
 from ..operators import salidas as X
+from ..operators import validacion as V
 from ..sources import almacen
 
 
@@ -31,33 +32,38 @@ def registro(spark: SparkSession, raiz: str, solicitudes: DataFrame) -> int:
     res = A.admision_registro(t, solicitudes).checkpoint(eager=True)
     audit = res.where(F.col("motivo") == "ok").join(solicitudes.select("solicitud_id", "recibido_en"), "solicitud_id") \
         .select(*X.auditoria("recibido_en", "NUEVO_REGISTRO", "publico", "inscripcion", "doc", F.col("oferta")))
-    return almacen.confirmar(spark, raiz, {
-        "inscripcion": A.inscripcion_tras_registro(t, res, solicitudes),
-        "persona": A.persona_tras_registro(t, res, solicitudes),
-        "persona_capacitacion": A.academico_tras_registro(t, res),
+    return almacen.confirmar(spark, raiz, altas={
+        "inscripcion": A.inscripciones_nuevas(t, res, solicitudes),
+        "persona": A.personas_nuevas(t, res, solicitudes),
+        "persona_capacitacion": A.academico_nuevo(res),
     }, anexos={"resultados": res, "auditoria": audit})
 
 
+def _con_sesion(t, empresas: DataFrame, veredictos: DataFrame | None) -> DataFrame:
+    """The rows of ``empresas(empresa_id, ...)`` whose company is a registered contact with an
+    accepted code: by ``veredictos`` (A7), or by the codes that the table holds as used."""
+    if veredictos is None:
+        veredictos = t["token_otp"].where("usado = 1").select("email", F.lit("ok").alias("veredicto"))
+    return O.lotes_autorizados(t, empresas, veredictos)
+
+
 def lotes(spark: SparkSession, raiz: str, filas: DataFrame, ahora=None, veredictos: DataFrame | None = None) -> int:
-    """Admit company lots (flat rows, see ``lectores.lote_explode``). With ``veredictos``
-    (code checks, A7) only lots whose company e-mail holds an accepted code are admitted (P19);
-    the others are reported ``no_autorizado`` and change nothing."""
+    """Admit company lots (flat rows, see ``lectores.lote_explode``). Only lots whose company is a
+    contact with an accepted code (P19, P3; ``veredictos`` or the used codes) are admitted; the
+    others are reported ``no_autorizado`` and change nothing."""
     t = almacen.abrir_instantanea(spark, raiz)
-    rechazados = None
-    if veredictos is not None:
-        ids = filas.select("lote_id", "empresa_id").distinct()
-        ok = O.lotes_autorizados(t, ids, veredictos).select("lote_id")
-        rechazados = filas.join(ok, "lote_id", "left_anti").groupBy("lote_id", "oferta", "empresa_id").agg(
-            F.count(F.lit(1)).alias("filas")
-        ).select("lote_id", "oferta", "empresa_id", "filas", F.lit("no_autorizado").alias("motivo"),
-                 F.lit(0).cast("long").alias("nuevos"))
-        filas = filas.join(ok, "lote_id", "left_semi")
+    ok = _con_sesion(t, filas.select("lote_id", "empresa_id").distinct(), veredictos).select("lote_id")
+    rechazados = filas.join(ok, "lote_id", "left_anti").groupBy("lote_id", "oferta", "empresa_id").agg(
+        F.count(F.lit(1)).alias("filas")
+    ).select("lote_id", "oferta", "empresa_id", "filas", F.lit("no_autorizado").alias("motivo"),
+             F.lit(0).cast("long").alias("nuevos"))
+    filas = filas.join(ok, "lote_id", "left_semi")
     dec = L.admision_lotes(t, filas).checkpoint(eager=True)
-    return almacen.confirmar(spark, raiz, {
-        "inscripcion": L.inscripcion_tras_lotes(t, filas, dec, _ahora(ahora)),
-        "persona": L.persona_tras_lotes(t, filas, dec),
-        "persona_capacitacion": L.academico_tras_lotes(t, filas, dec),
-    }, anexos={"resultados": dec if rechazados is None else dec.unionByName(rechazados)})
+    nuevas = L.nuevas_inscripciones(t, filas, dec).checkpoint(eager=True)
+    return almacen.confirmar(spark, raiz, {"persona": L.persona_tras_lotes(t, filas, dec)}, altas={
+        "inscripcion": L.fechadas(t, nuevas, _ahora(ahora)),
+        "persona_capacitacion": nuevas.select(F.col("ins_perdoc").alias("pcap_perdoc"), F.col("ins_oferta").alias("pcap_oferta")),
+    }, anexos={"resultados": dec.unionByName(rechazados)})
 
 
 def pagos(spark: SparkSession, raiz: str, solicitudes: DataFrame, ahora=None) -> int:
@@ -66,20 +72,28 @@ def pagos(spark: SparkSession, raiz: str, solicitudes: DataFrame, ahora=None) ->
     r = K.reportar_pagos(t, solicitudes, _ahora(ahora))
     res = r["resultado"].checkpoint(eager=True)
     aceptadas = solicitudes.join(res.where(F.col("motivo") == "ok").select("solicitud_id"), "solicitud_id", "left_semi")
-    return almacen.confirmar(spark, raiz, {"pago_reportado": r["pago_reportado"], "inscripcion": r["inscripcion"]},
+    return almacen.confirmar(spark, raiz, {"inscripcion": r["inscripcion"]}, altas={"pago_reportado": r["pagos_nuevos"]},
                              anexos={"resultados": res, "outbox": X.outbox_pagos(t, aceptadas, None, None)})
 
 
 def decisiones(spark: SparkSession, raiz: str, decision: DataFrame) -> int:
-    """``decision(inscodigo, decision in ('aprobar', 'rechazar'))``; approvals reconcile,
-    rejections drop the reports and go back to pendiente; each person is notified."""
+    """``decision(inscodigo, decision in ('aprobar', 'rechazar')[, en, solicitud_id])``; approvals reconcile,
+    rejections drop the reports and go back to pendiente, in arrival order; each person is notified. Without
+    time or id, an enrolment's rejections count as earlier than its approvals."""
     t = almacen.abrir_instantanea(spark, raiz)
+    decision = _con_orden(decision)
     ap = decision.where(F.col("decision") == "aprobar")
     re = decision.where(F.col("decision") == "rechazar")
-    r = K.rechazar_pagos(t, re)
-    ins = K.aprobar_pagos({"inscripcion": r["inscripcion"]}, ap)
-    return almacen.confirmar(spark, raiz, {"pago_reportado": r["pago_reportado"], "inscripcion": ins},
-                             anexos={"outbox": X.outbox_pagos(t, None, ap, re)})
+    return almacen.confirmar(spark, raiz, K.decidir_pagos(t, decision), anexos={"outbox": X.outbox_pagos(t, None, ap, re)})
+
+
+def _con_orden(decision: DataFrame) -> DataFrame:
+    """Arrival order (``en``, ``solicitud_id``) of decisions that carry none: rejections before approvals."""
+    if "en" not in decision.columns:
+        decision = decision.withColumn("en", F.lit(None).cast("timestamp"))
+    if "solicitud_id" not in decision.columns:
+        decision = decision.withColumn("solicitud_id", F.when(F.col("decision") == "aprobar", 1).otherwise(0).cast("long"))
+    return decision
 
 
 def eliminaciones(spark: SparkSession, raiz: str, codigos: DataFrame, ahora=None) -> int:
@@ -94,26 +108,32 @@ def eliminaciones(spark: SparkSession, raiz: str, codigos: DataFrame, ahora=None
                              anexos={"resultados": res, "auditoria": audit})
 
 
-def pagos_lote(spark: SparkSession, raiz: str, solicitudes: DataFrame, ahora=None) -> int:
-    """Company lot payment reports; the administrator is notified of each accepted one."""
+def pagos_lote(spark: SparkSession, raiz: str, solicitudes: DataFrame, ahora=None, veredictos: DataFrame | None = None) -> int:
+    """Company lot payment reports; the administrator is notified of each accepted one. Reports of a
+    company that is no contact with an accepted code are refused (``no_autorizado``), as in ``lotes``."""
     t = almacen.abrir_instantanea(spark, raiz)
+    todas = solicitudes
+    solicitudes = _con_sesion(t, todas, veredictos).select(*todas.columns)
     r = K.reportar_pagos_lote(t, solicitudes, _ahora(ahora))
-    res = r["resultado"].checkpoint(eager=True)
+    rechazadas = todas.join(solicitudes.select("solicitud_id"), "solicitud_id", "left_anti").select(
+        "solicitud_id", "empresa_id", "oferta", F.lit("no_autorizado").alias("motivo"), F.lit(0).cast("long").alias("empleados"))
+    res = r["resultado"].unionByName(rechazadas).checkpoint(eager=True)
     aceptadas = res.where(F.col("motivo") == "ok").select("solicitud_id", "empleados").join(solicitudes, "solicitud_id")
-    return almacen.confirmar(spark, raiz, {"pago_reportado": r["pago_reportado"], "inscripcion": r["inscripcion"]},
+    return almacen.confirmar(spark, raiz, {"inscripcion": r["inscripcion"]}, altas={"pago_reportado": r["pagos_nuevos"]},
                              anexos={"resultados": res, "outbox": X.outbox_lotes(t, aceptadas, None, None)})
 
 
 def decisiones_lote(spark: SparkSession, raiz: str, decision: DataFrame, ahora=None) -> int:
     """``decision(empresa_id, oferta, decision in ('aprobar', 'rechazar'))``. Approval
     reconciles every enrolment of the lot (employees and company are notified); rejection sends
-    the lot's enrolments in review back to rechazado (the company is notified)."""
+    the lot's enrolments in review back to rechazado (the company is notified). In arrival order, see
+    ``decisiones``."""
     t = almacen.abrir_instantanea(spark, raiz)
+    decision = _con_orden(decision)
     ap = decision.where(F.col("decision") == "aprobar")
-    r = K.rechazar_lotes(t, decision.where(F.col("decision") == "rechazar"))
+    r = K.decidir_lotes_pagos(t, decision)
     res = r["resultado"].checkpoint(eager=True)
     rechazados = res.where(F.col("motivo") == "ok")
-    ins = K.aprobar_lotes({"inscripcion": r["inscripcion"]}, ap)
     hora = F.lit(_ahora(ahora))
     # Approval rows carry the number of employees notified, as the application logs it.
     n = C.correos_lote(t, ap).groupBy(F.col("ins_empresa_id").alias("empresa_id"), F.col("ins_oferta").alias("oferta")) \
@@ -123,7 +143,7 @@ def decisiones_lote(spark: SparkSession, raiz: str, decision: DataFrame, ahora=N
     ).unionByName(rechazados.select(
         *X.auditoria(hora, "PAGO_B2B_RECHAZADO", "admin", "contacto_empresa", "empresa_id")
     ))
-    return almacen.confirmar(spark, raiz, {"pago_reportado": r["pago_reportado"], "inscripcion": ins}, anexos={
+    return almacen.confirmar(spark, raiz, {k: r[k] for k in ("pago_reportado", "inscripcion")}, anexos={
         "resultados": res, "outbox": X.outbox_lotes(t, None, ap, rechazados), "auditoria": audit,
     })
 
@@ -131,26 +151,47 @@ def decisiones_lote(spark: SparkSession, raiz: str, decision: DataFrame, ahora=N
 def ofertas(spark: SparkSession, raiz: str, borradores: DataFrame | None = None, ediciones: DataFrame | None = None,
             toggles: DataFrame | None = None, ahora=None) -> int:
     """Create offers from drafts, apply edits, then toggles (``campo`` 'estatus' or
-    'bloqueo'), all in one commit of ``capacitacion_oferta``."""
+    'bloqueo'), all in one commit of ``capacitacion_oferta``. Every request gets a result row (edits and toggles of
+    unknown offers: ``no_existe``) and every applied one an audit row."""
     t = almacen.abrir_instantanea(spark, raiz)
     of = t["capacitacion_oferta"]
     hora = F.lit(_ahora(ahora))
-    anexos = {}
+    resultados, auditoria = [], []
+
+    def anotar(pedidos: DataFrame, motivo, accion: str, cuando) -> None:
+        hay = of.select("capofcodigo", F.lit(True).alias("__hay"))
+        r = pedidos.withColumn("motivo", motivo).join(hay, "capofcodigo", "left").withColumn(
+            "motivo", F.coalesce("motivo", F.when(F.col("__hay"), "ok").otherwise("no_existe"))).checkpoint(eager=True)
+        resultados.append(r.select(F.col("capofcodigo").cast("long").alias("capofcodigo"), F.lit(accion).alias("accion"), "motivo"))
+        auditoria.append(r.where("motivo = 'ok'").select(*X.auditoria(cuando, accion, "admin", "capacitacion_oferta", "capofcodigo")))
+
     if borradores is not None:
         r = K.crear_ofertas(t, borradores)
         res = r["resultado"].checkpoint(eager=True)
         of = r["capacitacion_oferta"]
-        anexos["resultados"] = res
-        anexos["auditoria"] = res.where(F.col("motivo") == "ok").select(
-            *X.auditoria(hora, "CREACION_OFERTA", "admin", "capacitacion", "capofcapcodigo"))
+        resultados.append(res.withColumn("accion", F.lit("CREACION_OFERTA")))
+        auditoria.append(res.where(F.col("motivo") == "ok").select(
+            *X.auditoria(hora, "CREACION_OFERTA", "admin", "capacitacion", "capofcapcodigo")))
     if ediciones is not None:
+        val = V.ofertas_validas(ediciones)
+        anotar(val, F.col("motivo"), "OFERTA_EDITADA", "en" if "en" in val.columns else hora)
         of = K.editar_ofertas({"capacitacion_oferta": of}, ediciones)
     if toggles is not None:
+        for campo, nombre in (("estatus", "ESTATUS_MODIFICADO"), ("bloqueo", "BLOQUEO_MODIFICADO")):
+            anotar(toggles.where(F.col("campo") == campo), F.lit(None).cast("string"), nombre, "en" if "en" in toggles.columns else hora)
         for campo in ("estatus", "bloqueo"):
             of = K.alternar_ofertas({"capacitacion_oferta": of}, toggles, campo)
+    anexos = {n: _unir(p) for n, p in (("resultados", resultados), ("auditoria", auditoria)) if p}
     return almacen.confirmar(spark, raiz, {"capacitacion_oferta": of}, anexos=anexos)
 
 
+def _unir(partes: list[DataFrame]) -> DataFrame:
+    out = partes[0]
+    for p in partes[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def perfiles(spark: SparkSession, raiz: str, ediciones: DataFrame) -> int:
     """Administrator edits of name, surname and phone."""
     t = almacen.abrir_instantanea(spark, raiz)
@@ -165,7 +206,7 @@ def contactos(spark: SparkSession, raiz: str, altas: DataFrame) -> int:
     res = r["resultado"].checkpoint(eager=True)
     audit = res.where(F.col("motivo") == "ok").join(altas, "solicitud_id").select(
         *X.auditoria("en", "NUEVA_EMPRESA", "admin", "contacto_empresa", "empresa_nombre"))
-    return almacen.confirmar(spark, raiz, {"contacto_empresa": r["contacto_empresa"]},
+    return almacen.confirmar(spark, raiz, altas={"contacto_empresa": r["contactos_nuevos"]},
                              anexos={"resultados": res, "auditoria": audit})
 
 

@@ -80,6 +80,8 @@ def asegurar_checkpoint(spark: SparkSession) -> str:
     """
     actual = dir_checkpoint(spark)
     if not actual:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         actual = tempfile.mkdtemp(prefix="matricula-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", actual)
     if not spark.sparkContext.getCheckpointDir():

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import escalares as E
 from .esquemas import CAMBIOS, TABLAS
 
 
@@ -17,7 +18,7 @@ def conformar(df: DataFrame, esquema: T.StructType) -> DataFrame:
     ])
 
 
-def leer_tabla(spark: SparkSession, ruta: str, nombre: str, formato: str = "parquet", **opciones) -> DataFrame:
+def leer_tabla(spark: SparkSession, ruta: str | list[str] | None, nombre: str, formato: str = "parquet", **opciones) -> DataFrame:
     """One domain table. Parquet (default) or any DataFrameReader format such as ``jdbc``
     (``leer_tabla(spark, None, 'persona', 'jdbc', url=..., dbtable='persona')``), conformed to the
     table's schema. Column pruning and filters reach the scan through Catalyst."""
@@ -30,10 +31,55 @@ def leer_tabla(spark: SparkSession, ruta: str, nombre: str, formato: str = "parq
 FORMATO_TS_JSON = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"
 
 
-def leer_solicitudes(spark: SparkSession, ruta: str) -> DataFrame:
-    """Registration requests as JSON lines with the explicit request schema."""
-    return spark.read.schema(CAMBIOS["solicitud_registro"]).option("mode", "PERMISSIVE") \
-        .option("timestampFormat", FORMATO_TS_JSON).json(ruta)
+def _leer_json(spark: SparkSession, ruta: str, esquema: T.StructType) -> DataFrame:
+    """JSON lines with an explicit schema. Numbers and times are read as text and parsed: ids as the
+    application coerces them (``entero_js``), so a page's text id is an id. Adds ``linea_mala``: the
+    line itself where it is no JSON record, or where an id or time is given but not readable (those are null)."""
+    como_texto = (T.LongType, T.IntegerType, T.TimestampType, T.TimestampNTZType)
+    campos = [T.StructField(f.name, T.StringType() if isinstance(f.dataType, como_texto) else f.dataType) for f in esquema.fields]
+    crudo = spark.read.schema(T.StructType([*campos, T.StructField("linea_mala", T.StringType())])) \
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "linea_mala").json(ruta)
+    columnas, ilegible = [], F.lit(False)
+    for f in esquema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, (T.LongType, T.IntegerType)):
+            v = E.entero_js(c).try_cast(f.dataType)
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            v = F.try_to_timestamp(c, F.lit(FORMATO_TS_JSON)).cast(f.dataType)
+        else:
+            v = c
+        if isinstance(f.dataType, como_texto):
+            ilegible = ilegible | (c.isNotNull() & (c != "") & v.isNull())
+        columnas.append(v.alias(f.name))
+    registro = F.to_json(F.struct(*[f.name for f in esquema.fields]))
+    return crudo.select(*columnas, F.coalesce("linea_mala", F.when(ilegible, registro)).alias("linea_mala"))
+
+
+def leer_solicitudes(spark: SparkSession, ruta: str, con_malas: bool = False) -> DataFrame:
+    """Registration requests as JSON lines with the explicit request schema. Lines that are no JSON
+    record hold no request and go to ``lineas_malas``; with ``con_malas`` they stay, in column ``linea_mala``."""
+    df = _leer_json(spark, ruta, CAMBIOS["solicitud_registro"])
+    return df if con_malas else df.where(_hay_registro(CAMBIOS["solicitud_registro"])).drop("linea_mala")
+
+
+def _hay_registro(esquema: T.StructType):
+    todo = F.lit(True)
+    for f in esquema.fields:
+        todo = todo & F.col(f.name).isNull()
+    return ~todo
+
+
+def lineas_malas(spark: SparkSession, ruta: str, cambio: str) -> DataFrame:
+    """Quarantine: lines of a change set that are no record, or that give an unreadable id or time."""
+    df = _leer_json(spark, ruta, CAMBIOS[cambio])
+    motivo = F.when(_hay_registro(CAMBIOS[cambio]), "valor_ilegible").otherwise("no_es_registro")
+    return df.where(F.col("linea_mala").isNotNull()).select(F.col("linea_mala").alias("linea"), motivo.alias("motivo"))
+
+
+def leer_cambio(spark: SparkSession, ruta: str, cambio: str) -> DataFrame:
+    """Any change set as JSON lines, with its explicit schema (never inferred)."""
+    df = _leer_json(spark, ruta, CAMBIOS[cambio])
+    return df.where(_hay_registro(CAMBIOS[cambio])).drop("linea_mala")
 
 
 def escribir_json(df: DataFrame, ruta: str) -> None:
@@ -44,7 +90,7 @@ def escribir_json(df: DataFrame, ruta: str) -> None:
 
 def leer_lotes(spark: SparkSession, ruta: str) -> DataFrame:
     """S3: nested lot records (one JSON object per lot with an ``empleados`` array)."""
-    return spark.read.schema(CAMBIOS["lote"]).option("timestampFormat", FORMATO_TS_JSON).json(ruta)
+    return leer_cambio(spark, ruta, "lote")
 
 
 def lote_explode(lotes: DataFrame) -> DataFrame:

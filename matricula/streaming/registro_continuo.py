@@ -3,8 +3,8 @@
 Requests arrive as JSON files in a folder. Each micro-batch is admitted against the newest
 committed snapshot of the tables (``almacen.abrir_instantanea``), and the new enrolment,
 person and academic tables are committed together as the next version, tagged with the
-epoch. An epoch replayed after a failure is skipped when its tag is already committed, and
-re-run in full (its result folder overwritten, its version written again) when it is not, so
+epoch. An epoch replayed after a failure is skipped when its tag or a later one is committed
+(other jobs' commits keep the tag), and re-run in full (its result folder overwritten, its version written again) when it is not, so
 the tables change exactly once per epoch. Seats
 are the snapshot's state, so no streaming state store is needed.
 """
@@ -18,6 +18,10 @@ from ..sources import almacen, lectores
 from ..sources.esquemas import CAMBIOS
 
 
+#: Name under which the store keeps this stream's last epoch.
+FLUJO = "registro"
+
+
 def leer_flujo(spark: SparkSession, origen: str, archivos_por_lote: int | None = None) -> DataFrame:
     lector = spark.readStream.schema(CAMBIOS["solicitud_registro"]).option("timestampFormat", lectores.FORMATO_TS_JSON)
     if archivos_por_lote:
@@ -26,8 +30,8 @@ def leer_flujo(spark: SparkSession, origen: str, archivos_por_lote: int | None =
 
 
 def procesar_lote(spark: SparkSession, raiz: str, resultados: str, lote: DataFrame, epoch: int) -> None:
-    """Admit one micro-batch and commit its table changes (idempotent per epoch)."""
-    hecho = almacen.etiqueta_actual(spark, raiz)
+    """Admit one micro-batch and commit its new rows (idempotent per epoch)."""
+    hecho = almacen.etiqueta_actual(spark, raiz, FLUJO)
     t = almacen.abrir_instantanea(spark, raiz)
     lote = lote.persist()
     try:
@@ -35,11 +39,11 @@ def procesar_lote(spark: SparkSession, raiz: str, resultados: str, lote: DataFra
             return
         res = A.admision_registro(t, lote).checkpoint(eager=True)
         res.write.mode("overwrite").parquet(f"{resultados}/epoch={epoch}")
-        almacen.confirmar(spark, raiz, {
-            "inscripcion": A.inscripcion_tras_registro(t, res, lote),
-            "persona": A.persona_tras_registro(t, res, lote),
-            "persona_capacitacion": A.academico_tras_registro(t, res),
-        }, etiqueta=epoch)
+        almacen.confirmar(spark, raiz, altas={
+            "inscripcion": A.inscripciones_nuevas(t, res, lote),
+            "persona": A.personas_nuevas(t, res, lote),
+            "persona_capacitacion": A.academico_nuevo(res),
+        }, etiqueta=epoch, flujo=FLUJO)
     finally:
         lote.unpersist()
 

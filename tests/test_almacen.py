@@ -123,7 +123,7 @@ def test_trabajos_lotes_ofertas_codigos(spark):
     assert {r.empresa_id for r in res.where("motivo = 'no_autorizado'").collect()} <= {1, 2}
     assert res.where("motivo = 'no_autorizado' AND empresa_id = 0").count() == 0
     assert res.count() == t["lote_fila"].select("lote_id").distinct().count()
-    v = J.pagos_lote(spark, raiz, t["pago_lote_solicitud"], "2024-02-01 00:00:00")
+    v = J.pagos_lote(spark, raiz, t["pago_lote_solicitud"], "2024-02-01 00:00:00", ver)
     v = J.decisiones_lote(spark, raiz, t["decision_lote"], "2024-02-02 00:00:00")
     v = J.ofertas(spark, raiz, t["oferta_borrador"], t["oferta_edicion"], t["toggle_oferta"], "2024-02-02 00:00:00")
     v = J.perfiles(spark, raiz, t["persona_edicion"])
@@ -140,3 +140,144 @@ def test_trabajos_lotes_ofertas_codigos(spark):
         t["solicitud_otp"].select("email").distinct(), "email", "left_semi").count() == 0
     plantillas = {r.plantilla for r in almacen.leer_anexo(spark, raiz, "outbox").select("plantilla").distinct().collect()}
     assert {"otp", "pago_lote_reportado", "lote_empleado_aprobado"} <= plantillas
+
+
+def _raiz(spark, prefijo):
+    raiz = tempfile.mkdtemp(prefix=prefijo, dir=os.environ.get("TMPDIR", "/tmp"))
+    t = preparacion.cargar(spark, SF)
+    almacen.confirmar(spark, raiz, {n: t[n] for n in TABLAS})
+    return raiz, t
+
+
+def _archivos(carpeta):
+    return {os.path.join(d, f) for d, _, fs in os.walk(carpeta) for f in fs if f.startswith("part-")}
+
+
+def test_escritor_que_pierde_no_toca_lo_confirmado(spark, monkeypatch):
+    import pytest
+
+    raiz, t = _raiz(spark, "dos-")
+    almacen.confirmar(spark, raiz, {"persona": t["persona"].limit(50)})
+    monkeypatch.setattr(almacen, "version_actual", lambda *_: 1)  # the second writer still sees version 1
+    with pytest.raises(RuntimeError):
+        almacen.confirmar(spark, raiz, {"persona": t["persona"].limit(3)})
+    monkeypatch.undo()
+    assert almacen.version_actual(spark, raiz) == 2
+    assert almacen.abrir_instantanea(spark, raiz)["persona"].count() == 50
+
+
+def test_manifiesto_a_medias_no_es_version(spark):
+    raiz, t = _raiz(spark, "medio-")
+    for nombre in (".abc.tmp", "00000002.json.tmp", "x.json"):
+        with open(f"{raiz}/_manifiestos/{nombre}", "w") as f:
+            f.write('{"ver')
+    assert almacen.version_actual(spark, raiz) == 1
+    assert almacen.confirmar(spark, raiz, altas={"persona": t["persona"].limit(1)}) == 2
+    assert almacen.abrir_instantanea(spark, raiz)["persona"].count() == t["persona"].count() + 1
+
+
+def test_una_inscripcion_solo_agrega_archivos(spark):
+    from matricula.plans import trabajos as J
+
+    raiz, t = _raiz(spark, "alta-")
+    antes = _archivos(raiz)
+    una = A.admision_registro(t, t["solicitud_registro"]).where("motivo = 'ok'").orderBy("solicitud_id").first().solicitud_id
+    J.registro(spark, raiz, t["solicitud_registro"].where(F.col("solicitud_id") == una))
+    m1, m2 = (almacen.leer_manifiesto(spark, raiz, v) for v in (1, 2))
+    assert all(m2[n][: len(m1[n])] == m1[n] for n in m1)
+    assert {n for n in m1 if m2[n] != m1[n]} == {"inscripcion", "persona", "persona_capacitacion"}
+    assert antes <= _archivos(raiz)
+    nuevos = sum(os.path.getsize(f) for f in _archivos(raiz) - antes)
+    assert nuevos < 100_000 and almacen.abrir_instantanea(spark, raiz)["inscripcion"].count() == t["inscripcion"].count() + 1
+
+
+def test_epoca_repetida_tras_otro_trabajo(spark):
+    raiz, t = _raiz(spark, "replay2-")
+    R.procesar_lote(spark, raiz, f"{raiz}/resultados", t["solicitud_registro"], 0)
+    ok = spark.read.parquet(f"{raiz}/resultados").where("motivo = 'ok'").count()
+    v = almacen.confirmar(spark, raiz, altas={"persona": t["persona"].limit(0)})
+    R.procesar_lote(spark, raiz, f"{raiz}/resultados", t["solicitud_registro"], 0)
+    assert almacen.version_actual(spark, raiz) == v and almacen.etiqueta_actual(spark, raiz, R.FLUJO) == 0
+    assert spark.read.parquet(f"{raiz}/resultados").where("motivo = 'ok'").count() == ok > 0
+
+
+def test_anexos_con_columnas_distintas(spark):
+    raiz, t = _raiz(spark, "anexo-")
+    almacen.confirmar(spark, raiz, anexos={"resultados": spark.createDataFrame([(1, "ok")], "solicitud_id long, motivo string")})
+    almacen.confirmar(spark, raiz, anexos={"resultados": spark.createDataFrame([(2, 7)], "solicitud_id long, empleados long")})
+    filas = {r.solicitud_id: (r.motivo, r.empleados) for r in almacen.leer_anexo(spark, raiz, "resultados").collect()}
+    assert filas == {1: ("ok", None), 2: (None, 7)}
+
+
+def test_json_con_ids_de_texto_y_lineas_malas(spark):
+    carpeta = tempfile.mkdtemp(prefix="json-", dir=os.environ.get("TMPDIR", "/tmp"))
+    lineas = [
+        '{"solicitud_id": "7", "doc": "1", "capacitacion": " 60 ", "recibido_en": "2024-01-02T03:04:05"}',
+        '{"solicitud_id": 8, "doc": "2", "capacitacion": "x", "recibido_en": "no"}',
+        '{"solicitud_id": 9, "doc"',
+        "otra cosa",
+    ]
+    with open(f"{carpeta}/a.json", "w") as f:
+        f.write("\n".join(lineas))
+    filas = {r.solicitud_id: r for r in lectores.leer_solicitudes(spark, carpeta).collect()}
+    assert set(filas) == {7, 8} and filas[7].capacitacion == 60 and filas[8].capacitacion is None
+    assert str(filas[7].recibido_en) == "2024-01-02 03:04:05" and filas[8].recibido_en is None
+    malas = sorted((r.motivo, r.linea) for r in lectores.lineas_malas(spark, carpeta, "solicitud_registro").collect())
+    assert [m for m, _ in malas] == ["no_es_registro", "no_es_registro", "valor_ilegible"]
+    assert malas[1][1] == "otra cosa" or malas[0][1] == "otra cosa"
+
+
+def test_sin_fecha_de_llegada_no_toma_cupo(spark):
+    t = preparacion.cargar(spark, SF)
+    sol = t["solicitud_registro"].withColumn(
+        "recibido_en", F.when(F.col("solicitud_id") % 5 == 0, None).otherwise(F.col("recibido_en")))
+    res = A.admision_registro(t, sol).checkpoint(eager=True)
+    assert res.where("solicitud_id % 5 = 0 and motivo = 'ok'").count() == 0
+    assert res.where("motivo = 'sin_fecha'").count() > 0
+    ok = A.admision_registro(t, sol.where("solicitud_id % 5 <> 0")).where("motivo = 'ok'").count()
+    assert res.where("motivo = 'ok'").count() == ok
+    nuevas = A.personas_nuevas(t, res, sol).count()
+    con_persona = res.where("motivo in ('ok', 'duplicado')").select("doc").distinct().join(
+        t["persona"].select(F.col("perdoc").alias("doc")), "doc", "left_anti").count()
+    assert nuevas == con_persona
+
+
+def test_decisiones_en_orden_de_llegada(spark):
+    import datetime as dt
+
+    from matricula.operators import cambios as K
+
+    t = preparacion.cargar(spark, SF)
+    uno, dos = (r.pago_inscodigo for r in t["pago_reportado"].join(
+        t["inscripcion"].select("inscodigo"), F.col("pago_inscodigo") == F.col("inscodigo")).orderBy("pago_inscodigo").select("pago_inscodigo").distinct().orderBy("pago_inscodigo").limit(2).collect())
+    h = [dt.datetime(2024, 1, 1, i) for i in range(3)]
+    filas = [(uno, "aprobar", h[0], 1), (uno, "rechazar", h[1], 2), (dos, "rechazar", h[0], 3), (dos, "aprobar", h[2], 4)]
+    r = K.decidir_pagos(t, spark.createDataFrame(filas, "inscodigo long, decision string, en timestamp, solicitud_id long"))
+    estado = {x.inscodigo: x.ins_estado for x in r["inscripcion"].where(F.col("inscodigo").isin(uno, dos)).collect()}
+    assert estado == {uno: "pendiente", dos: "conciliado"}
+    assert r["pago_reportado"].where(F.col("pago_inscodigo").isin(uno, dos)).count() == 0
+
+
+def test_ofertas_dejan_resultados_y_auditoria(spark):
+    from matricula.plans import trabajos as J
+
+    raiz, t = _raiz(spark, "ofertas-")
+    toggles = t["toggle_oferta"]
+    J.ofertas(spark, raiz, None, t["oferta_edicion"], toggles, "2024-02-02 00:00:00")
+    res = almacen.leer_anexo(spark, raiz, "resultados")
+    assert res.count() == t["oferta_edicion"].count() + toggles.count()
+    audit = almacen.leer_anexo(spark, raiz, "auditoria")
+    assert audit.count() == res.where("motivo = 'ok'").count() > 0
+    assert {r.accion for r in audit.select("accion").distinct().collect()} <= {"OFERTA_EDITADA", "ESTATUS_MODIFICADO", "BLOQUEO_MODIFICADO"}
+
+
+def test_pagos_de_lote_sin_sesion_se_rechazan(spark):
+    from matricula.plans import trabajos as J
+
+    raiz, t = _raiz(spark, "sesion-")
+    nadie = spark.createDataFrame([], "email string, veredicto string")
+    J.pagos_lote(spark, raiz, t["pago_lote_solicitud"], "2024-02-01 00:00:00", nadie)
+    res = almacen.leer_anexo(spark, raiz, "resultados")
+    assert {r.motivo for r in res.select("motivo").distinct().collect()} == {"no_autorizado"}
+    assert res.count() == t["pago_lote_solicitud"].count()
+    assert almacen.abrir_instantanea(spark, raiz)["pago_reportado"].count() == t["pago_reportado"].count()

@@ -165,3 +165,36 @@ def test_otp_campos_obligatorios(spark):
         (2, "a@x", "111", ts("2024-01-01 00:02:00")),   # first real attempt on token 2: ok
     ], "intento_id long, email string, codigo string, en timestamp")
     assert {r.intento_id: r.veredicto for r in O.otp_intentos(t, intentos).collect()} == {1: "faltan_datos", 2: "ok"}
+
+
+def test_cadena_de_contactos_sin_tope(spark):
+    """A chain of 24 requests, each sharing its document or its e-mail with the next: every second one is new."""
+    import datetime as dt
+
+    from matricula.operators import cambios as K
+
+    campos = K.CAMPOS_CONTACTO
+    filas = []
+    for i in range(24):
+        v = {c: "x" for c in campos} | {"emp_doc": f"d{(i + 1) // 2}", "emp_email": f"e{i // 2}"}
+        filas.append((i, dt.datetime(2024, 1, 1, 0, i), *[v[c] for c in campos]))
+    tipos = "solicitud_id long, en timestamp, " + ", ".join(f"{c} string" for c in campos)
+    ce = spark.createDataFrame([], "id_contacto long, " + ", ".join(f"{c} string" for c in campos) + ", creado_en timestamp")
+    hechos = []
+    DataFrame = type(ce)
+    original = DataFrame.checkpoint
+    DataFrame.checkpoint = lambda self, eager=True: (hechos.append(1), original(self, eager))[1]
+    try:
+        res = K.alta_contactos({"contacto_empresa": ce}, spark.createDataFrame(filas, tipos))["resultado"].collect()
+    finally:
+        DataFrame.checkpoint = original
+    docs, correos, quiere = set(), set(), {}
+    for i, _, *v in filas:
+        f = dict(zip(campos, v, strict=True))
+        ok = f["emp_doc"] not in docs and f["emp_email"] not in correos
+        quiere[i] = "ok" if ok else "duplicado"
+        if ok:
+            docs.add(f["emp_doc"])
+            correos.add(f["emp_email"])
+    assert {r.solicitud_id: r.motivo for r in res} == quiere
+    assert len(hechos) <= 14
