@@ -95,7 +95,7 @@ def _item_words(bench: DataFrame) -> DataFrame:
 
 
 def contaminated(
-    docs: DataFrame, bench: DataFrame, n: int = 3, stretch: int = 4, least: float = 0.5, block_words: int = 2_000_000
+    docs: DataFrame, bench: DataFrame, n: int = 3, stretch: int = 2, least: float = 0.5, block_words: int = 2_000_000
 ) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): documents that hold a copy of a benchmark item.
 
