@@ -5,8 +5,8 @@
 ``python -m matricula consulta <key> <sf_dir> [--salida <dir>] [--mostrar N]``
     run one registered query over the tables in ``sf_dir``; write Parquet or print rows.
 ``python -m matricula trabajo <job> <root> <input> [<input2> ...] [--ahora "YYYY-MM-DD HH:MM:SS"] [--formato json]``
-    apply one change set (Parquet folder, or JSON lines: typed for registration requests and
-    nested lots) to the newest snapshot under ``root`` and commit it; jobs are the functions of
+    apply one change set (Parquet folder, or JSON lines read with the change set's schema; lots and
+    lot payments take the code checks as a second input) to the newest snapshot under ``root`` and commit it; jobs are the functions of
     ``matricula.plans.trabajos``.
 ``python -m matricula inicializar <root> <sf_dir>``
     commit the stand-in domain tables of ``sf_dir`` as version 1 under ``root``.
@@ -35,15 +35,24 @@ TRABAJOS = {
 CON_HORA = {"lotes", "pagos", "pagos_lote", "decisiones_lote", "eliminaciones", "ofertas"}
 
 
-def _leer(spark: SparkSession, ruta: str, formato: str, trabajo: str):
-    if formato == "json":
-        # Typed readers: registration requests and nested lots have explicit schemas.
-        if trabajo == "registro":
-            return lectores.leer_solicitudes(spark, ruta)
-        if trabajo == "lotes":
-            return lectores.lote_explode(lectores.leer_lotes(spark, ruta))
-        return spark.read.json(ruta)
-    return spark.read.parquet(ruta)
+# Change sets of each job's inputs, in order.
+ENTRADAS = {
+    "registro": ["solicitud_registro"], "lotes": ["lote", "veredictos"], "pagos": ["pago_solicitud"],
+    "pagos_lote": ["pago_lote_solicitud", "veredictos"], "decisiones": ["decision_pago"], "decisiones_lote": ["decision_lote"],
+    "eliminaciones": ["eliminacion"], "ofertas": ["oferta_borrador", "oferta_edicion", "toggle_oferta"],
+    "perfiles": ["persona_edicion"], "contactos": ["contacto_alta"], "codigos": ["solicitud_otp", "solicitud_otp_empresa"],
+    "intentos": ["intento_otp"],
+}
+
+
+def _leer(spark: SparkSession, ruta: str, formato: str, cambio: str):
+    """One input: Parquet, or JSON lines with the explicit schema of its change set."""
+    if formato == "parquet":
+        return spark.read.parquet(ruta)
+    if cambio == "veredictos":
+        return spark.read.schema("email string, veredicto string").json(ruta)
+    df = lectores.leer_cambio(spark, ruta, cambio)
+    return lectores.lote_explode(df) if cambio == "lote" else df
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -82,9 +91,14 @@ def main(argv: list[str] | None = None) -> int:
         t = preparacion.cargar(spark, a.sf_dir)
         print(almacen.confirmar(spark, a.raiz, {n: t[n] for n in TABLAS}))
     else:
-        entradas = [_leer(spark, r, a.formato, a.nombre) for r in a.entradas]
+        cambios = ENTRADAS[a.nombre]
+        if len(a.entradas) > len(cambios):
+            ap.error(f"{a.nombre} takes {', '.join(cambios)}")
+        leidas = {c: _leer(spark, r, a.formato, c) for c, r in zip(cambios, a.entradas)}
         extra = {"ahora": a.ahora} if a.nombre in CON_HORA else {}
-        print(TRABAJOS[a.nombre](spark, a.raiz, *entradas, **extra))
+        if "veredictos" in leidas:
+            extra["veredictos"] = leidas.pop("veredictos")
+        print(TRABAJOS[a.nombre](spark, a.raiz, *leidas.values(), **extra))
     return 0
 
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matricula.llm.base import cut
+from matricula.llm.base import cut, fence
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -239,7 +239,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marked = labels.where("quality is not null").select("doc_id").distinct()
     own = docs.select("doc_id", "text").join(marked, "doc_id", "left_semi")
     rules = learn(labelled_stats(cut(text_stats(own).select("row.doc_id", "stats")), labels))
-    # The row number, which is always at least 0, keeps the optimiser from moving the condition below the
-    # steps of the statistics, where it would work them out once per use.
-    judged = text_stats(docs).withColumn("at", F.monotonically_increasing_id())
-    return judged.where((F.col("at") >= 0) & ~F.col("stats.base_failed") & (verdict(rules) == 0)).select("row.*")
+    return fence(text_stats(docs)).where(~F.col("stats.base_failed") & (verdict(rules) == 0)).select("row.*")

@@ -92,8 +92,9 @@ def _con_orden(decision: DataFrame) -> DataFrame:
     if "en" not in decision.columns:
         decision = decision.withColumn("en", F.lit(None).cast("timestamp"))
     if "solicitud_id" not in decision.columns:
-        decision = decision.withColumn("solicitud_id", F.when(F.col("decision") == "aprobar", 1).otherwise(0).cast("long"))
-    return decision
+        decision = decision.withColumn("solicitud_id", F.lit(None).cast("long"))
+    sin_id = F.when(F.col("decision") == "aprobar", 1).otherwise(0).cast("long")
+    return decision.withColumn("solicitud_id", F.coalesce("solicitud_id", sin_id))
 
 
 def eliminaciones(spark: SparkSession, raiz: str, codigos: DataFrame, ahora=None) -> int:

@@ -45,6 +45,19 @@ CAMBIOS: dict[str, T.StructType] = {
     "oferta_borrador": _st(("capofcapcodigo", I), ("fecha_inicio", D), ("fecha_fin", D), ("cupos", I)),
     "pago_solicitud": _st(("solicitud_id", L), ("inscodigo", L), ("titular_nombre", S), ("titular_apellido", S),
                           ("titular_telefono", S), ("banco_origen", S), ("referencia", S), ("tiene_comprobante", I)),
+    "pago_lote_solicitud": _st(("solicitud_id", L), ("empresa_id", L), ("oferta", L), ("titular_nombre", S), ("titular_apellido", S),
+                               ("titular_telefono", S), ("banco_origen", S), ("referencia", S), ("tiene_comprobante", I)),
+    "decision_pago": _st(("inscodigo", L), ("decision", S), ("en", TS), ("solicitud_id", L)),
+    "decision_lote": _st(("empresa_id", L), ("oferta", L), ("decision", S), ("en", TS), ("solicitud_id", L)),
+    "eliminacion": _st(("inscodigo", L)),
+    "oferta_edicion": _st(("solicitud_id", L), ("capofcodigo", L), ("capofcapcodigo", I), ("fecha_inicio", D), ("fecha_fin", D),
+                          ("cupos", I), ("en", TS)),
+    "toggle_oferta": _st(("solicitud_id", L), ("capofcodigo", L), ("campo", S), ("en", TS)),
+    "persona_edicion": _st(("solicitud_id", L), ("doc", S), ("nombre", S), ("apellido", S), ("telefono", S), ("en", TS)),
+    "contacto_alta": _st(("solicitud_id", L), ("empresa_nombre", S), ("emp_tipodoc", S), ("emp_doc", S), ("emp_nombre", S),
+                         ("emp_apellido", S), ("emp_email", S), ("emp_telefono", S), ("en", TS)),
+    "solicitud_otp": _st(("solicitud_id", L), ("cedula", S), ("email", S), ("codigo", S), ("en", TS)),
+    "solicitud_otp_empresa": _st(("solicitud_id", L), ("cedula", S), ("email", S), ("codigo", S), ("en", TS)),
 }
 
 TODOS = {**TABLAS, **CAMBIOS}
