@@ -18,7 +18,7 @@ from matricula.sesion import asegurar_checkpoint
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 #: Texts are processed in pieces of about so many bytes, so the arrays of a piece stay small.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 def per_worker(name: str, build):
@@ -41,6 +41,13 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
         yield batch.slice(int(a), int(b - a))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from here on the session hands at most 1,000 rows at once to Python, so that texts of both
+    sides of the pipe stay small beside the heap."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def string_offsets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column (null: empty) and the n + 1 offsets of its rows in them."""
     if pa.types.is_binary(col.type):
@@ -93,10 +100,18 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=np.uint64)
+    """base^0 to base^n. Those for pieces of the usual size are kept in the worker."""
+    kept = per_worker("powers", dict)
+    usual = PIECE_BYTES * 5 // 4
+    if n > usual or base not in kept:
+        out = np.full(max(n, usual) + 1, base, np.uint64)
+        out[0] = 1
+        with np.errstate(over="ignore"):
+            out = np.cumprod(out, dtype=np.uint64)
+        if n > usual:
+            return out[: n + 1]
+        kept[base] = out
+    return kept[base][: n + 1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,7 +129,7 @@ class Rolling:
     """
 
     def __init__(self, data: np.ndarray, seed: int = 0):
-        table = np.random.default_rng(0xC0FFEE + seed).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        table = per_worker(f"bytes_{seed}", lambda: np.random.default_rng(0xC0FFEE + seed).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1))
         base = (BASE ^ (seed * 0x632BE59BD9B4E018)) | 1
         self.prefix = np.zeros(len(data) + 1, np.uint64)
         values = table[data] if data.dtype == np.uint8 else data
@@ -155,14 +170,28 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """The same rows, under which no later condition moves. A condition on a computed column otherwise takes its
+    expression along, and costly steps run once per use; row numbers, always at least 0, stop that."""
+    return df.withColumn("fence_row", F.monotonically_increasing_id()).where("fence_row >= 0").drop("fence_row")
+
+
 #: Ids of rows that a semi join hands to every task at most (8 bytes each); more are shuffled instead.
 SMALL_IDS = 1_000_000
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
+
+
 def only(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``df`` whose key is in ``ids``; the keys are sent to every task only if they are counted to be few."""
-    few = ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS
-    return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
+    return df.join(_sent(ids), on, "left_semi")
+
+
+def but_for(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``ids``, as ``only``."""
+    return df.join(_sent(ids), on, "left_anti")
 
 
 def components(links: DataFrame) -> DataFrame:
