@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matricula.llm.base import Rolling, cut, pieces, stored, string_offsets, window_min
+from matricula.llm.base import Rolling, but_for, only, pieces, small_batches, stored, string_offsets, window_min
 
 GRAM, BLOCK = 16, 16
 _PLACE = np.uint64((1 << 28) - 1)
@@ -47,7 +47,7 @@ def anchored(data: np.ndarray, off: np.ndarray, roll: Rolling, length: int, wind
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc, tag, text): a row is known by its id and a hash of its text; rows equal in both are repeated rows."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(t).alias("tag"), t.alias("text"))
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.shiftright(F.xxhash64(t), 32).cast("int").alias("tag"), t.alias("text"))
 
 
 def _classes(df: DataFrame, core: list[str], same: list[str], own: list[str], weight: str = "1") -> DataFrame:
@@ -66,9 +66,23 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+#: ``place`` of a row: anchor, and the distances of the first and the last start to it.
+_FIELD = 1 << 9
+
+
+def _place(anchor, lo, hi):
+    return (anchor * _FIELD + (anchor - lo)) * _FIELD + (anchor - hi)
+
+
+def _starts() -> list[F.Column]:
+    """(lo, hi) of a ``place``."""
+    anchor = F.floor(F.col("place") / (_FIELD * _FIELD))
+    return [(anchor - F.floor(F.col("place") / _FIELD) % _FIELD).alias("lo"), (anchor - F.col("place") % _FIELD).alias("hi")]
+
+
 def _phrases(docs: DataFrame, length: int, window: int) -> DataFrame:
-    """Per anchor: (doc, tag, anchor, lo, hi, core, h1, h2): its string starts, the hash of the bytes
-    that all its strings share, and two hashes of all bytes of its strings."""
+    """Per anchor: (doc, tag, place, core, h): ``core`` the hash of the bytes that all strings of the anchor share, ``h``
+    of all bytes of its strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,119 +92,123 @@ def _phrases(docs: DataFrame, length: int, window: int) -> DataFrame:
                     continue
                 one, two = Rolling(data), Rolling(data, 1)
                 row, a, lo, hi = anchored(data, off, one, length, window)
-                base = off[:-1][row]
+                base, take = off[:-1][row], pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(a - base), pa.array(lo - base), pa.array(hi - base),
-                        _signed(one.of(a, a + length - window + 1)), _signed(one.of(lo, hi + length)), _signed(two.of(lo, hi + length)),
+                        part.column(0).take(take), part.column(1).take(take), pa.array(_place(a - base, lo - base, hi - base)),
+                        _signed(one.of(a, a + length - window + 1)), _signed(two.of(lo, hi + length)),
                     ],
-                    ["doc", "tag", "anchor", "lo", "hi", "core", "h1", "h2"],
+                    ["doc", "tag", "place", "core", "h"],
                 )
 
-    return docs.mapInArrow(run, "doc long, tag long, anchor long, lo long, hi long, core long, h1 long, h2 long")
+    return docs.mapInArrow(run, "doc long, tag int, place long, core long, h long")
 
 
-def _contexts(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """(doc, tag, anchor, lo, hi, n, bytes): the bytes of all strings of the given anchors."""
-    places = open_.groupBy("doc", "tag").agg(F.collect_set(F.struct("anchor", "lo", "hi", "n")).alias("at"))
-    found = docs.join(places, ["doc", "tag"])
+def _cores(docs: DataFrame, length: int, window: int) -> DataFrame:
+    """The column ``core`` of ``_phrases`` alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "tag", "anchor", "lo", "hi", "n", "bytes"]
         for batch in batches:
             for part in pieces(batch, "text"):
-                rows = []
-                for doc, tag, text, at in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                    raw = text.encode("utf-8")
-                    rows += [(doc, tag, x["anchor"], x["lo"], x["hi"], x["n"], raw[x["lo"] : x["hi"] + length]) for x in at]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+                data, off = string_offsets(part.column(0))
+                if len(data) >= length:
+                    one = Rolling(data)
+                    a = anchored(data, off, one, length, window)[1]
+                    yield pa.RecordBatch.from_arrays([_signed(one.of(a, a + length - window + 1))], ["core"])
+
+    return docs.select("text").mapInArrow(run, "core long")
+
+
+def _with_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc, tag, text, at): the texts of places (doc, tag, place, n), with the list of theirs."""
+    at = places.groupBy("doc", "tag").agg(F.collect_set(F.struct("place", "n")).alias("at"))
+    texts = only(docs, places.select("doc", "tag").distinct(), ["doc", "tag"])
+    return texts.join(at, ["doc", "tag"]).select("doc", "tag", "text", "at")
+
+
+def _listed(part: pa.RecordBatch, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of all listed places of a batch: row, anchor, first start, last start, n, first byte of the row's text."""
+    at = part.column(3)
+    row = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
+    x = at.flatten()
+    place, n = x.field("place").to_numpy(), x.field("n").to_numpy()
+    anchor, far, near = place // (_FIELD * _FIELD), place // _FIELD % _FIELD, place % _FIELD
+    return row, anchor, anchor - far, anchor - near, n, off[:-1][row]
 
-    return found.select("doc", "tag", "text", "at").mapInArrow(run, "doc long, tag long, anchor long, lo long, hi long, n long, bytes binary")
 
+def _split(row, first, n):
+    """Numbers first, first + 1, ... first + n - 1 of each row: (index of the row, number)."""
+    r = np.repeat(np.arange(len(row)), n)
+    return r, first[r] + np.arange(len(r)) - (np.cumsum(n) - n)[r]
 
-def _blocks(contexts: DataFrame, length: int) -> DataFrame:
-    """Per anchor and ``BLOCK`` distances to it: (doc, tag, anchor, lo, hi, n, block, c1, c2, h1, h2, bytes), c: hashes of the
+
+def _blocks(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """Per place and ``BLOCK`` distances to its anchor: (doc, tag, place, n, block, c1, c2, h1, h2), c: hashes of the
     bytes that all strings of the whole block share, h: of all bytes of the block's strings here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "bytes"):
-                data, off = string_offsets(part.column(6))
+            for part in pieces(batch, "text"):
+                data, off = string_offsets(part.column(2))
                 one, two = Rolling(data), Rolling(data, 1)
-                a, lo, hi = (part.column(i).to_numpy() for i in (2, 3, 4))
+                row, a, lo, hi, n, base = _listed(part, off)
                 first, last = (a - hi) // BLOCK, (a - lo) // BLOCK  # a string starts a - p before its anchor
-                n = last - first + 1
-                r = np.repeat(np.arange(len(a)), n)
-                b = first[r] + np.arange(len(r)) - (np.cumsum(n) - n)[r]
-                lo_b, hi_b = np.maximum(lo[r], a[r] - b * BLOCK - BLOCK + 1), np.minimum(hi[r], a[r] - b * BLOCK)
-                shift = off[:-1][r] - lo[r]
-                c_lo, c_hi = a[r] - b * BLOCK + shift, a[r] - b * BLOCK - BLOCK + 1 + length + shift
-                h_lo, h_hi = lo_b + shift, hi_b + length + shift
-                own = [data[x:y].tobytes() for x, y in zip(h_lo.tolist(), h_hi.tolist(), strict=True)]
-                take = pa.array(r)
+                r, b = _split(row, first, last - first + 1)
+                lo, hi, a = np.maximum(lo[r], a[r] - b * BLOCK - BLOCK + 1), np.minimum(hi[r], a[r] - b * BLOCK), a[r]
+                c_lo = a - b * BLOCK + base[r]
+                c_hi, h_lo, h_hi = c_lo - BLOCK + 1 + length, lo + base[r], hi + length + base[r]
+                take = pa.array(row[r])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).take(take), part.column(1).take(take), pa.array(a[r]), pa.array(lo_b), pa.array(hi_b), part.column(5).take(take), pa.array(b),
-                        _signed(one.of(c_lo, c_hi)), _signed(two.of(c_lo, c_hi)), _signed(one.of(h_lo, h_hi)), _signed(two.of(h_lo, h_hi)), pa.array(own, pa.binary()),
+                        part.column(0).take(take), part.column(1).take(take), pa.array(_place(a, lo, hi)), pa.array(n[r]), pa.array(b),
+                        _signed(one.of(c_lo, c_hi)), _signed(two.of(c_lo, c_hi)), _signed(one.of(h_lo, h_hi)), _signed(two.of(h_lo, h_hi)),
                     ],
-                    ["doc", "tag", "anchor", "lo", "hi", "n", "block", "c1", "c2", "h1", "h2", "bytes"],
+                    ["doc", "tag", "place", "n", "block", "c1", "c2", "h1", "h2"],
                 )
 
-    return contexts.mapInArrow(
-        run, "doc long, tag long, anchor long, lo long, hi long, n long, block long, c1 long, c2 long, h1 long, h2 long, bytes binary"
-    )
+    return _with_texts(docs, places).mapInArrow(run, "doc long, tag int, place long, n long, block long, c1 long, c2 long, h1 long, h2 long")
 
 
-def _strings(blocks: DataFrame, length: int) -> DataFrame:
-    """Per string of the given blocks: (doc, tag, lo, back, n, h1, h2), ``back`` its distance to the anchor."""
+def _strings(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """Per string of the places: (doc, tag, lo, back, n, h1, h2), ``back`` its distance to the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "bytes"):
-                data, off = string_offsets(part.column(6))
+            for part in pieces(batch, "text"):
+                data, off = string_offsets(part.column(2))
                 one, two = Rolling(data), Rolling(data, 1)
-                a, lo, hi = (part.column(i).to_numpy() for i in (2, 3, 4))
-                n = hi - lo + 1
-                r = np.repeat(np.arange(len(a)), n)
-                k = np.arange(len(r)) - (np.cumsum(n) - n)[r]
-                x = off[:-1][r] + k
-                take = pa.array(r)
+                row, a, lo, hi, n, base = _listed(part, off)
+                r, p = _split(row, lo, hi - lo + 1)
+                x, take = p + base[r], pa.array(row[r])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(take), part.column(1).take(take), pa.array(lo[r] + k), pa.array(a[r] - lo[r] - k), part.column(5).take(take),
-                        _signed(one.of(x, x + length)), _signed(two.of(x, x + length)),
-                    ],
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(p), pa.array(a[r] - p), pa.array(n[r]), _signed(one.of(x, x + length)), _signed(two.of(x, x + length))],
                     ["doc", "tag", "lo", "back", "n", "h1", "h2"],
                 )
 
-    return blocks.mapInArrow(run, "doc long, tag long, lo long, back long, n long, h1 long, h2 long")
+    return _with_texts(docs, places).mapInArrow(run, "doc long, tag int, lo long, back long, n long, h1 long, h2 long")
 
 
 def repeated_starts(docs: DataFrame, length: int = 400, window: int = 128) -> DataFrame:
     """(doc, tag, lo, hi): stretches of starts of ``length``-byte strings that also start elsewhere, for
     rows (doc, tag, text). Strings never cross rows."""
-    if not BLOCK < window <= length - GRAM:
+    if not BLOCK < window <= min(length - GRAM, _FIELD):
         raise ValueError("window must be larger than a block, and fit a string with its last gram")
-    reach = {"from": F.col("anchor") - F.col("lo"), "to": F.col("anchor") - F.col("hi")}
-    whole, part = ["h1", "h2", "from", "to"], ["block", "c1", "c2"]
+    reach = (F.col("place") % (_FIELD * _FIELD)).alias("reach")
+    own, whole, part = ["doc", "tag", "place"], ["h1", "h2", "reach"], ["block", "c1", "c2"]
 
     phrases = _phrases(docs, length, window)
-    cores = phrases.groupBy("core").count().where("count > 1").select("core")
-    shared = stored(phrases.join(cores, "core", "left_semi").withColumns(reach))
-    classes = stored(_classes(shared, ["core"], whole, ["doc", "tag", "anchor", "lo", "hi"]))
-    twice = classes.where("n > 1").select("core", *whole)
-    done = shared.join(twice, ["core", *whole], "left_semi").select("doc", "tag", "lo", "hi")
+    cores = _cores(docs, length, window).groupBy("core").count().where("count > 1").select("core")
+    shared = stored(phrases.join(cores, "core", "left_semi")).withColumn("reach", reach)
+    classes = stored(_classes(shared, ["core"], ["h", "reach"], own))
+    done = shared.join(classes.where("n > 1").select("core", "h", "reach"), ["core", "h", "reach"], "left_semi").select("doc", "tag", *_starts())
 
     undecided = _open(classes, ["core"]).select("member.*", "n")
-    blocks = stored(_blocks(_contexts(docs, undecided, length), length).withColumns(reach))
-    of_blocks = cut(_classes(blocks, part, whole, ["doc", "tag", "anchor", "lo", "hi"], "n"))
-    twice = of_blocks.where("n > 1").select(*part, *whole)
-    done = done.unionByName(blocks.where("n = 1").join(twice, [*part, *whole], "left_semi").select("doc", "tag", "lo", "hi"))
-
-    mixed = _open(of_blocks, part).select("member.*", F.col("n").alias("times"))
-    mixed = blocks.join(mixed, ["doc", "tag", "anchor", "lo", "hi"]).select("doc", "tag", "anchor", "lo", "hi", F.col("times").alias("n"), "bytes")
-    strings = cut(_strings(mixed, length))
+    blocks = stored(_blocks(docs, undecided, length)).withColumn("reach", reach)
+    of_blocks = stored(_classes(blocks, part, whole, own, "n"))
+    again = blocks.where("n = 1").join(of_blocks.where("n > 1").select(*part, *whole), [*part, *whole], "left_semi")
+    done = done.unionByName(again.select("doc", "tag", *_starts()))
+
+    strings = stored(_strings(docs, _open(of_blocks, part).select("member.*", "n"), length))
     twice = strings.groupBy("back", "h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").drop("times")
     alone = strings.where("n = 1").join(twice, ["back", "h1", "h2"], "left_semi")
     return done.unionByName(alone.select("doc", "tag", "lo", F.col("lo").alias("hi")))
@@ -202,7 +220,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, window: int = 128) -> Dat
     (first, end) in order; ``kept``: the other bytes. Null text: empty. Repeated rows are copies of each other."""
     rows = _keyed(docs)
     starts = repeated_starts(rows, length, window)
-    spans = starts.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))
+    spans = stored(starts.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("at")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
@@ -226,11 +244,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, window: int = 128) -> Dat
                     ["doc_id", "n_bytes", "n_removed", "spans", "kept"],
                 )
 
-    joined = rows.join(spans, ["doc", "tag"], "left").select(
-        F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"), "text", "at"
-    )
+    ids = spans.select("doc", "tag")
+    whole = but_for(rows, ids, ["doc", "tag"]).withColumn("at", F.lit(None).cast(spans.schema["at"].dataType))
+    joined = only(rows, ids, ["doc", "tag"]).join(spans, ["doc", "tag"]).select("doc", "tag", "text", "at").unionByName(whole)
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<first: long, end: long>>, kept binary"
-    return joined.mapInArrow(run, schema)
+    return joined.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"), "text", "at").mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, length: int = 400) -> DataFrame:
