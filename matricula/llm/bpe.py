@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matricula.llm.base import per_worker, pieces
+from matricula.llm.base import per_worker, pieces, small_batches
 
 #: Entries of the piece cache of a worker; it starts anew when full (results do not change).
-CACHE_SIZE = 800_000
+CACHE_SIZE = 250_000
 
 # Classes of code points. L: letter, N: number, P: any other non-blank, W: white space but U+0020, B: U+0020.
 L, N, P, W, B = range(5)
@@ -203,7 +203,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     Null text: no tokens. Repeated rows give a row each. No special tokens: their strings are
     ordinary text. ``path`` names a rank file; its size bounds what is broadcast."""
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+    ranks = small_batches(docs).sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, merged, sizes = _tools(ranks)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matricula.llm.base import NO_LETTER, Rolling, cut, mix, pieces, string_offsets, word_bounds
+from matricula.llm.base import NO_LETTER, Rolling, cut, mix, pieces, small_batches, string_offsets, word_bounds
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -105,7 +105,7 @@ def contaminated(
     ``block_words`` bounds the benchmark words held at once; every block is held against all documents.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     items = cut(_item_words(bench))
     total = items.agg(F.sum(F.size("words")).alias("n")).first().n or 0
     blocks = -(-total // block_words)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matricula.llm.base import pieces
+from matricula.llm.base import pieces, small_batches
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*+>?|<\?[^>]*+>?"
@@ -235,5 +235,5 @@ def extract(pages: DataFrame) -> DataFrame:
                     ["page_id", "url", "text", "n_chars"],
                 )
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matricula.llm.base import per_worker, pieces
+from matricula.llm.base import per_worker, pieces, small_batches
 
 #: Hash buckets of character trigrams.
 BUCKETS = 1 << 14
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFr
                     ["doc_id", "lang_pred", "score", "languages", "shares"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>, shares array<double>")
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matricula.llm.base import bits_apart, components, cut, lower_ascii, pieces, string_offsets, word_bounds
+from matricula.llm.base import bits_apart, components, cut, lower_ascii, pieces, small_batches, string_offsets, word_bounds
 
 SEED = 42
 GROUPS, SEGMENT = 8, 2
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text
                 fp = text_fingerprints(*string_offsets(part.column(1)), shingle)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, fp long"
     )
 
