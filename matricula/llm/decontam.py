@@ -1,11 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-The benchmark is the query set; it is held in blocks of a bounded number of words. For each block
-one pass over the documents counts in how many documents each of its word n-grams occurs, which
-tells the rare ones. From every stretch of an item the rarest n-gram is a seed, so an edited
-copy is found unless edits break the seeds of all its stretches, and a passage that leaked into a
-large part of the documents still has seeds. A second pass aligns the item with the document
-around each seed by local alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+The benchmark is the query set; it is held in blocks of a bounded number of words. Every word n-gram of
+an item is a seed, whatever the rest of the documents hold, so an edited copy with one n-gram intact is
+looked at. One pass aligns the item with the document around each seed by local alignment of words; where the
+item's words that occur there are too few for the least score, there is nothing to align.
 """
 
 from __future__ import annotations
@@ -81,6 +79,14 @@ def _regions(at: np.ndarray, offset: np.ndarray, size: int, lo: int, hi: int) ->
     yield from zip(a[new].tolist(), b[last].tolist(), strict=True)
 
 
+def _occurring(own: np.ndarray, times: np.ndarray, text: np.ndarray) -> int:
+    """How many words of an item, given as different words in order with their counts, occur in ``text``."""
+    at = np.minimum(np.searchsorted(own, text), len(own) - 1)
+    there = np.zeros(len(own), bool)
+    there[at[own[at] == text]] = True
+    return int(times[there].sum())
+
+
 def _item_words(bench: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +101,7 @@ def _item_words(bench: DataFrame) -> DataFrame:
 
 
 def contaminated(
-    docs: DataFrame, bench: DataFrame, n: int = 3, stretch: int = 2, least: float = 0.5, block_words: int = 2_000_000
+    docs: DataFrame, bench: DataFrame, n: int = 3, least: float = 0.5, block_words: int = 2_000_000
 ) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): documents that hold a copy of a benchmark item.
 
@@ -112,19 +118,17 @@ def contaminated(
     out = spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
     for b in range(blocks):  # expected block_words each, by a hash of the item
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
-        out = out.unionByName(_search(docs, [(r.item_id, np.array(r.words, np.int64).view(np.uint64)) for r in own], n, stretch, least))
+        out = out.unionByName(_search(docs, [(r.item_id, np.array(r.words, np.int64).view(np.uint64)) for r in own], n, least))
     return out
 
 
-def _search(docs: DataFrame, items: list[tuple[int, np.ndarray]], n: int, stretch: int, least: float) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple[int, np.ndarray]], n: int, least: float) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     grams = {}  # item number -> (length of its n-grams, their hashes)
     for k, (_, w) in enumerate(items):
         size = min(n, len(w))
         grams[k] = (size, ngrams(w, np.array([0, len(w)]), size)[: len(w) - size + 1])
     sizes = sorted({s for s, _ in grams.values()})
-    known = {s: np.unique(np.concatenate([g for t, g in grams.values() if t == s])) for s in sizes}
-    shared = sc.broadcast(known)
 
     def hits(words, before, s, table):
         """Words of the piece at which an n-gram of the sorted ``table`` starts, and its place in the table."""
@@ -139,31 +143,9 @@ def _search(docs: DataFrame, items: list[tuple[int, np.ndarray]], n: int, stretc
         ok = table[place] == g[at]
         return at[ok], place[ok]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
-        seen = {s: np.zeros(len(t), np.int64) for s, t in tables.items()}
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                words, before = text_words(*string_offsets(part.column(1)))
-                for s, t in tables.items():
-                    at, place = hits(words, before, s, t)
-                    row = np.searchsorted(before, at, "right") - 1
-                    pair = np.unique(row * len(t) + place)
-                    seen[s] += np.bincount(pair % len(t), minlength=len(t))
-        for s, c in seen.items():
-            k = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), s, np.int32)), pa.array(k), pa.array(c[k])], ["size", "place", "docs"])
-
-    df = {s: np.zeros(len(t), np.int64) for s, t in known.items()}
-    for r in docs.mapInArrow(count, "size int, place long, docs long").groupBy("size", "place").agg(F.sum("docs").alias("docs")).collect():
-        df[r.size][r.place] = r.docs
     seeds = {s: [] for s in sizes}
     for k, (s, g) in grams.items():
-        freq = df[s][np.searchsorted(known[s], g)]
-        for a in range(0, len(g), stretch):
-            p = a + int(freq[a : a + stretch].argmin())
-            if freq[p]:
-                seeds[s].append((g[p], k, p))
+        seeds[s] += [(x, k, p) for p, x in enumerate(g)]
     for s in sizes:
         seeds[s].sort(key=lambda x: x[0])
     tables = {s: (np.array([x[0] for x in v], np.uint64), np.array([x[1:] for x in v], np.int64).reshape(-1, 2)) for s, v in seeds.items()}
@@ -171,6 +153,7 @@ def _search(docs: DataFrame, items: list[tuple[int, np.ndarray]], n: int, stretc
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, items = held.value
+        vocabulary = {}
         names = ["doc_id", "item_id", "score", "first_word", "end_word"]
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -191,8 +174,13 @@ def _search(docs: DataFrame, items: list[tuple[int, np.ndarray]], n: int, stretc
                     row, k = int(f[a, 0]), int(f[a, 1])
                     lo, hi = int(before[row]), int(before[row + 1])
                     item_id, w = items[k]
+                    if k not in vocabulary:
+                        vocabulary[k] = np.unique(w, return_counts=True)
                     best = (0, 0, 0)
                     for x, y in _regions(f[a:b, 2], f[a:b, 3], len(w), lo, hi):
+                        most = MATCH * _occurring(*vocabulary[k], words[x:y])
+                        if most <= best[0] or most < least * MATCH * len(w):
+                            continue
                         score, i, j = align(w, words[x:y])
                         if score > best[0]:
                             best = (score, x + i - lo, x + j - lo)

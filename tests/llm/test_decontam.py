@@ -61,6 +61,29 @@ def test_finds_planted_copies(spark):
     assert sorted(map(tuple, many)) == sorted(map(tuple, one))
 
 
+def test_evenly_edited_copies(spark):
+    """Copies with every fourth or fifth word changed, or words changed here and there, beside documents that hold the other
+    3-grams of the items: the same as aligning every item with every document."""
+    rnd = random.Random(9)
+    items = {i: [f"t{rnd.randrange(5000)}" for _ in range(20)] for i in range(12)}
+    docs = {}
+    for i, w in items.items():
+        for k in range(3):
+            for step in (4, 5):
+                docs[len(docs)] = [x if j % step != k else "changed" for j, x in enumerate(w)]
+            docs[len(docs)] = [x if rnd.random() > 0.25 else f"new{rnd.randrange(99)}" for x in w]
+        if i % 2:
+            for j in range(18):  # every 3-gram occurs, each in other numbers
+                docs.update({len(docs) + m: w[j : j + 3] for m in range(1 + j % 2)})
+    grams = lambda w: {tuple(w[j : j + 3]) for j in range(len(w) - 2)}
+    scores = {(d, i): _smith_waterman(w, x) / 40 for d, x in docs.items() for i, w in items.items() if grams(w) & grams(x)}
+    df = spark.createDataFrame([(d, " ".join(x)) for d, x in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(df, bench).collect()}
+    want = {k: v for k, v in scores.items() if v >= 0.5}
+    assert got == want and len(want) > 80
+
+
 def test_hot_item_keeps_its_seeds(spark):
     items, docs, _ = _world(5)
     rows = [(d, t + " " + " ".join(items[0])) for d, t in docs.items()]
