@@ -3,9 +3,10 @@
 A page is read into blocks of text; a block's path is the chain of its open elements from the root,
 with their classes. Parts that name themselves navigation, advert, form or the like are left out.
 Over the other blocks, text length, punctuation and link text are summed per path. The ratios per
-block of a path are fused into one score, smoothed over the page order, and paths above a threshold
-are content. The content's container is the element that holds nearly all of the content
-score; its blocks are the article, so its headings and short paragraphs stay.
+block of a path are fused into one score, and the blocks of paths above a threshold are content, in all elements that
+name themselves the article, or on the whole page if none does. With them stay headings before content, short blocks between
+content, and those around it that reach the threshold by the scores smoothed over the page order, unless
+their own classes set them apart.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_UNQUOTED = re.compile(r"=\s*[^\s\"'=<>`]+\Z")  # a last value without quotes, to which a final / belongs
 
 # Element names of HTML by role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +48,8 @@ _OUT_WORDS = frozenset(
     "recommendations teaser pagination pager search form copyright legal contentinfo complementary skip hidden header".split()
 )
 _MAIN_WORDS = frozenset("article articlebody main mainarticle post entry story".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TEXT = _HEADINGS | frozenset("p li dt dd td th blockquote pre figcaption caption summary".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
@@ -78,7 +82,7 @@ def _element(tag: str, attrs: str, parent: _Open, number: int) -> _Open:
 
 def blocks(page: str) -> list[dict]:
     """The blocks of a page in order: ``text`` (white space collapsed), ``path``, ``chain`` of (element number, is
-    a main element), ``link`` (characters of links). Blocks that are left out or empty are not listed."""
+    a main element), ``tags`` and ``classed`` (has a class) of the same elements, ``link`` (characters of links). Blocks that are left out or empty are not listed."""
     root = _Open("", "", False, False, 0, False)
     stack, number, done = [root], 0, []
     current: dict | None = None
@@ -101,7 +105,10 @@ def blocks(page: str) -> list[dict]:
             if not text.strip():
                 return
             chain = [e for e in stack[1:] if e.tag not in _INLINE]
-            current = {"parts": [], "link": 0, "path": "/".join(e.step for e in chain), "chain": [(e.number, e.tag in ("article", "main") or e.main) for e in chain]}
+            current = {
+                "parts": [], "link": 0, "path": "/".join(e.step for e in chain), "chain": [(e.number, e.tag in ("article", "main") or e.main) for e in chain],
+                "tags": [e.tag for e in chain], "classed": [e.step != e.tag for e in chain],
+            }
         current["parts"].append(text)
         if top.link:
             current["link"] += len(" ".join(text.split()))
@@ -137,6 +144,8 @@ def blocks(page: str) -> list[dict]:
             if tag == "hr":
                 finish()
             continue
+        if tag in ("svg", "math") and m["attrs"].endswith("/") and not _UNQUOTED.search(m["attrs"]):
+            continue
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -157,8 +166,8 @@ def blocks(page: str) -> list[dict]:
     return done
 
 
-def path_scores(found: list[dict]) -> list[float]:
-    """Smoothed fused tag-path ratio of each block."""
+def path_ratios(found: list[dict]) -> list[float]:
+    """Fused tag-path ratio of each block."""
     sums: dict[str, list[float]] = {}
     for b in found:
         s = sums.setdefault(b["path"], [0, 0, 0, 0])
@@ -167,60 +176,78 @@ def path_scores(found: list[dict]) -> list[float]:
         s[2] += len(_PUNCTUATION.findall(b["text"]))
         s[3] += b["link"]
     fused = {p: (size / n) * (1 + marks / n) * (1 - link / size) ** 2 for p, (n, size, marks, link) in sums.items()}
-    raw = [fused[b["path"]] for b in found]
+    return [fused[b["path"]] for b in found]
+
+
+def path_scores(found: list[dict]) -> list[float]:
+    """Smoothed fused tag-path ratio of each block."""
+    raw = path_ratios(found)
     return [
         (0.25 * raw[max(0, i - 1)] + 0.5 * raw[i] + 0.25 * raw[min(len(raw) - 1, i + 1)]) if len(raw) > 1 else raw[i]
         for i in range(len(raw))
     ]
 
 
-def main_text(page: str | None, threshold: float = 0.1, held: float = 0.75) -> str:
+def _joins(b: dict, content: dict) -> tuple[bool, bool]:
+    """Whether a block stands with a content block in one container, and whether no class sets it apart from that."""
+    shared = 0
+    for (x, _), (y, _) in zip(b["chain"], content["chain"], strict=False):
+        if x != y:
+            break
+        shared += 1
+    own = shared >= len(content["chain"]) - 1  # beside it, or in an element beside it
+    within = own or any(t not in ("html", "body") for t in b["tags"][:shared])
+    return within, not any(b["classed"][shared:])
+
+
+def main_text(page: str | None, threshold: float = 0.1) -> str:
     """The article of a page: blocks joined by line breaks, empty if there is none.
 
-    ``threshold``: least score of a content path by the best one; ``held``: share of the content that the
-    container must hold."""
+    ``threshold``: least score of a content path by the best one."""
     found = blocks(page or "")
-    if not found:
-        return ""
-    score = path_scores(found)
     link: dict[str, list[float]] = {}
-    best_of: dict[str, float] = {}
-    for b, s in zip(found, score, strict=True):
+    for b in found:
         x = link.setdefault(b["path"], [0, 0])
         x[0] += b["link"]
         x[1] += len(b["text"])
-        best_of[b["path"]] = max(best_of.get(b["path"], 0), s)
-    cut = threshold * max(best_of.values())
-    weight = [len(b["text"]) - b["link"] if best_of[b["path"]] >= cut else 0 for b in found]
-
-    def inside(k: int) -> list[int]:
-        return [i for i, b in enumerate(found) if any(n == k for n, _ in b["chain"])]
-
-    mains: dict[int, float] = {}
-    for b, w in zip(found, weight, strict=True):
-        first = next((n for n, main in b["chain"] if main), None)
-        if first is not None:
-            mains[first] = mains.get(first, 0) + w
-    keep = list(range(len(found)))
-    if mains and max(mains.values()) > 0:
-        keep = inside(max(mains, key=mains.get))
-    else:
-        depth, total = 0, sum(weight)
-        while total:  # step down while one child holds nearly all of the content
-            sums: dict[int, float] = {}
-            for i in keep:
-                if len(found[i]["chain"]) > depth:
-                    n = found[i]["chain"][depth][0]
-                    sums[n] = sums.get(n, 0) + weight[i]
-            top = max(sums, key=sums.get, default=None)
-            if top is None or sums[top] < held * total:
-                break
-            inner = [i for i in keep if len(found[i]["chain"]) > depth and found[i]["chain"][depth][0] == top]
-            if all(len(found[i]["chain"]) == depth + 1 for i in inner):
-                break  # one text block, not a container
-            keep, depth = inner, depth + 1
     menu = {p for p, (a, n) in link.items() if a > 0.6 * n}
-    return "\n".join(found[i]["text"] for i in keep if found[i]["path"] not in menu)
+    found = [b for b in found if b["path"] not in menu]
+    if not found:
+        return ""
+    ratio = path_ratios(found)
+    best, inside = max(ratio), [any(main for _, main in b["chain"]) for b in found]
+    if any(i and r >= threshold * best for i, r in zip(inside, ratio, strict=True)):
+        found = [b for b, i in zip(found, inside, strict=True) if i]
+    ratio, score = path_ratios(found), path_scores(found)
+    best_of: dict[str, float] = {}
+    for b, s in zip(found, score, strict=True):
+        best_of[b["path"]] = max(best_of.get(b["path"], 0), s)
+    best, top = max(ratio), max(best_of.values())
+    content = [r >= threshold * best for r in ratio]
+    near = [best_of[b["path"]] >= threshold * top for b in found]
+    before, last = [], None
+    for b, c in zip(found, content, strict=True):
+        before.append(last)
+        last = b if c else last
+    after, last = [], None
+    for b, c in zip(found[::-1], content[::-1], strict=True):
+        after.append(last)
+        last = b if c else last
+    out = []
+    for b, c, close, x, y in zip(found, content, near, before, after[::-1], strict=True):
+        keep = c
+        if not c:
+            sides = [_joins(b, z) for z in (x, y) if z]
+            text, alike = bool(_TEXT & set(b["tags"][-1:])), any(w and p for w, p in sides)
+            if y and _HEADINGS & set(b["tags"]):
+                keep = any(w for w, _ in sides)
+            elif x and y:
+                keep = alike or (text and any(w for w, _ in sides))
+            else:
+                keep = close and alike
+        if keep:
+            out.append(b["text"])
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame) -> DataFrame:

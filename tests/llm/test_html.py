@@ -27,6 +27,37 @@ def test_page_without_article_element():
     assert html.main_text(page) == "Head & line\nFirst, with inline text. Second sentence, here.\nUnclosed, one.\nPoint one, ok.\nPoint two."
 
 
+_LONG = "A long sentence of the article, with commas, and with more words than others. Another one, just as long, follows here."
+
+
+def test_article_in_parts():
+    for part in ("<article>%s</article>", "<div class='story'>%s</div>", "<div class='part'>%s</div>", "<section><div class='a'>%s</div></section>"):
+        one = part % f"<h1>Title</h1><p>{_LONG}</p><p>{_LONG}</p><p>Short.</p>"
+        two = part % f"<h2>Second part</h2><p>{_LONG}</p><ul><li>Point one.<li>Point two.</ul>"
+        page = f"<html><body><div class='q7'>Buy now</div>{one}<div class='q7'>Buy now</div>{two}<div class='z'>All rights</div></body></html>"
+        assert html.main_text(page).split("\n") == ["Title", _LONG, _LONG, "Short.", "Second part", _LONG, "Point one.", "Point two."]
+
+
+def test_content_beside_a_large_part_stays():
+    page = f"<body><div id='a'><p>{_LONG}</p>{f'<p>{_LONG}</p>' * 8}</div><div id='b'><p>{_LONG} The end.</p></div></body>"
+    assert html.main_text(page).split("\n") == [_LONG] * 9 + [_LONG + " The end."]
+
+
+def test_neutral_names_in_the_container():
+    page = f"<article><div class='x1'>By us</div><h1>Title</h1><p>{_LONG}</p><div class='x2'><span>Tap here</span></div><h2>Next</h2><p>{_LONG}</p><div class='x3'>Top</div></article>"
+    assert html.main_text(page).split("\n") == ["Title", _LONG, "Next", _LONG]
+
+
+def test_small_part_with_a_main_name_is_not_the_article():
+    page = f"<body><div class='entry'>3 min</div><div class='t'><p>{_LONG}</p><p>{_LONG}</p></div></body>"
+    assert html.main_text(page).split("\n") == [_LONG, _LONG]
+
+
+def test_self_closed_svg_and_math():
+    for tag in ("<svg/>", "<svg />", "<svg viewBox='0 0 1 1'/>", "<math/>", "<svg><path d='x'/></svg>", "<svg id=a/><path></svg>"):
+        assert html.main_text(f"<article><p>One, two.</p>{tag}<p>Three, four.</p></article>") == "One, two.\nThree, four."
+
+
 def test_odd_input():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p> </p>") == ""
     assert html.main_text("plain text, no tags") == "plain text, no tags"
