@@ -61,6 +61,13 @@ def test_run_is_the_stages(steps, spark, sf):
     assert order(C.run(spark, sf)) == order(steps[-1][2])
 
 
+def test_benchmark_copies_without_an_id_go(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 100").orderBy("item_id").first().text
+    rows = [(1, "clean words here"), (1, f"front {item} end"), (None, f"other {item} end"), (None, "more clean words"), (None, None)]
+    left = C.without_benchmark(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
+
+
 def test_stages_on_edge_rows(spark, sf):
     good = " ".join(f"word{i}" for i in range(80))
     rows = [(1, good, "en", "s", 5), (1, good, "en", "s", 5), (None, good + " x", None, None, None), (2, None, None, None, None), (3, "", "en", "s", 0)]
