@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matricula.llm import bpe, decontam, html, langid, licences, quality, simhash, substring, suffix, warc
+from matricula.llm import bpe, decontam, html, langid, licences, negatives, packing, quality, resampling, simhash, substring, suffix, warc
 from matricula.sesion import aplicar_ajustes
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
+PACKING_TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,11 +71,29 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document: a quarter of them drawn towards the texts of ``benchmark``."""
+    return resampling.importance_resampling(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of at most 4096 tokens."""
+    return packing.packed_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER), capacity=4096, end_id=1)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to ten hard negatives for each of the five nearest positives of every hundredth vector. Where the id is
+    divisible by 7, the label is moved on by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.hard_negatives(vectors, is_anchor=F.col("vec_id") % 100 == 0)
+
+
 REGISTRO: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_main_text, op2_substring_dedup, op3_quality_rules, op4_suffix_dedup, op5_benchmark_decontamination, op6_language_id, op7_warc_revisits,
-        op8_licences, op9_simhash_near_dedup, op10_byte_bpe,
+        op8_licences, op9_simhash_near_dedup, op10_byte_bpe, op11_importance_resampling, op12_best_fit_packing, op13_hard_negatives,
     )
 }
-ORACULO: dict[str, str] = {"op7_warc_revisits": warc.ORACLE_SQL}
+ORACULO: dict[str, str] = {"op7_warc_revisits": warc.ORACLE_SQL, "op13_hard_negatives": negatives.ORACLE_SQL}
