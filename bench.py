@@ -22,7 +22,7 @@ from matricula.operators import lotes as L  # noqa: E402
 from matricula.operators import otp as O  # noqa: E402
 from matricula.plans import trabajos  # noqa: E402
 from matricula.sesion import crear_sesion  # noqa: E402
-from matricula.sources import almacen, preparacion  # noqa: E402
+from matricula.sources import almacen, deposito, preparacion  # noqa: E402
 from matricula.sources.esquemas import TABLAS  # noqa: E402
 
 CAMBIOS = ["solicitud_registro", "lote_fila", "intento_otp"]
@@ -67,13 +67,13 @@ def main() -> None:
         tiempos[nombre] = round(mejor, 3)
         filas[nombre] = fn(t).count()
 
-    # A commit: one batch of registrations appended to tables at rest.
-    raiz = f"{scratch}/almacen"
-    almacen.confirmar(spark, raiz, {n: t[n] for n in TABLAS})
+    # Batches over tables at rest: registrations appended, decisions rewriting what they touch.
+    raiz = f"{scratch}/deposito"
+    deposito.crear(spark, raiz, {n: t[n] for n in TABLAS})
     t1 = time.time()
     trabajos.registro(spark, raiz, t["solicitud_registro"])
     tiempos["confirmar_registro"] = round(time.time() - t1, 3)
-    filas["confirmar_registro"] = almacen.abrir_instantanea(spark, raiz)["inscripcion"].count()
+    filas["confirmar_registro"] = deposito.leer(spark, raiz, "inscripcion").count()
 
     total = round(sum(tiempos[k] for k in PRINCIPALES), 3)
     print(json.dumps({

@@ -4,12 +4,12 @@
     list the registered queries.
 ``python -m matricula consulta <key> <sf_dir> [--salida <dir>] [--mostrar N]``
     run one registered query over the tables in ``sf_dir``; write Parquet or print rows.
-``python -m matricula trabajo <job> <root> <input> [<input2> ...] [--ahora "YYYY-MM-DD HH:MM:SS"] [--formato json]``
+``python -m matricula trabajo <job> <root> <input> [<input2> ...] [--lote NAME] [--ahora "YYYY-MM-DD HH:MM:SS"] [--formato json]``
     apply one change set (Parquet folder, or JSON lines read with the change set's schema; lots and
-    lot payments take the code checks as a second input) to the newest snapshot under ``root`` and commit it; jobs are the functions of
-    ``matricula.plans.trabajos``.
+    lot payments take the code checks as a second input) to the tables under ``root``; run again under the same ``--lote``, it
+    completes a batch that failed half way. Jobs are the functions of ``matricula.plans.trabajos``.
 ``python -m matricula inicializar <root> <sf_dir>``
-    commit the stand-in domain tables of ``sf_dir`` as version 1 under ``root``.
+    write the stand-in domain tables of ``sf_dir`` under ``root``.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import SparkSession
 from . import plans
 from .plans import trabajos
 from .sesion import aplicar_ajustes
-from .sources import almacen, lectores, preparacion
+from .sources import deposito, lectores, preparacion
 from .sources.esquemas import TABLAS
 
 TRABAJOS = {
@@ -50,7 +50,7 @@ def _leer(spark: SparkSession, ruta: str, formato: str, cambio: str):
     if formato == "parquet":
         return spark.read.parquet(ruta)
     if cambio == "veredictos":
-        return spark.read.schema("email string, veredicto string").json(ruta)
+        return spark.read.schema("email string, en timestamp, veredicto string").json(ruta)
     df = lectores.leer_cambio(spark, ruta, cambio)
     return lectores.lote_explode(df) if cambio == "lote" else df
 
@@ -69,6 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     j.add_argument("raiz")
     j.add_argument("entradas", nargs="+")
     j.add_argument("--ahora")
+    j.add_argument("--lote")
     j.add_argument("--formato", choices=["parquet", "json"], default="parquet")
     i = sub.add_parser("inicializar")
     i.add_argument("raiz")
@@ -89,7 +90,7 @@ def main(argv: list[str] | None = None) -> int:
             df.show(a.mostrar, truncate=False)
     elif a.orden == "inicializar":
         t = preparacion.cargar(spark, a.sf_dir)
-        print(almacen.confirmar(spark, a.raiz, {n: t[n] for n in TABLAS}))
+        deposito.crear(spark, a.raiz, {n: t[n] for n in TABLAS})
     else:
         cambios = ENTRADAS[a.nombre]
         if len(a.entradas) > len(cambios):
@@ -98,7 +99,7 @@ def main(argv: list[str] | None = None) -> int:
         extra = {"ahora": a.ahora} if a.nombre in CON_HORA else {}
         if "veredictos" in leidas:
             extra["veredictos"] = leidas.pop("veredictos")
-        print(TRABAJOS[a.nombre](spark, a.raiz, *leidas.values(), **extra))
+        print(TRABAJOS[a.nombre](spark, a.raiz, *leidas.values(), lote=a.lote, **extra))
     return 0
 
 

@@ -9,8 +9,9 @@ Set form (exact): only the first request of a pair that is not already enrolled
 seat (``nuevo``), and seats are never freed inside a batch, so with ``acum`` = running count of
 ``nuevo`` per offer in arrival order, the request finds ``rest - least(greatest(rest, 0),
 acum - nuevo)`` seats left. Requests for missing, blocked or already full offers get their
-reason without entering the running count, which is computed by ``secuencia.suma_acumulada``
-(range blocks, no single-task window per offer).
+reason whatever the running count is, which is computed by ``secuencia.suma_acumulada``
+(range blocks, no single-task window per offer). Every request goes through it, resolved ones counting
+nothing, so the joins with the tables run once.
 """
 
 from __future__ import annotations
@@ -69,17 +70,15 @@ def admitir(t, pedidos: DataFrame) -> DataFrame:
         .when(F.col("bloqueada"), F.lit("pausada"))
         .when(F.col("rest") < 1, F.lit("sin_cupos"))
     )
-    x = x.withColumn("motivo", directo)
-    resueltos = x.where(F.col("motivo").isNotNull()).withColumn("acum", F.lit(None).cast("long"))
-    en_carrera = suma_acumulada(x.where(F.col("motivo").isNull()), ["oferta"], ORDEN, "nuevo", "acum")
-    en_carrera = en_carrera.withColumn(
-        "motivo",
+    x = x.withColumn("motivo", directo).withColumn("nuevo", F.when(F.col("motivo").isNull(), F.col("nuevo")).otherwise(0))
+    x = suma_acumulada(x, ["oferta"], ORDEN, "nuevo", "acum")
+    en_carrera = (
         F.when(
             F.col("rest") - F.least(F.greatest(F.col("rest"), F.lit(0)), F.col("acum") - F.col("nuevo")) < 1,
             F.lit("sin_cupos"),
-        ).when(F.col("nuevo") == 0, F.lit("duplicado")).otherwise(F.lit("ok")),
+        ).when(F.col("nuevo") == 0, F.lit("duplicado")).otherwise(F.lit("ok"))
     )
-    return resueltos.unionByName(en_carrera).select("solicitud_id", "doc", "oferta", "en", "motivo")
+    return x.select("solicitud_id", "doc", "oferta", "en", F.coalesce("motivo", en_carrera).alias("motivo"))
 
 
 def con_codigos(t, admitidos: DataFrame) -> DataFrame:

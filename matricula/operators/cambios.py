@@ -23,7 +23,7 @@ def _marcar(df: DataFrame, claves: DataFrame, cols: list[str], bandera: str) ->
     return df.join(k, cols, "left").withColumn(bandera, F.coalesce(F.col(bandera), F.lit(False)))
 
 
-def _con_estado(ins: DataFrame, codigos: DataFrame, estado: str) -> DataFrame:
+def con_estado(ins: DataFrame, codigos: DataFrame, estado: str) -> DataFrame:
     """Set ``ins_estado`` of the enrolments whose code is in ``codigos(inscodigo)``."""
     m = _marcar(ins, codigos, ["inscodigo"], "__m")
     return m.withColumn("ins_estado", F.when(F.col("__m"), F.lit(estado)).otherwise(F.col("ins_estado"))) \
@@ -52,7 +52,7 @@ def reportar_pagos(t, solicitudes: DataFrame, ahora) -> dict[str, DataFrame]:
         "resultado": val.select("solicitud_id", "inscodigo", F.coalesce("motivo", F.lit("ok")).alias("motivo")),
         "pago_reportado": t["pago_reportado"].unionByName(nuevos),
         "pagos_nuevos": nuevos,
-        "inscripcion": _con_estado(t["inscripcion"], ok, "en_revision"),
+        "inscripcion": con_estado(t["inscripcion"], ok, "en_revision"),
     }
 
 
@@ -101,7 +101,7 @@ def reportar_pagos_lote(t, solicitudes: DataFrame, ahora) -> dict[str, DataFrame
         "resultado": resultado,
         "pago_reportado": t["pago_reportado"].unionByName(nuevos),
         "pagos_nuevos": nuevos,
-        "inscripcion": _con_estado(t["inscripcion"], codigos, "en_revision"),
+        "inscripcion": con_estado(t["inscripcion"], codigos, "en_revision"),
     }
 
 
@@ -109,7 +109,7 @@ def reportar_pagos_lote(t, solicitudes: DataFrame, ahora) -> dict[str, DataFrame
 
 def aprobar_pagos(t, codigos: DataFrame) -> DataFrame:
     """Approved enrolments become conciliado (any state)."""
-    return _con_estado(t["inscripcion"], codigos, "conciliado")
+    return con_estado(t["inscripcion"], codigos, "conciliado")
 
 
 def rechazar_pagos(t, codigos: DataFrame) -> dict[str, DataFrame]:
@@ -117,22 +117,32 @@ def rechazar_pagos(t, codigos: DataFrame) -> dict[str, DataFrame]:
     pendiente (D2: single rejection is not rechazado)."""
     return {
         "pago_reportado": _sin_pagos_de(t["pago_reportado"], codigos),
-        "inscripcion": _con_estado(t["inscripcion"], codigos, "pendiente"),
+        "inscripcion": con_estado(t["inscripcion"], codigos, "pendiente"),
     }
 
 
-def decidir_pagos(t, decisiones: DataFrame) -> dict[str, DataFrame]:
-    """W11 and W12 mixed: ``decisiones(inscodigo, decision, en, solicitud_id)`` applied in arrival order. The
-    last decision of an enrolment sets its state; any rejection deletes its reports."""
-    ultima = decisiones.groupBy("inscodigo").agg(
+def decision_final(decisiones: DataFrame) -> DataFrame:
+    """W11 and W12 mixed: ``decisiones(inscodigo, decision, en, solicitud_id)`` folded per enrolment in arrival order: the last decision
+    (``ultima``) sets the state, any rejection (``hubo_rechazo``) deletes the reports."""
+    return decisiones.groupBy("inscodigo").agg(
         F.max_by("decision", F.struct("en", "solicitud_id")).alias("ultima"),
         F.max((F.col("decision") == "rechazar").cast("int")).alias("hubo_rechazo"),
     )
+
+
+def con_decision(ins: DataFrame, ultima: DataFrame) -> DataFrame:
+    """Enrolments with the state that ``decision_final`` gives them."""
+    nuevo = F.when(F.col("ultima") == "rechazar", "pendiente").when(F.col("ultima") == "aprobar", "conciliado")
+    return ins.join(ultima.select("inscodigo", "ultima"), "inscodigo", "left") \
+        .withColumn("ins_estado", F.coalesce(nuevo, "ins_estado")).select(*ins.columns)
+
+
+def decidir_pagos(t, decisiones: DataFrame) -> dict[str, DataFrame]:
+    """W11 and W12 mixed, in arrival order (see ``decision_final``)."""
+    ultima = decision_final(decisiones)
     return {
         "pago_reportado": _sin_pagos_de(t["pago_reportado"], ultima.where("hubo_rechazo = 1")),
-        "inscripcion": _con_estado(
-            _con_estado(t["inscripcion"], ultima.where("ultima = 'rechazar'"), "pendiente"),
-            ultima.where("ultima = 'aprobar'"), "conciliado"),
+        "inscripcion": con_decision(t["inscripcion"], ultima),
     }
 
 
@@ -168,26 +178,41 @@ def rechazar_lotes(t, lotes: DataFrame) -> dict[str, DataFrame]:
     return {
         "resultado": resultado,
         "pago_reportado": _sin_pagos_de(t["pago_reportado"], en_rev),
-        "inscripcion": _con_estado(ins, en_rev, "rechazado"),
+        "inscripcion": con_estado(ins, en_rev, "rechazado"),
     }
 
 
-def decidir_lotes_pagos(t, decisiones: DataFrame) -> dict[str, DataFrame]:
-    """W13 and W14 mixed: ``decisiones(empresa_id, oferta, decision, en, solicitud_id)`` in arrival order. The first
-    decision of a lot settles its enrolments in review: rejected first, they become rechazado and lose
-    their reports. A later approval reconciles the whole lot (D3); a later rejection finds none in review."""
+def estados_de_lotes(t, decisiones: DataFrame) -> DataFrame:
+    """W13 and W14 mixed: ``decisiones(empresa_id, oferta, decision, en, solicitud_id)`` folded per lot in arrival order, as the
+    enrolments that change: ``inscodigo``, new ``estado`` and whether their reports go (``sin_pagos``). The first decision of a lot settles
+    its enrolments in review: rejected first, they become rechazado and lose their reports. A later approval
+    reconciles the whole lot (D3); a later rejection finds none in review."""
     orden = F.struct("en", "solicitud_id")
-    por_lote = decisiones.groupBy("empresa_id", "oferta").agg(
+    por_lote = decisiones.groupBy(F.col("empresa_id").alias("ins_empresa_id"), F.col("oferta").alias("ins_oferta")).agg(
         F.min_by("decision", orden).alias("primera"), F.max((F.col("decision") == "aprobar").cast("int")).alias("aprobado"))
-    r = rechazar_lotes(t, por_lote.where("primera = 'rechazar'"))
-    primeras = decisiones.join(
-        decisiones.where("decision = 'rechazar'").groupBy("empresa_id", "oferta").agg(F.min(orden).alias("o")), ["empresa_id", "oferta"]
-    ).where((F.col("decision") == "rechazar") & (orden == F.col("o"))).select("empresa_id", "oferta")
-    res = r["resultado"].unionByName(primeras.join(r["resultado"].select("empresa_id", "oferta"), ["empresa_id", "oferta"], "left_anti")
-                                     .select("empresa_id", "oferta", F.lit("sin_en_revision").alias("motivo"), F.lit(0).cast("long").alias("empleados")))
+    rechazada = (F.col("primera") == "rechazar") & (F.col("ins_estado") == "en_revision")
+    estado = F.when(F.col("aprobado") == 1, "conciliado").when(rechazada, "rechazado")
+    return t["inscripcion"].join(por_lote, ["ins_empresa_id", "ins_oferta"]).select(
+        "inscodigo", estado.alias("estado"), F.coalesce(rechazada, F.lit(False)).alias("sin_pagos")).where("estado IS NOT NULL")
+
+
+def con_estados(ins: DataFrame, estados: DataFrame) -> DataFrame:
+    """Enrolments with the new states of ``estados(inscodigo, estado)``."""
+    return ins.join(estados.select("inscodigo", "estado"), "inscodigo", "left") \
+        .withColumn("ins_estado", F.coalesce("estado", "ins_estado")).select(*ins.columns)
+
+
+def decidir_lotes_pagos(t, decisiones: DataFrame) -> dict[str, DataFrame]:
+    """W13 and W14 mixed, in arrival order (see ``estados_de_lotes``). ``resultado``: one row per lot with a rejection."""
+    estados = estados_de_lotes(t, decisiones)
+    por_lote = decisiones.groupBy("empresa_id", "oferta").agg(
+        F.min_by("decision", F.struct("en", "solicitud_id")).alias("primera"), F.max((F.col("decision") == "rechazar").cast("int")).alias("rechazos"))
+    r = rechazar_lotes(t, por_lote.where("primera = 'rechazar'"))["resultado"]
+    tarde = por_lote.where("primera <> 'rechazar' AND rechazos = 1").select(
+        "empresa_id", "oferta", F.lit("sin_en_revision").alias("motivo"), F.lit(0).cast("long").alias("empleados"))
     return {
-        "resultado": res, "pago_reportado": r["pago_reportado"],
-        "inscripcion": aprobar_lotes({"inscripcion": r["inscripcion"]}, por_lote.where("aprobado = 1")),
+        "resultado": r.unionByName(tarde), "pago_reportado": _sin_pagos_de(t["pago_reportado"], estados.where("sin_pagos")),
+        "inscripcion": con_estados(t["inscripcion"], estados),
     }
 
 
@@ -274,23 +299,36 @@ def alternar_ofertas(t, toggles: DataFrame, campo: str) -> DataFrame:
 
 # ------------------------------------------------------------------ W20 profile edit
 
+def _revisar_ediciones(ediciones: DataFrame) -> DataFrame:
+    return ediciones.withColumn("motivo", F.when(V.falta_alguno("doc", "nombre", "apellido"), F.lit("faltan_datos")))
+
+
+def ediciones_validas(ediciones: DataFrame) -> DataFrame:
+    """The last valid edit of each document, as ``doc`` and a struct ``u``."""
+    return _revisar_ediciones(ediciones).where(F.col("motivo").isNull()).groupBy("doc").agg(
+        F.max(F.struct("en", "solicitud_id", "nombre", "apellido", "telefono")).alias("u"))
+
+
+def con_ediciones(per: DataFrame, ultima: DataFrame) -> DataFrame:
+    """People with name, surname and phone of ``ediciones_validas``; other columns stay."""
+    j = per.join(ultima, per["perdoc"] == ultima["doc"], "left")
+    nuevo = {f"per{n}": F.when(F.col("u").isNotNull(), F.col(f"u.{n}")).otherwise(F.col(f"per{n}")) for n in ("nombre", "apellido", "telefono")}
+    return j.select(*[nuevo[c].alias(c) if c in nuevo else F.col(c) for c in per.columns])
+
+
 def editar_personas(t, ediciones: DataFrame) -> dict[str, DataFrame]:
     """Edits need document, name and surname; the last valid edit of each document sets
     name, surname and phone (no casing applied)."""
-    val = ediciones.withColumn("motivo", F.when(V.falta_alguno("doc", "nombre", "apellido"), F.lit("faltan_datos")))
-    ok = val.where(F.col("motivo").isNull())
-    ultima = ok.groupBy("doc").agg(F.max(F.struct("en", "solicitud_id", "nombre", "apellido", "telefono")).alias("u"))
-    per = t["persona"]
-    j = per.join(ultima, per["perdoc"] == ultima["doc"], "left")
-    hay = F.col("u").isNotNull()
-    nueva = j.select(*[
-        (F.when(hay, F.col(f"u.{n}")).otherwise(F.col(c)).alias(c) if n else F.col(c))
-        for c, n in [("pertipodoc", None), ("perdoc", None), ("pernombre", "nombre"), ("perapellido", "apellido"),
-                     ("perfechanac", None), ("pertelefono", "telefono"), ("peremail", None), ("perpais", None),
-                     ("perciudad", None)]
-    ])
-    return {"resultado": val.select("solicitud_id", "doc", F.coalesce("motivo", F.lit("ok")).alias("motivo")),
-            "persona": nueva}
+    return {"resultado": _revisar_ediciones(ediciones).select("solicitud_id", "doc", F.coalesce("motivo", F.lit("ok")).alias("motivo")),
+            "persona": con_ediciones(t["persona"], ediciones_validas(ediciones))}
+
+
+def reemplazar(filas: DataFrame, nuevas: DataFrame, clave: str) -> DataFrame:
+    """``filas`` with the columns of ``nuevas`` where that has the key; other columns stay."""
+    n = nuevas.select(F.col(clave).alias("__k"), F.struct(*[c for c in nuevas.columns if c != clave]).alias("__n"))
+    j = filas.join(n, filas[clave] == F.col("__k"), "left")
+    otras = {c: F.when(F.col("__k").isNotNull(), F.col(f"__n.{c}")).otherwise(F.col(c)).alias(c) for c in nuevas.columns if c != clave}
+    return j.select(*[otras.get(c, F.col(c)) for c in filas.columns])
 
 
 # ------------------------------------------------------------------ W21 company contacts

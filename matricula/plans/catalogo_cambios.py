@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from ..operators import admision as A
 from ..operators import cambios as K
 from ..operators import lotes as L
 from ..operators import validacion as V
+from ..sesion import asegurar_checkpoint
 from ..sources import lectores as S
 from ..sources import preparacion as P
 from .registro import W, consulta, tablas
@@ -172,6 +177,40 @@ def _lote_explode(spark, sf):
     return S.lote_explode(S.anidar_lotes(tablas(spark, sf)["lote_fila"]))
 
 
+# Nested lots from disk, with their quarantine: rows of whole lots, and what keeps the others back.
+_LOTES_JSON = W("lote_fila_pagina", "lote_vacio", extra="""
+puesta AS (SELECT * EXCLUDE (nombre, apellido), trim(nombre) AS nombre, trim(apellido) AS apellido,
+                  row_number() OVER (PARTITION BY lote_id ORDER BY fila) - 1 AS posicion FROM lote_fila_pagina),
+incompleta AS (SELECT lote_id, posicion FROM puesta WHERE nombre = '' OR fechanac IS NULL)""")
+
+
+def _lotes_json(spark, sf):
+    t = tablas(spark, sf)
+    ids = ("lote_id", "empresa_id", "oferta")
+    con_filas = S.anidar_lotes(t["lote_fila_pagina"]).withColumns({c: F.col(c).cast("string") for c in ids})
+    nadie = F.when(F.col("empresa_id") != "x", F.array()).cast(con_filas.schema["empleados"].dataType)
+    vacios = t["lote_vacio"].withColumn("empleados", nadie)
+    ruta = f"{asegurar_checkpoint(spark)}/lotes-{uuid.uuid4().hex}"
+    S.escribir_json(con_filas.unionByName(vacios), ruta)
+    return S.revisar_lotes(S.leer_lotes(spark, ruta))
+
+
+@consulta("lotes_json", _LOTES_JSON + """
+SELECT lote_id, empresa_id, oferta, posicion, fila, tipodoc, doc, nombre, apellido, telefono, email, fechanac, pais, ciudad
+FROM puesta WHERE lote_id NOT IN (SELECT lote_id FROM incompleta)""")
+def _lotes_json_filas(spark, sf):
+    """S3: nested lots written as JSON with text ids, read back and checked."""
+    return _lotes_json(spark, sf)[0].drop("sesion_email", "en")
+
+
+@consulta("lotes_json_cuarentena", _LOTES_JSON + """
+SELECT lote_id, posicion, 'empleado_incompleto' AS motivo FROM incompleta
+UNION ALL
+SELECT CAST(lote_id AS BIGINT), NULL, CASE WHEN empresa_id = 'x' THEN 'id_ilegible' ELSE 'sin_empleados' END FROM lote_vacio""")
+def _lotes_json_cuarentena(spark, sf):
+    return _lotes_json(spark, sf)[1]
+
+
 @consulta("lotes_completos", W("lote_fila") + """
 SELECT lote_id, COUNT(*) AS filas,
        bool_and(coalesce(trim(doc) <> '', false) AND coalesce(trim(nombre) <> '', false) AND coalesce(trim(email) <> '', false)
@@ -452,6 +491,66 @@ def _lote_rechazo_resultado(spark, sf):
     return K.rechazar_lotes(t, _lote_decision(t, "rechazar"))["resultado"]
 
 
+# Mixed decisions, one at a time in arrival order: a recursive query folds each enrolment's decisions over its state and
+# whether its reports are still there.
+_DECISIONES_CTES = W("inscripcion", "pago_reportado", "decision_mixta", extra="""
+orden AS (SELECT *, row_number() OVER (PARTITION BY inscodigo ORDER BY en, solicitud_id) AS k FROM decision_mixta),
+paso(inscodigo, k, estado, con_pagos) AS (
+  SELECT inscodigo, CAST(0 AS BIGINT), ins_estado, true FROM inscripcion
+  UNION ALL
+  SELECT p.inscodigo, o.k, CASE WHEN o.decision = 'aprobar' THEN 'conciliado' ELSE 'pendiente' END, p.con_pagos AND o.decision = 'aprobar'
+  FROM paso p JOIN orden o ON o.inscodigo = p.inscodigo AND o.k = p.k + 1),
+fin AS (SELECT inscodigo, max_by(estado, k) AS estado, bool_and(con_pagos) AS con_pagos FROM paso GROUP BY inscodigo)""").replace(
+    "WITH ", "WITH RECURSIVE ", 1)
+_TRAS_DECISIONES = f"""{_INS_SEL} (
+  SELECT inscodigo, ins_perdoc, ins_oferta, ins_empresa_id, estado AS ins_estado, ins_fecha FROM inscripcion JOIN fin USING (inscodigo)) u"""
+
+
+def _decisiones(spark, sf):
+    t = tablas(spark, sf)
+    return K.decidir_pagos(t, t["decision_mixta"])
+
+
+@consulta("inscripcion_tras_decisiones", _DECISIONES_CTES + _TRAS_DECISIONES)
+def _inscripcion_tras_decisiones(spark, sf):
+    return como_texto(_decisiones(spark, sf)["inscripcion"])
+
+
+@consulta("pagos_tras_decisiones", _DECISIONES_CTES + f"""{_PAGO_SEL} pago_reportado
+WHERE pago_inscodigo IN (SELECT inscodigo FROM fin WHERE con_pagos)""")
+def _pagos_tras_decisiones(spark, sf):
+    return como_texto(_decisiones(spark, sf)["pago_reportado"])
+
+
+_DECISIONES_LOTE_CTES = W("inscripcion", "pago_reportado", "decision_lote_mixta", extra="""
+orden AS (SELECT *, row_number() OVER (PARTITION BY empresa_id, oferta ORDER BY en, solicitud_id) AS k FROM decision_lote_mixta),
+paso(inscodigo, ins_empresa_id, ins_oferta, k, estado, con_pagos) AS (
+  SELECT inscodigo, ins_empresa_id, ins_oferta, CAST(0 AS BIGINT), ins_estado, true FROM inscripcion
+  UNION ALL
+  SELECT p.inscodigo, p.ins_empresa_id, p.ins_oferta, o.k,
+         CASE WHEN o.decision = 'aprobar' THEN 'conciliado' WHEN p.estado = 'en_revision' THEN 'rechazado' ELSE p.estado END,
+         p.con_pagos AND NOT (o.decision = 'rechazar' AND p.estado = 'en_revision')
+  FROM paso p JOIN orden o ON o.empresa_id = p.ins_empresa_id AND o.oferta = p.ins_oferta AND o.k = p.k + 1),
+fin AS (SELECT inscodigo, max_by(estado, k) AS estado, bool_and(con_pagos) AS con_pagos FROM paso GROUP BY inscodigo)""").replace(
+    "WITH ", "WITH RECURSIVE ", 1)
+
+
+def _decisiones_lote(spark, sf):
+    t = tablas(spark, sf)
+    return K.decidir_lotes_pagos(t, t["decision_lote_mixta"])
+
+
+@consulta("lotes_tras_decisiones", _DECISIONES_LOTE_CTES + _TRAS_DECISIONES)
+def _lotes_tras_decisiones(spark, sf):
+    return como_texto(_decisiones_lote(spark, sf)["inscripcion"])
+
+
+@consulta("pagos_tras_decisiones_lote", _DECISIONES_LOTE_CTES + f"""{_PAGO_SEL} pago_reportado
+WHERE pago_inscodigo IN (SELECT inscodigo FROM fin WHERE con_pagos)""")
+def _pagos_tras_decisiones_lote(spark, sf):
+    return como_texto(_decisiones_lote(spark, sf)["pago_reportado"])
+
+
 _ELIM_EXTRA = """
 hall AS (SELECT inscodigo, ins_perdoc, ins_oferta FROM inscripcion WHERE inscodigo IN (SELECT inscodigo FROM eliminacion))"""
 _ELIM_CTES = W("inscripcion", "eliminacion", "pago_reportado", "persona_capacitacion", extra=_ELIM_EXTRA)

@@ -13,7 +13,8 @@ from ..operators import otp as O
 from ..operators import salidas as X
 from ..operators import validacion as V
 from ..sesion import asegurar_checkpoint
-from ..sources import almacen, lectores
+from ..sources import deposito as D
+from ..sources import lectores
 from ..sources import preparacion as P
 from ..sources.esquemas import TABLAS
 from .catalogo_cambios import (
@@ -91,18 +92,23 @@ def _tokens_vigentes(spark, sf):
     return como_texto(O.emitir_tokens(t, _emitidas(t)))
 
 
-@consulta("lotes_autorizados", W(*_EMITIDAS_VISTAS, "intento_otp_empresa", "lote_fila",
-                                 extra=_EMITIDAS + "," + _tk_ctes("tokens2", "intento_otp_empresa", "2")) + """
-SELECT DISTINCT l.lote_id, l.empresa_id, l.oferta FROM lote_fila l
-JOIN contacto_empresa ce ON ce.id_contacto = l.empresa_id
-WHERE ce.emp_email IN (SELECT email FROM ver2 WHERE veredicto = 'ok')""")
+@consulta("lotes_autorizados", W(*_EMITIDAS_VISTAS, "intento_otp_empresa", "envio_lote",
+                                 extra=_EMITIDAS + "," + _tk_ctes("tokens2", "intento_otp_empresa", "2") + """,
+aceptado AS (SELECT v.email, i.en FROM ver2 v JOIN intento_otp_empresa i USING (intento_id) WHERE v.veredicto = 'ok'),
+envio AS (SELECT l.lote_id, l.empresa_id, l.oferta, l.en, ce.emp_email, coalesce(l.sesion_email, ce.emp_email) AS quien
+          FROM envio_lote l LEFT JOIN contacto_empresa ce ON ce.id_contacto = l.empresa_id),
+sesion AS (SELECT e.*, (SELECT max(a.en) FROM aceptado a WHERE a.email = e.quien AND a.en <= e.en) AS desde FROM envio e)""") + """
+SELECT lote_id, empresa_id, oferta,
+       CASE WHEN quien IS NULL THEN 'sin_contacto' WHEN desde IS NULL THEN 'sin_codigo' WHEN en >= desde + INTERVAL 2 HOURS THEN 'sesion_expirada'
+            WHEN emp_email IS NULL THEN 'sin_contacto' WHEN quien <> emp_email THEN 'codigo_ajeno' ELSE 'ok' END AS motivo
+FROM sesion""")
 def _lotes_autorizados(spark, sf):
+    """Every lot that the portal was sent, with the verdict on its session."""
     t = tablas(spark, sf)
-    tokens = O.emitir_tokens(t, _emitidas(t))
-    t2 = P.desde_dataframes(spark, {**t, "token_otp": tokens})
-    ver = O.otp_intentos(t2, t["intento_otp_empresa"])
-    lotes = t["lote_fila"].select("lote_id", "empresa_id", "oferta").distinct()
-    return O.lotes_autorizados(t, lotes, ver)
+    t2 = P.desde_dataframes(spark, {**t, "token_otp": O.emitir_tokens(t, _emitidas(t))})
+    ver = O.otp_intentos(t2, t["intento_otp_empresa"]).join(t["intento_otp_empresa"].select("intento_id", "en"), "intento_id")
+    r = O.autorizar(t, t["envio_lote"], ver)
+    return r.select("lote_id", "empresa_id", "oferta", F.coalesce("motivo", F.lit("ok")).alias("motivo"))
 
 
 # ---------------------------------------------------------------- outbox
@@ -298,20 +304,94 @@ def _scan_solicitudes(spark, sf):
     return como_texto(lectores.leer_solicitudes(spark, destino))
 
 
-# ---------------------------------------------------------------- streaming (W1 through foreachBatch)
+# ---------------------------------------------------------------- streaming (S2, W1 through foreachBatch)
+
+def _deposito(spark, sf, t) -> str:
+    """The stand-in tables at rest in a folder of their own."""
+    raiz = f"{_carpeta(spark, sf)}/deposito-{uuid.uuid4().hex}"
+    D.crear(spark, raiz, {n: t[n] for n in TABLAS})
+    return raiz
+
+
+def _flujo(spark, sf) -> str:
+    """The registration requests as a stream of JSON lines with text ids, with broken lines among them; all files present at
+    start form one ``availableNow`` batch. The folder of the tables at rest after it."""
+    from ..streaming import registro_continuo as R
+
+    t = tablas(spark, sf)
+    raiz = _deposito(spark, sf, t)
+    sol = t["solicitud_registro"].withColumns({c: F.col(c).cast("string") for c in ("solicitud_id", "capacitacion")})
+    formato = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    lineas = sol.select(F.to_json(F.struct(*sol.columns), formato).alias("value")).unionByName(t["linea_rota"].select(F.col("linea").alias("value")))
+    lineas.write.text(f"{raiz}/_entrada")
+    R.iniciar(spark, f"{raiz}/_entrada", raiz, f"{raiz}/_ckpt").awaitTermination()
+    return raiz
+
 
 @consulta("registro_continuo", ORACULO["admision_registro"])
 def _registro_continuo(spark, sf):
-    """W1 as a stream: the registration requests arrive as JSON files (in time ranges), each
-    micro-batch is admitted against the newest snapshot and committed; returns the per-request
-    results of all epochs. All files present at start form one ``availableNow`` batch, so the
-    result equals the one-batch ``admision_registro`` (same oracle)."""
-    from ..streaming import registro_continuo as R
+    """W1 as a stream: the per-request results of all epochs, equal to the one-batch ``admision_registro`` (same oracle)."""
+    return D.leer_registro(spark, _flujo(spark, sf), "resultados/registro").select("solicitud_id", "doc", "oferta", "motivo", "inscodigo")
+
+
+@consulta("registro_continuo_cuarentena", W("linea_rota") + "SELECT linea, 'no_es_registro' AS motivo FROM linea_rota")
+def _registro_continuo_cuarentena(spark, sf):
+    """The lines of the stream that are no record."""
+    return D.leer_registro(spark, _flujo(spark, sf), "lineas_malas").select("linea", "motivo")
+
+
+# ---------------------------------------------------------------- tables at rest
+
+@consulta("snapshot_tras_registro", ORACULO["inscripcion_tras_registro"])
+def _snapshot_tras_registro(spark, sf):
+    """The enrolments read back after a batch of registrations was appended, and replayed."""
+    from . import trabajos as J
+
+    t = tablas(spark, sf)
+    raiz = _deposito(spark, sf, t)
+    for _ in range(2):
+        J.registro(spark, raiz, t["solicitud_registro"], lote="registro-1")
+    return como_texto(D.leer(spark, raiz, "inscripcion"))
+
+
+@consulta("snapshot_tras_pago_lote", ORACULO["pagos_tras_lote"])
+def _snapshot_tras_pago_lote(spark, sf):
+    """The payment reports read back after a batch of lot payments, one row per employee, was appended. Every company
+    has a live session."""
+    from . import trabajos as J
+
+    t = tablas(spark, sf)
+    raiz = _deposito(spark, sf, t)
+    hora = F.lit(HORA_CAMBIOS).cast("timestamp")
+    sesiones = t["contacto_empresa"].select(F.col("emp_email").alias("email"), hora.alias("en"), F.lit("ok").alias("veredicto"))
+    J.pagos_lote(spark, raiz, t["pago_lote_solicitud"].withColumn("en", hora), HORA_CAMBIOS, sesiones, lote="pagos-1")
+    return como_texto(D.leer(spark, raiz, "pago_reportado"))
+
+
+@consulta("snapshot_tras_decisiones", ORACULO["inscripcion_tras_decisiones"])
+def _snapshot_tras_decisiones(spark, sf):
+    """The enrolments read back after a batch of decisions rewrote the partitions it touches."""
+    from . import trabajos as J
+
+    t = tablas(spark, sf)
+    raiz = _deposito(spark, sf, t)
+    J.decisiones(spark, raiz, t["decision_mixta"], lote="decisiones-1")
+    return como_texto(D.leer(spark, raiz, "inscripcion"))
+
+
+@consulta("auditoria_ofertas", W("toggle_oferta", "oferta_edicion", "capacitacion_oferta") + f"""
+SELECT {ts('ts')}, accion, actor, entidad, entidad_id, detalle FROM (
+  SELECT CAST(en AS TIMESTAMP) AS ts, CASE WHEN campo = 'estatus' THEN 'ESTATUS_MODIFICADO' ELSE 'BLOQUEO_MODIFICADO' END AS accion, 'admin' AS actor,
+         'capacitacion_oferta' AS entidad, CAST(capofcodigo AS VARCHAR) AS entidad_id, CAST(NULL AS VARCHAR) AS detalle
+  FROM toggle_oferta WHERE capofcodigo IN (SELECT capofcodigo FROM capacitacion_oferta)
+  UNION ALL
+  SELECT CAST(en AS TIMESTAMP), 'OFERTA_EDITADA', 'admin', 'capacitacion_oferta', CAST(capofcodigo AS VARCHAR), NULL
+  FROM oferta_edicion WHERE ({_MOTIVO_OFERTA}) IS NULL AND capofcodigo IN (SELECT capofcodigo FROM capacitacion_oferta)) u""")
+def _auditoria_ofertas(spark, sf):
+    """The audit rows of a batch of edits and toggles, read back from the log by its batch."""
+    from . import trabajos as J
 
     t = tablas(spark, sf)
-    raiz = f"{_carpeta(spark, sf)}/flujo-{uuid.uuid4().hex[:8]}"
-    almacen.confirmar(spark, raiz, {n: t[n] for n in TABLAS})
-    lectores.escribir_json(t["solicitud_registro"].repartitionByRange("recibido_en", "solicitud_id"), f"{raiz}/entrada")
-    q = R.iniciar(spark, f"{raiz}/entrada", raiz, f"{raiz}/resultados", f"{raiz}/_ckpt")
-    q.awaitTermination()
-    return spark.read.parquet(f"{raiz}/resultados").select("solicitud_id", "doc", "oferta", "motivo", "inscodigo")
+    raiz = _deposito(spark, sf, t)
+    J.ofertas(spark, raiz, None, t["oferta_edicion"], t["toggle_oferta"], HORA_CAMBIOS, lote="ofertas-1")
+    return como_texto(D.leer_registro(spark, raiz, "auditoria").where("lote = 'ofertas-1'").drop("lote"))

@@ -1,22 +1,7 @@
-"""Domain tables at rest (S1, S4-S6): Parquet folders per table, versions published by a manifest.
-
-A change job produces new rows or new contents for some tables. ``confirmar`` writes them to
-folders of its own (a new name per attempt, so two writers never touch the same files) and then
-publishes a small manifest that lists the folders of every table. Appended rows add one folder;
-only a table whose rows change is written anew. Readers resolve the newest manifest, so a batch
-becomes visible all at once or not at all (the multi-table transaction of the application). The
-manifest is written under a temporary name and renamed without overwrite: a reader never sees a
-partial one, and of two writers on the same version the second fails and loses only its own
-folders. Paths may be on any Hadoop file system; file listing goes through Spark's own client.
-"""
+"""Tables and change sets as plain Parquet folders (no batches): written whole, read with their schemas."""
 
 from __future__ import annotations
 
-import json
-import re
-import uuid
-
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from . import lectores
@@ -24,55 +9,6 @@ from .esquemas import TABLAS
 from .preparacion import Tablas, desde_dataframes
 
 
-def _fs(spark: SparkSession, ruta: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(ruta)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-def _listar(spark: SparkSession, ruta: str) -> list[str]:
-    fs, p, _ = _fs(spark, ruta)
-    if not fs.exists(p):
-        return []
-    return [s.getPath().getName() for s in fs.listStatus(p)]
-
-
-def _publicar(spark: SparkSession, ruta: str, texto: str) -> bool:
-    """Publish ``texto`` as ``ruta`` in one step; False if ``ruta`` already exists."""
-    fs, p, jvm = _fs(spark, ruta)
-    temporal = jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{uuid.uuid4().hex}.tmp")
-    out = fs.create(temporal, False)
-    out.write(bytearray(texto.encode("utf-8")))
-    out.close()
-    opciones = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    opciones[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-    contexto = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    try:
-        contexto.rename(fs.makeQualified(temporal), fs.makeQualified(p), opciones)
-    except Py4JJavaError as e:
-        fs.delete(temporal, False)
-        if "FileAlreadyExistsException" in str(e.java_exception.getClass()):
-            return False
-        raise
-    return True
-
-
-def _leer_texto(spark: SparkSession, ruta: str) -> str:
-    fs, p, jvm = _fs(spark, ruta)
-    stream = fs.open(p)
-    try:
-        lector = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        lineas = []
-        while True:
-            linea = lector.readLine()
-            if linea is None:
-                break
-            lineas.append(linea)
-        return "\n".join(lineas)
-    finally:
-        stream.close()
-
-
 def materializar(tablas: dict[str, DataFrame], nombres: list[str], destino: str) -> None:
     """Write the named tables as Parquet under ``destino/<name>`` (overwrite)."""
     for n in nombres:
@@ -82,75 +18,7 @@ def materializar(tablas: dict[str, DataFrame], nombres: list[str], destino: str)
 def abrir(spark: SparkSession, destino: str, nombres: list[str] | None = None) -> Tablas:
     """Scans of tables written by ``materializar``: typed (``leer_tabla``) for domain tables,
     the file schema for change sets."""
-    nombres = nombres or [n for n in _listar(spark, destino) if not n.startswith(("_", "."))]
     return desde_dataframes(spark, {
         n: lectores.leer_tabla(spark, f"{destino}/{n}", n) if n in TABLAS else spark.read.parquet(f"{destino}/{n}")
-        for n in nombres
+        for n in nombres or TABLAS
     })
-
-
-def _versiones(spark: SparkSession, raiz: str) -> list[int]:
-    """Published versions; anything else in the folder (temporary files) is not one."""
-    return sorted(int(m[:8]) for m in _listar(spark, f"{raiz}/_manifiestos") if re.fullmatch(r"\d{8}\.json", m))
-
-
-def version_actual(spark: SparkSession, raiz: str) -> int:
-    return max(_versiones(spark, raiz), default=0)
-
-
-def _manifiesto(spark: SparkSession, raiz: str, version: int) -> dict:
-    if version == 0:
-        return {"tablas": {}, "etiquetas": {}, "anexos": {}}
-    return json.loads(_leer_texto(spark, f"{raiz}/_manifiestos/{version:08d}.json"))
-
-
-def leer_manifiesto(spark: SparkSession, raiz: str, version: int | None = None) -> dict[str, list[str]]:
-    """Folders of each table in the newest (or given) version."""
-    return _manifiesto(spark, raiz, version_actual(spark, raiz) if version is None else version)["tablas"]
-
-
-def abrir_instantanea(spark: SparkSession, raiz: str, version: int | None = None) -> Tablas:
-    """Tables of the newest (or given) committed version."""
-    carpetas = leer_manifiesto(spark, raiz, version)
-    return desde_dataframes(spark, {n: lectores.leer_tabla(spark, r, n) for n, r in carpetas.items()})
-
-
-def etiqueta_actual(spark: SparkSession, raiz: str, flujo: str = "") -> int | None:
-    """The last ``etiqueta`` (e.g. epoch) that ``flujo`` committed, whatever was committed since."""
-    return _manifiesto(spark, raiz, version_actual(spark, raiz))["etiquetas"].get(flujo)
-
-
-def confirmar(spark: SparkSession, raiz: str, cambios: dict[str, DataFrame] | None = None, etiqueta: int | None = None,
-              anexos: dict[str, DataFrame] | None = None, altas: dict[str, DataFrame] | None = None, flujo: str = "") -> int:
-    """Write one batch and publish it. ``cambios`` replace a table's contents, ``altas`` are
-    new rows: one more folder of the table, the others untouched. ``anexos`` are append-only logs of
-    the batch (outbox, audit rows, per-request results); they become visible with the tables or not
-    at all. ``etiqueta`` is kept per ``flujo`` in this and all later manifests (a stream uses its epoch to
-    skip a batch that was already committed). Returns the new version; raises if another writer
-    published it first (re-run the batch then)."""
-    previa = version_actual(spark, raiz)
-    m = _manifiesto(spark, raiz, previa)
-    tablas, nueva = dict(m["tablas"]), previa + 1
-    carpeta = f"{raiz}/datos/{nueva:08d}-{uuid.uuid4().hex}"
-    for n, df in (cambios or {}).items():
-        lectores.conformar(df, TABLAS[n]).write.parquet(f"{carpeta}/{n}")
-        tablas[n] = [f"{carpeta}/{n}"]
-    for n, df in (altas or {}).items():
-        lectores.conformar(df, TABLAS[n]).write.parquet(f"{carpeta}/{n}-altas")
-        tablas[n] = [*tablas.get(n, []), f"{carpeta}/{n}-altas"]
-    extra = {}
-    for n, df in (anexos or {}).items():
-        df.write.parquet(f"{carpeta}/_anexos/{n}")
-        extra[n] = f"{carpeta}/_anexos/{n}"
-    etiquetas = m["etiquetas"] | ({flujo: etiqueta} if etiqueta is not None else {})
-    manifiesto = {"version": nueva, "etiquetas": etiquetas, "tablas": tablas, "anexos": extra}
-    if not _publicar(spark, f"{raiz}/_manifiestos/{nueva:08d}.json", json.dumps(manifiesto)):
-        raise RuntimeError(f"version {nueva} was committed by another writer; re-run the batch on it")
-    return nueva
-
-
-def leer_anexo(spark: SparkSession, raiz: str, nombre: str) -> DataFrame | None:
-    """All committed rows of one append-only log (e.g. ``outbox``) across versions. Jobs log different
-    columns under one name: the result has all of them, null where a job has none."""
-    rutas = [m["anexos"][nombre] for m in (_manifiesto(spark, raiz, v) for v in _versiones(spark, raiz)) if nombre in m["anexos"]]
-    return spark.read.option("mergeSchema", "true").parquet(*rutas) if rutas else None

@@ -40,13 +40,14 @@ CAMBIOS: dict[str, T.StructType] = {
     "lote": T.StructType([
         T.StructField("lote_id", L), T.StructField("empresa_id", L), T.StructField("oferta", L),
         T.StructField("empleados", T.ArrayType(T.StructType([T.StructField("fila", L)] + EMPLEADO.fields))),
+        T.StructField("sesion_email", S), T.StructField("en", TS),
     ]),
     "intento_otp": _st(("intento_id", L), ("email", S), ("codigo", S), ("en", TS)),
     "oferta_borrador": _st(("capofcapcodigo", I), ("fecha_inicio", D), ("fecha_fin", D), ("cupos", I)),
     "pago_solicitud": _st(("solicitud_id", L), ("inscodigo", L), ("titular_nombre", S), ("titular_apellido", S),
                           ("titular_telefono", S), ("banco_origen", S), ("referencia", S), ("tiene_comprobante", I)),
     "pago_lote_solicitud": _st(("solicitud_id", L), ("empresa_id", L), ("oferta", L), ("titular_nombre", S), ("titular_apellido", S),
-                               ("titular_telefono", S), ("banco_origen", S), ("referencia", S), ("tiene_comprobante", I)),
+                               ("titular_telefono", S), ("banco_origen", S), ("referencia", S), ("tiene_comprobante", I), ("sesion_email", S), ("en", TS)),
     "decision_pago": _st(("inscodigo", L), ("decision", S), ("en", TS), ("solicitud_id", L)),
     "decision_lote": _st(("empresa_id", L), ("oferta", L), ("decision", S), ("en", TS), ("solicitud_id", L)),
     "eliminacion": _st(("inscodigo", L)),

@@ -176,6 +176,38 @@ SELECT event_id AS solicitud_id, concat('Empresa ', CAST(user_id AS STRING)) AS
        concat('e', CAST(user_id * 3 AS STRING), '@example.org') AS emp_email,
        CASE WHEN event_id % 13 = 0 THEN '' ELSE '+58 4140000000' END AS emp_telefono, ts AS en
 FROM {events} WHERE event_type = 'signup'""",
+    # Lots sent from the company portal around each typed code: before it, soon after, just inside and just past the
+    # session's life, and long after; some for another company or for one that is no contact.
+    "envio_lote": """
+SELECT intento_id * 8 + j AS lote_id,
+       CASE WHEN intento_id % 11 = 0 THEN u + 1000000 WHEN intento_id % 6 = 0 THEN u + 1 ELSE u END AS empresa_id,
+       (intento_id % 25) * 8 AS oferta,
+       CASE WHEN intento_id % 2 = 0 OR intento_id % 11 = 0 THEN email END AS sesion_email,
+       CASE WHEN j = 0 THEN en - INTERVAL 2 MINUTES WHEN j = 1 THEN en + INTERVAL 5 MINUTES WHEN j = 2 THEN en + INTERVAL 119 MINUTES
+            WHEN j = 3 THEN en + INTERVAL 120 MINUTES ELSE en + INTERVAL 300 MINUTES END AS en
+FROM (SELECT intento_id, email, en, CAST(split_part(substr(email, 2), '@', 1) AS BIGINT) AS u FROM {intento_otp_empresa}) i,
+     (VALUES (0), (1), (2), (3), (4)) AS v(j)""",
+    # Lot rows as the page may post them: blank names, missing dates, spaces to trim.
+    "lote_fila_pagina": """
+SELECT lote_id, fila, empresa_id, oferta, tipodoc, doc, CASE WHEN fila % 97 = 0 THEN '  ' ELSE nombre END AS nombre,
+       concat(' ', apellido, ' ') AS apellido, telefono, email, pais, ciudad, CASE WHEN fila % 89 = 0 THEN NULL ELSE fechanac END AS fechanac
+FROM {lote_fila}""",
+    # Lots without employees; every fifth one without a readable company.
+    "lote_vacio": """
+SELECT CAST(1000000 + s_suppkey AS STRING) AS lote_id, CASE WHEN s_suppkey % 5 = 0 THEN 'x' ELSE CAST(s_suppkey AS STRING) END AS empresa_id,
+       '8' AS oferta
+FROM {supplier}""",
+    # Lines that are no JSON record, among the registration requests.
+    "linea_rota": """
+SELECT concat('no es un registro ', CAST(event_id AS STRING)) AS linea FROM {events} WHERE event_type = 'error'""",
+    # Several decisions for one enrolment, or one lot, in one batch.
+    "decision_mixta": """
+SELECT event_id AS solicitud_id, CAST(user_id AS BIGINT) AS inscodigo, CASE WHEN event_id % 3 = 0 THEN 'rechazar' ELSE 'aprobar' END AS decision, ts AS en
+FROM {events} WHERE event_type = 'view'""",
+    "decision_lote_mixta": """
+SELECT event_id AS solicitud_id, CAST(user_id % 3 AS BIGINT) AS empresa_id, CAST((event_id % 12) * 8 AS BIGINT) AS oferta,
+       CASE WHEN event_id % 5 = 0 THEN 'aprobar' ELSE 'rechazar' END AS decision, ts AS en
+FROM {events} WHERE event_type = 'error'""",
 }
 
 

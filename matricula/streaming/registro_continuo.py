@@ -1,58 +1,46 @@
-"""Registration requests as a stream.
-
-Requests arrive as JSON files in a folder. Each micro-batch is admitted against the newest
-committed snapshot of the tables (``almacen.abrir_instantanea``), and the new enrolment,
-person and academic tables are committed together as the next version, tagged with the
-epoch. An epoch replayed after a failure is skipped when its tag or a later one is committed
-(other jobs' commits keep the tag), and re-run in full (its result folder overwritten, its version written again) when it is not, so
-the tables change exactly once per epoch. Seats
-are the snapshot's state, so no streaming state store is needed.
+"""Registration requests as a stream.
+
+Requests arrive as JSON lines in a folder and are read as in a batch: ids as text, times, and lines that are no
+record (``lectores.leer_flujo``). Each micro-batch is one run of the job ``trabajos.registro`` over the tables at rest,
+under a batch name made from the epoch: a replayed epoch finds its decisions and partitions there and writes
+the same rows again, so the tables change exactly once per epoch whatever other jobs did since. Lines that are no
+record, or give an unreadable id or time, go to the log ``lineas_malas``. Seats are the tables' state, so no streaming
+state store is needed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import admision as A
-from ..sources import almacen, lectores
-from ..sources.esquemas import CAMBIOS
+from ..plans import trabajos
+from ..sources import deposito, lectores
 
+CAMBIO = "solicitud_registro"
+#: Log of the quarantined lines.
+MALAS = "lineas_malas"
 
-#: Name under which the store keeps this stream's last epoch.
-FLUJO = "registro"
 
+def nombre_lote(flujo: str, epoch: int) -> str:
+    return f"{flujo}-{epoch:012d}"
 
-def leer_flujo(spark: SparkSession, origen: str, archivos_por_lote: int | None = None) -> DataFrame:
-    lector = spark.readStream.schema(CAMBIOS["solicitud_registro"]).option("timestampFormat", lectores.FORMATO_TS_JSON)
-    if archivos_por_lote:
-        lector = lector.option("maxFilesPerTrigger", archivos_por_lote)
-    return lector.json(origen)
 
-
-def procesar_lote(spark: SparkSession, raiz: str, resultados: str, lote: DataFrame, epoch: int) -> None:
-    """Admit one micro-batch and commit its new rows (idempotent per epoch)."""
-    hecho = almacen.etiqueta_actual(spark, raiz, FLUJO)
-    t = almacen.abrir_instantanea(spark, raiz)
+def procesar_lote(spark: SparkSession, raiz: str, lote: DataFrame, epoch: int, flujo: str = "registro") -> None:
+    """One micro-batch of ``lectores.leer_flujo``: quarantine, then admit and write (idempotent per epoch)."""
+    nombre = nombre_lote(flujo, epoch)
     lote = lote.persist()
     try:
-        if hecho is not None and hecho >= epoch:
-            return
-        res = A.admision_registro(t, lote).checkpoint(eager=True)
-        res.write.mode("overwrite").parquet(f"{resultados}/epoch={epoch}")
-        almacen.confirmar(spark, raiz, altas={
-            "inscripcion": A.inscripciones_nuevas(t, res, lote),
-            "persona": A.personas_nuevas(t, res, lote),
-            "persona_capacitacion": A.academico_nuevo(res),
-        }, etiqueta=epoch, flujo=FLUJO)
+        deposito.anotar(raiz, nombre, MALAS, lectores.malas(lote, CAMBIO))
+        trabajos.registro(spark, raiz, lectores.registros(lote, CAMBIO), nombre)
     finally:
         lote.unpersist()
 
 
-def iniciar(spark: SparkSession, origen: str, raiz: str, resultados: str, checkpoint: str,
-            hasta_agotar: bool = True, archivos_por_lote: int | None = None):
-    """Start the stream; with ``hasta_agotar`` it processes what is there and stops."""
-    escritor = leer_flujo(spark, origen, archivos_por_lote).writeStream.foreachBatch(
-        lambda df, epoch: procesar_lote(spark, raiz, resultados, df, epoch)
+def iniciar(spark: SparkSession, origen: str, raiz: str, checkpoint: str, hasta_agotar: bool = True,
+            archivos_por_lote: int | None = None, flujo: str = "registro"):
+    """Start the stream; with ``hasta_agotar`` it processes what is there and stops. Two streams into one folder of tables
+    need names (``flujo``) of their own."""
+    escritor = lectores.leer_flujo(spark, origen, CAMBIO, archivos_por_lote).writeStream.foreachBatch(
+        lambda df, epoch: procesar_lote(spark, raiz, df, epoch, flujo)
     ).option("checkpointLocation", checkpoint)
     escritor = escritor.trigger(availableNow=True) if hasta_agotar else escritor.trigger(processingTime="10 seconds")
     return escritor.start()

@@ -44,7 +44,7 @@ def modelo(ofertas, inscritos, lotes):
 
 
 def test_lotes_igual_al_modelo(spark):
-    for semilla, tramo in [(0, 50_000), (1, 2), (2, 3), (3, 1)]:
+    for semilla, tramo in [(0, 50_000), (1, 2), (2, 3), (3, 1), (4, 0), (5, 0)]:
         rnd = random.Random(semilla)
         ofertas = {o: (rnd.choice([3, 5, 8, 12, 20]), rnd.choice([0, 0, 0, 1])) for o in range(1, 5)}
         inscritos = sorted({(f"D{rnd.randint(0, 25)}", rnd.randint(1, 4)) for _ in range(10)})
@@ -102,7 +102,7 @@ def test_nested_roundtrip(spark):
 def test_lotes_decididos_sin_escaneo(spark):
     """Lots decided set-based (need <= 0, far above twice the seats, full or missing offers)
     still agree with the sequential model, and so do the enrolments they create."""
-    for semilla, tramo in [(10, 50_000), (11, 2)]:
+    for semilla, tramo in [(10, 50_000), (11, 2), (12, 0)]:
         rnd = random.Random(semilla)
         ofertas = {o: (rnd.choice([0, 1, 2, 4, 9]), rnd.choice([0, 0, 1])) for o in range(1, 6)}
         inscritos = sorted({(f"D{rnd.randint(0, 12)}", rnd.randint(1, 5)) for _ in range(25)})
@@ -125,3 +125,56 @@ def test_lotes_decididos_sin_escaneo(spark):
         for _, _, lote_id in nuevos:
             cuenta[lote_id] = cuenta.get(lote_id, 0) + 1
         assert {r.lote_id: r.nuevos for r in dec.collect() if r.nuevos} == cuenta
+
+
+def test_oferta_caliente_en_pocas_rondas(spark, monkeypatch):
+    """200,000 lots for one offer: the rounds follow the logarithm of its seats, and the decisions are those of the sequential scan."""
+    from pyspark.sql import functions as F
+
+    cupos, n = 500, 200_000
+    lote = F.col("id")
+    tam = F.pmod(F.hash(lote), F.lit(12)) + 1
+    filas = spark.range(n).select(lote.alias("lote_id"), F.explode(F.sequence(F.lit(1), tam)).alias("fila")).select(
+        "lote_id", F.col("fila").cast("long"), F.lit(1).cast("long").alias("empresa_id"), F.lit(1).cast("long").alias("oferta"), F.lit("Ced").alias("tipodoc"),
+        F.concat(F.lit("D"), F.pmod(F.hash("lote_id", "fila"), F.lit(30_000))).alias("doc"), *[F.lit("x").alias(c) for c in ("nombre", "apellido", "telefono", "email", "pais", "ciudad", "fechanac")],
+    ).checkpoint()
+    t = tablas(spark, capacitacion_oferta=[oferta(1, cupos)])
+    rondas = []
+    una = L._ronda
+    monkeypatch.setattr(L, "_ronda", lambda *a: (rondas.append(1), una(*a))[1])
+    got = {r.lote_id: (r.motivo, r.nuevos) for r in L.admision_lotes(t, filas, tam_tramo=1000).collect()}
+    assert 0 < len(rondas) <= cupos.bit_length() + 2
+    docs = {}
+    for r in filas.select("lote_id", "fila", "doc").collect():
+        docs.setdefault(r.lote_id, []).append(r.doc)
+    admitidos, rest = set(), cupos
+    for i in range(n):
+        nuevos = set(docs[i]) - admitidos
+        need = len(docs[i]) - len(set(docs[i]) & admitidos)
+        ok = need <= 0 or need <= rest
+        if ok:
+            admitidos |= nuevos
+            rest -= len(nuevos)
+        assert got[i] == (("ok", len(nuevos)) if ok else ("sin_cupos", 0)), i
+
+
+def test_lecturas_de_inscripciones(spark):
+    """The tables' enrolments are read twice to decide lots, and twice to admit registrations."""
+    from matricula.operators import admision as A
+    from matricula.sources import preparacion
+
+    base = preparacion.cargar(spark, "/root/testdata/sf0.001")
+    for decidir, cambio in ((lambda t, c: L.decidir_lotes(t, c), "lote_fila"), (lambda t, c: A.admitir(t, c.select(
+            "solicitud_id", "doc", "capacitacion", "recibido_en").toDF("solicitud_id", "doc", "oferta", "en")), "solicitud_registro")):
+        leidas = spark.sparkContext.accumulator(0)
+        ins = base["inscripcion"].checkpoint()
+        total = ins.count()
+
+        def contar(lotes, leidas=leidas):
+            for b in lotes:
+                leidas.add(b.num_rows)
+                yield b
+
+        t = preparacion.desde_dataframes(spark, {**{k: base[k] for k in ("capacitacion_oferta", "persona")}, "inscripcion": ins.mapInArrow(contar, ins.schema)})
+        decidir(t, base[cambio]).count()
+        assert leidas.value <= 2 * total, (cambio, leidas.value / total)
