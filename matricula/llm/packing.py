@@ -11,11 +11,8 @@ its partition but to meet its count.
 
 from __future__ import annotations
 
-import json
-import os
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,52 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matricula.llm.base import per_worker, pieces, small_batches, stored
+from matricula.llm import wordbpe
+from matricula.llm.base import pieces, small_batches, stored
 
 CAPACITY = 4096
-#: Entries of the cache of words in a worker; it starts anew when full (results do not change).
-CACHE_SIZE = 250_000
-#: Python takes these for white space, the tokenizer does not.
-NOT_BLANK = "\x1c\x1d\x1e\x1f"
-
-
-class Encoder:
-    """Token ids by the ``tokenizers`` library, kept for each stretch without white space.
-
-    The tokenizer's normaliser and splitter never join characters across white space, so a text's ids are
-    those of its stretches one after the other; ``checked`` holds that against the tokenizer's definition.
-    """
-
-    def __init__(self, definition: str):
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.kept: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [x.split() if not any(c in x for c in NOT_BLANK) else [x] for x in texts]
-        new = list(set().union(*words).difference(self.kept)) if words else []
-        if len(self.kept) + len(new) > CACHE_SIZE:
-            self.kept.clear()
-            new = list(set().union(*words))
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.kept[x] = tuple(e.ids)
-        out = [np.fromiter(chain.from_iterable(map(self.kept.__getitem__, w)), "<u4") for w in words]
-        for x in new:
-            if len(x) > 64:
-                del self.kept[x]
-        return out
-
-
-def checked(definition: str) -> str:
-    """The tokenizer's definition, if words may be encoded apart: its normaliser makes white space one space,
-    its splitter keeps no white space and it has no post-processor."""
-    d = json.loads(definition)
-    split = [x for x in (d["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
-    if not split or split[0]["behavior"] != "Removed" or not split[0]["invert"] or d["post_processor"]:
-        raise ValueError("this tokenizer may join characters across white space")
-    return definition
+#: Texts are encoded in pieces of about so many bytes: larger ones have fewer different words for their size.
+PIECE = 1 << 20
 
 
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
@@ -76,15 +33,15 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     tokens (the last may be shorter). ``ids``: little-endian unsigned 32-bit integers.
 
     Null and empty texts: ``end_id`` alone. Repeated rows and null ids give their own pieces. ``path``
-    names a tokenizer definition on the driver; its size bounds what is broadcast.
+    names a tokenizer definition on the driver (see ``wordbpe.checked``); its size bounds what is broadcast.
     """
     with open(path, encoding="utf-8") as f:
-        sent = small_batches(docs).sparkSession.sparkContext.broadcast(checked(f.read()))
+        sent = small_batches(docs).sparkSession.sparkContext.broadcast(wordbpe.checked(f.read()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker(f"words_{hash(sent.value)}", lambda: Encoder(sent.value))
+        encoder = wordbpe.encoder(sent.value)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 names = part.column(0).to_pylist()
                 found = encoder.encode([x or "" for x in part.column(1).to_pylist()])
                 out: list[list] = [[], [], [], [], []]

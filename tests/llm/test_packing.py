@@ -1,5 +1,4 @@
 import json
-import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -11,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matricula.llm import packing as P
+from matricula.llm import wordbpe
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string"
@@ -155,9 +155,34 @@ def test_pack_other_lengths(spark):
     assert P.pack(df.where("x > 9"), 10).count() == 0
 
 
-def test_other_tokenizers_are_refused(tmp_path):
-    d = json.loads(open(PATH).read())
-    d["pre_tokenizer"]["pretokenizers"][0]["behavior"] = "Isolated"
-    with pytest.raises(ValueError):
-        P.checked(json.dumps(d))
-    assert os.path.exists(PATH)
+def test_other_tokenizers_are_refused():
+    for key, value in (("normalizer", None), ("post_processor", {"type": "x"}), ("model", {"type": "WordPiece"})):
+        d = json.loads(open(PATH).read())
+        d[key] = value
+        with pytest.raises((ValueError, KeyError)):
+            wordbpe.checked(json.dumps(d))
+
+
+def test_encoder_equals_the_library_on_random_texts():
+    e, rnd = wordbpe.WordBpe(open(PATH).read()), random.Random(12)
+    common = [*"abcdefghij ABC'.,!-019\n\t", "'s", "'LL", "'re", "'", "the", "ing", "<|endoftext|>", "<|startoftext|>x"]
+    rare = [chr(c) for c in [*range(0x80, 0x250), *range(0x300, 0x340), 0x345, 0x3A3, 0x3C2, 0x130, 0x131, 0x1E9E, 0x212A, 0x2160, 0xB2, 0x663, 0x1C, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, 0x2003,
+                             0x200B, 0x2028, 0x202F, 0x3000, 0xFEFF, 0x4E2D, 0xAC00, 0x1100, 0x1161, 0x1F600, 0x10400, 0x1D400, 0xE0100]]
+    texts = ["".join(rnd.choices(common if k % 2 else common + rare, k=rnd.randint(0, 120))) for k in range(4000)]
+    texts += ["a" * n + " " + "b" * n for n in range(1, 140)] + ["!" * n for n in range(1, 140)] + ["'" * n + "s" for n in range(5)]
+    texts += ["".join(rnd.choices("abcdef", k=n)) for n in range(1, 80) for _ in range(5)]
+    for a in range(0, len(texts), 700):
+        part = texts[a : a + 700]
+        want = [x.ids for x in e.library.encode_batch_fast(part, add_special_tokens=False)]
+        assert [x.tolist() for x in e.encode(part)] == want
+    assert e.encode([]) == []
+
+
+def test_equal_words_with_equal_hashes(monkeypatch):
+    data = np.frombuffer(b"ab cd ab abcdefghij abcdefghik x", np.uint8)
+    start, end = np.array([0, 3, 6, 9, 20, 31]), np.array([2, 5, 8, 19, 30, 32])
+    for hashed in (wordbpe.mix, lambda x: x * np.uint64(0)):  # the second puts all words of a length under one hash
+        monkeypatch.setattr(wordbpe, "mix", hashed)
+        one, which = wordbpe.equal_words(data, start, end)
+        words = [data[a:b].tobytes() for a, b in zip(start, end)]
+        assert [words[i] for i in one[which]] == words
