@@ -61,9 +61,13 @@ def sin_ceros_iniciales(c) -> Column:
     return F.regexp_replace(_c(c), r"^0+", "")
 
 
+#: White space and line ends that a page's ``trim`` takes off (fixed value).
+BLANCOS = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def recortar(c) -> Column:
-    """trim."""
-    return F.trim(_c(c))
+    """trim, as the page does."""
+    return F.btrim(_c(c), F.lit(BLANCOS))
 
 
 def no_negativo(c) -> Column:
@@ -126,6 +130,11 @@ def codigo_documento(tipodoc, doc) -> Column:
     return F.concat(_c(tipodoc), F.lit("-"), _c(doc))
 
 
+def etiqueta_con_id(nombre, palabra: str, codigo) -> Column:
+    """``nombre (palabra codigo)``, the text of an option in a page's list; a null name shows as ``null``."""
+    return F.concat(F.coalesce(_c(nombre), F.lit("null")), F.lit(f" ({palabra}"), _c(codigo).cast("string"), F.lit(")"))
+
+
 def entero_js(c) -> Column:
     """F16: parseInt semantics: leading integer of the text ('5abc' -> 5), null when there is none."""
     m = F.regexp_extract(F.coalesce(_c(c).cast("string"), F.lit("")), r"^\s*([+-]?\d+)", 1)

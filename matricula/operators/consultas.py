@@ -391,3 +391,23 @@ def lote_codigos_pendientes(t, lotes: DataFrame | None = None) -> DataFrame:
 def lote_codigos_en_revision(t, lotes: DataFrame | None = None) -> DataFrame:
     """Codes of a lot in review."""
     return lote_codigos(t, ("en_revision",), lotes)
+
+
+# The words of the lists' options.
+PALABRA_OFERTA, PALABRA_INSCRIPCION, PALABRA_LOTE = "Código: ", "Inscripción #", "Lote #"
+
+
+def opciones_ofertas(t) -> DataFrame:
+    """the options of the list of offers open to a person."""
+    return ofertas_disponibles(t).select("capofcodigo", E.etiqueta_con_id("capnombre", PALABRA_OFERTA, "capofcodigo").alias("opcion"))
+
+
+def opciones_cursos(t) -> DataFrame:
+    """the options of a person's list of courses to pay."""
+    return cursos_pendientes(t).select("ins_perdoc", "inscodigo", E.etiqueta_con_id("capnombre", PALABRA_INSCRIPCION, "inscodigo").alias("opcion"))
+
+
+def opciones_lotes(t) -> DataFrame:
+    """the options of a company's list of lots to pay."""
+    return lotes_empresa_pendientes(t).select(
+        "ins_empresa_id", "capofcodigo", E.etiqueta_con_id("capnombre", PALABRA_LOTE, "capofcodigo").alias("opcion"))

@@ -73,6 +73,11 @@ def solicitudes_normalizadas(validas: DataFrame) -> DataFrame:
     )
 
 
+def entrada_de_pagina(df: DataFrame, recortar: tuple[str, ...] = ("cedula", "email"), sin_ceros: tuple[str, ...] = ("telefono",)) -> DataFrame:
+    """what the page does to its fields before it sends them: some are trimmed, phones lose their leading zeros."""
+    return df.withColumns({c: E.recortar(c) for c in recortar} | {c: E.sin_ceros_iniciales(c) for c in sin_ceros})
+
+
 def ofertas_validas(borradores: DataFrame) -> DataFrame:
     """Offer drafts with every field present and start not after end (equal passes, and an
     unparsable date compares false, so it passes too: D15). Adds ``motivo`` and

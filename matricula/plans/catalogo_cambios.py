@@ -85,6 +85,12 @@ def _registro(spark, sf):
     return t, sol, A.admision_registro(t, sol)
 
 
+@consulta("entradas_de_pagina", W("entrada_pagina") + """
+SELECT solicitud_id, trim(cedula) AS cedula, trim(email) AS email, ltrim(telefono, '0') AS telefono FROM entrada_pagina""")
+def _entradas_de_pagina(spark, sf):
+    return V.entrada_de_pagina(tablas(spark, sf)["entrada_pagina"])
+
+
 @consulta("solicitudes_validas", W("solicitud_registro") + f"""
 SELECT solicitud_id, doc, capacitacion FROM (SELECT s.*, {_MOTIVO_REGISTRO} AS motivo FROM solicitud_registro s) v
 WHERE motivo IS NULL""")

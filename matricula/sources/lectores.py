@@ -130,9 +130,8 @@ def revisar_lotes(lotes: DataFrame) -> tuple[DataFrame, DataFrame]:
     hay = F.coalesce(F.size("empleados"), F.lit(0)) > 0
     motivo = F.when(~con_ids, "id_ilegible").when(~hay, "sin_empleados")
     enteros = lotes.withColumn("motivo", motivo)
-    recortados = [F.trim(F.col(c)).alias(c) for c in ("doc", "nombre", "apellido", "telefono", "email", "fechanac", "ciudad")]
     filas = lote_explode(enteros.where(F.col("motivo").isNull()))
-    filas = filas.withColumns({c: r for c, r in zip(("doc", "nombre", "apellido", "telefono", "email", "fechanac", "ciudad"), recortados)})
+    filas = filas.withColumns({c: E.recortar(c) for c in ("doc", "nombre", "apellido", "telefono", "email", "fechanac", "ciudad")})
     lleno = F.lit(True)
     for c in ("doc", "nombre", "email", "fechanac", "telefono"):
         lleno = lleno & ~E.vacio(c)

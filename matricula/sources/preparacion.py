@@ -192,6 +192,11 @@ FROM (SELECT intento_id, email, en, CAST(split_part(substr(email, 2), '@', 1) AS
 SELECT lote_id, fila, empresa_id, oferta, tipodoc, doc, CASE WHEN fila % 97 = 0 THEN '  ' ELSE nombre END AS nombre,
        concat(' ', apellido, ' ') AS apellido, telefono, email, pais, ciudad, CASE WHEN fila % 89 = 0 THEN NULL ELSE fechanac END AS fechanac
 FROM {lote_fila}""",
+    # What people type on the registration page: spaces around, phones with leading zeros.
+    "entrada_pagina": """
+SELECT solicitud_id, concat('  ', doc, ' ') AS cedula, concat(email, ' ') AS email,
+       CASE WHEN solicitud_id % 3 = 0 THEN concat('00', telefono) ELSE telefono END AS telefono
+FROM {solicitud_registro}""",
     # Lots without employees; every fifth one without a readable company.
     "lote_vacio": """
 SELECT CAST(1000000 + s_suppkey AS STRING) AS lote_id, CASE WHEN s_suppkey % 5 = 0 THEN 'x' ELSE CAST(s_suppkey AS STRING) END AS empresa_id,

@@ -57,3 +57,26 @@ def test_grilla_a_escala_emulada(spark):
     assert "SortMergeJoin [inscodigo" in plan or "SortMergeJoin [ins_perdoc" in plan
     assert "BroadcastHashJoin" in plan  # the course catalogue is tiny
     assert plan.count("rangepartitioning(") == 1
+
+
+def test_grilla_en_cubos(spark):
+    """Over bucketed tables neither people nor payment reports are shuffled: of the large joins only the enrolments are, once."""
+    import re
+
+    dest = tempfile.mkdtemp(prefix="cubos-", dir=os.environ.get("TMPDIR", "/tmp"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = almacen.en_cubos(spark, preparacion.cargar(spark, SF), dest, n)
+    claves = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    antes = {k: spark.conf.get(k, None) for k in claves}
+    try:
+        for k in claves:
+            spark.conf.set(k, str(4 * 1024))
+        df = C.participantes_base(t)
+        df.write.format("noop").mode("overwrite").save()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        for k, v in antes.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    cambios = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert "perdoc" not in cambios and "ins_perdoc" not in cambios and "pago_inscodigo" not in cambios
+    assert cambios.count("inscodigo") == 1 and plan.count("Bucketed: true") == 3
