@@ -10,6 +10,7 @@ doubling. The states say where tokens start, and the slices feed a cache of merg
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import sys
 import unicodedata
@@ -184,10 +185,17 @@ def merge(raw: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(out)
 
 
-def _tools(ranks):
-    return per_worker(
-        "bpe", lambda: (code_classes(), Merger(ranks.value), np.array([len(t) for t in _vocabulary(ranks.value)], np.int64))
-    )
+def _sent(spark, path: str):
+    """The ranks for every task, with a digest of them: a worker keeps what it makes of them under that name."""
+    ranks = load_ranks(path)
+    name = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+    return spark.sparkContext.broadcast((name, ranks))
+
+
+def _tools(sent):
+    name, ranks = sent.value
+    classes = per_worker("bpe_classes", code_classes)
+    return classes, *per_worker(f"bpe_{name}", lambda: (Merger(ranks), np.array([len(t) for t in _vocabulary(ranks)], np.int64)))
 
 
 def _vocabulary(ranks: dict[bytes, int]) -> list[bytes]:
@@ -203,7 +211,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     Null text: no tokens. Repeated rows give a row each. No special tokens: their strings are
     ordinary text. ``path`` names a rank file; its size bounds what is broadcast."""
-    ranks = small_batches(docs).sparkSession.sparkContext.broadcast(load_ranks(path))
+    ranks = _sent(small_batches(docs).sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, merged, sizes = _tools(ranks)
@@ -236,10 +244,11 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): the bytes of each row's ids. Null ids: empty."""
-    ranks = encoded.sparkSession.sparkContext.broadcast(load_ranks(path))
+    ranks = _sent(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = per_worker("bpe_vocabulary", lambda: _vocabulary(ranks.value))
+        name, own = ranks.value
+        vocabulary = per_worker(f"bpe_vocabulary_{name}", lambda: _vocabulary(own))
         for batch in batches:
             for part in pieces(batch, "ids"):
                 out = [

@@ -65,3 +65,16 @@ def test_both_merges_agree():
         for _ in range(50):
             s = "".join(rnd.choice("abcdeinost") for _ in range(n))
             assert list(bpe.merge(s.encode(), ranks)) == enc.encode_ordinary(s)
+
+
+def test_two_rank_files_in_one_session(spark, tmp_path):
+    """Workers are reused: what they keep of one vocabulary is not used for another."""
+    import base64
+
+    single = tmp_path / "bytes.tiktoken"
+    single.write_bytes(b"".join(base64.b64encode(bytes([b])) + b" %d\n" % b for b in range(256)))
+    text = "the same words again, words"
+    df = spark.createDataFrame([(i, text) for i in range(8)], "doc_id long, text string")
+    for path, want in ((PATH, len(_library().encode_ordinary(text))), (str(single), len(text)), (PATH, len(_library().encode_ordinary(text)))):
+        got = bpe.decode(bpe.encode(df, path), path).collect()
+        assert {(r.n_tokens, bytes(r.decoded)) for r in got} == {(want, text.encode())}
