@@ -1,9 +1,10 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare seeds, then Smith-Waterman alignment.
 
-The benchmark is the query set; it is held in blocks of a bounded number of words. Every word n-gram of
-an item is a seed, whatever the rest of the documents hold, so an edited copy with one n-gram intact is
-looked at. One pass aligns the item with the document around each seed by local alignment of words; where the
-item's words that occur there are too few for the least score, there is nothing to align.
+The benchmark is the query set; it is held in blocks of a bounded number of words. A copy that scores the share
+``least`` has at least that share of the item's words in their places, so of any ``k`` more places than it may miss, it has
+``k`` whatever the edits are: the seeds of an item are the words at so many of its rarest places, and a stretch of a document that
+can hold a copy has ``k`` of them. Rarity is counted over all documents. Documents are joined with the items through the
+seeds; in such stretches, where enough of all the item's words occur, the item is aligned with the document by local alignment of words.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matricula.llm.base import NO_LETTER, Rolling, cut, mix, pieces, small_batches, string_offsets, word_bounds
+from matricula.llm.base import NO_LETTER, Rolling, cut, pieces, small_batches, string_offsets, word_bounds
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -26,22 +27,6 @@ def text_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return Rolling(data).of(start, end), before
 
 
-def ngrams(words: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n-gram at each word; 0 where its text has fewer than ``n`` words left."""
-    out = np.zeros(len(words), np.uint64)
-    m = len(words) - n + 1
-    if m <= 0:
-        return out
-    with np.errstate(over="ignore"):
-        h = words[:m].copy()
-        for k in range(1, n):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[k : m + k])
-    out[:m] = np.maximum(h, np.uint64(1))
-    for k in range(1, n):  # the last n - 1 words of a text
-        out[np.maximum(before[1:] - k, before[:-1])[np.diff(before) > 0]] = 0
-    return out
-
-
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment: (score, first word, word after the last) in ``text``.
 
@@ -53,8 +38,9 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
         diag = prev[:-1] + np.where(text == w, MATCH, MISMATCH)
         up = prev[1:] + GAP
         use = diag >= up
-        h = np.r_[0, np.where(use, diag, up)]
-        origin = np.r_[0, np.where(use, prev_from[:-1], prev_from[1:])]
+        h, origin = np.zeros(len(text) + 1, np.int64), np.zeros(len(text) + 1, np.int64)
+        h[1:] = np.where(use, diag, up)
+        origin[1:] = np.where(use, prev_from[:-1], prev_from[1:])
         fresh = h <= 0
         h[fresh], origin[fresh] = 0, cols[fresh]
         lifted = h - GAP * cols
@@ -67,24 +53,24 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _regions(at: np.ndarray, offset: np.ndarray, size: int, lo: int, hi: int) -> Iterator[tuple[int, int]]:
-    """Stretches of words [lo, hi) around hits of one item of ``size`` words, with a quarter of it as slack."""
-    slack = size // 4 + 4
-    a = np.maximum(at - offset - slack, lo)
-    b = np.minimum(at - offset + size + slack, hi)
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], np.maximum.accumulate(b[order])
+def _regions(at: np.ndarray, reach: int, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """Stretches of words [lo, hi) up to ``reach`` around the words ``at`` (ascending), joined where they meet."""
+    a, b = np.maximum(at - reach, lo), np.minimum(at + reach + 1, hi)
     new = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])
     last = np.r_[new[1:], len(a)] - 1
     yield from zip(a[new].tolist(), b[last].tolist(), strict=True)
 
 
-def _occurring(own: np.ndarray, times: np.ndarray, text: np.ndarray) -> int:
-    """How many words of an item, given as different words in order with their counts, occur in ``text``."""
+def _most(own: np.ndarray, times: np.ndarray, text: np.ndarray) -> int:
+    """Bound of the alignment score of an item, given as different words in order with their counts, with ``text``: its words that
+    occur there are matched at most, and of an aligned stretch each word that is none of the item's costs a mismatch or a gap."""
     at = np.minimum(np.searchsorted(own, text), len(own) - 1)
+    hit = own[at] == text
     there = np.zeros(len(own), bool)
-    there[at[own[at] == text]] = True
-    return int(times[there].sum())
+    there[at[hit]] = True
+    total = np.zeros(len(text) + 1, np.int64)
+    np.cumsum(np.where(hit, MATCH, max(MISMATCH, GAP)), out=total[1:])
+    return min(MATCH * int(times[there].sum()), int((total - np.minimum.accumulate(total)).max()))
 
 
 def _item_words(bench: DataFrame) -> DataFrame:
@@ -100,16 +86,65 @@ def _item_words(bench: DataFrame) -> DataFrame:
     return rows.where("item_id is not null").mapInArrow(run, "item_id long, words array<long>").where(F.size("words") > 0)
 
 
-def contaminated(
-    docs: DataFrame, bench: DataFrame, n: int = 3, least: float = 0.5, block_words: int = 2_000_000
-) -> DataFrame:
+class _Vocabulary:
+    """A set of word hashes, looked up by a table of their high bits first."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = np.unique(words)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.words >> np.uint64(44)).astype(np.int64)] = True
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in ``words`` that are in the set, and their numbers there."""
+        if not len(self.words):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.maybe[(words >> np.uint64(44)).astype(np.int64)])
+        number = np.minimum(np.searchsorted(self.words, words[at]), len(self.words) - 1)
+        ok = self.words[number] == words[at]
+        return at[ok], number[ok]
+
+
+def word_counts(docs: DataFrame, words: np.ndarray) -> np.ndarray:
+    """How often each of the different ``words`` (in order) occurs in all documents. One row a word and task is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(_Vocabulary(words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        total = np.zeros(len(known.words), np.int64)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                own, _ = text_words(*string_offsets(part.column(1)))
+                total += np.bincount(known.find(own)[1], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["word", "n"])
+
+    found = docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(words), np.int64)
+    out[found["word"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+#: A copy must hold so large a part of an item's seeds, in words of the item.
+PART = 8
+
+
+def seeds(item: np.ndarray, frequency: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """The rarest places of an item, and how many of them a copy of the share ``least`` has at least."""
+    holds = int(np.ceil(least * len(item) - 1e-9))
+    k = min(-(-len(item) // PART), holds)
+    return np.argsort(frequency, kind="stable")[: len(item) - holds + k], k
+
+
+def contaminated(docs: DataFrame, bench: DataFrame, least: float = 0.5, block_words: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): documents that hold a copy of a benchmark item.
 
-    ``score``: alignment score by that of a whole copy of the item, at least ``least``; the words are
-    those of the best alignment. An item with fewer than ``n`` words is one seed as a whole; one
+    ``score``: alignment score by that of a whole copy of the item, at least ``least`` (above 0); the words are
+    those of the best alignment. The result is that of aligning every item with every document. An item
     without words matches nothing, nor does a null id. Repeated rows of a document give equal rows.
     ``block_words`` bounds the benchmark words held at once; every block is held against all documents.
     """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0, and 1 at most")
     spark = docs.sparkSession
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     items = cut(_item_words(bench))
@@ -118,67 +153,57 @@ def contaminated(
     out = spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
     for b in range(blocks):  # expected block_words each, by a hash of the item
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
-        out = out.unionByName(_search(docs, [(r.item_id, np.array(r.words, np.int64).view(np.uint64)) for r in own], n, least))
+        out = out.unionByName(_search(docs, [(r.item_id, np.array(r.words, np.int64).view(np.uint64)) for r in own], least))
     return out
 
 
-def _search(docs: DataFrame, items: list[tuple[int, np.ndarray]], n: int, least: float) -> DataFrame:
-    sc = docs.sparkSession.sparkContext
-    grams = {}  # item number -> (length of its n-grams, their hashes)
+def _search(docs: DataFrame, items: list[tuple[int, np.ndarray]], least: float) -> DataFrame:
+    words = np.unique(np.concatenate([w for _, w in items]))
+    count = word_counts(docs, words)
+    found, size = [], np.array([len(w) for _, w in items], np.int64)
+    needed = np.zeros(len(items), np.int64)
     for k, (_, w) in enumerate(items):
-        size = min(n, len(w))
-        grams[k] = (size, ngrams(w, np.array([0, len(w)]), size)[: len(w) - size + 1])
-    sizes = sorted({s for s, _ in grams.values()})
-
-    def hits(words, before, s, table):
-        """Words of the piece at which an n-gram of the sorted ``table`` starts, and its place in the table."""
-        if not len(table):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        g = ngrams(words, before, s)
-        low = (g >> np.uint64(44)).astype(np.int64)
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(table >> np.uint64(44)).astype(np.int64)] = True
-        at = np.flatnonzero(maybe[low])
-        place = np.minimum(np.searchsorted(table, g[at]), len(table) - 1)
-        ok = table[place] == g[at]
-        return at[ok], place[ok]
-
-    seeds = {s: [] for s in sizes}
-    for k, (s, g) in grams.items():
-        seeds[s] += [(x, k, p) for p, x in enumerate(g)]
-    for s in sizes:
-        seeds[s].sort(key=lambda x: x[0])
-    tables = {s: (np.array([x[0] for x in v], np.uint64), np.array([x[1:] for x in v], np.int64).reshape(-1, 2)) for s, v in seeds.items()}
-    held = sc.broadcast((tables, [(i, w) for i, w in items]))
+        place, needed[k] = seeds(w, count[np.searchsorted(words, w)], least)
+        found += [(x, k) for x in np.unique(w[place])]
+    found.sort()
+    known = _Vocabulary(np.array([x[0] for x in found], np.uint64))
+    first = np.searchsorted(np.array([x[0] for x in found], np.uint64), known.words)
+    # A copy adds so many words at most; all its words lie within ``reach`` of each other.
+    reach = size + (2 * size * (1 - least)).astype(np.int64) + 1
+    held = docs.sparkSession.sparkContext.broadcast(
+        (known, np.r_[first, len(found)], np.array([x[1] for x in found], np.int64), needed, reach, items)
+    )
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, items = held.value
+        known, first, where, needed, reach, items = held.value
         vocabulary = {}
         names = ["doc_id", "item_id", "score", "first_word", "end_word"]
         for batch in batches:
             for part in pieces(batch, "text"):
                 words, before = text_words(*string_offsets(part.column(1)))
                 ids, rows = part.column(0).to_pylist(), []
-                found = []  # (row, item number, word, place in the item)
-                for s, (table, where) in tables.items():
-                    keys, first = np.unique(table, return_index=True)
-                    at, place = hits(words, before, s, keys)
-                    times = np.diff(np.r_[first, len(table)])[place]  # equal seeds of several items
-                    flat = np.repeat(first[place], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    at = np.repeat(at, times)
-                    found.append(np.c_[np.searchsorted(before, at, "right") - 1, where[flat, 0], at, where[flat, 1]])
-                f = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
-                f = f[np.lexsort((f[:, 2], f[:, 1], f[:, 0]))]
-                new = np.flatnonzero(np.r_[True, (f[1:, :2] != f[:-1, :2]).any(axis=1)]) if len(f) else []
-                for a, b in zip(new, np.r_[new[1:], len(f)] if len(f) else [], strict=True):
-                    row, k = int(f[a, 0]), int(f[a, 1])
+                at, number = known.find(words)
+                times = first[number + 1] - first[number]  # items with this word
+                item = where[np.repeat(first[number] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+                at = np.repeat(at, times)
+                pair = (np.searchsorted(before, at, "right") - 1) * len(items) + item
+                order = np.lexsort((at, pair))
+                at, pair = at[order], pair[order]
+                # Seeds of the same document and item from here on, as far as a copy reaches.
+                spread = pair * (2 * len(words) + 1) + at
+                far = np.minimum(reach[pair % len(items)], len(words))
+                keep = np.searchsorted(spread, spread + far, "right") - np.arange(len(at)) >= needed[pair % len(items)]
+                at, pair = at[keep], pair[keep]
+                new = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(at) else []
+                for a, b in zip(new, np.r_[new[1:], len(at)] if len(at) else [], strict=True):
+                    row, k = divmod(int(pair[a]), len(items))
                     lo, hi = int(before[row]), int(before[row + 1])
                     item_id, w = items[k]
                     if k not in vocabulary:
                         vocabulary[k] = np.unique(w, return_counts=True)
                     best = (0, 0, 0)
-                    for x, y in _regions(f[a:b, 2], f[a:b, 3], len(w), lo, hi):
-                        most = MATCH * _occurring(*vocabulary[k], words[x:y])
+                    for x, y in _regions(at[a:b], int(reach[k]), lo, hi):
+                        most = _most(*vocabulary[k], words[x:y])
                         if most <= best[0] or most < least * MATCH * len(w):
                             continue
                         score, i, j = align(w, words[x:y])
