@@ -6,10 +6,11 @@ import sys
 import types
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matricula.sesion import asegurar_checkpoint
@@ -151,23 +152,72 @@ def window_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+#: Rows without an id are known by a hash of their text from this number on, ``1 << 61`` numbers that no id has; smaller than all ids.
+NO_ID = -(1 << 63)
+
+
+def id_or_text(doc_id: Column, text: Column) -> Column:
+    """The id of a row, or a number made from its text where it has none."""
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(text, F.lit(1)).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(NO_ID))
+
+
+def given_id(doc: Column) -> Column:
+    """The id that ``id_or_text`` took, null where the row has none."""
+    return F.when(doc >= NO_ID + (1 << 61), doc)
+
+
 def bits_apart(a: Column, b: Column) -> Column:
     """Number of differing bits of two long columns."""
     return F.bit_count(a.bitwiseXOR(b))
 
 
+#: Spark deletes the shuffle files of an execution at its end, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Executions inside leave no shuffle files: their results are files, so nothing reads their shuffles again. The
+    session's own setting is put back."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names."""
     asegurar_checkpoint(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage like ``cut``, as a compressed table in the same shared folder: for larger intermediates.
-    The table stays until the folder is cleaned up."""
+    The table stays until ``discard``, or until the folder is cleaned up."""
     path = f"{asegurar_checkpoint(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df.stored_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fence(df: DataFrame) -> DataFrame:
@@ -180,18 +230,19 @@ def fence(df: DataFrame) -> DataFrame:
 SMALL_IDS = 1_000_000
 
 
-def _sent(ids: DataFrame) -> DataFrame:
+def sent(ids: DataFrame) -> DataFrame:
+    """A table of keys (and few bytes more) for a join: sent to every task only if its rows are counted to be few."""
     return F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
 
 
 def only(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``df`` whose key is in ``ids``; the keys are sent to every task only if they are counted to be few."""
-    return df.join(_sent(ids), on, "left_semi")
+    return df.join(sent(ids), on, "left_semi")
 
 
 def but_for(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``df`` whose key is not in ``ids``, as ``only``."""
-    return df.join(_sent(ids), on, "left_anti")
+    return df.join(sent(ids), on, "left_anti")
 
 
 def components(links: DataFrame) -> DataFrame:

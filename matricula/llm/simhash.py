@@ -10,7 +10,8 @@ so the range join is an equi join on every choice of that many coordinates.
 Groups of near copies would still meet in full in a cell, so the join has two steps. First
 each cell member is checked against the cell's smallest fingerprint only, which links nearly all
 of a dense group in linear work. Then members of one cell that are not yet in one component are
-compared with each other, which finds every link that is still missing between components.
+compared with each other, which finds every link that is still missing between components. The choices
+are dealt out to passes, so that only a part of the cells is on disk at a time.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matricula.llm.base import bits_apart, components, cut, lower_ascii, pieces, small_batches, string_offsets, word_bounds
+from matricula.llm.base import bits_apart, components, cut, discard, lower_ascii, pieces, sent, small_batches, stored, string_offsets, word_bounds
 
 SEED = 42
 GROUPS, SEGMENT = 8, 2
@@ -85,10 +86,21 @@ def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text
     )
 
 
-def _cells(fps: DataFrame, max_bits: int) -> DataFrame:
-    """Rows (cell, fp): one per choice of ``GROUPS - max_bits`` grid coordinates."""
+#: Choices of grid coordinates are joined in so many passes: each pass shuffles its share of the cells, keeps only links, and its
+#: shuffle files go before the next one.
+PASSES = 3
+
+
+def _choices(max_bits: int) -> list[list[tuple[int, tuple[int, ...]]]]:
+    """The choices of ``GROUPS - max_bits`` grid coordinates, with their numbers, dealt out to passes."""
     if not 0 <= max_bits < GROUPS:
         raise ValueError(f"max_bits must be from 0 to {GROUPS - 1}")
+    every = list(enumerate(combinations(range(GROUPS), GROUPS - max_bits)))
+    return [x for x in (every[k::PASSES] for k in range(PASSES)) if x]
+
+
+def _cells(fps: DataFrame, choices: list[tuple[int, tuple[int, ...]]]) -> DataFrame:
+    """The rows of ``fps`` (``fp`` and others) with ``cell``: one row per choice."""
     span = 64 // GROUPS
     levels = (SEGMENT + 1) ** (span // SEGMENT)
 
@@ -99,49 +111,56 @@ def _cells(fps: DataFrame, max_bits: int) -> DataFrame:
             total = total + seg * (SEGMENT + 1) ** s
         return total.cast("long")
 
-    grid = fps.select("fp", *[coordinate(g).alias(f"g{g}") for g in range(GROUPS)])
+    grid = fps.select("*", *[coordinate(g).alias(f"g{g}") for g in range(GROUPS)])
     keys = []
-    for i, chosen in enumerate(combinations(range(GROUPS), GROUPS - max_bits)):
+    for i, chosen in choices:
         cell = F.lit(i).cast("long")
         for g in chosen:
             cell = F.xxhash64(cell, F.col(f"g{g}")) if len(chosen) > 8 else cell * levels + F.col(f"g{g}")
         keys.append(cell)
-    return grid.select(F.explode(F.array(*keys)).alias("cell"), "fp")
+    return grid.select(F.explode(F.array(*keys)).alias("cell"), *fps.columns)
 
 
 def near_duplicates(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for rows (doc_id, fp): ``component_id`` is the smallest doc_id that
     links of at most ``max_bits`` differing bits reach. Equal fingerprints are linked, zero included.
     Rows with a null id get the component of their fingerprint (null if it has no other id)."""
+    spark = fps.sparkSession
     fps = cut(fps.select("doc_id", "fp"))
     own = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    wide = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small table that the cells make large
-    cells = _cells(own.select("fp").repartition(wide, "fp"), max_bits)
-    # A fingerprint is in a cell once, so a cell of two is settled by its two ends; larger ones get their members.
-    shared = cut(
-        cells.groupBy("cell").agg(F.min("fp").alias("pivot"), F.max("fp").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    )
-    near_ends = bits_apart(F.col("pivot"), F.col("top")) <= max_bits
-    pairs = shared.where((F.col("n") == 2) & near_ends).select(F.col("pivot").alias("a"), F.col("top").alias("b"))
-    members = cut(cells.join(shared.where("n > 2").select("cell", "pivot"), "cell"))
-    star = members.where((F.col("fp") != F.col("pivot")) & (bits_apart(F.col("fp"), F.col("pivot")) <= max_bits))
-    by_star = cut(components(pairs.unionByName(star.select(F.col("pivot").alias("a"), F.col("fp").alias("b")))))
-
-    placed = members.join(by_star, members.fp == by_star.node, "left").select(
-        "cell", "fp", F.coalesce("label", "fp").alias("label")
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a small table that the cells make large
+    single = cut(own.select("fp").repartition(wide, "fp"))
+    links, shared = [], []
+    for choices in _choices(max_bits):
+        cells = _cells(single, choices)
+        # A fingerprint is in a cell once, so a cell of two is settled by its two ends; larger ones get their members.
+        ends = stored(
+            cells.groupBy("cell").agg(F.min("fp").alias("pivot"), F.max("fp").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        )
+        near_ends = bits_apart(F.col("pivot"), F.col("top")) <= max_bits
+        pairs = ends.where((F.col("n") == 2) & near_ends).select(F.col("pivot").alias("a"), F.col("top").alias("b"))
+        larger = sent(ends.where("n > 2").select("cell", "pivot"))
+        star = cells.join(larger, "cell").where((F.col("fp") != F.col("pivot")) & (bits_apart(F.col("fp"), F.col("pivot")) <= max_bits))
+        links.append(stored(pairs.unionByName(star.select(F.col("pivot").alias("a"), F.col("fp").alias("b"))).distinct()))
+        shared.append(ends)
+    by_star = cut(components(_all(links)))
+    discard(*links)
+    # Members of one cell that are in different components yet, against each other.
+    labelled = cut(
+        single.join(by_star, single.fp == by_star.node, "left").select("fp", F.coalesce("label", "fp").alias("label")).repartition(wide, "fp")
     )
-    placed = cut(placed)
-    mixed = placed.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("cell")
-    placed = placed.join(mixed, "cell")
-    a = placed.select("cell", F.col("fp").alias("fa"), F.col("label").alias("a"))
-    b = placed.select("cell", F.col("fp").alias("fb"), F.col("label").alias("b"))
-    across = (
-        a.join(b, "cell")
-        .where((F.col("a") < F.col("b")) & (bits_apart(F.col("fa"), F.col("fb")) <= max_bits))
-        .select("a", "b")
-        .distinct()
-    )
-    merged = components(across)
+    across = []
+    for choices, ends in zip(_choices(max_bits), shared, strict=True):
+        placed = stored(_cells(labelled, choices).join(sent(ends.where("n > 2").select("cell")), "cell"))
+        mixed = placed.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("cell")
+        both = stored(placed.join(mixed, "cell"))
+        a = both.select("cell", F.col("fp").alias("fa"), F.col("label").alias("a"))
+        b = both.select("cell", F.col("fp").alias("fb"), F.col("label").alias("b"))
+        near = (F.col("a") < F.col("b")) & (bits_apart(F.col("fa"), F.col("fb")) <= max_bits)
+        across.append(stored(a.join(b, "cell").where(near).select("a", "b").distinct()))
+        discard(placed, both, ends)
+    merged = cut(components(_all(across)))
+    discard(*across)
     labels = (
         own.join(by_star, own.fp == by_star.node, "left")
         .select("fp", "first", F.coalesce("label", "fp").alias("label"))
@@ -153,6 +172,13 @@ def near_duplicates(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def simhash_near_dedup(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document; ``fingerprint`` as 16 hex digits."""
     found = near_duplicates(fingerprints(docs, shingle), max_bits)
