@@ -22,6 +22,10 @@ from matricula.llm.base import per_worker, pieces, small_batches
 
 #: Hash buckets of character trigrams.
 BUCKETS = 1 << 14
+#: Steps of expectation-maximisation for each fit: a fixed number, so that a text's result does not depend on its batch.
+STEPS = 12
+#: A language with no more of the full mixture than this is not tried beside others: its share is below what these steps settle.
+LEAST_SHARE = 0.02
 UNDETERMINED = "und"
 
 
@@ -56,7 +60,7 @@ def trigram_counts(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.
     return key // BUCKETS, key % BUCKETS, count.astype(np.float64), letter
 
 
-def mixture(row: np.ndarray, prob: np.ndarray, count: np.ndarray, n: int, steps: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def mixture(row: np.ndarray, prob: np.ndarray, count: np.ndarray, n: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """EM for all texts at once: proportions (n, k) and log likelihood per text.
 
     ``row``: text of each trigram, ascending; ``prob`` (trigrams, k): its probability in each language."""
@@ -77,7 +81,8 @@ def mixture(row: np.ndarray, prob: np.ndarray, count: np.ndarray, n: int, steps:
 
 
 def choose(row: np.ndarray, prob: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
-    """Proportions (n, k) over the set of languages with the best penalised likelihood; zero outside it."""
+    """Proportions (n, k) over the set of languages with the best penalised likelihood; zero outside it. Languages are tried in
+    the order of their share in the full mixture, those above ``LEAST_SHARE``; of equal ones the first in the alphabet leads."""
     k = prob.shape[1]
     total = np.bincount(row, count, n)
     single = np.stack([np.bincount(row, count * np.log(prob[:, j]), n) for j in range(k)], axis=1)
@@ -87,7 +92,7 @@ def choose(row: np.ndarray, prob: np.ndarray, count: np.ndarray, n: int) -> np.n
     best = np.zeros((n, k))
     best[np.arange(n), best_one] = 1.0
     score = single[np.arange(n), best_one]
-    open_ = (k > 1) & (full[np.arange(n), order[:, min(1, k - 1)]] > 0.02)  # texts with a second language worth a fit
+    open_ = (k > 1) & (full[np.arange(n), order[:, min(1, k - 1)]] > LEAST_SHARE)  # texts with a second language worth a fit
     for size in range(2, k + 1):
         todo = np.flatnonzero(open_)
         if not len(todo):
@@ -105,7 +110,7 @@ def choose(row: np.ndarray, prob: np.ndarray, count: np.ndarray, n: int) -> np.n
         score[todo[better]] = value[better]
         open_[todo[~better]] = False
         if size < k:
-            open_ &= full[np.arange(n), order[:, size]] > 0.02
+            open_ &= full[np.arange(n), order[:, size]] > LEAST_SHARE
     return best
 
 
@@ -143,7 +148,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def identify(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
     """(doc_id, lang_pred, score, languages, shares) of every row: the language with the largest share, that
-    share, and the chosen languages with their shares, largest first. Without a letter (or text, or a
+    share, and the chosen languages with their shares, largest first (of equal shares the first in the alphabet). Without a letter (or text, or a
     model) the prediction is ``und`` with score 0. Repeated rows give a row each."""
     held = docs.sparkSession.sparkContext.broadcast((languages, model))
 
