@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matricula.llm import bpe, decontam, quality, simhash, substring
+from matricula.llm.base import but_for, only, remove, stored
 from matricula.sesion import aplicar_ajustes, asegurar_checkpoint
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -24,12 +25,19 @@ def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest id. Rows that repeat an id
-    count once; rows without an id stay."""
-    found = simhash.near_duplicates(simhash.fingerprints(docs, shingle=4), max_bits=4)
-    others = found.where("doc_id != component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(others, "doc_id", "left_anti").select(docs.columns)
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each SimHash group stays, the one with the smallest id (null ids last). Rows are known by id and
+    text: rows that repeat both count once, rows that share an id only are documents of their own."""
+    key = F.xxhash64("doc_id", F.col("text").cast("string"))
+    keyed = docs.select(key.alias("doc_id"), "text", F.col("doc_id").alias("id"))
+    found = simhash.near_duplicates(simhash.fingerprints(keyed, shingle=4), max_bits=4).select(F.col("doc_id").alias("key"), "component_id")
+    ids = keyed.select(F.col("doc_id").alias("key"), "id").distinct()
+    first = F.min_by("key", F.struct(F.col("id").isNull(), "id", "key"))
+    stay = found.distinct().join(ids, "key").groupBy("component_id").agg(first.alias("stays")).select("stays")
+    # Only rows that repeat id and text have to meet; the texts of the others stay where they are.
+    kept = only(docs.withColumn("__row_key", key), stored(stay.withColumnRenamed("stays", "__row_key")), ["__row_key"])
+    twice = stored(docs.select(key.alias("__row_key")).groupBy("__row_key").count().where("count > 1").select("__row_key"))
+    again = only(kept, twice, ["__row_key"]).dropDuplicates(["__row_key"])
+    return but_for(kept, twice, ["__row_key"]).unionByName(again).select(docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +49,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold a copy of a benchmark item go, with or without an id. Rows that share an id are told apart by their texts."""
     key = F.xxhash64("doc_id", F.col("text").cast("string"))
     found = decontam.contaminated(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    keys = found.select(F.col("doc_id").alias("found_key")).distinct()
-    return docs.join(keys, key == F.col("found_key"), "left_anti").select(docs.columns)
+    keys = stored(found.select(F.col("doc_id").alias("__row_key")).distinct())
+    return but_for(docs.withColumn("__row_key", key), keys, ["__row_key"]).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,9 +76,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     aplicar_ajustes(spark)
     folder = f"{asegurar_checkpoint(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    previous = None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{i}-{name}")
-            docs = spark.read.parquet(f"{folder}/{i}-{name}")
+            path = f"{folder}/{i}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if previous:
+                remove(spark, previous)
+            previous = path
     return docs

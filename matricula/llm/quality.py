@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matricula.llm.base import cut, fence
+from matricula.llm.base import cut, fence, only
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -237,6 +237,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Statistics of the labelled rows train the rules; the rows are then judged where they are
     read, without a join, so repeated rows and rows without an id are each judged by their text."""
     marked = labels.where("quality is not null").select("doc_id").distinct()
-    own = docs.select("doc_id", "text").join(marked, "doc_id", "left_semi")
+    own = only(docs.select("doc_id", "text"), marked, ["doc_id"])
     rules = learn(labelled_stats(cut(text_stats(own).select("row.doc_id", "stats")), labels))
     return fence(text_stats(docs)).where(~F.col("stats.base_failed") & (verdict(rules) == 0)).select("row.*")

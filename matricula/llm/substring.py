@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matricula.llm.base import Rolling, cut, mix, only, pieces, small_batches, stored, string_offsets, window_min, word_bounds
+from matricula.llm.base import Rolling, cut, discard, given_id, id_or_text, mix, only, pieces, small_batches, stored, string_offsets, window_min, word_bounds
 
 SHINGLE = 5
 #: Least passage: 50 words.
@@ -33,6 +33,8 @@ HASHES = 3
 #: Functions of the sketches, and the distances from c that these are of: a passage around c covers all of them on one side
 #: at least, and a short line around c none.
 SKETCHES, NEAR, FAR = 4, 8, LEAST // 2
+#: Bits of a sketch value: so many that texts which share no more than a line hardly ever agree in one.
+BITS = 64 // SKETCHES
 SIMILARITY = 0.8
 #: Of similar passages, an unbroken stretch has so many shingles at least: with k edits, each at least 9 shingles of the union,
 #: the longest of k + 1 stretches has 36 k / (k + 1).
@@ -88,19 +90,19 @@ def compact_windows(h: np.ndarray, at: np.ndarray, t: int) -> tuple[np.ndarray,
 
 
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
-    """(doc, tag, text): rows are known by id and a hash of their text; repeated rows are one text, a null id is the least long."""
+    """(doc, tag, text): rows are known by id and a hash of their text; repeated rows are one text, rows without an id come first."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.shiftright(F.xxhash64(t), 32).cast("int").alias("tag"), t.alias("text"), *more)
+    return small_batches(docs).select(id_or_text(F.col("doc_id"), t).alias("doc"), F.shiftright(F.xxhash64(t), 32).cast("int").alias("tag"), t.alias("text"), *more)
 
 
-_WINDOW = "doc long, tag int, key long, place long, content long, sketch long"
+_WINDOW = "doc long, tag int, key long, place long, content long, sketch long, sketch_after long"
 _REACH = 64  # place: (c * _REACH + shingles of the window before c) * _REACH + shingles after c
 
 
 def _windows(docs: DataFrame) -> DataFrame:
     """Compact windows of all texts under ``HASHES`` functions: ``key`` the least hash, ``place`` its shingle c and how far the window
-    goes around c, less than ``LEAST`` on either side, ``content`` a hash of the words there, ``sketch`` the least hashes (8 bits each)
-    under ``SKETCHES`` functions of the shingles ``NEAR`` to ``FAR`` before c, and after c."""
+    goes around c, less than ``LEAST`` on either side, ``content`` a hash of the words there, ``sketch`` the least hashes (``BITS`` bits each)
+    under ``SKETCHES`` functions of the shingles ``NEAR`` to ``FAR`` before c, ``sketch_after`` those after c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _WINDOW.split(", ")]
@@ -117,16 +119,18 @@ def _windows(docs: DataFrame) -> DataFrame:
                 row, left, c, right = (np.concatenate(x) for x in list(zip(*found, strict=True))[1:])
                 lo, hi = np.maximum(left, c - LEAST + 1), np.minimum(right, c + LEAST - 1)
                 to_word = (before[:-1] - at[:-1])[row]
-                sketch = np.zeros(len(c), np.uint64)
+                sketches = []
                 for side in (np.maximum(c - FAR, at[row]), np.minimum(c + 1 + NEAR, at[row + 1] - FAR + NEAR)):
+                    sketch = np.zeros(len(c), np.uint64)
                     for x in aside:
-                        sketch = (sketch << np.uint64(8)) | (mix(x[side]) >> np.uint64(56))
+                        sketch = (sketch << np.uint64(BITS)) | (mix(x[side]) >> np.uint64(64 - BITS))
+                    sketches.append(pa.array(sketch.view(np.int64)))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(take), part.column(1).take(take), pa.array(key.view(np.int64)),
                         pa.array(((c - at[row]) * _REACH + c - lo) * _REACH + hi - c),
-                        pa.array(content.of(lo + to_word, hi + to_word + SHINGLE).view(np.int64)), pa.array(sketch.view(np.int64)),
+                        pa.array(content.of(lo + to_word, hi + to_word + SHINGLE).view(np.int64)), *sketches,
                     ],
                     names,
                 )
@@ -309,12 +313,16 @@ def similar_passages(text: np.ndarray, other: np.ndarray | _Ranked, same: bool)
     return out
 
 
-def _agree(a: Column, b: Column) -> Column:
-    """Whether any of the sketches' 8-bit values agrees."""
-    x = a.bitwiseXOR(b)
+def _values(m: str) -> list[Column]:
+    """The sketch values of a place."""
+    return [F.shiftright(f"{m}.{side}", BITS * k).bitwiseAND(F.lit((1 << BITS) - 1)) for side in ("sketch", "sketch_after") for k in range(SKETCHES)]
+
+
+def _agree(a: str, b: str) -> Column:
+    """Whether any of the sketch values of two places agrees."""
     out = F.lit(False)
-    for k in range(2 * SKETCHES):
-        out = out | (F.shiftright(x, 8 * k).bitwiseAND(F.lit(255)) == 0)
+    for x, y in zip(_values(a), _values(b), strict=True):
+        out = out | (x == y)
     return out
 
 
@@ -355,12 +363,13 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def _similar(docs: DataFrame) -> DataFrame:
     """Later passages with an earlier similar one: (doc, tag, first, end, pdoc, ptag, pfirst, pend, similarity), in
     shingles, for rows (doc, tag, text); earlier means a smaller (doc, tag) or place."""
-    windows = _windows(docs)
-    keys = _keys(docs).groupBy("key").count().where("count > 1").select("key")
-    shared = stored(windows.join(keys, "key", "left_semi"))
+    # The keys alone first: the join then has plain shuffles on both sides, of which hot keys are split.
+    keys = stored(_keys(docs).groupBy("key").count().where("count > 1").select("key"))
+    shared = stored(_windows(docs).join(keys, "key", "left_semi"))
+    discard(keys)
     c, reach = F.floor(F.col("place") / (_REACH * _REACH)).cast("int"), (F.col("place") % (_REACH * _REACH)).cast("int")
     shared = shared.withColumns({"c": c, "reach": reach})
-    classes = stored(shared.groupBy("key", "content", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tag", "c", "sketch")).alias("m")))
+    classes = stored(shared.groupBy("key", "content", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tag", "c", "sketch", "sketch_after")).alias("m")))
     before, after = F.floor(F.col("reach") / _REACH).cast("int"), F.col("reach") % _REACH
     out = (
         shared.join(classes.where("n > 1").select("key", "content", "reach", "m"), ["key", "content", "reach"])
@@ -376,32 +385,39 @@ def _similar(docs: DataFrame) -> DataFrame:
     alone = twice.select("doc", "tag", F.col("doc").alias("pdoc"), F.col("tag").alias("ptag"), none.alias("at"))
     out = out.unionByName(stored(_verify(stored(alone), docs)).where("kind = 1").select(out.columns))
     left = classes.select(F.col("key").alias("grp"), "m")
+    at_once = max(1, docs.count() // 4)
+    old: list[DataFrame] = []
     while True:
         pivots = left.groupBy("grp").agg(F.min("m").alias("p"), F.max("m").alias("top")).where("p != top").select("grp", "p")
         faced = stored(left.join(pivots, "grp").where("m != p").distinct().select("grp", "p", "m"))
         if faced.isEmpty():
             return out
         # Other places of the first one's own text are dealt anew as they are: that text was compared with itself above.
-        like = _agree(F.col("m.sketch"), F.col("p.sketch")) & ((F.col("m.doc") != F.col("p.doc")) | (F.col("m.tag") != F.col("p.tag")))
+        like = _agree("m", "p") & ((F.col("m.doc") != F.col("p.doc")) | (F.col("m.tag") != F.col("p.tag")))
         pairs = stored(
             faced.where(like)
             .select("m.doc", "m.tag", F.col("p.doc").alias("pdoc"), F.col("p.tag").alias("ptag"), F.struct(F.col("m.c").alias("c"), "grp").alias("x"))
             .groupBy("doc", "tag", "pdoc", "ptag")
             .agg(F.collect_set("x").alias("at"))
         )
-        checked = stored(_verify(pairs, docs))
-        out = out.unionByName(checked.where("kind = 1").select(out.columns))
-        missed = checked.where("kind = 0").select("grp", "doc", "tag", "c")
-        again = faced.where(like).join(
-            missed, (faced.grp == missed.grp) & (F.col("m.doc") == missed.doc) & (F.col("m.tag") == missed.tag) & (F.col("m.c") == missed.c), "left_semi"
-        )
+        # The texts of the pairs are shuffled: in passes of at most a quarter as many pairs as there are texts.
+        passes, again = -(-pairs.count() // at_once), faced.where(F.lit(False))
+        for k in range(passes):
+            part = pairs.where(F.pmod(F.xxhash64("doc", "tag", "pdoc", "ptag"), F.lit(passes)) == k)
+            checked = stored(_verify(part, docs))
+            out = out.unionByName(checked.where("kind = 1").select(out.columns))
+            missed = checked.where("kind = 0").select("grp", "doc", "tag", "c")
+            again = again.unionByName(faced.where(like).join(
+                missed, (faced.grp == missed.grp) & (F.col("m.doc") == missed.doc) & (F.col("m.tag") == missed.tag) & (F.col("m.c") == missed.c), "left_semi"
+            ))
         # Dealt anew by every sketch value that the first of the group does not have.
-        values = [
-            F.when(a != b, F.xxhash64("grp", F.lit(k), a))
-            for k in range(2 * SKETCHES)
-            for a, b in [(F.shiftright("m.sketch", 8 * k).bitwiseAND(F.lit(255)), F.shiftright("p.sketch", 8 * k).bitwiseAND(F.lit(255)))]
-        ]
-        left = faced.where(~like).unionByName(again).select(F.explode(F.array_compact(F.array(*values))).alias("grp"), "m")
+        values = [F.when(a != b, F.xxhash64("grp", F.lit(k), a)) for k, (a, b) in enumerate(zip(_values("m"), _values("p"), strict=True))]
+        dealt = faced.where(~like).unionByName(again).select(F.explode(F.array_compact(F.array(*values))).alias("grp"), "m")
+        # Rows that are alone in their new group have no partner any more.
+        several = dealt.groupBy("grp").agg(F.min("m").alias("p"), F.max("m").alias("top")).where("p != top").select("grp")
+        left = stored(dealt.join(several, "grp", "left_semi"))
+        discard(faced, pairs, *old)
+        old = [left]
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -413,7 +429,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     once; a null id is less than all others. The words are ``[^\\x20\\x09-\\x0D]+``, numbered from 0."""
     rows = _keyed(docs)
     return _merge(_similar(rows)).select(
-        F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"), "first_word", "end_word",
+        given_id(F.col("doc")).alias("doc_id"), "first_word", "end_word",
         (F.col("end_word") - F.col("first_word")).alias("n_words"), "source_ids", "similarity",
     )
 
@@ -421,7 +437,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 def _merge(found: DataFrame) -> DataFrame:
     """(doc, tag, first_word, end_word, source_ids, similarity): overlapping passages of a text as one."""
     spans = found.groupBy("doc", "tag", "first", "end").agg(
-        F.collect_set(F.when(F.col("pdoc") != -(1 << 63), F.col("pdoc"))).alias("of"), F.min("similarity").alias("s")
+        F.collect_set(given_id(F.col("pdoc"))).alias("of"), F.min("similarity").alias("s")
     )
     lists = spans.groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct("first", "end", "of", "s"))).alias("all"))
 

@@ -75,8 +75,18 @@ def test_stages_on_edge_rows(spark, sf):
     kept = [r.doc_id for r in C.good_text(spark, df, sf).collect()]
     assert sorted(kept, key=str) == [1, 1, None]
     near = C.near_dedup(spark, df, sf)
-    assert near.columns == df.columns and sorted((r.doc_id for r in near.collect()), key=str) == [1, 2, None]  # no words: 2 and 3 are one
+    # The row without an id is a near copy of 1; 2 and 3 have no words and are one.
+    assert near.columns == df.columns and sorted((r.doc_id for r in near.collect()), key=str) == [1, 2]
     for _, stage in C.STAGES[:-1]:
         assert stage(spark, df.limit(0), sf).count() == 0
         assert stage(spark, df, sf).columns == df.columns
     assert C.encode(spark, df, sf).count() == 5
+
+
+def test_near_copies_are_known_by_id_and_text(spark, sf):
+    """Unrelated texts under one id are documents of their own, copies without an id are one, and the smallest id stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (1, b), (5, a), (None, c), (None, c), (9, b), (4, None), (4, "")]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, (r.text or "")[:2]) for r in C.near_dedup(spark, df, sf).collect()), key=str)
+    assert got == sorted([(1, "a0"), (1, "b0"), (4, ""), (None, "c0")], key=str)
