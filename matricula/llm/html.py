@@ -6,13 +6,15 @@ Over the other blocks, text length, punctuation and link text are summed per pat
 block of a path are fused into one score, and the blocks of paths above a threshold are content, in all elements that
 name themselves the article, or on the whole page if none does. With them stay headings before content, short blocks between
 content, and those around it that reach the threshold by the scores smoothed over the page order, unless
-their own classes set them apart.
+their own classes set them apart. In an element that names itself the article, classes set apart only labels of a word or two, and
+what stands before the first content.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,15 +56,31 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
 class _Open:
-    """An open element: name, step of its path, whether it is left out, its parent's number and own number."""
+    """An open element. ``step`` and ``path`` name it and its chain of block elements, ``parent`` is the block element around it,
+    ``depth`` their number. The flags hold for it or any element around it: left out, main, link, heading, an element of the page's body."""
 
-    __slots__ = ("tag", "step", "out", "main", "number", "link")
+    __slots__ = ("tag", "step", "path", "parent", "depth", "classed", "out", "main", "link", "heading", "real")
 
-    def __init__(self, tag, step, out, main, number, link):
-        self.tag, self.step, self.out, self.main, self.number, self.link = tag, step, out, main, number, link
+    def __init__(self, tag, step, classed, out, main, around: _Open | None, paths: dict):
+        self.tag, self.step, self.classed, self.out, self.main = tag, step, classed, out, main
+        if around is None:
+            self.path, self.parent, self.depth, self.link, self.heading, self.real = 0, None, 0, False, False, False
+            return
+        self.link = around.link or tag == "a"
+        if tag in _INLINE:  # no step of the path
+            self.parent, self.depth, self.path, self.heading, self.real = around.block(), around.depth, around.path, around.heading, around.real
+            return
+        self.parent, self.depth = around.block(), around.depth + 1
+        self.path = paths.setdefault((around.path, step), len(paths) + 1)
+        self.heading = around.heading or tag in _HEADINGS
+        self.real = around.real or tag not in ("html", "body")
+
+    def block(self) -> _Open:
+        """The element itself, or the block element around an inline one."""
+        return self.parent if self.tag in _INLINE else self
 
 
-def _element(tag: str, attrs: str, parent: _Open, number: int) -> _Open:
+def _element(tag: str, attrs: str, around: _Open, paths: dict) -> _Open:
     words, main, hidden, step = set(), tag in ("article", "main"), False, tag
     for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), (a or b or c).lower()
@@ -75,16 +93,17 @@ def _element(tag: str, attrs: str, parent: _Open, number: int) -> _Open:
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
     named_out = bool(words & _OUT_WORDS) and not main and tag not in ("html", "body")
-    head = (tag == "header" or words & {"header"}) and parent.main  # a header inside the article holds its title
-    out = parent.out or hidden or tag in _OUT or (tag == "header" and not head) or (named_out and not head)
-    return _Open(tag, step, out, parent.main or main, number, parent.link or tag == "a")
+    head = (tag == "header" or words & {"header"}) and around.main  # a header inside the article holds its title
+    out = around.out or hidden or tag in _OUT or (tag == "header" and not head) or (named_out and not head)
+    return _Open(tag, step, step != tag, out, around.main or main, around, paths)
 
 
 def blocks(page: str) -> list[dict]:
-    """The blocks of a page in order: ``text`` (white space collapsed), ``path``, ``chain`` of (element number, is
-    a main element), ``tags`` and ``classed`` (has a class) of the same elements, ``link`` (characters of links). Blocks that are left out or empty are not listed."""
-    root = _Open("", "", False, False, 0, False)
-    stack, number, done = [root], 0, []
+    """The blocks of a page in order: ``text`` (white space collapsed), ``path`` (a number), ``node`` (the block element that
+    holds it) and ``link`` (characters of links). Blocks that are left out or empty are not listed."""
+    paths: dict = {}
+    stack, done = [_Open("", "", False, False, False, None, paths)], []
+    opened: Counter = Counter()  # open elements by name
     current: dict | None = None
 
     def finish():
@@ -104,11 +123,7 @@ def blocks(page: str) -> list[dict]:
         if current is None:
             if not text.strip():
                 return
-            chain = [e for e in stack[1:] if e.tag not in _INLINE]
-            current = {
-                "parts": [], "link": 0, "path": "/".join(e.step for e in chain), "chain": [(e.number, e.tag in ("article", "main") or e.main) for e in chain],
-                "tags": [e.tag for e in chain], "classed": [e.step != e.tag for e in chain],
-            }
+            current = {"parts": [], "link": 0, "path": top.path, "node": top.block()}
         current["parts"].append(text)
         if top.link:
             current["link"] += len(" ".join(text.split()))
@@ -116,6 +131,7 @@ def blocks(page: str) -> list[dict]:
     def close_to(k: int):
         if any(e.tag not in _INLINE for e in stack[k:]):
             finish()
+        opened.subtract(e.tag for e in stack[k:])
         del stack[k:]
 
     at = 0
@@ -130,7 +146,7 @@ def blocks(page: str) -> list[dict]:
         if not tag:
             continue
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     close_to(k)
                     break
@@ -153,22 +169,22 @@ def blocks(page: str) -> list[dict]:
         if tag not in _INLINE:
             close, stop = _CLOSES.get(tag, ({"p"}, {"td", "th", "table", "button"}))
             for names, until in ((close, stop), ({"p"}, {"td", "th", "table", "button"})):
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in names) else ():
                     if stack[k].tag in names:
                         close_to(k)
                         break
                     if stack[k].tag in until:
                         break
             finish()
-        number += 1
-        stack.append(_element(tag, m["attrs"], stack[-1], number))
+        stack.append(_element(tag, m["attrs"], stack[-1], paths))
+        opened[tag] += 1
     finish()
     return done
 
 
 def path_ratios(found: list[dict]) -> list[float]:
     """Fused tag-path ratio of each block."""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for b in found:
         s = sums.setdefault(b["path"], [0, 0, 0, 0])
         s[0] += 1
@@ -188,16 +204,24 @@ def path_scores(found: list[dict]) -> list[float]:
     ]
 
 
-def _joins(b: dict, content: dict) -> tuple[bool, bool]:
-    """Whether a block stands with a content block in one container, and whether no class sets it apart from that."""
-    shared = 0
-    for (x, _), (y, _) in zip(b["chain"], content["chain"], strict=False):
-        if x != y:
-            break
-        shared += 1
-    own = shared >= len(content["chain"]) - 1  # beside it, or in an element beside it
-    within = own or any(t not in ("html", "body") for t in b["tags"][:shared])
-    return within, not any(b["classed"][shared:])
+def _joins(block: dict, content: dict) -> tuple[bool, bool, bool]:
+    """Whether a block stands with a content block in one container, whether no class sets it apart from that, and whether
+    that is in a main element."""
+    a, b, classed = block["node"], content["node"], False
+    depth = b.depth
+    while a is not b:  # up to the element around both
+        if a.depth >= b.depth:
+            classed |= a.classed
+            a = a.parent
+        else:
+            b = b.parent
+    within = a.depth >= depth - 1 or a.real  # beside it, or in an element beside it
+    return within, not classed, a.main
+
+
+def _label(text: str) -> bool:
+    """One or two words without a digit or punctuation, as buttons and tags have."""
+    return len(text.split()) <= 2 and not re.search(r"[^\w\s]|\d|_", text)
 
 
 def main_text(page: str | None, threshold: float = 0.1) -> str:
@@ -205,7 +229,7 @@ def main_text(page: str | None, threshold: float = 0.1) -> str:
 
     ``threshold``: least score of a content path by the best one."""
     found = blocks(page or "")
-    link: dict[str, list[float]] = {}
+    link: dict[int, list[float]] = {}
     for b in found:
         x = link.setdefault(b["path"], [0, 0])
         x[0] += b["link"]
@@ -215,11 +239,11 @@ def main_text(page: str | None, threshold: float = 0.1) -> str:
     if not found:
         return ""
     ratio = path_ratios(found)
-    best, inside = max(ratio), [any(main for _, main in b["chain"]) for b in found]
+    best, inside = max(ratio), [b["node"].main for b in found]
     if any(i and r >= threshold * best for i, r in zip(inside, ratio, strict=True)):
         found = [b for b, i in zip(found, inside, strict=True) if i]
     ratio, score = path_ratios(found), path_scores(found)
-    best_of: dict[str, float] = {}
+    best_of: dict[int, float] = {}
     for b, s in zip(found, score, strict=True):
         best_of[b["path"]] = max(best_of.get(b["path"], 0), s)
     best, top = max(ratio), max(best_of.values())
@@ -238,13 +262,15 @@ def main_text(page: str | None, threshold: float = 0.1) -> str:
         keep = c
         if not c:
             sides = [_joins(b, z) for z in (x, y) if z]
-            text, alike = bool(_TEXT & set(b["tags"][-1:])), any(w and p for w, p in sides)
-            if y and _HEADINGS & set(b["tags"]):
-                keep = any(w for w, _ in sides)
+            text, alike = b["node"].tag in _TEXT, any(w and p for w, p, _ in sides)
+            # Behind or between content of a main element, a class alone sets nothing apart but labels.
+            own = x is not None and any(w and main for w, _, main in sides) and (text or not _label(b["text"]))
+            if y and b["node"].heading:
+                keep = any(w for w, _, _ in sides)
             elif x and y:
-                keep = alike or (text and any(w for w, _ in sides))
+                keep = alike or own or (text and any(w for w, _, _ in sides))
             else:
-                keep = close and alike
+                keep = own or (close and alike)
         if keep:
             out.append(b["text"])
     return "\n".join(out)

@@ -48,6 +48,39 @@ def test_neutral_names_in_the_container():
     assert html.main_text(page).split("\n") == ["Title", _LONG, "Next", _LONG]
 
 
+def test_classed_parts_of_the_article_stay():
+    body = f"<p>{_LONG}</p>" * 3
+    cases = [
+        (f"<article>{body}<p class='end'>The end</p></article>", ["The end"]),
+        (f"<article>{body}<table class='data'><tr><th>Year<td>1900<tr><th>Size<td>12 km</table></article>", ["Year", "1900", "Size", "12 km"]),
+        (f"<article>{body}<ul class='specs'><li>Weight 3 kg</li><li>Blue</li></ul></article>", ["Weight 3 kg", "Blue"]),
+        (f"<div class='post'>{body}<blockquote class='q'>So said she</blockquote></div>", ["So said she"]),
+    ]
+    for page, more in cases:
+        assert html.main_text(f"<body><div class='m'>Top</div>{page}<div class='z'>All rights</div></body>").split("\n") == [_LONG] * 3 + more
+    page = f"<article><p>{_LONG}</p><div class='code'>x = f(1)</div><p>{_LONG}</p><div class='btn'>Tap here</div><p>{_LONG}</p></article>"
+    assert html.main_text(page).split("\n") == [_LONG, "x = f(1)", _LONG, _LONG]
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    import time
+
+    for page in ("".join(f"<div>text {i}, more." for i in range(20_000)), "<p>" * 20_000 + "end, here.", "</b></div>" * 20_000 + "x", "<div><b>" * 10_000 + "y</i>" * 10_000,
+                 "".join(f"<li>point {i}, more." for i in range(20_000)), "".join(f"<ul><li>point {i}, more." for i in range(10_000))):
+        t = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - t < 4
+    text = html.main_text("".join(f"<div>text {i}, more." for i in range(5000)))
+    assert text.count("\n") == 4999
+
+
+def test_pages_without_an_article_element(spark, sf):
+    """The fixture's pages with a plain container instead of ``article``: the same text."""
+    for r in spark.read.parquet(f"{sf}/pages.parquet").limit(60).collect():
+        plain = r.html.replace("<article>", "<div class='k1'>").replace("</article>", "</div>")
+        assert html.main_text(plain) == html.main_text(r.html), r.page_id
+
+
 def test_small_part_with_a_main_name_is_not_the_article():
     page = f"<body><div class='entry'>3 min</div><div class='t'><p>{_LONG}</p><p>{_LONG}</p></div></body>"
     assert html.main_text(page).split("\n") == [_LONG, _LONG]
