@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matricula.llm.base import Rolling, but_for, only, pieces, small_batches, stored, string_offsets, window_min
+from matricula.llm.base import Rolling, but_for, discard, given_id, id_or_text, only, pieces, small_batches, stored, string_offsets, window_min
 
 GRAM, BLOCK = 16, 16
 _PLACE = np.uint64((1 << 28) - 1)
@@ -47,7 +47,7 @@ def anchored(data: np.ndarray, off: np.ndarray, roll: Rolling, length: int, wind
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc, tag, text): a row is known by its id and a hash of its text; rows equal in both are repeated rows."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.shiftright(F.xxhash64(t), 32).cast("int").alias("tag"), t.alias("text"))
+    return small_batches(docs).select(id_or_text(F.col("doc_id"), t).alias("doc"), F.shiftright(F.xxhash64(t), 32).cast("int").alias("tag"), t.alias("text"))
 
 
 def _classes(df: DataFrame, core: list[str], same: list[str], own: list[str], weight: str = "1") -> DataFrame:
@@ -196,9 +196,10 @@ def repeated_starts(docs: DataFrame, length: int = 400, window: int = 128) -> Da
     reach = (F.col("place") % (_FIELD * _FIELD)).alias("reach")
     own, whole, part = ["doc", "tag", "place"], ["h1", "h2", "reach"], ["block", "c1", "c2"]
 
-    phrases = _phrases(docs, length, window)
-    cores = _cores(docs, length, window).groupBy("core").count().where("count > 1").select("core")
-    shared = stored(phrases.join(cores, "core", "left_semi")).withColumn("reach", reach)
+    # The cores alone first: the join then has plain shuffles on both sides, of which hot cores are split.
+    cores = stored(_cores(docs, length, window).groupBy("core").count().where("count > 1").select("core"))
+    shared = stored(_phrases(docs, length, window).join(cores, "core", "left_semi")).withColumn("reach", reach)
+    discard(cores)
     classes = stored(_classes(shared, ["core"], ["h", "reach"], own))
     done = shared.join(classes.where("n > 1").select("core", "h", "reach"), ["core", "h", "reach"], "left_semi").select("doc", "tag", *_starts())
 
@@ -248,7 +249,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, window: int = 128) -> Dat
     whole = but_for(rows, ids, ["doc", "tag"]).withColumn("at", F.lit(None).cast(spans.schema["at"].dataType))
     joined = only(rows, ids, ["doc", "tag"]).join(spans, ["doc", "tag"]).select("doc", "tag", "text", "at").unionByName(whole)
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<first: long, end: long>>, kept binary"
-    return joined.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"), "text", "at").mapInArrow(run, schema)
+    return joined.select(given_id(F.col("doc")).alias("doc_id"), "text", "at").mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, length: int = 400) -> DataFrame:
