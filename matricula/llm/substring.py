@@ -15,6 +15,7 @@ all texts is the same in all and so brings no two of them together again.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -39,6 +40,8 @@ SIMILARITY = 0.8
 #: Of similar passages, an unbroken stretch has so many shingles at least: with k edits, each at least 9 shingles of the union,
 #: the longest of k + 1 stretches has 36 k / (k + 1).
 UNBROKEN = 16
+#: Places that are listed at once; texts that repeat a shingle more often than that take the longer way.
+PLACES = 1 << 16
 
 
 def _function(shingles: np.ndarray, i: int) -> np.ndarray:
@@ -229,23 +232,68 @@ def _common_runs(text: np.ndarray, there_: _Ranked, same: bool) -> list[_Run]:
     return runs
 
 
-def _near_runs(text: np.ndarray, there: _Ranked, shift: int, same: bool) -> list[_Run]:
-    """``_common_runs`` of each shingle's place nearest to ``shift`` after its own, and not farther from it than ``LEAST``."""
-    n, own = len(there.order), np.arange(len(text))
-    lo = np.searchsorted(there.ranked, text)
-    rank = there.places[np.minimum(lo, n - 1)] // n * n
-    hi = np.searchsorted(there.places, rank + own) if same else np.searchsorted(there.ranked, text, "right")
-    hi = np.where(there.ranked[np.minimum(lo, n - 1)] == text, hi, lo)
-    at = np.flatnonzero(hi > lo)
-    lo, hi, rank, want = lo[at], hi[at], rank[at], at + shift
-    next_ = np.searchsorted(there.places, rank + np.clip(want, 0, n - 1))
-    after, before = there.order[np.clip(next_, lo, hi - 1)], there.order[np.clip(next_ - 1, lo, hi - 1)]
-    q = np.where(np.abs(after - want) <= np.abs(before - want), after, before)
-    near = np.abs(q - want) <= LEAST
-    at, q = at[near], q[near]
-    new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(q) != 1)]) if len(at) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[new, len(at)])
-    return [_Run(p, p + k, x, x + k, k) for p, x, k in zip(at[new].tolist(), q[new].tolist(), size.tolist(), strict=True)]
+class _Near:
+    """For each shingle of ``text`` its places in ``there`` (with ``same``: those before it), as ranges of ``there.order``."""
+
+    def __init__(self, text: np.ndarray, there: _Ranked, same: bool):
+        n, self.there = len(there.order), there
+        lo = np.searchsorted(there.ranked, text)
+        rank = there.places[np.minimum(lo, n - 1)] // n * n
+        hi = np.searchsorted(there.places, rank + np.arange(len(text))) if same else np.searchsorted(there.ranked, text, "right")
+        hi = np.where(there.ranked[np.minimum(lo, n - 1)] == text, hi, lo)
+        self.at = np.flatnonzero(hi > lo)
+        self.lo, self.hi, self.rank = lo[self.at], hi[self.at], rank[self.at]
+        count = self.hi - self.lo
+        self.size, self.buckets, self.kept = len(text), None, {}
+        if count.sum() <= PLACES:
+            r, k = _ranges(self.lo, count)
+            bucket = (there.order[k] - self.at[r]) // LEAST
+            order = np.argsort(bucket, kind="stable")
+            self.buckets, self.of_bucket = bucket[order], self.at[r[order]]
+
+    def enough(self, shift: np.ndarray) -> np.ndarray:
+        """Whether so many shingles have a place near to each shift that ``runs`` can make up a passage."""
+        if self.buckets is None:
+            return np.ones(len(shift), bool)
+        centre, back = np.unique(shift // LEAST, return_inverse=True)
+        for c in centre.tolist():
+            if c not in self.kept:
+                lo, hi = np.searchsorted(self.buckets, c - 1), np.searchsorted(self.buckets, c + 1, "right")
+                self.kept[c] = _dense(self.of_bucket[lo:hi], self.size, LEAST)
+        return np.array([self.kept[c] for c in centre.tolist()], bool)[back]
+
+    def runs(self, shift: int) -> list[_Run]:
+        """``_common_runs`` of each shingle's place nearest to ``shift`` after its own, and not farther from it than ``LEAST``."""
+        at, lo, hi, order = self.at, self.lo, self.hi, self.there.order
+        want = at + shift
+        next_ = np.searchsorted(self.there.places, self.rank + np.clip(want, 0, len(order) - 1))
+        after, before = order[np.clip(next_, lo, hi - 1)], order[np.clip(next_ - 1, lo, hi - 1)]
+        q = np.where(np.abs(after - want) <= np.abs(before - want), after, before)
+        near = np.abs(q - want) <= LEAST
+        at, q = at[near], q[near]
+        if not (_dense(at, self.size, LEAST) and _dense(q, len(order), math.ceil(SIMILARITY * LEAST))):
+            return []
+        new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(q) != 1)])
+        size = np.diff(np.r_[new, len(at)])
+        return [_Run(p, p + k, x, x + k, k) for p, x, k in zip(at[new].tolist(), q[new].tolist(), size.tolist(), strict=True)]
+
+
+def _dense(at: np.ndarray, size: int, least: int) -> bool:
+    """Whether some ``least`` or more neighbours of ``size`` places have a share of ``SIMILARITY`` of them in ``at``. A passage
+    that is similar enough has so many places in common on either side, as each side is as long as what is in common."""
+    if len(at) < SIMILARITY * least or size < least:
+        return False
+    more = np.full(size + 1, -SIMILARITY)
+    more[0] = 0
+    more[at + 1] = 1 - SIMILARITY
+    more = np.cumsum(more)
+    return bool((more[least:] - np.minimum.accumulate(more[: size + 1 - least])).max() >= -1e-6)
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers first, first + 1, ... first + count - 1 of each row: (index of the row, number)."""
+    r = np.repeat(np.arange(len(count)), count)
+    return r, first[r] + np.arange(len(r)) - (np.cumsum(count) - count)[r]
 
 
 def _joined_passages(runs: list[_Run], text: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int, int, float]]:
@@ -286,7 +334,7 @@ def similar_passages(text: np.ndarray, other: np.ndarray | _Ranked, same: bool)
     if same:
         match &= ranked.order[first] < np.arange(len(text))
         several &= ranked.order[second] < np.arange(len(text))
-    if not (match & several).any():
+    if not (match & several).any() or not _dense(np.flatnonzero(match), len(text), LEAST):
         return out
     covered = np.zeros(len(text), bool)
     for a, b, *_ in out:
@@ -294,22 +342,41 @@ def similar_passages(text: np.ndarray, other: np.ndarray | _Ranked, same: bool)
     stretches, order = ranked.stretches
     own = _stretches(text)
     lo, hi = np.searchsorted(stretches, own), np.searchsorted(stretches, own, "right")
-    seen = set()
-    for p in np.flatnonzero(hi > lo).tolist():
-        a = max(0, p - LEAST)
-        around = a + np.flatnonzero(match[a : p + UNBROKEN + LEAST])
-        if not len(around) or covered[around[0] : around[-1] + 1].all():
-            continue
-        for q in order[lo[p] : hi[p]].tolist():
-            if q - p in seen or (same and q >= p):
-                continue
-            seen.add(q - p)
-            for x in _joined_passages(_near_runs(text, ranked, q - p, same), text, other):
-                if not covered[x[0] : x[1]].all():
-                    out.append(x)
-                    covered[x[0] : x[1]] = True
-            if covered[around[0] : around[-1] + 1].all():
-                break
+    # The matches around each stretch, first to last.
+    starts, at = np.flatnonzero(hi > lo), np.flatnonzero(match)
+    first, last = np.searchsorted(at, starts - LEAST), np.searchsorted(at, starts + UNBROKEN + LEAST) - 1
+    starts, first, last = (x[last >= first] for x in (starts, first, last))
+    first, last = at[first], at[last] + 1
+
+    def open_(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        left = np.r_[0, np.cumsum(~covered)]
+        return np.flatnonzero(left[last] > left[first])
+
+    some = open_(first, last)
+    if not len(some):
+        return out
+    near, seen, count = _Near(text, ranked, same), set(), (hi - lo)[starts[some]]
+    for some in np.split(some, np.flatnonzero(np.diff(np.cumsum(count) // PLACES)) + 1):
+        some = some[open_(first[some], last[some])]
+        r, k = _ranges(lo[starts[some]], (hi - lo)[starts[some]])
+        shift, around = order[k] - starts[some[r]], some[r]
+        follow = near.enough(shift) & (not same or shift < 0)
+        shift, around = shift[follow], around[follow]
+        done, found = 0, True
+        while found:
+            left = done + open_(first[around[done:]], last[around[done:]])
+            found = False
+            for i in left[np.sort(np.unique(shift[left], return_index=True)[1])].tolist():
+                if (s := int(shift[i])) in seen:
+                    continue
+                seen.add(s)
+                for x in _joined_passages(near.runs(s), text, other):
+                    if not covered[x[0] : x[1]].all():
+                        out.append(x)
+                        covered[x[0] : x[1]] = found = True
+                if found:
+                    done = i + 1
+                    break
     return out
 
 
