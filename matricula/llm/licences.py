@@ -2,9 +2,10 @@
 
 A paragraph is a line of a document. Its sparse features are its lower-case words and word pairs,
 hashed. A multinomial logistic regression (Spark ML) is trained on notices of each licence family
-and on ordinary paragraphs of the corpus as the class ``unknown``. The probability that a notice
-needs is calibrated on ordinary paragraphs that were not used for training. A predicted family is
-confirmed by comparing the paragraph's word pairs with the family's templates.
+and on all ordinary paragraphs of one half of the corpus's lines as the class ``unknown``. The probability
+that a notice needs is calibrated on all of the other half. Only words and pairs of the notices are features, so
+paragraphs with the same ones are one weighted row. A predicted family is confirmed by comparing the
+paragraph's word pairs with the family's templates.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matricula.llm.base import cut, fence
+from matricula.llm.base import cut, discard, fence, stored
 
 UNKNOWN = "unknown"
 
@@ -73,10 +74,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 
-#: Cue words: ordinary paragraphs for training are chosen with one and without one (fixed values; every template has one).
+#: Cue words: ordinary paragraphs with one and without one weigh alike in training (fixed values; every template has one).
 CUES = ("license", "licensed", "licence", "licenced", "permission", "redistribution", "spdx", "copyright", "gnu", "licenses", "warranty")
-#: Parts of which every cue word has one.
-_STEMS = ("licen", "permission", "redistribution", "spdx", "copyright", "gnu", "warranty")
 
 
 def _words(text: Column) -> Column:
@@ -96,20 +95,6 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     )
 
 
-def _cued(text: Column) -> Column:
-    low = F.lower(text)
-    out = F.contains(low, F.lit(_STEMS[0]))
-    for stem in _STEMS[1:]:
-        out = out | F.contains(low, F.lit(stem))
-    return out
-
-
-def cued_paragraphs(docs: DataFrame) -> DataFrame:
-    """The paragraphs that have a cue word; only texts that have one are split."""
-    some = paragraphs(docs.where(_cued(F.col("text").cast("string")))).where(_cued(F.col("text")))
-    return some.where(F.arrays_overlap(_words(F.col("text")), F.array(*map(F.lit, CUES))))
-
-
 def word_shares(model: LogisticRegressionModel, size: int) -> dict[str, float] | None:
     """For each word of the notices, how much it can bring a paragraph towards any family: where the model gives a family
     half of the probability, the different words' shares add up to 1 or more. ``None``: the model has no such bound.
@@ -117,8 +102,7 @@ def word_shares(model: LogisticRegressionModel, size: int) -> dict[str, float] |
     A family then has more than ``unknown``, so its features outweigh the difference of the intercepts. The weight of a
     pair counts for that of its words that is in fewer pairs. Features of the notices are taken by their words, not by
     hashes that other words may share."""
-    spark = SparkSession.active()
-    grams = [r.g for r in _with_features(_variants(spark), size).select(F.explode("grams").alias("g")).distinct().orderBy("g").collect()]
+    grams = _notice_grams()
     index, weights, bias = HashingTF(numFeatures=size), model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     gap = bias[0] - bias[1:]
     if not (gap > 0).all():
@@ -148,69 +132,117 @@ def lines_to_score(docs: DataFrame, shares: dict[str, float] | None) -> DataFram
 
 
 def _with_features(df: DataFrame, size: int) -> DataFrame:
+    """``grams``: all words and pairs; ``vector``: of these the ones that a notice has, hashed."""
     df = df.withColumn("words", _words(F.col("text"))).withColumn("pairs", _pairs(F.col("words")))
-    df = df.withColumn("grams", F.array_distinct(F.concat("words", "pairs")))
-    return HashingTF(inputCol="grams", outputCol="vector", numFeatures=size, binary=True).transform(df)
+    df = fence(df.withColumn("grams", F.array_distinct(F.concat("words", "pairs"))))
+    df = df.withColumn("own", F.array_intersect("grams", F.array(*map(F.lit, _notice_grams()))))
+    return HashingTF(inputCol="own", outputCol="vector", numFeatures=size, binary=True).transform(df).drop("own")
 
 
-def _variants(spark: SparkSession) -> DataFrame:
+def _words_of(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+(?:[.+][0-9]+)?", text.lower())
+
+
+def _notices() -> list[tuple[str, str]]:
     """Training notices: every template whole, without each of its words, and each half of the long ones."""
-    rows = [(family, t) for family, texts in TEMPLATES.items() for t in texts]
-    base = spark.createDataFrame(rows, "family string, text string").withColumn("w", F.split("text", " "))
-    n = F.size("w")
-    less = F.transform(F.sequence(F.lit(1), n), lambda k: F.filter(F.col("w"), lambda _, i: i != k - 1))
-    half = F.when(n >= 12, F.array(F.slice("w", 1, F.ceil(n / 2).cast("int")), F.slice("w", F.floor(n / 2).cast("int") + 1, n)))
-    many = F.concat(F.array("w"), F.when(n > 4, less).otherwise(F.array().cast("array<array<string>>")), F.coalesce(half, F.array().cast("array<array<string>>")))
-    return base.select("family", F.explode(many).alias("w")).select("family", F.array_join("w", " ").alias("text"))
+    out = []
+    for family, texts in TEMPLATES.items():
+        for w in (t.split(" ") for t in texts):
+            n = len(w)
+            many = [w]
+            if n > 4:
+                many += [w[:k] + w[k + 1 :] for k in range(n)]
+            if n >= 12:
+                many += [w[: -(-n // 2)], w[n // 2 :]]
+            out += [(family, " ".join(x)) for x in many]
+    return out
 
 
-def train(docs: DataFrame, sample: int = 4000, size: int = 1 << 14, false_alarms: float = 0.001) -> tuple[LogisticRegressionModel, list[str], float]:
+def _variants(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_notices(), "family string, text string")
+
+
+def _notice_grams() -> list[str]:
+    """The words and word pairs of the training notices."""
+    words = [_words_of(t) for _, t in _notices()]
+    return sorted({w for x in words for w in x} | {f"{a} {b}" for x in words for a, b in zip(x, x[1:], strict=False)})
+
+
+def _ordinary(docs: DataFrame) -> DataFrame:
+    """(held, cued, grams, n): all different paragraphs of which no template shares much of their word pairs, counted by
+    half, by whether they have a cue word, and by the notices' words and pairs that they have."""
+    known = _notice_grams()
+    words = _words(F.col("text"))
+    lines = paragraphs(docs).where(F.btrim("text") != "").select("text", F.xxhash64("text").alias("h"), words.alias("words"))
+    single, double = ([g for g in known if (" " in g) == pair] for pair in (False, True))
+    own = F.array(*map(F.lit, double)).cast("array<string>")
+    lines = fence(lines).withColumn("single", F.array_intersect("words", F.array(*map(F.lit, single)).cast("array<string>")))
+    # A known pair needs two known words beside each other, or one word twice.
+    several = (F.size("single") > 1) | ((F.size("single") == 1) & (F.size("words") > 1))
+    lines = fence(lines.withColumn("all", F.when(several, _pairs(F.col("words"))).otherwise(F.array().cast("array<string>"))))
+    lines = fence(lines.withColumn("pairs", F.array_intersect("all", own)))
+    cued = F.arrays_overlap("single", F.array(*map(F.lit, CUES)))
+    # Templates have fewer pairs than ``most``: what a paragraph has beyond them does not change its similarity.
+    most = max(len(t.split()) for texts in TEMPLATES.values() for t in texts) * 2
+    size = F.when(F.size("pairs") > 0, F.least(F.size("all"), F.lit(most))).otherwise(0)
+    rows = lines.select("h", cued.alias("cued"), F.array_sort("single").alias("single"), F.array_sort("pairs").alias("pairs"), size.alias("size"))
+    rows = rows.distinct().groupBy((F.pmod("h", F.lit(2)) != 0).alias("held"), "cued", "single", "pairs", "size").agg(F.count(F.lit(1)).alias("n"))
+    rows = fence(rows).where((F.size("pairs") == 0) | (_similarity(None, F.col("size")) < 0.3))
+    return rows.groupBy("held", "cued", F.concat("single", "pairs").alias("grams")).agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, sample: int | None = None, size: int = 1 << 14, false_alarms: float = 0.001) -> tuple[LogisticRegressionModel, list[str], float]:
     """Model, class names by index, and the calibrated least probability of a family.
 
-    Ordinary paragraphs for training and calibration are a bounded sample: up to ``sample`` without a cue
-    word, of the ``sample`` documents with the smallest text hash, and of all documents as many with one; no template
-    shares much of their word pairs. Hashes choose them, so any partitioning gives the same ones. The calibrated
-    probability is exceeded by at most ``false_alarms`` of the calibration paragraphs, and is 0.5 at least.
+    All different ordinary paragraphs take part, one half (by hash) in training, the other in calibration; no template
+    shares much of their word pairs. In training, those with a cue word weigh as much together as those without, and
+    both together as much as the notices. The calibrated probability is exceeded by at most ``false_alarms`` of the
+    calibration paragraphs, and is 0.5 at least. ``sample``: paragraphs of so many documents only, those with the
+    smallest text hash (``None``: of all).
     """
     spark = docs.sparkSession
     names = [UNKNOWN, *sorted(TEMPLATES)]
     index = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(float(i)))])
+    notices = _with_features(_variants(spark), size).select("vector", index[F.col("family")].alias("label"), F.lit(1.0).alias("weight"))
     texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    chosen = texts.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(sample)
-    some = texts.join(F.broadcast(chosen), F.xxhash64("text") == F.col("h"), "left_semi")
-    plain = paragraphs(some).where((F.btrim("text") != "") & ~_cued(F.col("text"))).select("text", F.xxhash64("text").alias("h")).distinct()
-    plain = plain.withColumn("words", _words(F.col("text"))).withColumn("pairs", _pairs(F.col("words")))
-    plain = fence(plain).where(_similarity(None) < 0.3).select("text", "h").orderBy("h").limit(sample)
-    cued = cued_paragraphs(docs).select("text").distinct().withColumn("words", _words(F.col("text"))).withColumn("pairs", _pairs(F.col("words")))
-    cued = fence(cued).where(_similarity(None) < 0.3)
-    cued = cued.select("text", F.xxhash64("text").alias("h"))
-    odd = cut(plain.unionByName(cued.orderBy("h").limit(sample)))
-    fold = F.pmod("h", F.lit(2)) == 0
-    ordinary = odd.where(fold).select(F.lit(UNKNOWN).alias("family"), "text")
-    rows = _with_features(_variants(spark).unionByName(ordinary), size)
-    rows = cut(rows.select("vector", index[F.col("family")].alias("label"), F.when(F.col("family") == UNKNOWN, 1.0).otherwise(4.0).alias("weight")))
+    if sample is not None:
+        chosen = texts.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(sample)
+        texts = texts.join(F.broadcast(chosen), F.xxhash64("text") == F.col("h"), "left_semi")
+    ordinary = stored(_ordinary(texts))
+    kinds = ordinary.where("not held").groupBy("cued").agg(F.sum("n").alias("n")).collect()
+    share = len(_notices()) / max(1, len(kinds))
+    weight = F.lit(0.0)
+    for r in kinds:
+        weight = F.when(F.col("cued") == r.cued, F.col("n") * (share / r.n)).otherwise(weight)
+    hashed = HashingTF(inputCol="grams", outputCol="vector", numFeatures=size, binary=True)
+    trained = hashed.transform(ordinary.where("not held")).select("vector", F.lit(0.0).alias("label"), weight.alias("weight"))
     model = LogisticRegression(
         featuresCol="vector", labelCol="label", weightCol="weight", family="multinomial", maxIter=40, regParam=0.002, elasticNetParam=0.5
-    ).fit(rows)
-    held = _score(odd.where(~fold).select("text"), model, names, size).where(F.col("family") != UNKNOWN)
-    n = odd.where(~fold).count()
-    over = held.agg(F.percentile_approx("score", max(0.0, 1 - false_alarms * n / max(1, held.count())), 10000)).first()[0]
+    ).fit(cut(notices.unionByName(trained)))
+    held = _predicted(hashed.transform(ordinary.where("held")), model, names).select("n", F.when(F.col("family") != UNKNOWN, F.col("score")).otherwise(0.0).alias("score"))
+    over = held.agg(F.percentile("score", F.lit(1 - false_alarms), F.col("n"))).first()[0]
+    discard(ordinary)
     return model, names, max(0.5, over or 0.0)
 
 
 def _score(lines: DataFrame, model: LogisticRegressionModel, names: list[str], size: int) -> DataFrame:
-    scored = fence(model.transform(fence(_with_features(lines, size))).withColumn("p", vector_to_array("probability")))
+    return _predicted(fence(_with_features(lines, size)), model, names)
+
+
+def _predicted(vectors: DataFrame, model: LogisticRegressionModel, names: list[str]) -> DataFrame:
+    scored = fence(model.transform(vectors).withColumn("p", vector_to_array("probability")))
     best = F.array_max("p")
     family = F.array(*map(F.lit, names[: model.numClasses]))[(F.array_position("p", best) - 1).cast("int")]
     return fence(scored.withColumn("score", best).withColumn("family", family))
 
 
-def _similarity(family: Column | None) -> Column:
+def _similarity(family: Column | None, size: Column | None = None) -> Column:
     """Largest share of a template's word pairs that the paragraph's ``pairs`` have, among the templates
-    of its family (``None``: of any); for a piece of a template, the share of the paragraph's pairs."""
+    of its family (``None``: of any); for a piece of a template, the share of the paragraph's pairs. ``size``: the number of the
+    paragraph's pairs, if ``pairs`` are only those that a template can have."""
 
     def pairs_of(text: str) -> list[str]:
-        w = re.findall(r"[^\W_]+(?:[.+][0-9]+)?", text.lower())
+        w = _words_of(text)
         return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
 
     def share(pairs: Column) -> Column:
@@ -220,7 +252,7 @@ def _similarity(family: Column | None) -> Column:
             for t in texts:
                 own = pairs_of(t)
                 shared = F.size(F.array_intersect(pairs, F.array(*map(F.lit, own))))
-                each.append(shared / F.least(F.lit(len(own)), F.greatest(F.size(pairs), F.lit(3))))
+                each.append(shared / F.least(F.lit(len(own)), F.greatest(F.size(pairs) if size is None else size, F.lit(3))))
             top = F.greatest(*each) if len(each) > 1 else each[0]
             out.append(top if family is None else F.when(family == name, top))
         return F.greatest(*out) if family is None else F.coalesce(*out)
@@ -229,7 +261,7 @@ def _similarity(family: Column | None) -> Column:
     return F.transform(F.array(F.col("pairs")), share)[0]
 
 
-def licence_notices(docs: DataFrame, sample: int = 4000, size: int = 1 << 14, least_similarity: float = 0.6) -> DataFrame:
+def licence_notices(docs: DataFrame, sample: int | None = None, size: int = 1 << 14, least_similarity: float = 0.6) -> DataFrame:
     """(doc_id, paragraph, family, score, similarity, confirmed): the paragraphs that read as a licence notice.
 
     ``score``: probability of the family, at least the calibrated one; ``confirmed``: the family's

@@ -64,3 +64,15 @@ def test_every_paragraph_is_scored(spark, sf):
 
 def test_empty(spark):
     assert licences.licence_notices(spark.createDataFrame([], "doc_id long, text string"), sample=10).count() == 0
+
+
+def test_training_takes_all_paragraphs(spark, monkeypatch):
+    """No paragraph is left out of training and calibration, however many there are; repeated ones count once."""
+    rows = [(i, f"line x{i} of words\nyou need no license x{i} for this\nthe same line\n ") for i in range(9000)]
+    rows += [(9000, "Released under the MIT License."), (9001, None)]
+    docs, taken, own = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), [], licences._ordinary
+    monkeypatch.setattr(licences, "_ordinary", lambda df: taken.append(own(df)) or taken[0])
+    licences.licence_notices(docs)
+    got = {r.cued: r.n for r in taken[0].groupBy("cued").agg(F.sum("n").alias("n")).collect()}
+    assert got == {False: 9001, True: 9000}
+    assert taken[0].where("n > 4000").count() >= 2
