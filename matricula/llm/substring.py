@@ -42,6 +42,8 @@ SIMILARITY = 0.8
 UNBROKEN = 16
 #: Places that are listed at once; texts that repeat a shingle more often than that take the longer way.
 PLACES = 1 << 16
+#: Places of two texts that are kept in order of their distance; of more, all are looked through for each distance.
+BUCKETED = 1 << 19
 
 
 def _function(shingles: np.ndarray, i: int) -> np.ndarray:
@@ -245,37 +247,72 @@ class _Near:
         self.lo, self.hi, self.rank = lo[self.at], hi[self.at], rank[self.at]
         count = self.hi - self.lo
         self.size, self.buckets, self.kept = len(text), None, {}
-        if count.sum() <= PLACES:
+        self.followed, self.ahead = {}, 4
+        if count.sum() <= BUCKETED:
             r, k = _ranges(self.lo, count)
             bucket = (there.order[k] - self.at[r]) // LEAST
             order = np.argsort(bucket, kind="stable")
-            self.buckets, self.of_bucket = bucket[order], self.at[r[order]]
+            self.buckets, self.of_bucket = bucket[order], r[order]
+
+    def _around(self, c: int) -> tuple[np.ndarray, bool]:
+        """The shingles (as numbers in ``at``) that have a place so far off that it may be near to a shift of bucket ``c``, and
+        whether they are so many that ``runs`` can make up a passage."""
+        if c not in self.kept:
+            lo, hi = np.searchsorted(self.buckets, c - 1), np.searchsorted(self.buckets, c + 1, "right")
+            some = np.unique(self.of_bucket[lo:hi])
+            self.kept[c] = some, _dense(self.at[some], self.size, LEAST)
+        return self.kept[c]
 
     def enough(self, shift: np.ndarray) -> np.ndarray:
         """Whether so many shingles have a place near to each shift that ``runs`` can make up a passage."""
         if self.buckets is None:
             return np.ones(len(shift), bool)
         centre, back = np.unique(shift // LEAST, return_inverse=True)
-        for c in centre.tolist():
-            if c not in self.kept:
-                lo, hi = np.searchsorted(self.buckets, c - 1), np.searchsorted(self.buckets, c + 1, "right")
-                self.kept[c] = _dense(self.of_bucket[lo:hi], self.size, LEAST)
-        return np.array([self.kept[c] for c in centre.tolist()], bool)[back]
-
-    def runs(self, shift: int) -> list[_Run]:
-        """``_common_runs`` of each shingle's place nearest to ``shift`` after its own, and not farther from it than ``LEAST``."""
-        at, lo, hi, order = self.at, self.lo, self.hi, self.there.order
-        want = at + shift
-        next_ = np.searchsorted(self.there.places, self.rank + np.clip(want, 0, len(order) - 1))
+        return np.array([self._around(c)[1] for c in centre.tolist()], bool)[back]
+
+    def runs(self, shift: int, after: list[int]) -> list[_Run]:
+        """``_common_runs`` of each shingle's place nearest to ``shift`` after its own, and not farther from it than ``LEAST``;
+        none, if they cannot be joined to a passage. ``after``: the shifts to follow next, looked at together with this one."""
+        if shift not in self.followed:
+            self._follow([shift, *(x for x in after[: self.ahead - 1] if x not in self.followed)])
+            self.ahead = min(4 * self.ahead, 256)
+        found = self.followed[shift]
+        return [_Run(p, p + k, x, x + k, k) for p, x, k in zip(*(x.tolist() for x in found), strict=True)] if found else []
+
+    def _follow(self, shifts: list[int]) -> None:
+        every = np.arange(len(self.at))
+        some = [every if self.buckets is None else self._around(x // LEAST)[0] for x in shifts]
+        fit = max(1, int(np.searchsorted(np.cumsum([len(x) for x in some]), PLACES, "right")))
+        shifts, some = shifts[:fit], some[:fit]
+        of = np.repeat(np.arange(fit), [len(x) for x in some])
+        some, order = np.concatenate(some), self.there.order
+        at, lo, hi = self.at[some], self.lo[some], self.hi[some]
+        want = at + np.array(shifts)[of]
+        next_ = np.searchsorted(self.there.places, self.rank[some] + np.clip(want, 0, len(order) - 1))
         after, before = order[np.clip(next_, lo, hi - 1)], order[np.clip(next_ - 1, lo, hi - 1)]
         q = np.where(np.abs(after - want) <= np.abs(before - want), after, before)
         near = np.abs(q - want) <= LEAST
-        at, q = at[near], q[near]
-        if not (_dense(at, self.size, LEAST) and _dense(q, len(order), math.ceil(SIMILARITY * LEAST))):
-            return []
-        new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(q) != 1)])
-        size = np.diff(np.r_[new, len(at)])
-        return [_Run(p, p + k, x, x + k, k) for p, x, k in zip(at[new].tolist(), q[new].tolist(), size.tolist(), strict=True)]
+        at, q, of = at[near], q[near], of[near]
+        new = np.flatnonzero(np.r_[True, (at[1:] - at[:-1] != 1) | (q[1:] - q[:-1] != 1) | (of[1:] != of[:-1])]) if len(at) else np.zeros(0, np.int64)
+        first, there, of, size = at[new], q[new], of[new], np.diff(np.r_[new, len(at)])
+        able = _joinable(first, there, size, of, self.size) if len(new) else of
+        a, b = np.searchsorted(of, np.arange(fit)), np.searchsorted(of, np.arange(fit), "right")
+        self.followed |= dict.fromkeys(shifts)
+        for i in np.unique(able).tolist():
+            self.followed[shifts[i]] = first[a[i] : b[i]], there[a[i] : b[i]], size[a[i] : b[i]]
+
+
+def _joinable(first: np.ndarray, there: np.ndarray, size: np.ndarray, of: np.ndarray, length: int) -> np.ndarray:
+    """The lists ``of`` runs in a text of ``length`` of which some neighbours may be joined to a passage. With m shingles in common
+    and gaps of g between them on both sides together, m >= SIMILARITY * (m + g); where the other text goes back, nothing is joined."""
+    step, total = there[1:] - there[:-1] - size[:-1], int(size.sum())
+    gap = np.where((step < 0) | (of[1:] != of[:-1]), total + 1, step + first[1:] - first[:-1] - size[:-1])
+    have = np.cumsum(size)
+    rest = have - np.r_[0, np.cumsum(gap)] * (SIMILARITY / (1 - SIMILARITY))
+    least = np.minimum.accumulate(rest - size)
+    start = first + of * (length + LEAST + 1)
+    i = np.searchsorted(start, start + size - LEAST, "right") - 1
+    return of[(i >= 0) & (rest - least[np.maximum(i, 0)] >= -0.5)]
 
 
 def _dense(at: np.ndarray, size: int, least: int) -> bool:
@@ -366,11 +403,12 @@ def similar_passages(text: np.ndarray, other: np.ndarray | _Ranked, same: bool)
         while found:
             left = done + open_(first[around[done:]], last[around[done:]])
             found = False
-            for i in left[np.sort(np.unique(shift[left], return_index=True)[1])].tolist():
-                if (s := int(shift[i])) in seen:
-                    continue
+            new = left[np.sort(np.unique(shift[left], return_index=True)[1])]
+            new = new[[s not in seen for s in shift[new].tolist()]] if len(new) else new
+            shifts = shift[new].tolist()
+            for n, (i, s) in enumerate(zip(new.tolist(), shifts, strict=True)):
                 seen.add(s)
-                for x in _joined_passages(near.runs(s), text, other):
+                for x in _joined_passages(near.runs(s, shifts[n + 1 : n + near.ahead]), text, other):
                     if not covered[x[0] : x[1]].all():
                         out.append(x)
                         covered[x[0] : x[1]] = found = True
@@ -456,7 +494,7 @@ def _similar(docs: DataFrame) -> DataFrame:
     old: list[DataFrame] = []
     while True:
         pivots = left.groupBy("grp").agg(F.min("m").alias("p"), F.max("m").alias("top")).where("p != top").select("grp", "p")
-        faced = stored(left.join(pivots, "grp").where("m != p").distinct().select("grp", "p", "m"))
+        faced = stored(left.join(pivots, "grp").where("m != p").select("grp", "p", "m"))
         if faced.isEmpty():
             return out
         # Other places of the first one's own text are dealt anew as they are: that text was compared with itself above.
@@ -468,22 +506,27 @@ def _similar(docs: DataFrame) -> DataFrame:
             .agg(F.collect_set("x").alias("at"))
         )
         # The texts of the pairs are shuffled: in passes of at most a quarter as many pairs as there are texts.
-        passes, again = -(-pairs.count() // at_once), faced.where(F.lit(False))
+        passes, missed = -(-pairs.count() // at_once), None
         for k in range(passes):
             part = pairs.where(F.pmod(F.xxhash64("doc", "tag", "pdoc", "ptag"), F.lit(passes)) == k)
             checked = stored(_verify(part, docs))
             out = out.unionByName(checked.where("kind = 1").select(out.columns))
-            missed = checked.where("kind = 0").select("grp", "doc", "tag", "c")
-            again = again.unionByName(faced.where(like).join(
-                missed, (faced.grp == missed.grp) & (F.col("m.doc") == missed.doc) & (F.col("m.tag") == missed.tag) & (F.col("m.c") == missed.c), "left_semi"
-            ))
-        # Dealt anew by every sketch value that the first of the group does not have.
+            these = checked.where("kind = 0").select("grp", "doc", "tag", "c")
+            missed = these if missed is None else missed.unionByName(these)
+        rest = faced.where(~like)
+        if missed is not None:
+            at = (faced.grp == missed.grp) & (F.col("m.doc") == missed.doc) & (F.col("m.tag") == missed.tag) & (F.col("m.c") == missed.c)
+            rest = rest.unionByName(faced.where(like).join(missed, at, "left_semi"))
+        rest = stored(rest)
+        # Dealt anew by every sketch value that the first of the group does not have. Rows that are alone in their new group have no
+        # partner any more; of groups with the same rows, as several values of one side make them, one stays.
         values = [F.when(a != b, F.xxhash64("grp", F.lit(k), a)) for k, (a, b) in enumerate(zip(_values("m"), _values("p"), strict=True))]
-        dealt = faced.where(~like).unionByName(again).select(F.explode(F.array_compact(F.array(*values))).alias("grp"), "m")
-        # Rows that are alone in their new group have no partner any more.
-        several = dealt.groupBy("grp").agg(F.min("m").alias("p"), F.max("m").alias("top")).where("p != top").select("grp")
-        left = stored(dealt.join(several, "grp", "left_semi"))
-        discard(faced, pairs, *old)
+        new = F.explode(F.array_compact(F.array(*values))).alias("grp")
+        hashed = rest.select(new, F.xxhash64("m", F.lit(0)).alias("x"), F.xxhash64("m", F.lit(1)).alias("y"))
+        several = hashed.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("n > 1")
+        several = stored(several.groupBy("n", "x", "y").agg(F.min("grp").alias("grp")).select("grp"))
+        left = stored(only(rest.select(new, "m"), several, ["grp"]))
+        discard(faced, pairs, rest, several, *old)
         old = [left]
 
 

@@ -211,6 +211,37 @@ def test_few_alignments_of_runs_of_one_word_are_tried(monkeypatch):
     assert set(range(360, 416)) <= {i for a, b, *_ in found for i in range(a, b)}
 
 
+def test_alignments_of_short_runs_are_not_joined(monkeypatch):
+    """Texts of two words have a place near to any shift for almost every shingle, but in runs too short to be joined."""
+    rnd, calls, own = random.Random(11), [], substring._joined_passages
+    monkeypatch.setattr(substring, "_joined_passages", lambda *a: (calls.append(1) if a[0] else None) or own(*a))
+    line = [f"l{i}" for i in range(24)]
+    mixed = lambda: [w for _ in range(8) for w in [rnd.choice("xy") for _ in range(40)] + line]
+    assert substring.similar_passages(_shingles(" ".join(mixed())), _shingles(" ".join(mixed())), False) == []
+    assert len(calls) <= 5
+    p = [f"p{i}" for i in range(60)]
+    found = substring.similar_passages(_shingles(" ".join(mixed() + p + mixed())), _shingles(" ".join(mixed() + p[:40] + mixed() + p)), False)
+    assert set(range(512, 568)) <= {i for a, b, *_ in found for i in range(a, b)}
+
+
+def test_groups_with_the_same_rows_are_dealt_once(spark, monkeypatch):
+    groups, own = [], substring.stored
+
+    def stored(df):
+        out = own(df)
+        if out.columns == ["grp", "m"]:
+            rows = defaultdict(set)
+            for r in out.collect():
+                rows[r.grp].add(r.m)
+            groups.append([frozenset(x) for x in rows.values()])
+        return out
+
+    monkeypatch.setattr(substring, "stored", stored)
+    df = spark.createDataFrame(list(_world()[0].items()), "doc_id long, text string")
+    substring.repeated_passages(df).collect()
+    assert any(groups) and all(len(set(x)) == len(x) for x in groups)
+
+
 def test_edge_rows(spark):
     rnd = random.Random(3)
     p = " ".join(f"w{rnd.randint(0, 5000)}" for _ in range(70))
